@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packing
+from . import bpe, minhash, packing
 from .runtime import table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -24,6 +24,10 @@ def op4_bpe(spark: SparkSession, sf_dir: str, vocabulary: str = WORD_BPE) -> Dat
     return made.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {"op1_packing": op1_packing, "op4_bpe": op4_bpe}
+def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+
+
+QUERIES = {"op1_packing": op1_packing, "op4_bpe": op4_bpe, "op8_minhash": op8_minhash}
 
 ORACLE_SQL: dict[str, str] = {}
