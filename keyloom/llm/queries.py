@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, minhash, packing
+from . import bpe, langid, minhash, packing, pii
 from .runtime import table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -19,15 +19,30 @@ def op1_packing(spark: SparkSession, sf_dir: str, vocabulary: str = WORD_BPE) ->
     return packing.pack(digests, SEQUENCE, ["doc_id", "start", "ids_crc32"])
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = pii.find(docs, pii.train(docs), keep=["doc_id"])
+    base = F.filter("pii", lambda x: x["base"])
+    joined = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+    counts = [F.size(F.filter("pii", lambda x, k=k: x["base"] & (x["kind"] == k))).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("pii")).alias("spans"))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str, vocabulary: str = WORD_BPE) -> DataFrame:
     made = bpe.encode_and_decode(table(spark, sf_dir, "documents"), vocabulary, keep=["doc_id"])
     return made.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.train(docs.where(~langid.held_out()))
+    return langid.predict(docs.select("doc_id", "text"), model).select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
-QUERIES = {"op1_packing": op1_packing, "op4_bpe": op4_bpe, "op8_minhash": op8_minhash}
+QUERIES = {"op1_packing": op1_packing, "op2_pii": op2_pii, "op4_bpe": op4_bpe, "op5_langid": op5_langid, "op8_minhash": op8_minhash}
 
 ORACLE_SQL: dict[str, str] = {}
