@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, minhash, packing, pii
+from . import bpe, langid, minhash, packing, pii, sharding
 from .runtime import table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -39,10 +39,17 @@ def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", "text"), model).select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.coalesce("text", F.lit(""))
+    narrow = table(spark, sf_dir, "documents").select("doc_id", "source", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
+    dealt = sharding.shard_rows(narrow, 16)
+    return dealt.select("doc_id", "size", "text_crc32", F.lit(sharding.LAW).alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "source")
+
+
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
-QUERIES = {"op1_packing": op1_packing, "op2_pii": op2_pii, "op4_bpe": op4_bpe, "op5_langid": op5_langid, "op8_minhash": op8_minhash}
+QUERIES = {"op1_packing": op1_packing, "op2_pii": op2_pii, "op4_bpe": op4_bpe, "op5_langid": op5_langid, "op6_sharding": op6_sharding, "op8_minhash": op8_minhash}
 
 ORACLE_SQL: dict[str, str] = {}
