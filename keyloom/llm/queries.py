@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, minhash, packing, pii, sharding
+from . import bpe, langid, minhash, packing, pii, repeats, sharding
 from .runtime import table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -50,6 +50,11 @@ def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
-QUERIES = {"op1_packing": op1_packing, "op2_pii": op2_pii, "op4_bpe": op4_bpe, "op5_langid": op5_langid, "op6_sharding": op6_sharding, "op8_minhash": op8_minhash}
+def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = repeats.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), 100)
+    return done.select("doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+QUERIES = {"op1_packing": op1_packing, "op2_pii": op2_pii, "op4_bpe": op4_bpe, "op5_langid": op5_langid, "op6_sharding": op6_sharding, "op8_minhash": op8_minhash, "op10_repeats": op10_repeats}
 
 ORACLE_SQL: dict[str, str] = {}
