@@ -23,13 +23,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
 from .components import components
-from .runtime import Scratch, prepare
+from .runtime import Scratch, fresh, prepare
 from .textkeys import mix, shingles, word_hashes
 
 #: 21 bands of 6 slots: documents with a Jaccard similarity of 0.85 share a bucket with probability 0.99995, those of 0.8 with 0.998.
 SLOTS, BAND = 126, 6
-#: Share of equal signature slots below which two members of a bucket are not compared further (4.7 standard deviations under 0.85).
-LEAST_SLOTS, PIVOTS, BLOCK_ROWS = 0.70, 2, 256
+#: How far the share of equal signature slots may lie below the wanted similarity before two members of a bucket are not compared further (over 4 standard deviations), pivots tried besides the least member, and rows of a block.
+SLACK, PIVOTS, BLOCK_ROWS = 0.15, 2, 256
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _LOW = np.uint64(0xFFFFFFFF)
 
@@ -69,15 +69,15 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
 
 
 def _sketches(df: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """One row per document: id, n, class key (two hashes of the sorted set), one byte of every slot, band keys."""
-    names = ["id", "n", "k1", "k2", "sketch", "bands"]
-    kinds = [LongType(), LongType(), LongType(), LongType(), BinaryType(), ArrayType(LongType())]
+    """One row per document: id, hash of the text, n, class key (two hashes of the sorted set), one byte of every slot, band keys."""
+    names = ["id", "mark", "n", "k1", "k2", "sketch", "bands"]
+    kinds = [LongType(), LongType(), LongType(), LongType(), LongType(), BinaryType(), ArrayType(LongType())]
     schema = StructType([StructField(n, t) for n, t in zip(names, kinds, strict=True)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n, k1, k2, sketch, bands = [], [], [], [], []
-            for s in shingles(*word_hashes([t or "" for t in b.column(1).to_pylist()]), width):
+            for s in shingles(*word_hashes([t or "" for t in b.column(2).to_pylist()]), width):
                 n.append(len(s))
                 if not len(s):
                     k1.append(0), k2.append(0), sketch.append(None), bands.append(None)
@@ -88,9 +88,10 @@ def _sketches(df: DataFrame, id_col: str, text_col: str, width: int) -> DataFram
                 sig = signature(s)
                 sketch.append((mix((sig * 2.0**32).astype(np.uint64)) >> np.uint64(56)).astype(np.uint8).tobytes())
                 bands.append(band_keys(sig).view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(sketch, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=names)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(sketch, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=names)
 
-    return df.select(F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`")).mapInArrow(run, schema)
+    text = F.col(f"`{text_col}`")
+    return df.select(F.col(f"`{id_col}`").cast("long"), F.xxhash64(text), text).mapInArrow(run, schema)
 
 
 def _sets(df: DataFrame, width: int) -> DataFrame:
@@ -114,7 +115,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.where(F.col("both") * 100 >= (F.col("sum") - F.col("both")) * percent).select("a", "b")
 
 
-def _across(rows: DataFrame) -> DataFrame:
+def _across(rows: DataFrame, least: float) -> DataFrame:
     """Pairs of different components in a bucket (key, id, comp, sketch, blocks) whose slots agree enough, block by block."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
@@ -124,7 +125,7 @@ def _across(rows: DataFrame) -> DataFrame:
         a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         r = np.flatnonzero(right)
         for i in np.flatnonzero(left):
-            same = (s[r] == s[i]).mean(axis=1) >= LEAST_SLOTS
+            same = (s[r] == s[i]).mean(axis=1) >= least
             k = r[same & (comp[r] != comp[i]) & (ids[r] != ids[i])]
             a.append(np.minimum(ids[i], ids[k]))
             b.append(np.maximum(ids[i], ids[k]))
@@ -137,7 +138,7 @@ def _across(rows: DataFrame) -> DataFrame:
 
 
 def near_duplicates(df: DataFrame, percent: int = 80, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``df``: id, n_shingles, component_id, kept. Links: Jaccard similarity of at least ``percent``/100."""
+    """One row per row of ``df``: id, n_shingles, component_id, kept, text_hash. Links: Jaccard similarity of at least ``percent``/100."""
     spark = df.sparkSession
     prepare(spark)
     scratch = Scratch(spark, "minhash")
@@ -167,7 +168,7 @@ def near_duplicates(df: DataFrame, percent: int = 80, width: int = 5, id_col: st
         else:
             blocks = split.select("key", F.ceil(F.col("rows") / BLOCK_ROWS).alias("blocks"))
             sketch = all_rows.select("id", "sketch").where("sketch is not null").join(involved, "id", "left_semi").dropDuplicates(["id"])
-            more = _across(named.join(blocks, "key").join(sketch, "id"))
+            more = _across(named.join(blocks, "key").join(sketch, "id"), percent / 100 - SLACK)
         found = _verified(scratch.save(more.distinct()), sets, percent)
         links = scratch.save(links.unionByName(found))
         comps = scratch.save(components(scratch, links))
@@ -175,7 +176,18 @@ def near_duplicates(df: DataFrame, percent: int = 80, width: int = 5, id_col: st
         scratch.drop(old)
     of_class = classes.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("k1", "k2", "n", F.coalesce("component", "rep").alias("component_id"))
     of_class = scratch.save(of_class)
-    out = all_rows.select("id", "k1", "k2", "n").join(of_class, ["k1", "k2", "n"], "left")
+    out = all_rows.select("id", "mark", "k1", "k2", "n").join(of_class, ["k1", "k2", "n"], "left")
     own = F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id"))
-    out = out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), own.alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.col("component_id").isNull()))
+    out = out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), own.alias("component_id"), F.col("mark").alias("text_hash"))
+    kept = F.coalesce(F.col(id_col) == F.col("component_id"), F.col("component_id").isNull())
+    return out.select(id_col, "n_shingles", "component_id", kept.alias("kept"), "text_hash")
+
+
+def keep_one(df: DataFrame, percent: int = 80, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``df`` that near_duplicates keeps, with all columns; rows with the same id and text stay once."""
+    kept = near_duplicates(df, percent, width, id_col, text_col).where("kept").select(F.col(id_col).alias("kept_id"), F.col("text_hash").alias("kept_hash"))
+    kept = Scratch(df.sparkSession, "kept").save(kept.distinct())
+    own_id, own_hash = fresh(df, "own_id", "own_hash")
+    rows = df.withColumn(own_id, F.col(f"`{id_col}`").cast("long")).withColumn(own_hash, F.xxhash64(F.col(f"`{text_col}`")))
+    rows = rows.join(kept, F.col(own_id).eqNullSafe(F.col("kept_id")) & (F.col(own_hash) == F.col("kept_hash")), "left_semi")
+    return rows.dropDuplicates([own_id, own_hash]).select(*[F.col(f"`{c}`") for c in df.columns])

@@ -20,10 +20,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StringType, StructField, StructType
 
 from .runtime import Scratch, fresh, prepare, shuffle_width
 from .textkeys import mix, prefix_hashes
@@ -286,3 +287,9 @@ def remove_repeats(df: DataFrame, width: int = WIDTH, id_col: str = "doc_id", te
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(kept, pa.binary()), pa.array(size, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, kind)], names=schema.names)
 
     return rows.mapInArrow(run, schema)
+
+
+@F.pandas_udf(StringType())
+def whole_characters(kept: pd.Series) -> pd.Series:
+    """Bytes as text; bytes that are no whole character any more are left out."""
+    return kept.map(lambda b: None if b is None else bytes(b).decode("utf-8", "ignore"))
