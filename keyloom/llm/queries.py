@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, minhash, packing, pii, repeats, sharding
+from . import bpe, langid, minhash, packing, pii, repeats, sharding, vecdedup
 from .runtime import table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -28,6 +28,10 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("pii")).alias("spans"))
 
 
+def op3_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vecdedup.near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), 0.9)
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str, vocabulary: str = WORD_BPE) -> DataFrame:
     made = bpe.encode_and_decode(table(spark, sf_dir, "documents"), vocabulary, keep=["doc_id"])
     return made.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
@@ -55,6 +59,6 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {"op1_packing": op1_packing, "op2_pii": op2_pii, "op4_bpe": op4_bpe, "op5_langid": op5_langid, "op6_sharding": op6_sharding, "op8_minhash": op8_minhash, "op10_repeats": op10_repeats}
+QUERIES = {"op1_packing": op1_packing, "op2_pii": op2_pii, "op3_embeddings": op3_embeddings, "op4_bpe": op4_bpe, "op5_langid": op5_langid, "op6_sharding": op6_sharding, "op8_minhash": op8_minhash, "op10_repeats": op10_repeats}
 
 ORACLE_SQL: dict[str, str] = {}
