@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, minhash, packing, pii, repeats, sharding, vecdedup
+from . import bpe, langid, lmscore, minhash, packing, pii, repeats, sharding, vecdedup
 from .runtime import table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -54,11 +54,44 @@ def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
+def op9_lmscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lmscore.score_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+OP9_SQL = r"""
+WITH words AS (
+  SELECT doc_id, i, w FROM (
+    SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM (
+      SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents))),
+pairs AS (SELECT doc_id, i, w, lag(w) OVER (PARTITION BY doc_id ORDER BY i) AS v FROM words),
+c1 AS (SELECT w, count(*) AS c FROM words GROUP BY w),
+o1 AS (SELECT doc_id, w, count(*) AS c FROM words GROUP BY doc_id, w),
+c2 AS (SELECT v, w, count(*) AS c FROM pairs WHERE v IS NOT NULL GROUP BY v, w),
+o2 AS (SELECT doc_id, v, w, count(*) AS c FROM pairs WHERE v IS NOT NULL GROUP BY doc_id, v, w),
+own AS (SELECT doc_id, count(*) AS n FROM words GROUP BY doc_id),
+total AS (SELECT count(*) AS n FROM words),
+scored AS (
+  SELECT p.doc_id,
+    CASE WHEN total.n = own.n THEN 1.0
+         WHEN p.v IS NOT NULL AND c2.c - o2.c > 0 THEN (c2.c - o2.c)::DOUBLE / (cv.c - ov.c)::DOUBLE
+         WHEN p.v IS NOT NULL THEN (greatest((c1.c - o1.c)::DOUBLE, 0.5::DOUBLE) / (total.n - own.n)::DOUBLE) * 0.4::DOUBLE
+         ELSE greatest((c1.c - o1.c)::DOUBLE, 0.5::DOUBLE) / (total.n - own.n)::DOUBLE END AS s
+  FROM pairs p CROSS JOIN total
+  JOIN own ON own.doc_id = p.doc_id
+  JOIN c1 ON c1.w = p.w JOIN o1 ON o1.doc_id = p.doc_id AND o1.w = p.w
+  LEFT JOIN c1 cv ON cv.w = p.v LEFT JOIN o1 ov ON ov.doc_id = p.doc_id AND ov.w = p.v
+  LEFT JOIN c2 ON c2.v = p.v AND c2.w = p.w LEFT JOIN o2 ON o2.doc_id = p.doc_id AND o2.v = p.v AND o2.w = p.w)
+SELECT d.doc_id, coalesce(own.n, 0)::BIGINT AS n_words, coalesce(x.m, 0)::BIGINT AS score_micro
+FROM documents d LEFT JOIN own ON own.doc_id = d.doc_id
+LEFT JOIN (SELECT doc_id, sum(round(log10(s) * 1000000)::BIGINT) AS m FROM scored GROUP BY doc_id) x ON x.doc_id = d.doc_id
+"""
+
+
 def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = repeats.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), 100)
     return done.select("doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {"op1_packing": op1_packing, "op2_pii": op2_pii, "op3_embeddings": op3_embeddings, "op4_bpe": op4_bpe, "op5_langid": op5_langid, "op6_sharding": op6_sharding, "op8_minhash": op8_minhash, "op10_repeats": op10_repeats}
+QUERIES = {"op1_packing": op1_packing, "op2_pii": op2_pii, "op3_embeddings": op3_embeddings, "op4_bpe": op4_bpe, "op5_langid": op5_langid, "op6_sharding": op6_sharding, "op8_minhash": op8_minhash, "op9_lmscore": op9_lmscore, "op10_repeats": op10_repeats}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op9_lmscore": OP9_SQL}
