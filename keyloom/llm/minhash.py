@@ -13,17 +13,16 @@ names a component: it takes that of its class, or null (and is kept) if its clas
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
 from .components import components
-from .runtime import Scratch, fresh, prepare
+from .runtime import Scratch, fresh, prepare, shuffle_width
 from .textkeys import mix, shingles, word_hashes
 
 #: 21 bands of 6 slots: documents with a Jaccard similarity of 0.85 share a bucket with probability 0.99995, those of 0.8 with 0.998.
@@ -118,33 +117,54 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def _across(rows: DataFrame, least: float) -> DataFrame:
     """Pairs of different components in a bucket (key, id, comp, sketch, blocks) whose slots agree enough, block by block."""
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        ids, comp = group["id"].to_numpy(), group["comp"].to_numpy()
-        left, right = group["side"].to_numpy() != 2, group["side"].to_numpy() != 1
-        s = np.frombuffer(b"".join(group["sketch"]), np.uint8).reshape(len(group), -1)
-        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        r = np.flatnonzero(right)
-        for i in np.flatnonzero(left):
-            same = (s[r] == s[i]).mean(axis=1) >= least
-            k = r[same & (comp[r] != comp[i]) & (ids[r] != ids[i])]
-            a.append(np.minimum(ids[i], ids[k]))
-            b.append(np.maximum(ids[i], ids[k]))
-        return pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)})
+    names = ["a", "b"]
+
+    def solve(t: pa.Table) -> pa.RecordBatch:
+        cols = {c: t.column(c).to_numpy() for c in ("key", "i", "j", "id", "comp", "side")}
+        s = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(t.num_rows, -1)
+        same = [cols[c][1:] == cols[c][:-1] for c in ("key", "i", "j")]
+        bounds = np.flatnonzero(np.concatenate([[True], ~(same[0] & same[1] & same[2]), [True]]))
+        a, b = [], []
+        for lo, hi in zip(bounds.tolist(), bounds[1:].tolist(), strict=False):
+            ids, comp, side, own = cols["id"][lo:hi], cols["comp"][lo:hi], cols["side"][lo:hi], s[lo:hi]
+            right = np.flatnonzero(side != 1)
+            for i in np.flatnonzero(side != 2).tolist():
+                k = right[comp[right] != comp[i]]
+                k = k[(own[k] == own[i]).mean(axis=1) >= least] if len(k) else k
+                for x in ids[k].tolist():
+                    a.append(min(x, int(ids[i])))
+                    b.append(max(x, int(ids[i])))
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.num_rows
+            if size < 8 * BLOCK_ROWS:
+                continue
+            t = pa.Table.from_batches(held)
+            ends = [t.column(c).to_numpy() for c in ("key", "i", "j")]
+            cut = int(np.flatnonzero((ends[0] == ends[0][-1]) & (ends[1] == ends[1][-1]) & (ends[2] == ends[2][-1]))[0])  # the last group may go on
+            if cut:
+                yield solve(t.slice(0, cut))
+            held, size = t.slice(cut).to_batches(), t.num_rows - cut
+        if size:
+            yield solve(pa.Table.from_batches(held))
 
     block = F.pmod(F.xxhash64("id"), "blocks")
     dealt = rows.withColumn("x", block).withColumn("y", F.explode(F.expr("sequence(0L, blocks - 1)")))
     dealt = dealt.select("key", "id", "comp", "sketch", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), F.when(F.col("x") == F.col("y"), 0).when(F.col("x") < F.col("y"), 1).otherwise(2).alias("side"))
-    return dealt.groupBy("key", "i", "j").applyInPandas(run, "a long, b long")
+    n = shuffle_width(rows.sparkSession)
+    return dealt.repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(df: DataFrame, percent: int = 80, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``df``: id, n_shingles, component_id, kept, text_hash. Links: Jaccard similarity of at least ``percent``/100."""
-    spark = df.sparkSession
-    prepare(spark)
-    scratch = Scratch(spark, "minhash")
-    all_rows = scratch.save(_sketches(df, id_col, text_col, width))
-    classes = scratch.save(all_rows.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("id").alias("rep")))
-    reps = all_rows.select("id", "sketch", "bands").join(classes.where("rep is not null").select(F.col("rep").alias("id")).distinct(), "id", "left_semi")
+def linked(scratch: Scratch, reps: DataFrame, source: Callable[[DataFrame], DataFrame], verify: Callable[[DataFrame, DataFrame], DataFrame], least: float) -> DataFrame:
+    """(node, component) of the rows (id, sketch, bands; ids distinct) that share a bucket and are verified.
+
+    ``source(ids)`` gives what ``verify(pairs, that)`` needs to keep the true links among pairs (a, b).
+    ``least`` is the share of equal sketch bytes below which two members of a bucket are no candidates.
+    """
     buckets = scratch.save(reps.where("sketch is not null").select("id", F.explode("bands").alias("key")).distinct())
     full = scratch.save(buckets.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi"))
     members = scratch.save(buckets.join(full, "key").select("key", "id", "lo"))
@@ -152,28 +172,50 @@ def near_duplicates(df: DataFrame, percent: int = 80, width: int = 5, id_col: st
     scratch.drop(full)
     stars = scratch.save(members.where("lo < id").select(F.col("lo").alias("a"), F.col("id").alias("b")).distinct())
     involved = scratch.save(members.select("id").distinct())
-    texts = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    sets = scratch.save(_sets(texts.join(involved, "id", "left_semi"), width).dropDuplicates(["id"]))
-    links = scratch.save(_verified(stars, sets, percent))
-    comps = scratch.save(components(scratch, links))
+    sets = scratch.save(source(involved))
+    comps = scratch.save(components(scratch, scratch.save(verify(stars, sets))))
+    sketch = scratch.save(reps.select("id", "sketch").where("sketch is not null").join(involved, "id", "left_semi").dropDuplicates(["id"]))
     for turn in range(PIVOTS + 1):
         named = members.select("key", "id").join(comps.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("comp"))
         named = scratch.save(named)
-        split = named.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("rows"), F.min_by("id", F.xxhash64("id", F.lit(turn))).alias("pivot"), F.min_by("comp", F.xxhash64("id", F.lit(turn))).alias("pivot_comp"))
+        mixed = F.xxhash64("id", F.lit(turn))
+        split = named.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("rows"), F.min_by("id", mixed).alias("pivot"), F.min_by("comp", mixed).alias("pivot_comp"))
         split = scratch.save(split.where("c0 < c1"))
-        if not split.limit(1).count():
+        most = split.agg(F.max("rows")).first()[0]
+        if most is None:
             break
-        if turn < PIVOTS:
-            more = named.join(split, "key").where("comp != pivot_comp").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b"))
-        else:
+        last = turn == PIVOTS or most <= BLOCK_ROWS  # buckets of one block need no further pivots
+        if last:
             blocks = split.select("key", F.ceil(F.col("rows") / BLOCK_ROWS).alias("blocks"))
-            sketch = all_rows.select("id", "sketch").where("sketch is not null").join(involved, "id", "left_semi").dropDuplicates(["id"])
-            more = _across(named.join(blocks, "key").join(sketch, "id"), percent / 100 - SLACK)
-        found = _verified(scratch.save(more.distinct()), sets, percent)
-        links = scratch.save(links.unionByName(found))
-        comps = scratch.save(components(scratch, links))
-    for old in (members, stars, involved, sets):
+            more = _across(named.join(blocks, "key").join(sketch, "id"), least)
+        else:
+            more = named.join(split, "key").where("comp != pivot_comp").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b"))
+        found = scratch.save(verify(scratch.save(more.distinct()), sets))
+        comps = scratch.save(components(scratch, comps.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(found)))
+        scratch.drop(named)
+        if last:
+            break
+    for old in (members, stars, involved, sets, sketch):
         scratch.drop(old)
+    return comps
+
+
+def near_duplicates(df: DataFrame, percent: int = 80, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of ``df``: id, n_shingles, component_id, kept, text_hash. Links: Jaccard similarity of at least ``percent``/100."""
+    spark = df.sparkSession
+    prepare(spark)
+    scratch = Scratch(spark, "minhash")
+    all_rows = scratch.save(_sketches(df, id_col, text_col, width))
+    classes = scratch.save(all_rows.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("id").alias("rep")))
+    reps = all_rows.select("id", "sketch", "bands").join(classes.where("rep is not null").select(F.col("rep").alias("id")).distinct(), "id", "left_semi")
+    texts = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    comps = linked(
+        scratch,
+        reps,
+        lambda ids: _sets(texts.join(ids, "id", "left_semi"), width).dropDuplicates(["id"]),
+        lambda pairs, sets: _verified(pairs, sets, percent),
+        percent / 100 - SLACK,
+    )
     of_class = classes.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("k1", "k2", "n", F.coalesce("component", "rep").alias("component_id"))
     of_class = scratch.save(of_class)
     out = all_rows.select("id", "mark", "k1", "k2", "n").join(of_class, ["k1", "k2", "n"], "left")

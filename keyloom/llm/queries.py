@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, lmscore, minhash, packing, pii, repeats, sharding, vecdedup
+from . import bpe, langid, lmscore, media, minhash, packing, pii, repeats, sharding, vecdedup
 from .runtime import table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -50,6 +50,14 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dealt.select("doc_id", "size", "text_crc32", F.lit(sharding.LAW).alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "source")
 
 
+def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No table has a media column, so every conversation is rendered as a recording of its turns in order."""
+    turns = F.sort_array(F.collect_list(F.struct("turn", F.coalesce("text", F.lit("")).alias("text"))))
+    talks = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(turns.alias("turns"))
+    said = talks.select("conv_id", F.array_join(F.transform("turns", lambda x: x["text"]), "\n").alias("text"))
+    return media.align_recordings(media.sonify(said, "conv_id", "text"), "conv_id", "media")
+
+
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
@@ -92,6 +100,6 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {"op1_packing": op1_packing, "op2_pii": op2_pii, "op3_embeddings": op3_embeddings, "op4_bpe": op4_bpe, "op5_langid": op5_langid, "op6_sharding": op6_sharding, "op8_minhash": op8_minhash, "op9_lmscore": op9_lmscore, "op10_repeats": op10_repeats}
+QUERIES = {"op1_packing": op1_packing, "op2_pii": op2_pii, "op3_embeddings": op3_embeddings, "op4_bpe": op4_bpe, "op5_langid": op5_langid, "op6_sharding": op6_sharding, "op7_media": op7_media, "op8_minhash": op8_minhash, "op9_lmscore": op9_lmscore, "op10_repeats": op10_repeats}
 
 ORACLE_SQL: dict[str, str] = {"op9_lmscore": OP9_SQL}
