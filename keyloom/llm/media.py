@@ -6,7 +6,7 @@ on the pitches of as many octaves as fit under half the sampling rate, and the e
 compare neighbouring boxes, each is cut into 2 Gray-coded bits, and a frame's 32 bits are one integer.
 
 Two recordings are aligned at the mode of their offset histogram (places of equal integers), and
-linked if they overlap there by most of the longer one with few bit errors. Candidates share a
+linked if most integers of the longer one are equal there with few bit errors. Candidates share a
 bucket of the banded SuperMinHash of their integers; equal fingerprints form a class that goes
 through as one row; hot buckets are linked by stars (see ``minhash.linked``).
 
@@ -26,13 +26,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, DoubleType, LongType, StructField, StructType
 
-from .minhash import band_keys, linked, signature
+from .minhash import band_keys, jaccard_links, linked, signature
 from .runtime import Scratch, prepare
 from .textkeys import mix
 
 HOP_S, LOWEST_HZ, SPAN, STEP = 0.064, 130.8128, 8, 0.06
-#: Share of the longer recording that must overlap, and bit errors allowed there.
-OVERLAP, ERRORS, LEAST_SKETCH = 0.6, 0.15, 0.35
+#: Share of the longer recording's integers that must be equal at the offset, and bit errors allowed in the overlap.
+#: Equal shares of 0.85 mean a Jaccard similarity of 0.74 at least, which the bands find with probability 0.97.
+EQUAL, ERRORS, LEAST_SKETCH = 0.85, 0.15, 0.58
 
 
 def samples(data: bytes | None) -> tuple[np.ndarray, int]:
@@ -116,18 +117,18 @@ def fingerprint(x: np.ndarray, rate: int) -> np.ndarray:
     return code
 
 
-def align(a: np.ndarray, b: np.ndarray) -> tuple[int | None, int, float]:
-    """Offset of b in a (frames), frames of overlap there, and the share of wrong bits; no offset if no integer is shared."""
+def align(a: np.ndarray, b: np.ndarray) -> tuple[int | None, float, float]:
+    """Offset of b in a (frames), share of the longer one's integers that are equal there, and the share of wrong bits; no offset if no integer is shared."""
     ca, ia = np.unique(a, return_index=True)
     cb, ib = np.unique(b, return_index=True)
     _, ja, jb = np.intersect1d(ca, cb, assume_unique=True, return_indices=True)
     if not len(ja):
-        return None, 0, 1.0
+        return None, 0.0, 1.0
     offsets, votes = np.unique(ia[ja] - ib[jb], return_counts=True)
     d = int(offsets[votes.argmax()])
     lo, hi = max(0, d), min(len(a), len(b) + d)
-    wrong = np.bitwise_count(a[lo:hi] ^ b[lo - d : hi - d]).sum()
-    return d, hi - lo, float(wrong) / (32 * (hi - lo))
+    x = a[lo:hi] ^ b[lo - d : hi - d]
+    return d, float((x == 0).sum() / max(len(a), len(b))), float(np.bitwise_count(x).sum()) / (32 * (hi - lo))
 
 
 def fingerprints(df: DataFrame, id_col: str, media_col: str) -> DataFrame:
@@ -144,23 +145,47 @@ def fingerprints(df: DataFrame, id_col: str, media_col: str) -> DataFrame:
 
 
 def _aligned(pairs: DataFrame, codes: DataFrame) -> DataFrame:
-    """Pairs (a, b) with the offset of b in a, the overlap's share of the longer one, and bit errors."""
-    schema = StructType([*[StructField(c, LongType()) for c in ("a", "b", "offset")], StructField("overlap", DoubleType()), StructField("bit_errors", DoubleType())])
+    """Pairs (a, b) with the offset of b in a, the share of equal integers, and bit errors."""
+    schema = StructType([*[StructField(c, LongType()) for c in ("a", "b", "offset")], StructField("equal", DoubleType()), StructField("bit_errors", DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            offset, overlap, errors = [], [], []
+            offset, equal, errors = [], [], []
             for x, y in zip(batch.column("codes_a").to_pylist(), batch.column("codes_b").to_pylist(), strict=True):
                 u, v = np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4")
                 d, n, e = align(u, v)
-                offset.append(d), overlap.append(n / max(1, len(u), len(v))), errors.append(e)
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(offset, pa.int64()), pa.array(overlap, pa.float64()), pa.array(errors, pa.float64())], names=schema.names)
+                offset.append(d), equal.append(n), errors.append(e)
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(offset, pa.int64()), pa.array(equal, pa.float64()), pa.array(errors, pa.float64())], names=schema.names)
 
+    codes = codes.withColumnRenamed("what", "codes")
     one = codes.select(F.col("id").alias("b"), F.col("codes").alias("codes_b"))
     two = codes.select(F.col("id").alias("a"), F.col("codes").alias("codes_a"))
     return pairs.join(one, "b").join(two, "a").select("a", "b", "codes_a", "codes_b").mapInArrow(run, schema)
 
 
+def _aligned_links(left: list, right: list) -> tuple[list[int], list[int]]:
+    """Links that connect all linked recordings of two lists; pairs that are connected already are not aligned again."""
+    u, v = ([np.frombuffer(x, "<u4") for x in side] for side in (left, right))
+    likely = jaccard_links([np.unique(x) for x in u], [np.unique(x) for x in v], int(100 * LEAST_SKETCH))
+    parent = list(range(len(u) + len(v)))
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    out: tuple[list[int], list[int]] = [], []
+    for i, j in zip(*(x.tolist() for x in np.nonzero(likely)), strict=True):
+        x, y = root(i), root(len(u) + j)
+        if x != y:
+            _, equal, errors = align(u[i], v[j])
+            if equal >= EQUAL and errors <= ERRORS:
+                parent[y] = x
+                out[0].append(i), out[1].append(j)
+    return out
+
+
 def align_recordings(df: DataFrame, id_col: str = "id", media_col: str = "media") -> DataFrame:
     """One row per recording: id, n_codes, group_id (least id of the recordings linked), and offset and bit_errors against that one."""
     spark = df.sparkSession
@@ -180,8 +205,9 @@ def align_recordings(df: DataFrame, id_col: str = "id", media_col: str = "media"
     comps = linked(
         scratch,
         scratch.save(codes.mapInArrow(sketches, schema)),
-        lambda ids: codes.join(ids, "id", "left_semi"),
-        lambda pairs, own: _aligned(pairs, own).where((F.col("overlap") >= OVERLAP) & (F.col("bit_errors") <= ERRORS)).select("a", "b"),
+        lambda ids: codes.join(ids, "id", "left_semi").withColumnRenamed("codes", "what"),
+        lambda pairs, own: _aligned(pairs, own).where((F.col("equal") >= EQUAL) & (F.col("bit_errors") <= ERRORS)).select("a", "b"),
+        _aligned_links,
         LEAST_SKETCH,
     )
     against = scratch.save(_aligned(comps.where("node != component").select(F.col("component").alias("a"), F.col("node").alias("b")), codes))

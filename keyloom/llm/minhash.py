@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
-from .components import components
+from .components import components, forest
 from .runtime import Scratch, fresh, prepare, shuffle_width
 from .textkeys import mix, shingles, word_hashes
 
@@ -94,75 +94,119 @@ def _sketches(df: DataFrame, id_col: str, text_col: str, width: int) -> DataFram
 
 
 def _sets(df: DataFrame, width: int) -> DataFrame:
-    """(id, items) of (id, text)."""
-    schema = StructType([StructField("id", LongType()), StructField("items", ArrayType(LongType()))])
+    """(id, what) of (id, text): the shingle set of each."""
+    schema = StructType([StructField("id", LongType()), StructField("what", ArrayType(LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = shingles(*word_hashes([t or "" for t in b.column(1).to_pylist()]), width)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["id", "items"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["id", "what"])
 
     return df.select("id", "text").mapInArrow(run, schema)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) with 100 * intersection >= percent * union on their full sets."""
-    one = sets.select(F.col("id").alias("b"), F.col("items").alias("items_b"))
-    two = sets.select(F.col("id").alias("a"), F.col("items").alias("items_a"))
-    both = F.size(F.array_intersect("items_a", "items_b"))
-    joined = pairs.join(one, "b").join(two, "a").select("a", "b", both.alias("both"), (F.size("items_a") + F.size("items_b")).alias("sum"))
+    one = sets.select(F.col("id").alias("b"), F.col("what").alias("what_b"))
+    two = sets.select(F.col("id").alias("a"), F.col("what").alias("what_a"))
+    both = F.size(F.array_intersect("what_a", "what_b"))
+    joined = pairs.join(one, "b").join(two, "a").select("a", "b", both.alias("both"), (F.size("what_a") + F.size("what_b")).alias("sum"))
     return joined.where(F.col("both") * 100 >= (F.col("sum") - F.col("both")) * percent).select("a", "b")
 
 
-def _across(rows: DataFrame, least: float) -> DataFrame:
-    """Pairs of different components in a bucket (key, id, comp, sketch, blocks) whose slots agree enough, block by block."""
+def _dealt(rows: DataFrame, *carry: str) -> DataFrame:
+    """Rows of buckets (key, id, comp, blocks) once for each pair of blocks that theirs is in, sorted by the pair. Side 1 meets side 2; side 0 is both."""
+    block = F.pmod(F.xxhash64("id"), "blocks")
+    out = rows.withColumn("x", block).withColumn("y", F.explode(F.expr("sequence(0L, blocks - 1)")))
+    side = F.when(F.col("x") == F.col("y"), 0).when(F.col("x") < F.col("y"), 1).otherwise(2)
+    out = out.select("key", "id", "comp", *carry, F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), side.alias("side"))
+    return out.repartition(shuffle_width(rows.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+
+def _pairs_of_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, int, int]]:
+    """Whole pairs of blocks (table, from, to) of dealt rows."""
+    held, size = [], 0
+
+    def cut(t: pa.Table) -> Iterator[tuple[pa.Table, int, int]]:
+        k, i, j = (t.column(c).to_numpy() for c in ("key", "i", "j"))
+        edge = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]), [True]])).tolist()
+        yield from ((t, x, y) for x, y in zip(edge, edge[1:], strict=False))
+
+    for batch in batches:
+        held.append(batch)
+        size += batch.num_rows
+        if size >= 4 * BLOCK_ROWS:
+            t = pa.Table.from_batches(held)
+            k, i, j = (t.column(c).to_numpy() for c in ("key", "i", "j"))
+            whole = int(np.flatnonzero((k == k[-1]) & (i == i[-1]) & (j == j[-1]))[0])  # the last pair may go on
+            if whole:
+                yield from cut(t.slice(0, whole))
+            held, size = t.slice(whole).to_batches(), t.num_rows - whole
+    if size:
+        yield from cut(pa.Table.from_batches(held))
 
-    names = ["a", "b"]
 
-    def solve(t: pa.Table) -> pa.RecordBatch:
-        cols = {c: t.column(c).to_numpy() for c in ("key", "i", "j", "id", "comp", "side")}
-        s = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(t.num_rows, -1)
-        same = [cols[c][1:] == cols[c][:-1] for c in ("key", "i", "j")]
-        bounds = np.flatnonzero(np.concatenate([[True], ~(same[0] & same[1] & same[2]), [True]]))
-        a, b = [], []
-        for lo, hi in zip(bounds.tolist(), bounds[1:].tolist(), strict=False):
-            ids, comp, side, own = cols["id"][lo:hi], cols["comp"][lo:hi], cols["side"][lo:hi], s[lo:hi]
-            right = np.flatnonzero(side != 1)
+def _promising(rows: DataFrame, least: float) -> DataFrame:
+    """(key, id) of the rows with a row of another component in their bucket whose sketch agrees enough. No pair leaves a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, lo, hi in _pairs_of_blocks(batches):
+            part = t.slice(lo, hi - lo)
+            comp, side, ids = (part.column(c).to_numpy() for c in ("comp", "side", "id"))
+            s = np.frombuffer(b"".join(part.column("sketch").to_pylist()), np.uint8).reshape(hi - lo, -1)
+            right, hit = np.flatnonzero(side != 1), np.zeros(hi - lo, bool)
             for i in np.flatnonzero(side != 2).tolist():
                 k = right[comp[right] != comp[i]]
-                k = k[(own[k] == own[i]).mean(axis=1) >= least] if len(k) else k
-                for x in ids[k].tolist():
-                    a.append(min(x, int(ids[i])))
-                    b.append(max(x, int(ids[i])))
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=names)
+                k = k[(s[k] == s[i]).mean(axis=1) >= least] if len(k) else k
+                if len(k):
+                    hit[k] = hit[i] = True
+            if hit.any():
+                yield pa.RecordBatch.from_arrays([pa.array(part.column("key").to_numpy()[hit]), pa.array(ids[hit])], names=["key", "id"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        for batch in batches:
-            held.append(batch)
-            size += batch.num_rows
-            if size < 8 * BLOCK_ROWS:
-                continue
-            t = pa.Table.from_batches(held)
-            ends = [t.column(c).to_numpy() for c in ("key", "i", "j")]
-            cut = int(np.flatnonzero((ends[0] == ends[0][-1]) & (ends[1] == ends[1][-1]) & (ends[2] == ends[2][-1]))[0])  # the last group may go on
-            if cut:
-                yield solve(t.slice(0, cut))
-            held, size = t.slice(cut).to_batches(), t.num_rows - cut
-        if size:
-            yield solve(pa.Table.from_batches(held))
+    return _dealt(rows, "sketch").mapInArrow(run, "key long, id long").distinct()
 
-    block = F.pmod(F.xxhash64("id"), "blocks")
-    dealt = rows.withColumn("x", block).withColumn("y", F.explode(F.expr("sequence(0L, blocks - 1)")))
-    dealt = dealt.select("key", "id", "comp", "sketch", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), F.when(F.col("x") == F.col("y"), 0).when(F.col("x") < F.col("y"), 1).otherwise(2).alias("side"))
-    n = shuffle_width(rows.sparkSession)
-    return dealt.repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a long, b long")
 
+def _linked_blocks(rows: DataFrame, exact: Callable[[list, list], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """Edges (a, b) of a forest with the components that the true links between the rows of a pair of blocks make."""
 
-def linked(scratch: Scratch, reps: DataFrame, source: Callable[[DataFrame], DataFrame], verify: Callable[[DataFrame, DataFrame], DataFrame], least: float) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, lo, hi in _pairs_of_blocks(batches):
+            part = t.slice(lo, hi - lo)
+            side, ids = part.column("side").to_numpy(), part.column("id").to_numpy()
+            what = part.column("what").to_pylist()
+            left, right = np.flatnonzero(side != 2), np.flatnonzero(side != 1)
+            i, j = exact([what[x] for x in left.tolist()], [what[x] for x in right.tolist()]) if len(left) and len(right) else ([], [])
+            a, b = forest(ids[left[i]], ids[right[j]]) if len(i) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    return _dealt(rows, "what").mapInArrow(run, "a long, b long")
+
+
+def jaccard_links(left: list, right: list, percent: int) -> np.ndarray:
+    """Which sets (lists of integers) of ``left`` and ``right`` have 100 * intersection >= percent * union, by products of incidence matrices."""
+    sets = [np.asarray(x, np.int64) for x in (*left, *right)]
+    sizes = np.array([len(x) for x in sets])
+    row = np.repeat(np.arange(len(sets)), sizes)
+    _, item, seen = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = seen[item] > 1
+    row, item = row[shared], np.unique(item[shared], return_inverse=True)[1]
+    both = np.zeros((len(left), len(right)))
+    order = np.argsort(item, kind="stable")
+    row, item = row[order], item[order]
+    for lo in range(0, int(item.max()) + 1 if len(item) else 0, 8192):
+        x, y = np.searchsorted(item, [lo, lo + 8192])
+        m = np.zeros((len(sets), 8192), np.float32)
+        m[row[x:y], item[x:y] - lo] = 1
+        both += m[: len(left)] @ m[len(left) :].T
+    union = sizes[: len(left), None] + sizes[None, len(left) :] - both
+    return 100 * both >= percent * union
+
+
+def linked(scratch: Scratch, reps: DataFrame, source: Callable[[DataFrame], DataFrame], verify: Callable[[DataFrame, DataFrame], DataFrame], exact: Callable[[list, list], tuple[np.ndarray, np.ndarray]], least: float) -> DataFrame:
     """(node, component) of the rows (id, sketch, bands; ids distinct) that share a bucket and are verified.
 
-    ``source(ids)`` gives what ``verify(pairs, that)`` needs to keep the true links among pairs (a, b).
+    ``source(ids)`` gives (id, what); ``verify(pairs, that)`` keeps the true links among pairs (a, b), and
+    ``exact(left, right)`` gives true links (places in two lists of ``what``) that connect all that are linked.
     ``least`` is the share of equal sketch bytes below which two members of a bucket are no candidates.
     """
     buckets = scratch.save(reps.where("sketch is not null").select("id", F.explode("bands").alias("key")).distinct())
@@ -186,11 +230,13 @@ def linked(scratch: Scratch, reps: DataFrame, source: Callable[[DataFrame], Data
             break
         last = turn == PIVOTS or most <= BLOCK_ROWS  # buckets of one block need no further pivots
         if last:
-            blocks = split.select("key", F.ceil(F.col("rows") / BLOCK_ROWS).alias("blocks"))
-            more = _across(named.join(blocks, "key").join(sketch, "id"), least)
+            some = lambda rows: rows.groupBy("key").agg(F.ceil(F.count("*") / BLOCK_ROWS).alias("blocks"))
+            open_ = scratch.save(_promising(named.join(split.select("key", F.ceil(F.col("rows") / BLOCK_ROWS).alias("blocks")), "key").join(sketch, "id"), least))
+            open_ = open_.join(scratch.save(some(open_)), "key").join(comps.select(F.col("node").alias("id"), "component"), "id", "left").join(sets, "id")
+            found = scratch.save(_linked_blocks(open_.withColumn("comp", F.coalesce("component", "id")), exact))
         else:
             more = named.join(split, "key").where("comp != pivot_comp").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b"))
-        found = scratch.save(verify(scratch.save(more.distinct()), sets))
+            found = scratch.save(verify(scratch.save(more.distinct()), sets))
         comps = scratch.save(components(scratch, comps.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(found)))
         scratch.drop(named)
         if last:
@@ -214,6 +260,7 @@ def near_duplicates(df: DataFrame, percent: int = 80, width: int = 5, id_col: st
         reps,
         lambda ids: _sets(texts.join(ids, "id", "left_semi"), width).dropDuplicates(["id"]),
         lambda pairs, sets: _verified(pairs, sets, percent),
+        lambda left, right: np.nonzero(jaccard_links(left, right, percent)),
         percent / 100 - SLACK,
     )
     of_class = classes.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("k1", "k2", "n", F.coalesce("component", "rep").alias("component_id"))
