@@ -160,7 +160,7 @@ class Field:
     def fit(cls, graphs: list[tuple], rounds: int = 150) -> Field:
         labels = len(KINDS) + 1
         node = np.zeros((FEATURES, labels))
-        chain, skip = np.ones((labels, labels)), np.ones((labels, labels))
+        chain, skip = np.ones((labels, labels)), np.ones((labels, labels)) + 10 * np.eye(labels)  # the prior says that similar tokens agree
         x = np.array([f for g in graphs for f in g[1]], np.int64).reshape(-1, 8)
         y = np.concatenate([g[0] for g in graphs]) if graphs else np.zeros(0, np.int64)
         if len(y):
@@ -181,11 +181,13 @@ class Field:
             for g in graphs:
                 for edges, table in ((g[2], chain), (g[3], skip)):
                     np.add.at(table, (g[0][edges[:, 0]], g[0][edges[:, 1]]), 1)
-        odds = []
-        for table in (chain, skip):
-            p = table / table.sum()
-            odds.append(np.clip(np.log(p / (p.sum(axis=1, keepdims=True) * p.sum(axis=0, keepdims=True))), -2, 3) if len(y) else np.zeros((labels, labels)))
-        return cls(node, *odds)
+        if not len(y):
+            return cls(node, np.zeros((labels, labels)), np.zeros((labels, labels)))
+        rows, cols = (lambda t: t.sum(axis=1, keepdims=True)), (lambda t: t.sum(axis=0, keepdims=True))
+        near = np.clip(np.log(chain * chain.sum() / (rows(chain) * cols(chain))), -2, 3)
+        far = skip + skip.T  # what an edge costs whose ends differ, against one whose ends agree
+        far = np.clip(np.log(far / np.sqrt(rows(far) * cols(far))), -4, 0)
+        return cls(node, near, far)
 
     def marginals(self, label: np.ndarray, features: list[list[int]], chain: np.ndarray, skip: np.ndarray) -> np.ndarray:
         """Label probabilities by damped loopy sum-product; nodes with a base label are clamped to it."""
