@@ -24,7 +24,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import BinaryType, IntegerType, LongType, StringType, StructField, StructType
 
 from .runtime import prepare, shuffle_width
 from .textkeys import mix, word_hashes
@@ -105,7 +105,11 @@ def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     dealt = docs.repartition(n, "batch")
     packed = StructType([StructField("bucket", IntegerType()), StructField("batch", LongType()), StructField("order", IntegerType()), StructField("hashes", BinaryType()), StructField("counts", BinaryType())])
 
+    summed = StructType([*packed.fields[:3], StructField("width", StringType()), StructField("totals", BinaryType())])
+    shift = np.uint64(max(0, 64 - 48 - (buckets.bit_length() - 1)))
+
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        starts = np.array([(k << 64) // buckets for k in range(buckets)], np.uint64)
         for t in _groups(batches, "batch", PER_BATCH):
             key = t.column("batch").to_numpy()
             text_of = t.column("text").to_pylist()
@@ -113,13 +117,12 @@ def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
             for lo, hi in zip(edge.tolist(), edge[1:].tolist(), strict=False):
                 out: list[list] = [[], [], [], [], []]
                 for order, (h, c) in enumerate(_tables(text_of[lo:hi]), 1):
-                    # hashes are sorted, so the buckets are ranges of them
-                    cut = np.searchsorted(h, np.array([(k << 64) // buckets for k in range(1, buckets)], np.uint64)) if buckets > 1 else np.zeros(0, np.int64)
-                    ends = [0, *cut.tolist(), len(h)]
-                    for k in range(buckets):
-                        i, j = ends[k], ends[k + 1]
+                    # hashes are sorted, so the buckets are ranges of them; inside its bucket a hash keeps 48 bits
+                    cut = np.searchsorted(h, starts).tolist()
+                    for k, (i, j) in enumerate(zip(cut, [*cut[1:], len(h)], strict=True)):
                         if i < j:
-                            for own, v in zip(out, (k, int(key[lo]), order, h[i:j].tobytes(), c[i:j].astype("<u4").tobytes()), strict=True):
+                            inner = ((h[i:j] - starts[k]) >> shift).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
+                            for own, v in zip(out, (k, int(key[lo]), order, inner.tobytes(), c[i:j].astype("<u4").tobytes()), strict=True):
                                 own.append(v)
                 yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=packed.names)
 
@@ -129,22 +132,27 @@ def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
             edge = np.flatnonzero(np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (order[1:] != order[:-1]), [True]]))
             for lo, hi in zip(edge.tolist(), edge[1:].tolist(), strict=False):
                 part = t.slice(lo, hi - lo)
-                raw = [np.frombuffer(x, "<u8") for x in part.column("hashes").to_pylist()]
+                raw = [np.frombuffer(x, np.uint8).reshape(-1, 6) for x in part.column("hashes").to_pylist()]
                 counts = np.concatenate([np.frombuffer(x, "<u4") for x in part.column("counts").to_pylist()]).astype(np.int64)
-                _, back = np.unique(np.concatenate(raw), return_inverse=True)
-                sums = np.bincount(back, weights=counts).astype(np.int64)[back]
+                wide = np.zeros((len(counts), 8), np.uint8)
+                wide[:, :6] = np.concatenate(raw)
+                _, back = np.unique(wide.view("<u8").ravel(), return_inverse=True)
+                sums = np.bincount(back, weights=counts).astype("<u4" if counts.sum() < 1 << 32 else "<u8")[back]
                 cut = np.cumsum([len(x) for x in raw])[:-1]
-                yield pa.RecordBatch.from_arrays([pa.array(part.column("bucket").to_numpy()), pa.array(part.column("batch").to_numpy()), pa.array(part.column("order").to_numpy()), pa.array([x.tobytes() for x in raw], pa.binary()), pa.array([x.astype("<u8").tobytes() for x in np.split(sums, cut)], pa.binary())], names=packed.names)
+                # a batch knows its hashes, so their totals alone go back, in the order in which they came
+                yield pa.RecordBatch.from_arrays([part.column(c).combine_chunks() if not isinstance(part.column(c).combine_chunks(), pa.ChunkedArray) else part.column(c).combine_chunks().chunk(0) for c in ("bucket", "batch", "order")] + [pa.array([str(sums.dtype.itemsize)] * len(raw), pa.string()), pa.array([x.tobytes() for x in np.split(sums, cut)], pa.binary())], names=summed.names)
 
-    exploded = dealt.select("batch", "text").sortWithinPartitions("batch").mapInArrow(explode, packed)
-    totals = exploded.repartition(n, "bucket").sortWithinPartitions("bucket", "order", "batch").mapInArrow(total, packed)
+    # the exploding step takes the dealt rows whole, so that their exchange is shared with the last one
+    exploded = dealt.sortWithinPartitions("batch").mapInArrow(explode, packed)
+    totals = exploded.repartition(n, "bucket").sortWithinPartitions("bucket", "order", "batch").mapInArrow(total, summed)
     words = int(df.select(F.size(F.filter(F.split(F.coalesce(text, F.lit("")), "[\\x20\\x09-\\x0D]+"), lambda w: w != "")).cast("long").alias("w")).agg(F.sum("w")).first()[0] or 0)
 
     def meet(own: pd.DataFrame, sums: pd.DataFrame) -> pd.DataFrame:
-        known = []
+        known, own_tables = [], _tables(list(own["text"]))
         for order in (1, 2):
             part = sums[sums["order"] == order].sort_values("bucket")
-            known.append((np.frombuffer(b"".join(part["hashes"]), "<u8"), np.frombuffer(b"".join(part["counts"]), "<u8").astype(np.int64)))
+            counts = [np.frombuffer(x, f"<u{w}").astype(np.int64) for x, w in zip(part["totals"], part["width"], strict=True)]
+            known.append((own_tables[order - 1][0], np.concatenate(counts) if counts else np.zeros(0, np.int64)))
         n_words, micro = scores(list(own["text"]), *known, words)
         return pd.DataFrame({"id": own["id"].astype("Int64"), "n_words": n_words, "score_micro": micro})
 

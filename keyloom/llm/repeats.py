@@ -114,14 +114,18 @@ def _seeds(docs: DataFrame, width: int) -> DataFrame:
     return docs.select("key", "text").mapInArrow(run, schema)
 
 
-def _stretches(tied: DataFrame, width: int) -> DataFrame:
-    """Stretches (seed, salt, salts, key, mark, start, bytes) of rows (key, text, mark, seeds, counts): all windows that sample a tied position."""
+def _stretches(tied: DataFrame, cols: list[str], width: int) -> DataFrame:
+    """Stretches (seed, salt, salts, key, mark, start, bytes) of rows with key, text, mark, seeds and counts: all windows that sample a tied position."""
     names = ["seed", "salt", "salts", "key", "mark", "start", "bytes"]
     kinds = [LongType(), IntegerType(), IntegerType(), LongType(), LongType(), LongType(), BinaryType()]
     schema = StructType([StructField(n, t) for n, t in zip(names, kinds, strict=True)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            b = b.select(cols)
+            b = b.filter(b.column(3).is_valid())
+            if not b.num_rows:
+                continue
             key, mark = b.column(0).to_numpy(), b.column(2).to_numpy()
             raws = _raw(b.column(1).to_pylist())
             text, _, seed, first, last = samples(raws, width)
@@ -150,7 +154,7 @@ def _stretches(tied: DataFrame, width: int) -> DataFrame:
                 s = slice(i, i + 4096)
                 yield pa.RecordBatch.from_arrays([pa.array(seed[k][s]), pa.array(salt[s]), pa.array(salts[s].astype(np.int32)), pa.array(key[text[k]][s]), pa.array(mark[text[k]][s]), pa.array(first[k][s]), pa.array(data[s], pa.binary())], names=names)
 
-    return tied.select("key", "text", "mark", "seeds", "counts").mapInArrow(run, schema)
+    return tied.mapInArrow(run, schema)
 
 
 def _runs(flag: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -180,8 +184,9 @@ def _ranked(stretches: DataFrame, width: int) -> DataFrame:
         at = offsets[:-1][row] + inside
         h, down = prefix_hashes(b)
         w = mix((h[at + width] - h[at]) * down[at])
-        order = np.argsort(w, kind="stable")  # rows come by id and start, so the first of equals is the earliest
-        lead = np.concatenate([[True], w[order][1:] != w[order][:-1]])
+        part = w ^ mix(t.column("salt").to_numpy().astype(np.uint64))[row]  # the parts of a position are ranked apart
+        order = np.argsort(part, kind="stable")  # rows of a part come by id and start, so the first of equals is the earliest
+        lead = np.concatenate([[True], part[order][1:] != part[order][:-1]])
         first = np.empty(len(w), np.int64)
         first[order] = order[np.maximum.accumulate(np.where(lead, np.arange(len(w)), 0))]
         place = start[row] + inside
@@ -216,7 +221,7 @@ def _ranked(stretches: DataFrame, width: int) -> DataFrame:
 
 
 def _last(ranked: DataFrame) -> DataFrame:
-    """All intervals: those found, and those of the first windows of parts that another part has earlier."""
+    """Intervals of the first windows of parts that another part has earlier."""
     schema = StructType([StructField(n, LongType()) for n in ("key", "mark", "start", "end")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,17 +230,13 @@ def _last(ranked: DataFrame) -> DataFrame:
             window, key, start = (b.column(c).to_pylist() for c in ("window", "key", "start"))
             keep = []
             for w, k, s in zip(window, key, start, strict=True):
-                if w is None:
-                    keep.append(True)
-                    continue
                 if w != seen[0]:
                     seen = (w, k, s)
                 keep.append((k, s) != seen[1:])
             yield b.select(["key", "mark", "start", "end"]).filter(pa.array(keep, pa.bool_()))
 
-    deal = F.when(F.col("window").isNull(), F.xxhash64("key", "start")).otherwise(F.col("window"))
-    n = shuffle_width(ranked.sparkSession)
-    return ranked.withColumn("deal", deal).repartition(n, "deal").sortWithinPartitions("deal", "window", "key", "start").select("key", "mark", "start", "end", "window").mapInArrow(run, schema)
+    hot = ranked.where("window is not null")
+    return hot.repartition(shuffle_width(ranked.sparkSession), "window").sortWithinPartitions("window", "key", "start").select("key", "mark", "start", "end", "window").mapInArrow(run, schema)
 
 
 def remove_repeats(df: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -254,14 +255,17 @@ def remove_repeats(df: DataFrame, width: int = WIDTH, id_col: str = "doc_id", te
     lists = scratch.save(lists.select("key", F.col("s.seed").alias("seeds"), F.col("s.n").alias("counts")))
     scratch.drop(seeds)
     scratch.drop(tied)
-    joined = narrow.join(lists, "key").withColumn("mark", F.xxhash64("text"))
-    found = _last(_ranked(_stretches(joined, width), width))
-    per_row = found.groupBy(F.col("key").alias("k"), F.col("mark").alias("m")).agg(F.collect_list(F.struct("start", "end")).alias("cuts"))
+    scratch.release()
     names = fresh(df, "kept", "n_bytes", "n_removed", "removed")
-    tmp = fresh(df, "cut_key", "cut_mark", "cuts")
-    rows = df.withColumn(tmp[0], key).withColumn(tmp[1], F.xxhash64(F.col(f"`{text_col}`")))
-    per_row = per_row.select(F.col("k").alias("k"), "m", F.col("cuts").alias(tmp[2]))
-    rows = rows.join(per_row, (F.col(tmp[0]) == F.col("k")) & (F.col(tmp[1]) == F.col("m")), "left").drop("k", "m", *tmp[:2])
+    own_key, own_mark, want, counts, cuts = tmp = fresh(df, "cut_key", "cut_mark", "cut_seeds", "cut_counts", "cuts")
+    # both joins read these rows whole, on the same key, so their exchange is made once
+    rows = df.withColumn(own_key, key).withColumn(own_mark, F.xxhash64(F.col(f"`{text_col}`")))
+    asked = rows.join(lists.select(F.col("key").alias(own_key), F.col("seeds").alias(want), F.col("counts").alias(counts)), own_key, "left")
+    ranked = _ranked(_stretches(asked, [own_key, text_col, own_mark, want, counts], width), width)
+    found = ranked.where("window is null").drop("window").unionByName(_last(ranked))
+    found = found.select(F.col("key").alias(own_key), F.struct("mark", F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end")).alias("cut"))
+    per_key = found.groupBy(own_key).agg(F.collect_list("cut").alias(cuts))
+    rows = rows.join(per_key, own_key, "left").select(*[F.col(f"`{c}`") for c in df.columns], own_mark, cuts)
     span = StructType([StructField("start", LongType()), StructField("end", LongType())])
     schema = StructType([*df.schema.fields, StructField(names[0], BinaryType()), StructField(names[1], LongType()), StructField(names[2], LongType()), StructField(names[3], ArrayType(span))])
     where = df.columns.index(text_col)
@@ -270,21 +274,23 @@ def remove_repeats(df: DataFrame, width: int = WIDTH, id_col: str = "doc_id", te
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         for b in batches:
             kept, size, gone, spans = [], [], [], []
-            for raw, cuts in zip(_raw(b.column(where).to_pylist()), b.column(b.num_columns - 1), strict=True):
+            marks = b.column(b.num_columns - 2).to_pylist()
+            for raw, mark, of_key in zip(_raw(b.column(where).to_pylist()), marks, b.column(b.num_columns - 1), strict=True):
                 size.append(len(raw))
-                if not cuts.is_valid:
+                v = of_key.values if of_key.is_valid else None
+                own = v.field("mark").to_numpy() == mark if v is not None else np.zeros(0, bool)
+                if not own.any():
                     kept.append(raw), gone.append(0), spans.append([])
                     continue
-                v = cuts.values
                 change = np.zeros(len(raw) + 1, np.int64)
-                np.add.at(change, v.field("start").to_numpy(), 1)
-                np.add.at(change, v.field("end").to_numpy(), -1)
+                np.add.at(change, v.field("start").to_numpy()[own], 1)
+                np.add.at(change, v.field("end").to_numpy()[own], -1)
                 out = np.cumsum(change)[:-1] > 0
                 edge = np.flatnonzero(np.diff(np.concatenate([[0], out.astype(np.int8), [0]])))
                 kept.append(np.frombuffer(raw, np.uint8)[~out].tobytes())
                 gone.append(int(out.sum()))
                 spans.append([{"start": s, "end": e} for s, e in edge.reshape(-1, 2).tolist()])
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(kept, pa.binary()), pa.array(size, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, kind)], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-2], pa.array(kept, pa.binary()), pa.array(size, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, kind)], names=schema.names)
 
     return rows.mapInArrow(run, schema)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -55,6 +56,11 @@ class Scratch:
             target = jvm.org.apache.hadoop.fs.Path(path)
             target.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
 
+    def release(self) -> None:
+        """Let Spark's cleaner remove the shuffle files of plans that nothing refers to any more; it learns of them by garbage collection."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
