@@ -71,3 +71,39 @@ TEMPLATES = (
     (18, "negative", "{n} 중고", "not wanted of it", None, None),
     (19, "negative", "{b} 해외", "not in the seeds", None, None),
 )
+
+# -- fixed values: images -----------------------------------------------------------------------
+IMAGE_SOURCES = ("src", "data-src", "data-lazy-src", "data-original", "ec-data-src", "srcset")
+DETAIL_PATHS = ("/web/upload/webp/", "/web/upload/", "/web/product/extra/", "/editor/", "/detail/", "/content/", "_detail", "_result")
+SPEC_TOKENS = ("spec", "specification", "battery", "memory", "cpu", "ingredient", "ingredients", "material", "volume", "capacity", "compare", "comparison", "shade", "size")
+REJECT_IMAGES = ("logo", "icon", "sprite", "badge", "thumbnail", "favicon")
+REJECT_EXTENSIONS = (".svg", ".gif", ".ico")
+REJECT_HOSTS = ("echosting.cafe24.com",)
+REJECT_PATHS = ("/web/upload/images/", "/web/product/small/", "header_scope", "ico_", "icn-")
+REJECT_TEMPLATES = ("'+", "+'", "${", "{{", "}}")
+PRIORITY_IMAGES = ("hero", "gallery", "detail", "spec", "product", "slide", "main")
+TABLE_IMAGES = ("table", "spec", "specification", "chart", "grid", "compare", "comparison", "matrix", "guide", "size", "shade", "swatch")
+FRONT_LABELS = ("label", "front", "package", "packaging", "bottle", "box", "ingredient")
+
+# -- fixed values: product types ----------------------------------------------------------------
+PRODUCT_TYPES = {
+    "skincare": ("retinol", "레티놀", "serum", "cream", "mask", "sleeping", "moisturizer", "hydrator", "스킨케어", "세럼", "크림", "마스크", "보습"),
+    "smartphone": ("iphone", "아이폰", "galaxy", "갤럭시", "smartphone", "phone", "mobile", "휴대폰", "핸드폰", "pixel", "픽셀", "xiaomi", "샤오미"),
+    "phone_case": ("case", "케이스", "silicone", "실리콘", "cover", "커버", "magsafe", "맥세이프"),
+    "protein_food": ("닭가슴살", "chicken breast", "protein", "단백질", "랭킹닭컴", "맛있닭", "냉동"),
+    "electronics": ("macbook", "laptop", "notebook", "노트북", "맥북", "spec", "manual"),
+    "audio": ("airpods", "earbud", "이어버드", "이어폰", "헤드폰"),
+    "footwear": ("shoe", "shoes", "sneaker", "running", "러닝화", "스니커즈", "신발"),
+}
+COMPETITORS = {
+    "skincare": ("이니스프리", "메디힐", "닥터자르트", "에스트라", "아이오페"),
+    "smartphone": ("갤럭시", "Galaxy", "삼성", "Samsung", "샤오미", "Xiaomi", "픽셀", "Pixel", "아이폰", "iPhone"),
+    "phone_case": ("스피젠", "슈피겐", "링케", "ESR", "OtterBox", "UAG", "엘라고", "아라리", "벨킨", "테크21", "카카오프렌즈", "모란카노", "아이폰", "iPhone"),
+    "protein_food": ("하림", "참프레", "굽네", "허닭", "아임닭", "잇메이트"),
+    "footwear": ("살로몬", "콜롬비아", "머렐", "블랙야크", "호카"),
+    "audio": ("소니", "보스", "JBL", "삼성", "애플"),
+    "electronics": ("삼성", "LG", "레노버", "델", "HP", "ASUS", "애플"),
+    "general": (),
+}
+SKINCARE_BLOCKED = ("업무용", "기본형", "기본 사양", "기본 성능", "기본 기능", "대표 모델", "라인업", "시리즈", "퍼포먼스", "트레이닝", "라이프스타일")
+# -- end of fixed values ------------------------------------------------------------------------

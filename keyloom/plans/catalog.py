@@ -415,3 +415,6 @@ def o08(spark, d):
     c = _t(spark, d, "conversations")
     words = c.select(F.col("conv_id").alias("image"), F.col("turn").alias("tile"), F.posexplode(F.split("text", r"\s+")).alias("ord", "text"))
     return accuracy.merged_lines(words)
+
+
+from keyloom.plans import more  # noqa: E402,F401  registers the rest
