@@ -97,7 +97,7 @@ def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     spark = df.sparkSession
     prepare(spark)
     n = shuffle_width(spark)
-    buckets = 4 * n
+    buckets = n
     rows = df.count()
     text = F.col(f"`{text_col}`")
     number = max(n, -(-rows // PER_BATCH))
