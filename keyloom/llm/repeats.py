@@ -30,10 +30,10 @@ from .runtime import Scratch, fresh, prepare, shuffle_width
 from .textkeys import mix, prefix_hashes
 
 WIDTH, SEED = 100, 24
-#: Rows of one position above which it is dealt over several tasks, and rows of each deal.
+#: Samples of one seed above which it is dealt over several tasks, and rows of each deal.
 HOT, DEAL = 4000, 2000
 #: Bytes of text worked on at once, and rows of stretches ranked at once.
-BLOCK, ROWS = 1 << 19, 20_000
+BLOCK, ROWS = 1 << 18, 8_000
 _NULL_ID = -(1 << 63)
 
 
@@ -95,21 +95,20 @@ def _raw(texts: list[str | None]) -> list[bytes]:
 
 
 def _seeds(docs: DataFrame, width: int) -> DataFrame:
-    """(key, seeds): the distinct seed hashes of each row and how often each occurs in it (twice is as good as more)."""
-    schema = StructType([StructField("key", LongType()), StructField("once", ArrayType(LongType())), StructField("more", ArrayType(LongType()))])
+    """(key, seeds, counts): the distinct seed hashes of each row and how often each is sampled in it."""
+    schema = StructType([StructField("key", LongType()), StructField("seeds", ArrayType(LongType())), StructField("counts", ArrayType(IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             raws = _raw(b.column(1).to_pylist())
             text, _, seed, _, _ = samples(raws, width)
             cut = np.searchsorted(text, np.arange(len(raws) + 1))
-            once, more = [], []
+            seeds, counts = [], []
             for i, j in zip(cut, cut[1:], strict=False):
                 s, n = np.unique(seed[i:j], return_counts=True)
-                once.append(s)
-                more.append(s[n > 1])
-            kind = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(once, kind), pa.array(more, kind)], names=schema.names)
+                seeds.append(s)
+                counts.append(n.astype(np.int32))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(seeds, pa.list_(pa.int64())), pa.array(counts, pa.list_(pa.int32()))], names=schema.names)
 
     return docs.select("key", "text").mapInArrow(run, schema)
 
@@ -147,7 +146,7 @@ def _stretches(tied: DataFrame, cols: list[str], width: int) -> DataFrame:
                 continue
             k, n = np.concatenate(keep), np.concatenate(counts)
             salts = np.where(n > HOT, -(-n // DEAL), 1)
-            spread = mix(key[text[k]].view(np.uint64) ^ np.uint64(0x5851F42D4C957F2D))
+            spread = mix(key[text[k]].view(np.uint64) + mix(first[k].astype(np.uint64)))
             salt = (spread % salts.astype(np.uint64)).astype(np.int32)
             data = [raws[t][i : j + width] for t, i, j in zip(text[k].tolist(), first[k].tolist(), last[k].tolist(), strict=True)]
             for i in range(0, len(k), 4096):
@@ -239,6 +238,15 @@ def _last(ranked: DataFrame) -> DataFrame:
     return hot.repartition(shuffle_width(ranked.sparkSession), "window").sortWithinPartitions("window", "key", "start").select("key", "mark", "start", "end", "window").mapInArrow(run, schema)
 
 
+def _copies(scratch: Scratch, rows: DataFrame, width: int) -> DataFrame:
+    """(key, rows of mark and size) of the ids whose every text stands whole under a lesser id: all of it goes, and its windows need no ranking."""
+    rows = scratch.save(rows)
+    least = scratch.save(rows.where(F.col("size") >= width).groupBy("mark", "other", "size").agg(F.min("key").alias("lo"), F.count("*").alias("n")).where("n > 1").drop("n"))
+    marked = rows.join(least, ["mark", "other", "size"], "left").withColumn("copy", F.coalesce(F.col("key") > F.col("lo"), F.lit(False)))
+    whole = marked.groupBy("key").agg(F.bool_and("copy").alias("all"), F.collect_set(F.struct("mark", "size")).alias("rows")).where("all")
+    return scratch.save(whole.select("key", "rows"))
+
+
 def remove_repeats(df: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Append ``kept`` (the remaining bytes), ``n_bytes``, ``n_removed`` and ``removed`` (maximal runs of removed bytes as start, end) to every row."""
     if width < 2 * SEED:
@@ -249,10 +257,11 @@ def remove_repeats(df: DataFrame, width: int = WIDTH, id_col: str = "doc_id", te
     key = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(_NULL_ID)).alias("key")
     narrow = df.select(key, F.col(f"`{text_col}`").alias("text"))
     seeds = scratch.save(_seeds(narrow, width))
-    every = seeds.select(F.explode("once").alias("seed")).unionByName(seeds.select(F.explode("more").alias("seed")))
-    tied = scratch.save(every.groupBy("seed").agg(F.count("*").alias("n")).where("n > 1"))
-    lists = seeds.select("key", F.explode("once").alias("seed")).join(tied, "seed").groupBy("key").agg(F.collect_set(F.struct("seed", "n")).alias("s"))
-    lists = scratch.save(lists.select("key", F.col("s.seed").alias("seeds"), F.col("s.n").alias("counts")))
+    every = seeds.select(F.explode(F.arrays_zip("seeds", "counts")).alias("x")).select(F.col("x.seeds").alias("seed"), F.col("x.counts").alias("n"))
+    tied = scratch.save(every.groupBy("seed").agg(F.sum("n").alias("n")).where("n > 1"))
+    lists = seeds.select("key", F.explode("seeds").alias("seed")).join(tied, "seed").groupBy("key").agg(F.collect_set(F.struct("seed", "n")).alias("s"))
+    copies = _copies(scratch, df.select(key, F.xxhash64(F.col(f"`{text_col}`")).alias("mark"), F.xxhash64(F.lit(1), F.col(f"`{text_col}`")).alias("other"), F.octet_length(F.col(f"`{text_col}`")).alias("size")), width)
+    lists = scratch.save(lists.join(copies, "key", "left_anti").select("key", F.col("s.seed").alias("seeds"), F.col("s.n").alias("counts")))
     scratch.drop(seeds)
     scratch.drop(tied)
     scratch.release()
@@ -264,6 +273,8 @@ def remove_repeats(df: DataFrame, width: int = WIDTH, id_col: str = "doc_id", te
     ranked = _ranked(_stretches(asked, [own_key, text_col, own_mark, want, counts], width), width)
     found = ranked.where("window is null").drop("window").unionByName(_last(ranked))
     found = found.select(F.col("key").alias(own_key), F.struct("mark", F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end")).alias("cut"))
+    whole = copies.select(F.col("key").alias(own_key), F.explode("rows").alias("row")).select(own_key, F.struct(F.col("row.mark").alias("mark"), F.lit(0).alias("start"), F.col("row.size").alias("end")).alias("cut"))
+    found = found.unionByName(whole)
     per_key = found.groupBy(own_key).agg(F.collect_list("cut").alias(cuts))
     rows = rows.join(per_key, own_key, "left").select(*[F.col(f"`{c}`") for c in df.columns], own_mark, cuts)
     span = StructType([StructField("start", LongType()), StructField("end", LongType())])
