@@ -107,3 +107,7 @@ COMPETITORS = {
 }
 SKINCARE_BLOCKED = ("업무용", "기본형", "기본 사양", "기본 성능", "기본 기능", "대표 모델", "라인업", "시리즈", "퍼포먼스", "트레이닝", "라이프스타일")
 # -- end of fixed values ------------------------------------------------------------------------
+
+# -- fixed values: slots ------------------------------------------------------------------------
+DEFAULT_SLOTS = {"brand": "product_name", "generic_category": "generic_type_phrase", "feature_attribute": "spec", "competitor_comparison": "competitor_brand_type", "purchase_intent": "navigational_alias", "long_tail": "use_case_phrase", "benefit_price": "product_price", "season_event": "seasonal_context", "problem_solution": "problem_noun_phrase", "negative": "negative_exclusion"}
+# -- end of fixed values ------------------------------------------------------------------------

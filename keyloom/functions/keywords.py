@@ -12,6 +12,9 @@ POLICY_TOKEN = "[A-Za-z0-9가-힣]+(?:'[A-Za-z0-9가-힣]+)?"
 FAMILY_TOKEN = "[A-Za-z0-9]+|[가-힣]+"
 MEASURE = r"(?:^|[^\p{L}\p{N}_])[0-9]+(?:\.[0-9]+)?\s?(?:" + "|".join(dims.UNITS) + r")(?:[^\p{L}\p{N}_]|$)"
 
+#: A measure and nothing else.
+UNIT_ONLY = r"^[0-9]+(?:\.[0-9]+)?\s?(?:" + "|".join((*dims.UNITS, "형")) + ")$"
+
 
 def words(values: tuple[str, ...]) -> Column:
     return F.array(*[F.lit(v) for v in values])

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from keyloom import dims
 from keyloom.functions import keywords as K
 from keyloom.functions import web
-from keyloom.operators import facts, images, pages, product, rows
+from keyloom.operators import facts, images, pages, product, rows, slots
 from keyloom.plans import sql as S
 from keyloom.plans.catalog import _CHOSEN, _t, candidate_rows, query
 
@@ -169,3 +169,35 @@ def k01(spark, d):
     """Nested JSON of each product's export rows; its key order is Spark's, so only rows are compared."""
     r = rows.export_rows(candidate_rows(spark, d))
     return r.groupBy("url").agg(F.to_json(F.struct(F.collect_list(F.struct(*dims.EXPORT_COLUMNS)).alias("rows"))).alias("payload"))
+
+
+_SLOT_SQL = f"{S.ROWS}, sl AS (SELECT *, CASE category WHEN 'brand' THEN CASE WHEN contains(lower(keyword), lower(brand)) AND contains(lower(keyword), lower(type)) THEN 'brand_with_type' ELSE 'product_name' END WHEN 'generic_category' THEN 'generic_type_phrase' WHEN 'feature_attribute' THEN CASE WHEN NOT regexp_matches(lower(keyword), {S.q(K.UNIT_ONLY)}) AND contains(lower(keyword), '성능') THEN 'core_attribute' ELSE 'spec' END WHEN 'competitor_comparison' THEN 'competitor_brand_type' WHEN 'purchase_intent' THEN CASE WHEN keyword = product_name || ' 구매' THEN 'navigational_alias' ELSE 'brand_with_type' END WHEN 'long_tail' THEN 'use_case_phrase' WHEN 'benefit_price' THEN CASE WHEN regexp_matches(lower(keyword), {S.q(slots.PRICE_BAND)}) THEN 'price_band' ELSE 'product_price' END WHEN 'season_event' THEN CASE WHEN contains(keyword, '선물') THEN 'grounded_event' ELSE 'seasonal_context' END WHEN 'problem_solution' THEN 'problem_noun_phrase' ELSE 'negative_exclusion' END AS slot_type FROM r)"
+
+
+def _slotted(spark, d):
+    r = candidate_rows(spark, d)
+    return r.withColumn("slot_type", slots.slot_type(aliases=F.array(F.concat("product_name", F.lit(" 구매"))), brand=F.col("brand"), types=F.array("type"), attributes=F.array(F.lit("성능")), events=F.array(F.lit("선물"))))
+
+
+@query("G05_slot_types", f"{_SLOT_SQL} SELECT url, ord, slot_type FROM sl")
+def g05(spark, d):
+    return _slotted(spark, d).select("url", "ord", "slot_type")
+
+
+_PLAN_SQL = ", ".join(f"('{c}', '{s}', 2)" for c, s in dims.DEFAULT_SLOTS.items())
+_GAP_SQL = f"{_SLOT_SQL}, p(category, slot_type, target) AS (VALUES {_PLAN_SQL}), c AS (SELECT url, category, slot_type, count(*) FILTER (naver_match <> '') AS n, count(*) FILTER (google_match <> '') AS g FROM sl GROUP BY url, category, slot_type), f AS (SELECT u.url, p.category, p.slot_type, greatest(0, p.target - coalesce(c.n, 0))::BIGINT AS naver_gap, greatest(0, p.target - coalesce(c.g, 0))::BIGINT AS google_gap FROM (SELECT DISTINCT url FROM sl) u CROSS JOIN p LEFT JOIN c ON c.url = u.url AND c.category = p.category AND c.slot_type = p.slot_type), gaps AS (SELECT *, greatest(naver_gap, google_gap) AS gap FROM f WHERE naver_gap > 0 OR google_gap > 0)"
+
+
+def _slot_gaps(spark, d):
+    plan = spark.createDataFrame([(c, s, 2) for c, s in dims.DEFAULT_SLOTS.items()], "category string, slot_type string, target int")
+    return slots.slot_gaps(_slotted(spark, d), plan)
+
+
+@query("A03_slot_gaps", f"{_GAP_SQL} SELECT url, category, slot_type, naver_gap, google_gap, gap FROM gaps")
+def a03(spark, d):
+    return _slot_gaps(spark, d)
+
+
+@query("A03_gap_totals", f"{_GAP_SQL} SELECT url, category, sum(naver_gap + google_gap)::BIGINT AS missing FROM gaps GROUP BY GROUPING SETS ((url, category), (url))")
+def a03t(spark, d):
+    return slots.gap_totals(_slot_gaps(spark, d))
