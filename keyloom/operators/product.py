@@ -17,6 +17,14 @@ def product_types(text: Column) -> Column:
     return F.when(F.size(hit) == 0, F.array(F.lit("general"))).otherwise(hit)
 
 
+def canonical_brand(fact_brand: Column, product_name: Column, url: Column) -> Column:
+    """The fact's brand; but the host's where the fact's is only the first word of the name and the host is no marketplace."""
+    fact, host = F.trim(F.coalesce(fact_brand, F.lit(""))), policy_host_brand(url)
+    first = F.lower(F.substring_index(F.trim(product_name), " ", 1))
+    replaced = (host != "") & ~F.lower(host).isin(*dims.MARKETPLACES) & (fact != "") & (F.lower(fact) != F.lower(host)) & (first == F.lower(fact))
+    return F.when(replaced, host).when(fact != "", fact).otherwise(host)
+
+
 def competitor_terms(types: Column, brand: Column, url: Column) -> Column:
     """Seeds of the types but for the product's own brand and its host's."""
     table = F.map_from_arrays(F.array(*[F.lit(t) for t in dims.COMPETITORS]), F.array(*[words(v) if v else F.array().cast("array<string>") for v in dims.COMPETITORS.values()]))

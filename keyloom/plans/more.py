@@ -78,6 +78,15 @@ def i07(spark, d):
     return _t(spark, d, "part").select("p_partkey", F.array_join(product.competitor_terms(types, F.lit("Samsung"), F.lit("https://www.shop.example.com/")), "|").alias("terms"))
 
 
+@query("I09_canonical_brand", "WITH x AS (SELECT p_partkey, p_brand, CASE WHEN p_size % 2 = 0 THEN p_brand || ' ' || p_name ELSE p_name END AS name, CASE p_size % 3 WHEN 0 THEN 'acme' WHEN 1 THEN 'coupang' ELSE '' END AS host, CASE WHEN p_size % 5 = 0 THEN '' ELSE p_brand END AS fact FROM part) SELECT p_partkey, CASE WHEN host = 'acme' AND fact <> '' AND lower(split_part(name, ' ', 1)) = lower(fact) THEN host WHEN fact <> '' THEN fact ELSE host END AS brand FROM x")
+def i09(spark, d):
+    size, b = F.col("p_size"), F.col("p_brand")
+    name = F.when(size % 2 == 0, F.concat(b, F.lit(" "), "p_name")).otherwise(F.col("p_name"))
+    url = F.when(size % 3 == 0, "https://www.acme.com/x").when(size % 3 == 1, "https://m.coupang.com/").otherwise("https://www.com/")
+    fact = F.when(size % 5 == 0, "").otherwise(b)
+    return _t(spark, d, "part").select("p_partkey", product.canonical_brand(fact, name, url).alias("brand"))
+
+
 @query("E16_quality_warnings", f"{S.CLASSED} SELECT page_id, array_to_string(list_filter([CASE WHEN chars < 100 THEN 'fallback_used' END, CASE WHEN sufficiency = 'borderline' THEN 'borderline_sufficiency' END, CASE WHEN page_class IN {dims.WARNING_CLASSES!r} THEN 'page_class:' || page_class END, CASE WHEN len(price) = 0 THEN 'thin_pack' END], lambda x: x IS NOT NULL), '|') AS warnings FROM classed")
 def e16(spark, d):
     p = pages.classified(_t(spark, d, "pages"))

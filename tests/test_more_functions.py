@@ -82,3 +82,22 @@ def test_submit_and_hooks(spark):
         raise OSError("no service")
 
     assert [r.answer for r in api.with_model(cls, broken).collect()] == [None] * 3
+
+
+def test_artifacts_round_trip_and_fall_back(spark, tmp_path):
+    import shutil
+
+    from keyloom.sources import artifacts
+
+    row = ("u", "p", "brand", "k", "완전일치", "", "r", False)
+    data = [("j1", "t1", "u", "commerce_pdp", "COMPLETED", None, [row, row]), ("j1", "t2", "v", "blocked_page", "FAILED_COLLECTION", "blocked", None), ("j2", "t3", "w", "commerce_pdp", "COMPLETED_CACHED", None, [row])]
+    folder = str(tmp_path / "out")
+    artifacts.write_job(spark.createDataFrame(data, artifacts.RESULT), folder)
+    for _ in range(2):
+        assert sorted((r.job_id, r.url_task_id) for r in artifacts.read_job(spark, folder).collect()) == [("j1", "t1"), ("j2", "t3")]
+        assert artifacts.evaluation_rows(artifacts.read_job(spark, folder)).count() == 3
+        shutil.rmtree(f"{folder}/combined", ignore_errors=True)
+    manifest = {r.job_id: r.status for r in spark.read.json(f"{folder}/manifest").collect()}
+    assert manifest == {"j1": "PARTIAL_COMPLETED", "j2": "COMPLETED"}
+    csv = spark.read.option("header", True).csv(f"{folder}/csv")
+    assert set(csv.columns) == {*__import__("keyloom.dims", fromlist=["x"]).EXPORT_COLUMNS, "job_id"} and csv.count() == 3
