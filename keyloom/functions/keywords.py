@@ -52,28 +52,29 @@ def repeated_tokens(t: Column) -> Column:
     return halves | neighbours | ((F.size(w) >= 3) & (thrice | ends))
 
 
-def placeholder_unit(keyword: Column) -> Column:
-    return token_in(tokens(keyword), dims.UNITS)
+def placeholder_unit(keyword: Column, t: Column | None = None) -> Column:
+    """``t``, here and below: the keyword's tokens, where they are a column already."""
+    return token_in(tokens(keyword) if t is None else t, dims.UNITS)
 
 
 def boilerplate(keyword: Column) -> Column:
     return has_any(F.lower(keyword), dims.DOC_BOILERPLATE)
 
 
-def low_information(keyword: Column) -> Column:
+def low_information(keyword: Column, t: Column | None = None) -> Column:
     low = F.lower(keyword)
     parts = F.filter(F.split(low, r"\s+"), lambda x: x != "")
     twice = (F.size(parts) >= 2) & (F.try_element_at(parts, F.lit(1)) == F.try_element_at(parts, F.lit(2)))
-    return has_any(low, dims.LOW_INFORMATION) | boilerplate(keyword) | placeholder_unit(keyword) | F.coalesce(twice, F.lit(False))
+    return has_any(low, dims.LOW_INFORMATION) | boilerplate(keyword) | placeholder_unit(keyword, t) | F.coalesce(twice, F.lit(False))
 
 
 def occurrences(text: Column, part: Column) -> Column:
     return F.when(part == "", 0).otherwise((F.length(text) - F.length(F.replace(text, part, F.lit("")))) / F.greatest(F.length(part), F.lit(1)))
 
 
-def invalid_exact(keyword: Column, category: Column, product: Column, short: Column, brand: Column) -> Column:
+def invalid_exact(keyword: Column, category: Column, product: Column, short: Column, brand: Column, t: Column | None = None) -> Column:
     """Whether a keyword may not carry an exact label."""
-    low, t = F.lower(keyword), tokens(keyword)
+    low, t = F.lower(keyword), tokens(keyword) if t is None else t
     allowed = F.lower(product).eqNullSafe(low) | F.lower(short).eqNullSafe(low) | F.lower(brand).eqNullSafe(low) | (F.lower(F.concat(brand, F.lit(" "), short)) == low)
     return (
         F.when(allowed & (low != ""), False)
@@ -97,8 +98,8 @@ def strip_tail(toks: Column, values: tuple[str, ...]) -> Column:
     return F.when(keep == 0, F.array().cast("array<string>")).otherwise(F.slice(toks, 1, F.greatest(keep, F.lit(1))))
 
 
-def semantic_signature(keyword: Column) -> Column:
-    t = tokens(keyword, EVAL_TOKEN)
+def semantic_signature(keyword: Column, t: Column | None = None) -> Column:
+    t = tokens(keyword, EVAL_TOKEN) if t is None else t
     s = strip_tail(strip_tail(t, dims.DUPLICATE_SUFFIXES), dims.LIGHT_FILLERS)
     return F.array_join(F.when(F.size(s) == 0, t).otherwise(s), " ")
 
@@ -107,18 +108,18 @@ def family_key(keyword: Column) -> Column:
     return F.array_join(F.slice(F.filter(tokens(keyword, FAMILY_TOKEN), lambda x: ~x.isin(*dims.MODIFIERS)), 1, 2), " ")
 
 
-def filler(keyword: Column) -> Column:
+def filler(keyword: Column, t: Column | None = None) -> Column:
     """A filler suffix anywhere, a number at the end, or two filler words."""
-    t = tokens(keyword, EVAL_TOKEN)
+    t = tokens(keyword, EVAL_TOKEN) if t is None else t
     return has_any(keyword, dims.FILLER_SUFFIXES) | F.trim(keyword).rlike(r"(?:^|\s)[0-9]+$") | (F.size(F.filter(t, lambda x: x.isin(*dims.LIGHT_FILLERS))) >= 2)
 
 
-def naturalness(keyword: Column, support_page: Column) -> Column:
+def naturalness(keyword: Column, support_page: Column, t: Column | None = None) -> Column:
     """Hundredths from 0 to 100."""
-    t = tokens(keyword, EVAL_TOKEN)
+    t = tokens(keyword, EVAL_TOKEN) if t is None else t
     n = F.size(t)
     cost = [
-        F.when(filler(keyword), 60),
+        F.when(filler(keyword, t), 60),
         F.when(F.size(F.array_distinct(t)) != n, 20),
         F.when(F.length(F.replace(keyword, F.lit(" "), F.lit(""))) <= 2, 30),
         F.when(n >= 9, 10),

@@ -19,28 +19,29 @@ def keyword_rows(products: DataFrame) -> DataFrame:
     return out.withColumn("keyword", filled).drop("pattern").withColumn("naver_match", K.naver_label(F.col("category"))).withColumn("google_match", K.google_label(F.col("category")))
 
 
-def policy_issues(page_class: str = "commerce_pdp") -> Column:
-    """Ordered policy issues of a row; competitor and type rules need evidence and are left to callers that have it."""
-    kw = F.trim(F.regexp_replace("keyword", r"\s+", " "))
+def policy_issues(kw: Column, t: Column, page_class: str = "commerce_pdp") -> Column:
+    """Ordered policy issues of a row, given its keyword with single spaces and the tokens of that; competitor and type rules need evidence and are left to callers that have it."""
     brand, product = F.coalesce("brand", F.lit("")), F.coalesce("product_name", F.lit("product"))
     positive = F.col("category") != dims.NEGATIVE
     exact = F.col("naver_match").isin("완전일치", "exact") | F.col("google_match").isin("완전일치", "exact")
     seeds = K.words(dims.NEGATIVE_SEEDS)
     allowed = F.array_contains(seeds, kw) | (kw.startswith(F.concat(product, F.lit(" "))) & F.array_contains(seeds, F.trim(F.substring(kw, F.length(product) + 1, F.lit(100000)))))
     rules = [
-        ("repeated_phrase", K.repeated_phrase(kw)),
-        ("placeholder_unit", K.placeholder_unit(kw)),
+        ("repeated_phrase", K.repeated_tokens(t)),
+        ("placeholder_unit", K.placeholder_unit(kw, t)),
         ("doc_boilerplate", K.boilerplate(kw) & F.lit(page_class == "commerce_pdp")),
-        ("invalid_exact", exact & K.invalid_exact(kw, F.col("category"), product, K.short_name(product, brand), brand)),
+        ("invalid_exact", exact & K.invalid_exact(kw, F.col("category"), product, K.short_name(product, brand), brand, t)),
         ("invalid_negative", ~positive & ~allowed),
-        ("placeholder_product_term", positive & K.token_in(K.tokens(kw), dims.PLACEHOLDER_PRODUCTS)),
-        ("low_information", positive & K.low_information(kw)),
+        ("placeholder_product_term", positive & K.token_in(t, dims.PLACEHOLDER_PRODUCTS)),
+        ("low_information", positive & K.low_information(kw, t)),
     ]
     return F.when(kw == "", F.array(F.lit("empty_keyword"))).otherwise(F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in rules])))
 
 
 def with_issues(rows: DataFrame) -> DataFrame:
-    out = rows.withColumn("issues", policy_issues())
+    # keyword and tokens are columns of their own first: each is used by many rules and made once
+    out = rows.withColumn("kw_", F.trim(F.regexp_replace("keyword", r"\s+", " "))).withColumn("tokens_", K.tokens(F.col("kw_")))
+    out = out.withColumn("issues", policy_issues(F.col("kw_"), F.col("tokens_"))).drop("kw_", "tokens_")
     return out.withColumn("hard_issues", F.filter("issues", lambda x: x.isin(*dims.HARD_ISSUES)))
 
 
@@ -121,14 +122,17 @@ def deviation(prefix: str = "n_") -> Column:
 
 def url_metrics(rows: DataFrame) -> DataFrame:
     """Quality metrics of each (url, platform) from one aggregation; ratios are unrounded."""
-    rows = by_platform(with_issues(rows))
+    kw, t = F.col("keyword"), F.col("tokens_")
+    rows = with_issues(rows).withColumn("tokens_", K.tokens(kw, K.EVAL_TOKEN))
+    rows = rows.withColumn("filler_", K.filler(kw, t)).withColumn("natural_", K.naturalness(kw, F.lit(False), t)).withColumn("signature_", K.semantic_signature(kw, t))
+    rows = by_platform(rows)
     positive = F.col("category") != dims.NEGATIVE
     cols = [
         F.count_if(positive).alias("total"),
-        F.count_if(positive & K.filler(F.col("keyword"))).alias("fillers"),
-        F.sum(F.when(positive, K.naturalness(F.col("keyword"), F.lit(False))).otherwise(0)).alias("natural_sum"),
+        F.count_if(positive & F.col("filler_")).alias("fillers"),
+        F.sum(F.when(positive, F.col("natural_")).otherwise(0)).alias("natural_sum"),
         F.count_distinct(F.when(positive, F.trim("keyword"))).alias("exact_distinct"),
-        F.count_distinct(F.when(positive, K.semantic_signature(F.col("keyword")))).alias("semantic_distinct"),
+        F.count_distinct(F.when(positive, F.col("signature_"))).alias("semantic_distinct"),
         F.count_if(positive & (F.length(F.trim("reason")) > 5)).alias("reasoned"),
         F.count_if(positive & (F.size("hard_issues") > 0)).alias("malformed"),
         F.count_if(~positive & (F.size("hard_issues") > 0)).alias("invalid_negatives"),
