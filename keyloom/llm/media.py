@@ -99,7 +99,7 @@ def fingerprint(x: np.ndarray, rate: int) -> np.ndarray:
 
     code = np.zeros(n, np.uint32)
     for k in range(16):
-        low, kind = 3 * k % 12, k % 4
+        low, kind = 3 * (k // 4), k % 4
         if kind == 0:  # lower against upper classes
             a, b = box(0, SPAN, low, low + 3), box(0, SPAN, low + 3, low + 6)
         elif kind == 1:  # earlier against later

@@ -325,6 +325,12 @@ def tune(seed, n=120, rate=4000):
     return np.concatenate([np.sin(2 * np.pi * 261.6 * 2 ** (k / 12) * t) for k in r.integers(0, 12, n)])
 
 
+def test_fingerprints_use_all_their_bits():
+    code = media.fingerprint(tune(5, 3000), 4000)
+    assert len(np.unique(code)) > 0.9 * len(code)
+    assert all(0.02 < ((code >> np.uint32(b)) & np.uint32(1)).mean() < 0.98 for b in range(32))
+
+
 def test_recordings_align(spark):
     a, b = tune(1), tune(2)
     noisy = a + np.random.default_rng(0).standard_normal(len(a)) * 0.01
