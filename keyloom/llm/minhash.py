@@ -28,7 +28,7 @@ from .textkeys import mix, shingles, word_hashes
 #: 21 bands of 6 slots: documents with a Jaccard similarity of 0.85 share a bucket with probability 0.99995, those of 0.8 with 0.998.
 SLOTS, BAND = 126, 6
 #: How far the share of equal signature slots may lie below the wanted similarity before two members of a bucket are not compared further (over 4 standard deviations), pivots tried besides the least member, and rows of a block.
-SLACK, PIVOTS, BLOCK_ROWS = 0.15, 2, 256
+SLACK, PIVOTS, BLOCK_ROWS = 0.15, 2, 128
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _LOW = np.uint64(0xFFFFFFFF)
 
@@ -166,6 +166,13 @@ def _promising(rows: DataFrame, least: float) -> DataFrame:
     return _dealt(rows, "sketch").mapInArrow(run, "key long, id long").distinct()
 
 
+def payloads(column: pa.ChunkedArray) -> list:
+    """The values of a column; lists of integers as numpy arrays, since Python integers would take five times their memory."""
+    if not pa.types.is_list(column.type):
+        return column.to_pylist()
+    return [x.values.to_numpy() for x in column]
+
+
 def _linked_blocks(rows: DataFrame, exact: Callable[[list, list], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
     """Edges (a, b) of a forest with the components that the true links between the rows of a pair of blocks make."""
 
@@ -173,7 +180,7 @@ def _linked_blocks(rows: DataFrame, exact: Callable[[list, list], tuple[np.ndarr
         for t, lo, hi in _pairs_of_blocks(batches):
             part = t.slice(lo, hi - lo)
             side, ids = part.column("side").to_numpy(), part.column("id").to_numpy()
-            what = part.column("what").to_pylist()
+            what = payloads(part.column("what"))
             left, right = np.flatnonzero(side != 2), np.flatnonzero(side != 1)
             i, j = exact([what[x] for x in left.tolist()], [what[x] for x in right.tolist()]) if len(left) and len(right) else ([], [])
             a, b = forest(ids[left[i]], ids[right[j]]) if len(i) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
