@@ -5,13 +5,16 @@ on the pitches of as many octaves as fit under half the sampling rate, and the e
 12 classes. An integral image over time and class makes every box sum four look-ups; 16 filters
 compare neighbouring boxes, each is cut into 2 Gray-coded bits, and a frame's 32 bits are one integer.
 
-Two recordings are aligned at the mode of their offset histogram (places of equal integers), and
-linked if most integers of the longer one are equal there with few bit errors. Candidates share a
-bucket of the banded SuperMinHash of their integers; equal fingerprints form a class that goes
-through as one row; hot buckets are linked by stars (see ``minhash.linked``).
+Two recordings are aligned at the mode of their offset histogram (places of equal integers; of the
+fullest offsets the one with fewest bit errors), and linked if the overlap there covers most of the
+shorter one with few bit errors. So noisy copies, excerpts and copies with a lead-in link. Candidates
+are all pairs that share an integer at places whose offset leaves enough overlap and around which the
+frames 4 to 16 before and after agree in most bits; the occurrences of an integer meet in one task and
+only pairs that pass leave it. Equal fingerprints form a class that goes through as one row.
 
 Defined results: a recording that is null, no such file, or too short for an integer has none and is
-its own group. Silence has integers like any sound.
+its own group. Silence has integers like any sound. Recordings that overlap by fewer than LEAST_FRAMES
+frames (about a second) link only if their fingerprints are equal.
 """
 
 from __future__ import annotations
@@ -24,16 +27,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, DoubleType, LongType, StructField, StructType
+from pyspark.sql.types import BinaryType, DoubleType, IntegerType, LongType, StructField, StructType
 
-from .minhash import band_keys, jaccard_links, linked, signature
-from .runtime import Scratch, prepare
-from .textkeys import mix
+from .components import components
+from .runtime import Scratch, prepare, shuffle_width
 
 HOP_S, LOWEST_HZ, SPAN, STEP = 0.064, 130.8128, 8, 0.06
-#: Share of the longer recording's integers that must be equal at the offset, and bit errors allowed in the overlap.
-#: Equal shares of 0.85 mean a Jaccard similarity of 0.74 at least, which the bands find with probability 0.97.
-EQUAL, ERRORS, LEAST_SKETCH = 0.85, 0.15, 0.58
+#: Share of the shorter recording that must overlap, frames that must at least, and bit errors allowed there.
+OVERLAP, LEAST_FRAMES, ERRORS = 0.6, 16, 0.15
+#: Frames around an integer that are compared (16 bits of each), share of their bits that may differ, turns in which the integers are dealt, and offsets of a histogram that are tried.
+AROUND, NEAR, TURNS, TRIED = (4, 8, 12, 16), 14 / 64, 4, 16
 
 
 def samples(data: bytes | None) -> tuple[np.ndarray, int]:
@@ -117,18 +120,48 @@ def fingerprint(x: np.ndarray, rate: int) -> np.ndarray:
     return code
 
 
-def align(a: np.ndarray, b: np.ndarray) -> tuple[int | None, float, float]:
-    """Offset of b in a (frames), share of the longer one's integers that are equal there, and the share of wrong bits; no offset if no integer is shared."""
-    ca, ia = np.unique(a, return_index=True)
-    cb, ib = np.unique(b, return_index=True)
+def _histogram(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Number of equal integers at each offset of b in a, from 1 - len(b) on. Integers with many places in both go through a transform."""
+    n = len(a) + len(b) - 1
+    votes = np.zeros(n, np.int64)
+    _, ia, ka = np.unique(a, return_inverse=True, return_counts=True)
+    ca, cb = np.unique(a), np.unique(b)
     _, ja, jb = np.intersect1d(ca, cb, assume_unique=True, return_indices=True)
     if not len(ja):
-        return None, 0.0, 1.0
-    offsets, votes = np.unique(ia[ja] - ib[jb], return_counts=True)
-    d = int(offsets[votes.argmax()])
-    lo, hi = max(0, d), min(len(a), len(b) + d)
-    x = a[lo:hi] ^ b[lo - d : hi - d]
-    return d, float((x == 0).sum() / max(len(a), len(b))), float(np.bitwise_count(x).sum()) / (32 * (hi - lo))
+        return votes
+    ib, kb = np.unique(b, return_inverse=True, return_counts=True)[1:]
+    oa, ob = np.argsort(ia, kind="stable"), np.argsort(ib, kind="stable")
+    sa, sb = np.cumsum(ka) - ka, np.cumsum(kb) - kb
+    many = ka[ja] * kb[jb] > 16 * n
+    size = 1 << n.bit_length()
+    for x, y in zip(ja[many].tolist(), jb[many].tolist(), strict=True):
+        u = np.fft.rfft(ia == x, size) * np.fft.rfft((ib == y)[::-1], size)
+        votes += np.rint(np.fft.irfft(u, size)[:n]).astype(np.int64)
+    ja, jb = ja[~many], jb[~many]
+    each = ka[ja] * kb[jb]
+    which = np.repeat(np.arange(len(each)), each)
+    at = np.arange(len(which)) - np.repeat(np.cumsum(each) - each, each)
+    wide = kb[jb][which]
+    d = oa[sa[ja][which] + at // wide] - ob[sb[jb][which] + at % wide]
+    return votes + np.bincount(d + len(b) - 1, minlength=n)
+
+
+def align(a: np.ndarray, b: np.ndarray, hints: tuple[int, ...] = ()) -> tuple[int | None, float, float]:
+    """Offset of b in a (frames), share of the shorter one that overlaps there, and the share of wrong bits; no offset if no integer is shared.
+
+    Of the fullest offsets and the hints, the one with fewest wrong bits among those that overlap enough.
+    """
+    votes = _histogram(a, b)
+    top = np.argsort(-votes, kind="stable")[:TRIED]
+    best, enough = None, max(min(LEAST_FRAMES, len(a), len(b)), OVERLAP * min(len(a), len(b)))
+    for d in dict.fromkeys([*(top[votes[top] > 0] - len(b) + 1).tolist(), *hints]):
+        lo, hi = max(0, d), min(len(a), len(b) + d)
+        if hi > lo:
+            wrong = float(np.bitwise_count(a[lo:hi] ^ b[lo - d : hi - d]).sum()) / (32 * (hi - lo))
+            rank = hi - lo < enough, wrong
+            if best is None or rank < best[0]:
+                best = rank, (d, (hi - lo) / min(len(a), len(b)), wrong)
+    return best[1] if best else (None, 0.0, 1.0)
 
 
 def fingerprints(df: DataFrame, id_col: str, media_col: str) -> DataFrame:
@@ -145,45 +178,113 @@ def fingerprints(df: DataFrame, id_col: str, media_col: str) -> DataFrame:
 
 
 def _aligned(pairs: DataFrame, codes: DataFrame) -> DataFrame:
-    """Pairs (a, b) with the offset of b in a, the share of equal integers, and bit errors."""
-    schema = StructType([*[StructField(c, LongType()) for c in ("a", "b", "offset")], StructField("equal", DoubleType()), StructField("bit_errors", DoubleType())])
+    """Pairs (a, b, hints) with the offset of b in a, the overlap's frames and share of the shorter one, and bit errors."""
+    schema = StructType([*[StructField(c, LongType()) for c in ("a", "b", "offset", "frames")], StructField("overlap", DoubleType()), StructField("bit_errors", DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            offset, equal, errors = [], [], []
-            for x, y in zip(batch.column("codes_a").to_pylist(), batch.column("codes_b").to_pylist(), strict=True):
+            made = []
+            for x, y, hints in zip(*(batch.column(c).to_pylist() for c in ("codes_a", "codes_b", "hints")), strict=True):
                 u, v = np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4")
-                d, n, e = align(u, v)
-                offset.append(d), equal.append(n), errors.append(e)
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(offset, pa.int64()), pa.array(equal, pa.float64()), pa.array(errors, pa.float64())], names=schema.names)
+                d, share, wrong = align(u, v, tuple(sorted(hints)))
+                made.append((d, round(share * min(len(u), len(v))), share, wrong))
+            cols = list(zip(*made, strict=True)) if made else [()] * 4
+            kinds = pa.int64(), pa.int64(), pa.float64(), pa.float64()
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], names=schema.names)
 
-    codes = codes.withColumnRenamed("what", "codes")
     one = codes.select(F.col("id").alias("b"), F.col("codes").alias("codes_b"))
     two = codes.select(F.col("id").alias("a"), F.col("codes").alias("codes_a"))
-    return pairs.join(one, "b").join(two, "a").select("a", "b", "codes_a", "codes_b").mapInArrow(run, schema)
-
-
-def _aligned_links(left: list, right: list) -> tuple[list[int], list[int]]:
-    """Links that connect all linked recordings of two lists; pairs that are connected already are not aligned again."""
-    u, v = ([np.frombuffer(x, "<u4") for x in side] for side in (left, right))
-    likely = jaccard_links([np.unique(x) for x in u], [np.unique(x) for x in v], int(100 * LEAST_SKETCH))
-    parent = list(range(len(u) + len(v)))
-
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    out: tuple[list[int], list[int]] = [], []
-    for i, j in zip(*(x.tolist() for x in np.nonzero(likely)), strict=True):
-        x, y = root(i), root(len(u) + j)
-        if x != y:
-            _, equal, errors = align(u[i], v[j])
-            if equal >= EQUAL and errors <= ERRORS:
-                parent[y] = x
-                out[0].append(i), out[1].append(j)
-    return out
+    return pairs.join(one, "b").join(two, "a").select("a", "b", "hints", "codes_a", "codes_b").mapInArrow(run, schema)
+
+
+def _around(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The upper bits of the filters AROUND frames later and earlier, 16 bits of a 64-bit integer each; 0 where there is no such frame."""
+    x = (code.astype(np.uint64) >> np.uint64(1)) & np.uint64(0x55555555)
+    for shift, mask in ((1, 0x33333333), (2, 0x0F0F0F0F), (4, 0x00FF00FF), (8, 0x0000FFFF)):
+        x = (x | (x >> np.uint64(shift))) & np.uint64(mask)
+    x = np.maximum(x, np.uint64(1))
+    after, before = np.zeros(len(x), np.uint64), np.zeros(len(x), np.uint64)
+    for k, step in enumerate(AROUND):
+        after[:-step] |= x[step:] << np.uint64(16 * k)
+        before[step:] |= x[:-step] << np.uint64(16 * k)
+    return after, before
+
+
+def _meetings(code: np.ndarray, ids: np.ndarray, place: np.ndarray, size: np.ndarray, sides: list[np.ndarray]) -> np.ndarray:
+    """Distinct (a, b, offset of b in a) of the recordings that share an integer in like surroundings, with enough overlap (rows sorted by integer)."""
+    end = np.searchsorted(code, code, side="right")
+    i, d, out = np.arange(len(code)), 1, []
+    far = np.uint64(16 * (len(AROUND) - 1))
+    while len(i := i[i + d < end[i]]):
+        for part in np.array_split(i, len(i) // (1 << 18) + 1):
+            a, b = part, part + d
+            for v in sides:  # at first only where all frames are there
+                x, y = v[a], v[b]
+                near = (np.bitwise_count(x ^ y) <= 64 * NEAR) | (x >> far == 0) | (y >> far == 0)
+                a, b = a[near], b[near]
+            low, high = np.maximum(0, place[a] - place[b]), np.minimum(size[a], size[b] + place[a] - place[b])
+            short = np.minimum(size[a], size[b])
+            enough = (ids[a] != ids[b]) & (high - low >= np.maximum(LEAST_FRAMES, OVERLAP * short))
+            a, b = a[enough], b[enough]
+            wrong, seen = np.zeros(len(a)), np.zeros(len(a))
+            for v in sides:
+                for k in range(len(AROUND)):
+                    x, y = ((v[w] >> np.uint64(16 * k)) & np.uint64(0xFFFF) for w in (a, b))
+                    both = (x > 0) & (y > 0)
+                    wrong += np.bitwise_count(x ^ y) * both
+                    seen += 16 * both
+            a, b = a[wrong <= NEAR * seen], b[wrong <= NEAR * seen]
+            a, b = np.where(ids[a] < ids[b], a, b), np.where(ids[a] < ids[b], b, a)
+            out.append(np.column_stack([ids[a], ids[b], place[a] - place[b]]))
+        d += 1
+    return np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 3), np.int64)
+
+
+def _candidates(scratch: Scratch, codes: DataFrame) -> DataFrame:
+    """(a, b, hints): pairs of recordings that may link, a < b, with offsets of b in a."""
+    placed = StructType([StructField("code", LongType()), StructField("id", LongType()), StructField("place", IntegerType()), StructField("size", IntegerType()), StructField("after", LongType()), StructField("before", LongType())])
+    names, width, found = placed.names, shuffle_width(codes.sparkSession), None
+
+    def places(turn: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for i, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                    code = np.frombuffer(raw, "<u4")
+                    after, before = _around(code)
+                    own = np.flatnonzero((code.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % np.uint64(TURNS) == turn)
+                    if len(own):  # equal integers in equal surroundings (silence) once
+                        own = own[np.unique(np.column_stack([code[own].astype(np.uint64), after[own], before[own]]), axis=0, return_index=True)[1]]
+                    full = [np.full(len(own), v, t) for v, t in ((i, np.int64), (len(code), np.int32))]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in (code[own].astype(np.int64), full[0], own.astype(np.int32), full[1], after[own].view(np.int64), before[own].view(np.int64))], names=names)
+
+        return run
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def made(t: pa.Table) -> pa.RecordBatch:
+            code, ids, place, size, after, before = (t.column(c).to_numpy() for c in names)
+            out = _meetings(code, ids, place.astype(np.int64), size.astype(np.int64), [after.view(np.uint64), before.view(np.uint64)])
+            return pa.RecordBatch.from_arrays([pa.array(out[:, k]) for k in range(3)], names=["a", "b", "offset"])
+
+        held, rows = [], 0
+        for b in batches:
+            held.append(b)
+            rows += b.num_rows
+            if rows >= 1 << 17:
+                t = pa.Table.from_batches(held)
+                code = t.column("code").to_numpy()
+                whole = int(np.searchsorted(code, code[-1]))  # the last integer may go on
+                if whole:
+                    yield made(t.slice(0, whole))
+                held, rows = t.slice(whole).to_batches(), t.num_rows - whole
+        if rows:
+            yield made(pa.Table.from_batches(held))
+
+    for turn in range(TURNS):
+        rows = codes.select("id", "codes").mapInArrow(places(turn), placed)
+        part = scratch.save(rows.repartition(width, "code").sortWithinPartitions("code").mapInArrow(meet, "a long, b long, offset long"))
+        scratch.release()
+        found = part if found is None else found.unionByName(part)
+    return found.groupBy("a", "b").agg(F.collect_set("offset").alias("hints"))
 
 
 def align_recordings(df: DataFrame, id_col: str = "id", media_col: str = "media") -> DataFrame:
@@ -194,23 +295,12 @@ def align_recordings(df: DataFrame, id_col: str = "id", media_col: str = "media"
     some = made.where("length(codes) > 0 and id is not null")
     classes = scratch.save(some.groupBy("print", "crc").agg(F.min("id").alias("rep")))
     codes = scratch.save(some.join(classes.select(F.col("rep").alias("id")), "id", "left_semi").select("id", "codes").dropDuplicates(["id"]))
-    schema = StructType([StructField("id", LongType()), StructField("sketch", BinaryType()), StructField("bands", ArrayType(LongType()))])
-
-    def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sig = [signature(np.unique(mix(np.frombuffer(x, "<u4").astype(np.uint64)))) for x in b.column(1).to_pylist()]
-            sketch = [(mix((s * 2.0**32).astype(np.uint64)) >> np.uint64(56)).astype(np.uint8).tobytes() for s in sig]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sketch, pa.binary()), pa.array([band_keys(s).view(np.int64) for s in sig], pa.list_(pa.int64()))], names=schema.names)
-
-    comps = linked(
-        scratch,
-        scratch.save(codes.mapInArrow(sketches, schema)),
-        lambda ids: codes.join(ids, "id", "left_semi").withColumnRenamed("codes", "what"),
-        lambda pairs, own: _aligned(pairs, own).where((F.col("equal") >= EQUAL) & (F.col("bit_errors") <= ERRORS)).select("a", "b"),
-        _aligned_links,
-        LEAST_SKETCH,
-    )
-    against = scratch.save(_aligned(comps.where("node != component").select(F.col("component").alias("a"), F.col("node").alias("b")), codes))
+    links = _aligned(scratch.save(_candidates(scratch, codes)), codes).where((F.col("overlap") >= OVERLAP) & (F.col("frames") >= LEAST_FRAMES) & (F.col("bit_errors") <= ERRORS))
+    links = scratch.save(links.select("a", "b", "offset"))
+    comps = scratch.save(components(scratch, links.select("a", "b")))
+    own = comps.where("node != component").select(F.col("component").alias("a"), F.col("node").alias("b"))
+    own = own.join(links, ["a", "b"], "left").select("a", "b", F.when(F.col("offset").isNull(), F.array().cast("array<bigint>")).otherwise(F.array("offset")).alias("hints"))
+    against = scratch.save(_aligned(own, codes).select("b", "offset", "bit_errors"))
     of_class = classes.join(comps.withColumnRenamed("node", "rep"), "rep", "left").join(against.withColumnRenamed("b", "rep"), "rep", "left")
     of_class = scratch.save(of_class.select("print", "crc", F.coalesce("component", "rep").alias("group_id"), F.when(F.coalesce("component", "rep") == F.col("rep"), 0).otherwise(F.col("offset")).alias("offset"), F.when(F.coalesce("component", "rep") == F.col("rep"), 0.0).otherwise(F.col("bit_errors")).alias("bit_errors")))
     n = (F.length("codes") / 4).cast("long")

@@ -343,6 +343,40 @@ def test_recordings_align(spark):
     assert media.align_recordings(spark.createDataFrame([], "id long, media binary")).count() == 0
 
 
+def test_histogram_counts_all_equal_places():
+    r = np.random.default_rng(4)
+    for values in (2, 9, 500):
+        a, b = r.integers(0, values, 300).astype(np.uint32), r.integers(0, values, 170).astype(np.uint32)
+        want = [int(sum(a[j + d] == b[j] for j in range(170) if 0 <= j + d < 300)) for d in range(-169, 300)]
+        assert media._histogram(a, b).tolist() == want
+
+
+def test_noisy_copies_excerpts_and_lead_ins_align(spark, monkeypatch):
+    """Fingerprints with wrong bits stand in for re-encoded recordings: each group has one base and what was made of it."""
+    r = np.random.default_rng(6)
+
+    def noisy(code, share):
+        flips = (r.random((len(code), 32)) < share) @ (np.uint64(1) << np.arange(32, dtype=np.uint64))
+        return code ^ flips.astype(np.uint32)
+
+    made, group = {}, {}
+    for k in range(12):
+        base = media.fingerprint(tune(100 + k, 400), 4000)
+        lead = media.fingerprint(tune(200 + k, 150), 4000)
+        first = len(made)
+        for code in (base, noisy(base, 0.005), noisy(base, 0.02), noisy(base, 0.05), base[90:190], noisy(base[200:], 0.03), np.concatenate([lead, base])):
+            group[len(made)] = first
+            made[len(made)] = code
+    for k in range(30):
+        group[len(made)] = len(made)
+        made[len(made)] = media.fingerprint(tune(300 + k, 60 + 20 * k), 4000)
+    codes = [(i, c.astype("<u4").tobytes()) for i, c in made.items()]
+    monkeypatch.setattr(media, "fingerprints", lambda df, i, m: df.select(F.col(i).alias("id"), F.col(m).alias("codes")))
+    got = {x.id: x for x in media.align_recordings(spark.createDataFrame(codes, "id long, media binary")).collect()}
+    assert {i: x.group_id for i, x in got.items()} == group
+    assert all(got[k].offset == 90 and got[k + 1].offset == 200 and got[k + 2].offset == len(made[k - 4]) - len(made[k + 2]) for k in range(4, 84, 7))
+
+
 def test_shingles_count_words_as_stated():
     w, bounds = word_hashes(["a b c d e f", "A\x0bB", "", "x"])
     assert [len(s) for s in shingles(w, bounds, 5)] == [2, 1, 0, 1] and np.diff(bounds).tolist() == [6, 2, 0, 1]
