@@ -4,8 +4,10 @@ Each pass orders the vectors by a 64-bit key of random hyperplane signs (most si
 compares every vector with the ``window`` next ones; pairs are verified in double precision on the
 vectors themselves. A pass's comparisons inside a partition leave as a spanning forest of the links
 found, and the rows near a partition's bounds meet those of the next partition in a second step.
-The union of all passes gives components. The number of passes follows from the number of vectors,
-so that a pair at the threshold is met in some pass with the wanted recall at every size.
+The union of all passes gives components. The first passes are as many as vectors spread evenly need.
+Then recall is measured: a bounded sample of vectors is compared exactly with all others, and further
+passes with wider windows follow until the wanted share of the sample's links lies inside components.
+Where vectors lie close together, a plane separates few of them, so there it takes these rounds.
 
 Links are then counted inside components. Vectors closer to the component's pivot than half the
 threshold angle all link with each other (by the triangle inequality for angles), so they are
@@ -32,6 +34,8 @@ from .components import components
 from .runtime import Scratch, prepare, shuffle_width
 
 WINDOW, RECALL, SEED, TILE = 64, 0.97, 7, 512
+#: Vectors whose links are all known by comparison (the bound of the sample), partners of each that are kept of a batch, and window and passes of the first further round (the window doubles with each).
+SAMPLE, PARTNERS, WIDER, MORE = 4096, 16, 1024, 8
 
 
 def passes_for(rows: int, least: float, window: int = WINDOW, recall: float = RECALL) -> int:
@@ -96,12 +100,12 @@ def _forest(ids: np.ndarray, unit: np.ndarray, least: float, window: int, split:
     return out
 
 
-def _pass_links(vectors: DataFrame, dim: int, passes: int, least: float, window: int) -> tuple[DataFrame, DataFrame]:
-    """Links within the partitions of the sorted passes, and the rows near the bounds (a row has kind 0 or 1)."""
+def _pass_links(vectors: DataFrame, dim: int, passes: int, least: float, window: int, first: int = 0) -> tuple[DataFrame, DataFrame]:
+    """Links within the partitions of the sorted passes (numbered from ``first``), and the rows near the bounds (a row has kind 0 or 1)."""
     keyed = StructType([StructField("turn", IntegerType()), StructField("order", LongType()), StructField("id", LongType()), StructField("v", BinaryType())])
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = [planes(p, dim) for p in range(passes)]
+        own = [planes(first + p, dim) for p in range(passes)]
         bits = np.uint64(1) << np.arange(63, -1, -1, dtype=np.uint64)
         for b in batches:
             unit = _unit(b.column(1).to_pylist(), dim) if b.num_rows else np.zeros((0, dim))
@@ -156,6 +160,36 @@ def _links(ids: np.ndarray, raws: list[bytes], turns: np.ndarray, dim: int, leas
     return rows
 
 
+def _sampled_links(classes: DataFrame, rows: int, dim: int, least: float) -> DataFrame:
+    """(a, b): links of a sample of vectors a, found by comparing each with all vectors."""
+    share = min(1.0, SAMPLE / max(1, rows))
+    some = classes.where(F.pmod(F.xxhash64("id", F.lit(SEED)), F.lit(1 << 30)) < int(share * (1 << 30))).select("id", "v").collect()
+    ids, raws = np.array([r[0] for r in some], np.int64), [bytes(r[1]) for r in some]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unit = _unit(raws, dim) if raws else np.zeros((0, dim))
+        for b in batches:
+            if not b.num_rows or not len(ids):
+                continue
+            own = b.column("id").to_numpy()
+            i, j = np.nonzero((unit @ _unit(b.column("v").to_pylist(), dim).T >= least) & (ids[:, None] != own[None, :]))
+            order = np.lexsort((np.random.default_rng(int(own[0]) & 0xFFFF).random(len(i)), i))
+            i, j = i[order], j[order]
+            few = np.arange(len(i)) - np.searchsorted(i, i) < PARTNERS
+            yield pa.RecordBatch.from_arrays([pa.array(ids[i[few]]), pa.array(own[j[few]])], names=["a", "b"])
+
+    return classes.select("id", "v").mapInArrow(run, "a long, b long")
+
+
+def _measured_recall(links: DataFrame, comps: DataFrame) -> float:
+    """Share of the links that lie inside components, over all or as the mean of each vector's share, whichever is less."""
+    of_a, of_b = (comps.select(F.col("node").alias(c), F.col("component").alias("c" + c)) for c in "ab")
+    inside = F.coalesce("ca", "a") == F.coalesce("cb", "b")
+    each = links.join(of_a, "a", "left").join(of_b, "b", "left").groupBy("a").agg(F.count_if(inside).alias("met"), F.count("*").alias("all"))
+    r = each.agg(F.sum("met") / F.sum("all"), F.avg(F.col("met") / F.col("all"))).first()
+    return 1.0 if r[0] is None else min(r[0], r[1])
+
+
 def _counted(members: DataFrame, dim: int, least: float) -> DataFrame:
     """(id, links): links of each vector inside its component (rows: comp, id, v, copies, pivot's v, block number and number of blocks)."""
     half = math.cos(math.acos(least) / 2)
@@ -206,20 +240,33 @@ def near_duplicates(df: DataFrame, least: float = 0.9, id_col: str = "vec_id", v
     dim = int(dims[0][0])
     valid = valid.where(F.col("dim") == dim)
     classes = scratch.save(valid.groupBy("v").agg(F.min("id").alias("id"), F.count("*").alias("copies")))
-    passes = passes_for(int(classes.count()), least, window)
-    found, _ = _pass_links(classes, dim, passes, least, window)
-    found = scratch.save(found)
-
-    def meet(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("place")
-        split = int((group["place"] < window).sum())
-        pairs = _forest(group["a"].to_numpy(), _unit(list(group["v"]), dim), least, window, split) if 0 < split < len(group) else []
-        return pd.DataFrame(pairs, columns=["a", "b"]).astype("int64")
-
-    across = found.where("kind = 1").groupBy("turn", "bound").applyInPandas(meet, "a long, b long")
-    edges = found.where("kind = 0").select("a", "b").unionByName(across)
-    comps = scratch.save(components(scratch, edges))
-    scratch.drop(found)
+    rows = int(classes.count())
+
+    def linked(passes: int, window: int, first: int, before: DataFrame | None) -> DataFrame:
+        found = scratch.save(_pass_links(classes, dim, passes, least, window, first)[0])
+
+        def meet(group: pd.DataFrame) -> pd.DataFrame:
+            group = group.sort_values("place")
+            split = int((group["place"] < window).sum())
+            pairs = _forest(group["a"].to_numpy(), _unit(list(group["v"]), dim), least, window, split) if 0 < split < len(group) else []
+            return pd.DataFrame(pairs, columns=["a", "b"]).astype("int64")
+
+        across = found.where("kind = 1").groupBy("turn", "bound").applyInPandas(meet, "a long, b long")
+        edges = found.where("kind = 0").select("a", "b").unionByName(across)
+        if before is not None:
+            edges = edges.unionByName(before.select(F.col("component").alias("a"), F.col("node").alias("b")))
+        out = scratch.save(components(scratch, edges))
+        scratch.drop(found)
+        scratch.release()
+        return out
+
+    done = passes_for(rows, least, window)
+    comps = linked(done, window, 0, None)
+    known = scratch.save(_sampled_links(classes, rows, dim, least))
+    while _measured_recall(known, comps) < RECALL:
+        window = max(WIDER, 2 * window)
+        comps = linked(MORE, window, done, comps)
+        done += MORE
     # link counts inside the components of more than one class
     named = classes.join(comps.withColumnRenamed("node", "id"), "id").select(F.col("component").alias("comp"), "id", "v", "copies")
     named = scratch.save(named)

@@ -288,6 +288,30 @@ def test_vectors_equal_brute_force(spark):
     assert vecdedup.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_vectors_of_a_dense_third_equal_brute_force(spark):
+    r = np.random.default_rng(8)
+    n, dim = 9000, 64
+    v = r.standard_normal((n, dim))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    center = v[0].copy()
+
+    def off(base, cosine):
+        x = r.standard_normal(dim)
+        x -= (x @ base) * base
+        return cosine * base + np.sqrt(1 - cosine**2) * x / np.linalg.norm(x)
+
+    for i in range(n // 3):
+        v[i] = off(center, np.sqrt(0.8))  # mutual cosines of about 0.8
+    for i in range(0, 600, 2):
+        v[i + 1] = off(v[i], 0.905)
+        v[n // 2 + i + 1] = off(v[n // 2 + i], 0.905)
+    got = {x.vec_id: x for x in vecdedup.near_duplicates(spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")).collect()}
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    hit = (u @ u.T >= 0.9) & ~np.eye(n, dtype=bool)
+    dense = hit[: n // 3, : n // 3].sum()
+    assert sum(got[i].n_links for i in range(n // 3)) >= 0.95 * dense and sum(x.n_links for x in got.values()) >= 0.95 * hit.sum()
+
+
 def test_lm_scores_equal_brute_force(spark, empty):
     data = [(i, prose(random.randint(0, 30))) for i in range(40)] + [(50, None), (51, ""), (51, ""), (52, "A a A")]
     got = sorted(map(tuple, lmscore.score_documents(spark.createDataFrame(data, "doc_id long, text string")).collect()))
