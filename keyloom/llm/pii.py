@@ -3,11 +3,13 @@
 Base spans (email, ip, card, phone) are exact regular-expression matches over the whole text, found
 by scans that are linear in its length. The field's nodes are a document's tokens that hold a
 digit or ``@`` (all others are outside by definition). Node potentials come from shape and context
-features, chain edges link neighbours, and skip edges link a token to the last one with the same
-letters or digits, however far back. Weights are fitted on a bounded sample of documents whose base
+features, chain edges link neighbours, and skip edges link the tokens with the same letters or digits,
+however far apart: to one with a base label where there is one, else through a hub that all share
+(weights are fitted on edges to the last such token). Weights are fitted on a bounded sample of documents whose base
 spans serve as labels: piecewise, a logistic model for nodes and smoothed log-odds for edges.
-Decoding is damped loopy sum-product with base labels clamped, so an entity found once is found
-wherever it recurs. Base spans always stay; added spans never overlap one of their kind.
+Decoding is damped loopy sum-product with base labels clamped, until messages settle. So every
+recurrence of an entity hears of its base label directly, whatever their number; its own features and
+neighbours are weighed against that. Base spans always stay; added spans never overlap one of their kind.
 
 Defined results: a null or empty text has no spans. Equal texts get equal spans.
 """
@@ -28,8 +30,8 @@ from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, S
 from .runtime import fresh, prepare
 
 KINDS = ("email", "ip", "card", "phone")
-#: Documents that the field is fitted on at most (the bound of the sample), hashed features, message rounds, and the probability that adds a span.
-SAMPLE, FEATURES, MESSAGES, LEAST = 6000, 4096, 8, 0.6
+#: Documents that the field is fitted on at most (the bound of the sample), hashed features, the move under which messages have settled, rounds after which damping is stronger (a field that still swings stops after four times as many), and the probability that adds a span.
+SAMPLE, FEATURES, SETTLED, ROUNDS, LEAST = 6000, 4096, 1e-3, 100, 0.6
 SPANS = ArrayType(StructType([StructField("kind", StringType()), StructField("start", IntegerType()), StructField("end", IntegerType()), StructField("base", BooleanType())]))
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -122,6 +124,35 @@ def _validity(digits: str, token: str) -> str:
     return "none"
 
 
+def _keys(token: str) -> set[str]:
+    """What tokens share that skip edges link."""
+    digits = "".join(c for c in token if "0" <= c <= "9")
+    return {token.lower(), digits if len(digits) >= 5 else token.lower()}
+
+
+def recurrences(text: str, nodes: list[tuple[int, int]], label: np.ndarray) -> tuple[np.ndarray, int]:
+    """Skip edges that decoding uses, and the number of hubs; hubs are numbered after the nodes."""
+    groups: dict[str, list[int]] = {}
+    for i, (s, e) in enumerate(nodes):
+        for key in _keys(text[s:e]):
+            groups.setdefault(key, []).append(i)
+    edges, hubs = [], 0
+    for _, group in sorted(groups.items()):
+        known = [i for i in group if label[i]]
+        if known:  # it is certain, so the others need no edges between them
+            last = known[0]
+            for i in group:
+                last = i if label[i] else last
+                if not label[i]:
+                    edges.append((last, i))
+        elif len(group) == 2:
+            edges.append(tuple(group))
+        elif len(group) > 2:
+            edges += [(len(nodes) + hubs, i) for i in group]
+            hubs += 1
+    return np.array(edges, np.int64).reshape(-1, 2), hubs
+
+
 def document_graph(text: str, base: list[tuple[int, int, int]]) -> tuple[list[tuple[int, int]], np.ndarray, list[list[int]], np.ndarray, np.ndarray]:
     """Nodes, labels from base spans (0: outside), features of each, chain edges and skip edges."""
     nodes = _nodes(text)
@@ -143,7 +174,7 @@ def document_graph(text: str, base: list[tuple[int, int, int]]) -> tuple[list[tu
         features.append([crc32(n.encode()) % FEATURES for n in names])
         if i and s - nodes[i - 1][1] <= 3:
             chain.append((i - 1, i))
-        for key in {token.lower(), digits if len(digits) >= 5 else token.lower()}:
+        for key in _keys(token):
             if key in last:
                 skip.append((last[key], i))
             last[key] = i
@@ -189,11 +220,12 @@ class Field:
         far = np.clip(np.log(far / np.sqrt(rows(far) * cols(far))), -4, 0)
         return cls(node, near, far)
 
-    def marginals(self, label: np.ndarray, features: list[list[int]], chain: np.ndarray, skip: np.ndarray) -> np.ndarray:
-        """Label probabilities by damped loopy sum-product; nodes with a base label are clamped to it."""
+    def marginals(self, label: np.ndarray, features: list[list[int]], chain: np.ndarray, skip: np.ndarray, hubs: int = 0) -> np.ndarray:
+        """Label probabilities by damped loopy sum-product until it settles; nodes with a base label are clamped to it, hubs come after the nodes."""
         unary = self.node[np.array(features)].sum(axis=1)
         unary[label > 0] = -30
         unary[np.arange(len(label)), label] = np.where(label > 0, 0, unary[np.arange(len(label)), label])
+        unary = np.vstack([unary, np.zeros((hubs, unary.shape[1]))])
         src = np.concatenate([chain[:, 0], skip[:, 0], chain[:, 1], skip[:, 1]])
         dst = np.concatenate([chain[:, 1], skip[:, 1], chain[:, 0], skip[:, 0]])
         half = len(src) // 2
@@ -201,14 +233,18 @@ class Field:
             weight = np.concatenate([np.repeat(self.chain[None], len(chain), 0), np.repeat(self.skip[None], len(skip), 0), np.repeat(self.chain.T[None], len(chain), 0), np.repeat(self.skip.T[None], len(skip), 0)])
             back = np.concatenate([np.arange(half, 2 * half), np.arange(half)])
             message = np.zeros((2 * half, unary.shape[1]))
-            for _ in range(MESSAGES):
+            for turn in range(4 * ROUNDS):
                 belief = unary.copy()
                 np.add.at(belief, dst, message)
                 out = belief[src] - message[back]
                 new = np.logaddexp.reduce(out[:, :, None] + weight, axis=1)
                 new -= new.max(axis=1, keepdims=True)
-                message = 0.5 * message + 0.5 * new
+                moved, step = np.abs(new - message).max(), 0.5 if turn < ROUNDS else 0.1
+                message = (1 - step) * message + step * new
+                if moved < SETTLED:
+                    break
             np.add.at(unary, dst, message)
+        unary = unary[: len(label)]
         p = np.exp(unary - unary.max(axis=1, keepdims=True))
         return p / p.sum(axis=1, keepdims=True)
 
@@ -216,9 +252,9 @@ class Field:
         """(kind, start, end, base) of a text, by kind and start."""
         base = base_spans(text)
         out = [(*x, True) for x in base]
-        nodes, label, features, chain, skip = document_graph(text, base)
+        nodes, label, features, chain, _ = document_graph(text, base)
         if nodes:
-            p = self.marginals(label, features, chain, skip)
+            p = self.marginals(label, features, chain, *recurrences(text, nodes, label))
             best = p.argmax(axis=1)
             for i in np.flatnonzero((label == 0) & (best > 0) & (p.max(axis=1) >= LEAST)).tolist():
                 out.append((int(best[i]) - 1, *nodes[i], False))

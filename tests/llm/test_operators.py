@@ -140,6 +140,15 @@ def test_pii_keeps_base_spans_adds_recurrences_and_masks(spark, empty):
     assert pii.find(empty, blank).count() == 0 and pii.find(df, blank).count() == len(data)
 
 
+def test_pii_finds_all_of_many_recurrences(spark):
+    text = "call +5551234567 " + " ".join(f"{prose(6)} 5551234567" for _ in range(50)) + " end"
+    labels = len(pii.KINDS) + 1
+    neutral = pii.Field(np.zeros((pii.FEATURES, labels)), np.zeros((labels, labels)), -4 * (1 - np.eye(labels)))
+    for field in (neutral, pii.train(spark.createDataFrame([(i, f"{prose(5)} call +555{1000000 + 7919 * i} {prose(3)}") for i in range(60)], "doc_id long, text string"))):
+        assert len([x for x in field.spans(text) if x[0] == 3]) == 51
+        assert "555" not in pii.redacted(text, field.spans(text))
+
+
 def test_language_is_learned_from_text_alone(spark, empty):
     words = {"aa": ["bal", "dol", "kir"], "bb": ["ésu", "üto", "çap"], "cc": ["zyx", "wvu", "qqj"]}
     data = [(i, " ".join(random.choices(words[x], k=12)), x) for i, x in enumerate(random.choices(list(words), k=300))] + [(900, None, "aa"), (901, "12 !!", "bb"), (902, "", None), (903, "BAL DOL " * 9000, None)]
