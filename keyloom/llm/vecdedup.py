@@ -13,8 +13,9 @@ Links are then counted inside components. Vectors closer to the component's pivo
 threshold angle all link with each other (by the triangle inequality for angles), so they are
 counted without comparison; the others are compared with the whole component in blocks.
 
-Equal vectors form a class, of which one goes through the passes. Defined results: vectors that are
-null, zero, of another length than most, or hold null or non-finite components link with nothing.
+Equal vectors form a class, of which one goes through the passes. Vectors of each length go through
+passes of their own. Defined results: vectors that are null, zero, or hold null or non-finite
+components link with nothing.
 """
 
 from __future__ import annotations
@@ -100,7 +101,7 @@ def _forest(ids: np.ndarray, unit: np.ndarray, least: float, window: int, split:
     return out
 
 
-def _pass_links(vectors: DataFrame, dim: int, passes: int, least: float, window: int, first: int = 0) -> tuple[DataFrame, DataFrame]:
+def _pass_links(vectors: DataFrame, dim: int, passes: int, least: float, window: int, rows: int, first: int = 0) -> tuple[DataFrame, DataFrame]:
     """Links within the partitions of the sorted passes (numbered from ``first``), and the rows near the bounds (a row has kind 0 or 1)."""
     keyed = StructType([StructField("turn", IntegerType()), StructField("order", LongType()), StructField("id", LongType()), StructField("v", BinaryType())])
 
@@ -146,7 +147,7 @@ def _pass_links(vectors: DataFrame, dim: int, passes: int, least: float, window:
         yield edges(rows)
 
     spread = vectors.select("id", "v").mapInArrow(keys, keyed)
-    n = shuffle_width(vectors.sparkSession)
+    n = max(1, min(shuffle_width(vectors.sparkSession), rows * passes // (4 * window)))  # only neighbours meet, so a partition holds several windows
     return spread.repartitionByRange(n, "turn", "order", "id").sortWithinPartitions("turn", "order", "id").mapInArrow(compare, out), out
 
 
@@ -227,23 +228,13 @@ def _compared(rows: DataFrame, dim: int, least: float) -> DataFrame:
     return rows.groupBy("comp", "i", "j").applyInPandas(run, "id long, links long")
 
 
-def near_duplicates(df: DataFrame, least: float = 0.9, id_col: str = "vec_id", vector_col: str = "embedding", window: int = WINDOW) -> DataFrame:
-    """One row per row of ``df``: id, n_links, component_id, kept (id names the component)."""
-    spark = df.sparkSession
-    prepare(spark)
-    scratch = Scratch(spark, "vectors")
-    valid = scratch.save(_valid(df, id_col, vector_col))
-    dims = valid.groupBy("dim").count().orderBy(F.desc("count"), "dim").limit(1).collect()
-    ids = df.select(F.col(f"`{id_col}`").cast("long").alias("id"))
-    if not dims:
-        return ids.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
-    dim = int(dims[0][0])
-    valid = valid.where(F.col("dim") == dim)
+def _of_length(scratch: Scratch, valid: DataFrame, dim: int, least: float, window: int) -> DataFrame:
+    """(v, component_id, n_links) of the distinct vectors of one length."""
     classes = scratch.save(valid.groupBy("v").agg(F.min("id").alias("id"), F.count("*").alias("copies")))
     rows = int(classes.count())
 
     def linked(passes: int, window: int, first: int, before: DataFrame | None) -> DataFrame:
-        found = scratch.save(_pass_links(classes, dim, passes, least, window, first)[0])
+        found = scratch.save(_pass_links(classes, dim, passes, least, window, rows, first)[0])
 
         def meet(group: pd.DataFrame) -> pd.DataFrame:
             group = group.sort_values("place")
@@ -280,7 +271,23 @@ def near_duplicates(df: DataFrame, least: float = 0.9, id_col: str = "vec_id", v
     dealt = open_.withColumn("y", F.explode(F.expr("sequence(0L, n - 1)")))
     dealt = dealt.select("comp", "id", "v", "copies", "core", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), F.when(F.col("x") == F.col("y"), 0).when(F.col("x") < F.col("y"), 1).otherwise(2).alias("side"))
     links = base.unionByName(_compared(dealt, dim, least)).groupBy("id").agg(F.sum("links").alias("links"))
-    of_class = scratch.save(classes.join(comps.withColumnRenamed("node", "id"), "id", "left").join(links, "id", "left").select("v", F.coalesce("component", "id").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
+    return scratch.save(classes.join(comps.withColumnRenamed("node", "id"), "id", "left").join(links, "id", "left").select("v", F.coalesce("component", "id").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
+
+
+def near_duplicates(df: DataFrame, least: float = 0.9, id_col: str = "vec_id", vector_col: str = "embedding", window: int = WINDOW) -> DataFrame:
+    """One row per row of ``df``: id, n_links, component_id, kept (id names the component)."""
+    spark = df.sparkSession
+    prepare(spark)
+    scratch = Scratch(spark, "vectors")
+    valid = scratch.save(_valid(df, id_col, vector_col))
+    dims = [int(r[0]) for r in valid.select("dim").distinct().orderBy("dim").collect()]
+    ids = df.select(F.col(f"`{id_col}`").cast("long").alias("id"))
+    if not dims:
+        return ids.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
+    of_class = None
+    for dim in dims:
+        part = _of_length(scratch, valid.where(F.col("dim") == dim), dim, least, window)
+        of_class = part if of_class is None else of_class.unionByName(part)
     of_row = valid.join(of_class, "v").select("id", "n_links", "component_id").dropDuplicates(["id"])
     out = ids.join(of_row, "id", "left").select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))

@@ -321,6 +321,26 @@ def test_vectors_of_a_dense_third_equal_brute_force(spark):
     assert sum(got[i].n_links for i in range(n // 3)) >= 0.95 * dense and sum(x.n_links for x in got.values()) >= 0.95 * hit.sum()
 
 
+def test_vectors_of_every_length_and_over_many_partitions(spark):
+    r = np.random.default_rng(11)
+    v = r.standard_normal((500, 16))
+    v[250:] = v[:250] + r.standard_normal((250, 16)) * 0.4
+    short = r.standard_normal((40, 8))
+    short[20:] = short[:20] + r.standard_normal((20, 8)) * 0.05
+    data = [(i, x.tolist()) for i, x in enumerate(v)] + [(1000 + i, x.tolist()) for i, x in enumerate(short)] + [(2000, [1.0, 2.0]), (2001, [1.0, 2.0]), (2002, [3.0])]
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        got = {x.vec_id: x for x in vecdedup.near_duplicates(spark.createDataFrame(data, "vec_id long, embedding array<double>")).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    for first, x in ((0, v), (1000, short)):
+        u = x / np.linalg.norm(x, axis=1, keepdims=True)
+        hit = (u @ u.T >= 0.9) & ~np.eye(len(x), dtype=bool)
+        assert sum(got[first + i].n_links for i in range(len(x))) >= 0.97 * hit.sum()
+    assert [(got[i].n_links, got[i].component_id) for i in (2000, 2001, 2002)] == [(1, 2000), (1, 2000), (0, 2002)]
+
+
 def test_lm_scores_equal_brute_force(spark, empty):
     data = [(i, prose(random.randint(0, 30))) for i in range(40)] + [(50, None), (51, ""), (51, ""), (52, "A a A")]
     got = sorted(map(tuple, lmscore.score_documents(spark.createDataFrame(data, "doc_id long, text string")).collect()))
