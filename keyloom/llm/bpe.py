@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
-from .runtime import fresh, prepare
+from .runtime import fresh, lean, prepare
 
 #: Bounds of what a Python worker keeps; a full cache is emptied, which changes no result.
 SLOT_BITS, POOL_IDS, CHUNK_CACHE = 20, 6_000_000, 12_000
@@ -343,7 +343,7 @@ def _mapped(df: DataFrame, text_col: str, add: list[tuple[str, object, pa.DataTy
             made = work(texts)
             yield pa.RecordBatch.from_arrays([b.column(i) for i in kept] + [pa.array(v, k) for v, (_, _, k) in zip(made, add, strict=True)], names=schema.names)
 
-    return part.mapInArrow(run, schema)
+    return part.mapInArrow(lean(run), schema)
 
 
 def encode_documents(df: DataFrame, vocabulary: str, text_col: str = "text", keep: list[str] | None = None, ids_col: str = "ids", chunked: bool = True) -> DataFrame:
@@ -375,7 +375,7 @@ def decode_documents(df: DataFrame, vocabulary: str, ids_col: str = "ids", out_c
         for b in batches:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([c.decode(x or b"") for x in b.column(where).to_pylist()], pa.string())], names=schema.names)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(lean(run), schema)
 
 
 def encode_and_decode(df: DataFrame, vocabulary: str, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import Scratch
+from .runtime import Scratch, lean
 
 ROUNDS = 60
 #: Edges of 16 bytes that one task may hold (16 MB): up to so many are grouped by one union-find.
@@ -53,7 +53,7 @@ def _forests(edges: DataFrame) -> DataFrame:
         for i in range(0, len(a), 1 << 16):
             yield pa.RecordBatch.from_arrays([pa.array(a[i : i + (1 << 16)]), pa.array(b[i : i + (1 << 16)])], names=["a", "b"])
 
-    return edges.select(F.col("a").cast("long"), F.col("b").cast("long")).mapInArrow(run, "a long, b long")
+    return edges.select(F.col("a").cast("long"), F.col("b").cast("long")).mapInArrow(lean(run), "a long, b long")
 
 
 def _both(edges: DataFrame) -> DataFrame:

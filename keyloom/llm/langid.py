@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .runtime import fresh, prepare
+from .runtime import fresh, lean, prepare
 
 #: Labelled documents per language that the classifier is fitted on at most (the bound of the sample), landmarks of them, ridge, and languages.
 PER_LANGUAGE, LANDMARKS, RIDGE, MOST_LANGUAGES = 400, 96, 1e-3, 256
@@ -143,7 +143,7 @@ def sample(labelled: DataFrame, id_col: str, text_col: str, label_col: str, per_
             codes = [grams(t).astype("<i4").tobytes() for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(1), b.column(0), pa.array(codes, pa.binary())], names=["label", "h", "codes"])
 
-    rows = sorted((r[0], r[1], bytes(r[2])) for r in narrow.where(keep).mapInArrow(run, schema).where("length(codes) > 0").collect())
+    rows = sorted((r[0], r[1], bytes(r[2])) for r in narrow.where(keep).mapInArrow(lean(run), schema).where("length(codes) > 0").collect())
     out, taken = [], {}
     for label, _, codes in rows:
         if taken.get(label, 0) < per_language:
@@ -170,7 +170,7 @@ def predict(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
             lang, score = model.score(b.column(where).to_pylist())
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=schema.names)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(lean(run), schema)
 
 
 def held_out(id_col: str = "doc_id") -> Column:

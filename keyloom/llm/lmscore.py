@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, IntegerType, LongType, StringType, StructField, StructType
 
-from .runtime import prepare, shuffle_width
+from .runtime import lean, prepare, shuffle_width
 from .textkeys import mix, word_hashes
 
 BACKOFF, UNSEEN, PER_BATCH = 0.4, 0.5, 400
@@ -143,8 +143,8 @@ def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 yield pa.RecordBatch.from_arrays([part.column(c).combine_chunks() if not isinstance(part.column(c).combine_chunks(), pa.ChunkedArray) else part.column(c).combine_chunks().chunk(0) for c in ("bucket", "batch", "order")] + [pa.array([str(sums.dtype.itemsize)] * len(raw), pa.string()), pa.array([x.tobytes() for x in np.split(sums, cut)], pa.binary())], names=summed.names)
 
     # the exploding step takes the dealt rows whole, so that their exchange is shared with the last one
-    exploded = dealt.sortWithinPartitions("batch").mapInArrow(explode, packed)
-    totals = exploded.repartition(n, "bucket").sortWithinPartitions("bucket", "order", "batch").mapInArrow(total, summed)
+    exploded = dealt.sortWithinPartitions("batch").mapInArrow(lean(explode), packed)
+    totals = exploded.repartition(n, "bucket").sortWithinPartitions("bucket", "order", "batch").mapInArrow(lean(total), summed)
     words = int(df.select(F.size(F.filter(F.split(F.coalesce(text, F.lit("")), "[\\x20\\x09-\\x0D]+"), lambda w: w != "")).cast("long").alias("w")).agg(F.sum("w")).first()[0] or 0)
 
     def meet(own: pd.DataFrame, sums: pd.DataFrame) -> pd.DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, DoubleType, IntegerType, LongType, StructField, StructType
 
 from .components import components
-from .runtime import Scratch, prepare, shuffle_width
+from .runtime import Scratch, lean, prepare, shuffle_width
 
 HOP_S, LOWEST_HZ, SPAN, STEP = 0.064, 130.8128, 8, 0.06
 #: Share of the shorter recording that must overlap, frames that must at least, and bit errors allowed there.
@@ -174,7 +174,7 @@ def fingerprints(df: DataFrame, id_col: str, media_col: str) -> DataFrame:
             made = [fingerprint(*samples(x.as_py())).astype("<u4").tobytes() for x in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made, pa.binary())], names=schema.names)
 
-    return df.select(F.col(f"`{id_col}`").cast("long"), F.col(f"`{media_col}`")).mapInArrow(run, schema)
+    return df.select(F.col(f"`{id_col}`").cast("long"), F.col(f"`{media_col}`")).mapInArrow(lean(run), schema)
 
 
 def _aligned(pairs: DataFrame, codes: DataFrame) -> DataFrame:
@@ -194,7 +194,7 @@ def _aligned(pairs: DataFrame, codes: DataFrame) -> DataFrame:
 
     one = codes.select(F.col("id").alias("b"), F.col("codes").alias("codes_b"))
     two = codes.select(F.col("id").alias("a"), F.col("codes").alias("codes_a"))
-    return pairs.join(one, "b").join(two, "a").select("a", "b", "hints", "codes_a", "codes_b").mapInArrow(run, schema)
+    return pairs.join(one, "b").join(two, "a").select("a", "b", "hints", "codes_a", "codes_b").mapInArrow(lean(run), schema)
 
 
 def _around(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -280,8 +280,8 @@ def _candidates(scratch: Scratch, codes: DataFrame) -> DataFrame:
             yield made(pa.Table.from_batches(held))
 
     for turn in range(TURNS):
-        rows = codes.select("id", "codes").mapInArrow(places(turn), placed)
-        part = scratch.save(rows.repartition(width, "code").sortWithinPartitions("code").mapInArrow(meet, "a long, b long, offset long"))
+        rows = codes.select("id", "codes").mapInArrow(lean(places(turn)), placed)
+        part = scratch.save(rows.repartition(width, "code").sortWithinPartitions("code").mapInArrow(lean(meet), "a long, b long, offset long"))
         scratch.release()
         found = part if found is None else found.unionByName(part)
     return found.groupBy("a", "b").agg(F.collect_set("offset").alias("hints"))
@@ -330,4 +330,4 @@ def sonify(df: DataFrame, id_col: str, text_col: str, out_col: str = "media", ra
                     w.writeframes(notes[note[bounds[i] : bounds[i + 1]].astype(np.int64)].tobytes())
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 1), pa.array([f.getvalue()], pa.binary())], names=schema.names)
 
-    return df.select(F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`")).mapInArrow(run, schema)
+    return df.select(F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`")).mapInArrow(lean(run), schema)

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
 from .components import components, forest
-from .runtime import Scratch, fresh, prepare, shuffle_width
+from .runtime import Scratch, fresh, lean, prepare, shuffle_width
 from .textkeys import mix, shingles, word_hashes
 
 #: 21 bands of 6 slots: documents with a Jaccard similarity of 0.85 share a bucket with probability 0.99995, those of 0.8 with 0.998.
@@ -90,7 +90,7 @@ def _sketches(df: DataFrame, id_col: str, text_col: str, width: int) -> DataFram
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(sketch, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=names)
 
     text = F.col(f"`{text_col}`")
-    return df.select(F.col(f"`{id_col}`").cast("long"), F.xxhash64(text), text).mapInArrow(run, schema)
+    return df.select(F.col(f"`{id_col}`").cast("long"), F.xxhash64(text), text).mapInArrow(lean(run), schema)
 
 
 def _sets(df: DataFrame, width: int) -> DataFrame:
@@ -102,7 +102,7 @@ def _sets(df: DataFrame, width: int) -> DataFrame:
             sets = shingles(*word_hashes([t or "" for t in b.column(1).to_pylist()]), width)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["id", "what"])
 
-    return df.select("id", "text").mapInArrow(run, schema)
+    return df.select("id", "text").mapInArrow(lean(run), schema)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -163,7 +163,7 @@ def _promising(rows: DataFrame, least: float) -> DataFrame:
             if hit.any():
                 yield pa.RecordBatch.from_arrays([pa.array(part.column("key").to_numpy()[hit]), pa.array(ids[hit])], names=["key", "id"])
 
-    return _dealt(rows, "sketch").mapInArrow(run, "key long, id long").distinct()
+    return _dealt(rows, "sketch").mapInArrow(lean(run), "key long, id long").distinct()
 
 
 def payloads(column: pa.ChunkedArray) -> list:
@@ -186,7 +186,7 @@ def _linked_blocks(rows: DataFrame, exact: Callable[[list, list], tuple[np.ndarr
             a, b = forest(ids[left[i]], ids[right[j]]) if len(i) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
-    return _dealt(rows, "what").mapInArrow(run, "a long, b long")
+    return _dealt(rows, "what").mapInArrow(lean(run), "a long, b long")
 
 
 def jaccard_links(left: list, right: list, percent: int) -> np.ndarray:
@@ -281,9 +281,10 @@ def near_duplicates(df: DataFrame, percent: int = 80, width: int = 5, id_col: st
 
 def keep_one(df: DataFrame, percent: int = 80, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``df`` that near_duplicates keeps, with all columns; rows with the same id and text stay once."""
-    kept = near_duplicates(df, percent, width, id_col, text_col).where("kept").select(F.col(id_col).alias("kept_id"), F.col("text_hash").alias("kept_hash"))
+    own_id, own_hash, kept_id, kept_hash = fresh(df, "own_id", "own_hash", "kept_id", "kept_hash")
+    found = near_duplicates(df.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")), percent, width, id_col, text_col)
+    kept = found.where("kept").select(F.col(f"`{id_col}`").alias(kept_id), F.col("text_hash").alias(kept_hash))
     kept = Scratch(df.sparkSession, "kept").save(kept.distinct())
-    own_id, own_hash = fresh(df, "own_id", "own_hash")
     rows = df.withColumn(own_id, F.col(f"`{id_col}`").cast("long")).withColumn(own_hash, F.xxhash64(F.col(f"`{text_col}`")))
-    rows = rows.join(kept, F.col(own_id).eqNullSafe(F.col("kept_id")) & (F.col(own_hash) == F.col("kept_hash")), "left_semi")
+    rows = rows.join(kept, F.col(own_id).eqNullSafe(F.col(kept_id)) & (F.col(own_hash) == F.col(kept_hash)), "left_semi")
     return rows.dropDuplicates([own_id, own_hash]).select(*[F.col(f"`{c}`") for c in df.columns])

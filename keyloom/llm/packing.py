@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from .bpe import coder
-from .runtime import Scratch, fresh, global_rank, prepare
+from .runtime import Scratch, fresh, global_rank, lean, prepare
 
 PLACED = ("sequence_id", "offset")
 
@@ -107,7 +107,7 @@ def token_pieces(df: DataFrame, vocabulary: str, end_id: int, capacity: int, id_
                     ids.append(piece)
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(take, pa.int64())), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(total, pa.int64()), pa.array(ids, pa.binary())], names=schema.names)
 
-    return part.mapInArrow(run, schema)
+    return part.mapInArrow(lean(run), schema)
 
 
 def pack(pieces: DataFrame, capacity: int, order: list[str], length_col: str = "length", scratch: Scratch | None = None) -> DataFrame:
@@ -145,4 +145,4 @@ def pack(pieces: DataFrame, capacity: int, order: list[str], length_col: str = "
             made = [at["sequence"][i] + t // copies, at["offset"][i] + t % copies * n]
             yield pa.RecordBatch.from_arrays([c for j, c in enumerate(b.columns) if j != r_at] + [pa.array(x, pa.int64()) for x in made], names=schema.names)
 
-    return ranked.mapInArrow(run, schema)
+    return ranked.mapInArrow(lean(run), schema)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructField, StructType
 
-from .runtime import fresh, prepare
+from .runtime import fresh, lean, prepare
 
 KINDS = ("email", "ip", "card", "phone")
 #: Documents that the field is fitted on at most (the bound of the sample), hashed features, the move under which messages have settled, rounds after which damping is stronger (a field that still swings stops after four times as many), and the probability that adds a span.
@@ -273,7 +273,7 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: i
             graphs = [document_graph(t, base_spans(t))[1:] for t in b.column(0).to_pylist() if t]
             yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(g) for g in graphs if len(g[0])], pa.binary())], names=["graph"])
 
-    graphs = sorted(bytes(r[0]) for r in some.mapInArrow(run, "graph binary").collect())
+    graphs = sorted(bytes(r[0]) for r in some.mapInArrow(lean(run), "graph binary").collect())
     return Field.fit([pickle.loads(g) for g in graphs])
 
 
@@ -292,7 +292,7 @@ def find(df: DataFrame, field: Field, text_col: str = "text", out_col: str = "pi
             made = [[{"kind": KINDS[k], "start": s, "end": e, "base": x} for k, s, e, x in field.spans(t)] if t else [] for t in b.column(where).to_pylist()]
             yield pa.RecordBatch.from_arrays([*[b.column(i) for i in kept], pa.array(made, kind)], names=schema.names)
 
-    return part.mapInArrow(run, schema)
+    return part.mapInArrow(lean(run), schema)
 
 
 def redacted(text: str, spans: list[tuple[int, int, int, bool]]) -> str:
@@ -315,4 +315,4 @@ def redact(df: DataFrame, field: Field, text_col: str = "text") -> DataFrame:
             texts = [redacted(t, field.spans(t)) if t else t for t in b.column(where).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[:where], pa.array(texts, pa.string()), *b.columns[where + 1 :]], names=schema.names)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(lean(run), schema)

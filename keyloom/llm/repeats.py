@@ -26,14 +26,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StringType, StructField, StructType
 
-from .runtime import Scratch, fresh, prepare, shuffle_width
+from .runtime import Scratch, fresh, lean, prepare, shuffle_width
 from .textkeys import mix, prefix_hashes
 
 WIDTH, SEED = 100, 24
 #: Samples of one seed above which it is dealt over several tasks, and rows of each deal.
 HOT, DEAL = 4000, 2000
-#: Bytes of text worked on at once, and rows of stretches ranked at once.
-BLOCK, ROWS = 1 << 18, 8_000
+#: Bytes of text worked on at once, and bytes of stretches ranked at once (some 100 bytes of memory each).
+BLOCK, STRETCHES = 1 << 18, 1 << 19
 _NULL_ID = -(1 << 63)
 
 
@@ -110,7 +110,7 @@ def _seeds(docs: DataFrame, width: int) -> DataFrame:
                 counts.append(n.astype(np.int32))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(seeds, pa.list_(pa.int64())), pa.array(counts, pa.list_(pa.int32()))], names=schema.names)
 
-    return docs.select("key", "text").mapInArrow(run, schema)
+    return docs.select("key", "text").mapInArrow(lean(run), schema)
 
 
 def _stretches(tied: DataFrame, cols: list[str], width: int) -> DataFrame:
@@ -153,7 +153,7 @@ def _stretches(tied: DataFrame, cols: list[str], width: int) -> DataFrame:
                 s = slice(i, i + 4096)
                 yield pa.RecordBatch.from_arrays([pa.array(seed[k][s]), pa.array(salt[s]), pa.array(salts[s].astype(np.int32)), pa.array(key[text[k]][s]), pa.array(mark[text[k]][s]), pa.array(first[k][s]), pa.array(data[s], pa.binary())], names=names)
 
-    return tied.mapInArrow(run, schema)
+    return tied.mapInArrow(lean(run), schema)
 
 
 def _runs(flag: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -201,8 +201,8 @@ def _ranked(stretches: DataFrame, width: int) -> DataFrame:
         size = 0
         for b in batches:
             held.append(b)
-            size += b.num_rows
-            if size < ROWS:
+            size += b.column("bytes").nbytes
+            if size < STRETCHES:
                 continue
             t = pa.Table.from_batches(held)
             seed, salt = t.column("seed").to_numpy(), t.column("salt").to_numpy()
@@ -210,13 +210,13 @@ def _ranked(stretches: DataFrame, width: int) -> DataFrame:
             if cut:
                 yield solve(t.slice(0, cut))
             held = t.slice(cut).to_batches()
-            size = t.num_rows - cut
-        if size:
+            size = sum(x.column("bytes").nbytes for x in held)
+        if held:
             yield solve(pa.Table.from_batches(held))
 
     n = shuffle_width(stretches.sparkSession)
     dealt = stretches.repartition(n, "seed", "salt").sortWithinPartitions("seed", "salt", "key", "start")
-    return dealt.mapInArrow(run, schema)
+    return dealt.mapInArrow(lean(run), schema)
 
 
 def _last(ranked: DataFrame) -> DataFrame:
@@ -235,7 +235,7 @@ def _last(ranked: DataFrame) -> DataFrame:
             yield b.select(["key", "mark", "start", "end"]).filter(pa.array(keep, pa.bool_()))
 
     hot = ranked.where("window is not null")
-    return hot.repartition(shuffle_width(ranked.sparkSession), "window").sortWithinPartitions("window", "key", "start").select("key", "mark", "start", "end", "window").mapInArrow(run, schema)
+    return hot.repartition(shuffle_width(ranked.sparkSession), "window").sortWithinPartitions("window", "key", "start").select("key", "mark", "start", "end", "window").mapInArrow(lean(run), schema)
 
 
 def _copies(scratch: Scratch, rows: DataFrame, width: int) -> DataFrame:
@@ -303,7 +303,7 @@ def remove_repeats(df: DataFrame, width: int = WIDTH, id_col: str = "doc_id", te
                 spans.append([{"start": s, "end": e} for s, e in edge.reshape(-1, 2).tolist()])
             yield pa.RecordBatch.from_arrays([*b.columns[:-2], pa.array(kept, pa.binary()), pa.array(size, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, kind)], names=schema.names)
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(lean(run), schema)
 
 
 @F.pandas_udf(StringType())

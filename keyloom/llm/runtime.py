@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+import atexit
+import ctypes
 import gc
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows that one Arrow batch hands to Python; texts are long, so far fewer than Spark's default.
-ARROW_ROWS = 512
+#: Rows and bytes that one Arrow batch hands to Python; texts are long, so far fewer than Spark's default.
+ARROW_ROWS, ARROW_BYTES = 512, 4 << 20
+#: What Python workers start with: freed memory of Arrow and numpy goes back to the system, not into pools of their own.
+WORKER_ENV = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_ARENA_MAX": "2", "MALLOC_MMAP_THRESHOLD_": str(4 << 20)}
 
 
 def prepare(spark: SparkSession) -> None:
@@ -20,8 +26,32 @@ def prepare(spark: SparkSession) -> None:
     root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)
+    for name, value in WORKER_ENV.items():
+        env.setdefault(name, value)
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) >= 10000:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+
+
+def trim() -> None:
+    """Hand freed memory of this process back to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not the GNU C library
+        pass
+
+
+def lean(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``work`` on an iterator of batches; its worker process lives on after the task, but keeps no freed memory."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from work(batches)
+        finally:
+            trim()
+
+    return run
 
 
 def shuffle_width(spark: SparkSession) -> int:
@@ -29,21 +59,46 @@ def shuffle_width(spark: SparkSession) -> int:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a temporary one where it is unset (tests)."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a temporary one where it is unset and all runs in one process (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = getattr(shared_folder, "own", None)
         if folder is None:
             folder = shared_folder.own = "file://" + tempfile.mkdtemp(prefix="keyloom-")
     return folder.rstrip("/")
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
+
+
 class Scratch:
-    """Parquet tables in the shared folder: they cut lineage and survive the loss of an executor."""
+    """Parquet tables in the shared folder: they cut lineage and survive the loss of an executor.
+
+    Results read them, so what no operator drops earlier goes by ``forget`` or when the driver ends.
+    """
+
+    roots: dict[str, SparkSession] = {}
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_folder(spark)}/keyloom-{name}-{uuid.uuid4().hex}"
         self.count = 0
+        if not Scratch.roots:
+            atexit.register(Scratch.forget)
+        Scratch.roots[self.root] = spark
+
+    @classmethod
+    def forget(cls, since: set[str] = frozenset()) -> None:
+        """Remove the tables of all operators but those named in ``since``: nothing that read them is used any more."""
+        for root in [r for r in cls.roots if r not in since]:
+            try:
+                delete(cls.roots.pop(root), root)
+            except Exception:  # noqa: BLE001 - the session may have ended
+                continue
 
     def save(self, df: DataFrame) -> DataFrame:
         self.count += 1
@@ -57,9 +112,7 @@ class Scratch:
         """Remove a table that nothing reads any more."""
         path = getattr(df, "_keyloom_path", None)
         if path:
-            jvm = self.spark._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
+            delete(self.spark, path)
 
     def release(self) -> None:
         """Let Spark's cleaner remove the shuffle files of plans that nothing refers to any more; it learns of them by garbage collection."""

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
 
 from .components import components
-from .runtime import Scratch, prepare, shuffle_width
+from .runtime import Scratch, lean, prepare, shuffle_width
 
 WINDOW, RECALL, SEED, TILE = 64, 0.97, 7, 512
 #: Vectors whose links are all known by comparison (the bound of the sample), partners of each that are kept of a batch, and window and passes of the first further round (the window doubles with each).
@@ -72,7 +72,7 @@ def _valid(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
                     ids.append(i), raws.append(v.tobytes()), dims.append(len(v))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(raws, pa.binary()), pa.array(dims, pa.int32())], names=schema.names)
 
-    return df.select(F.col(f"`{id_col}`").cast("long"), F.col(f"`{vector_col}`")).mapInArrow(run, schema)
+    return df.select(F.col(f"`{id_col}`").cast("long"), F.col(f"`{vector_col}`")).mapInArrow(lean(run), schema)
 
 
 def _forest(ids: np.ndarray, unit: np.ndarray, least: float, window: int, split: int = 0) -> list[tuple[int, int]]:
@@ -146,9 +146,9 @@ def _pass_links(vectors: DataFrame, dim: int, passes: int, least: float, window:
             rows += [(1, int(turns[-1]), part, window - len(tail) + k, int(ids[i]), None, raws[i]) for k, i in enumerate(tail)]
         yield edges(rows)
 
-    spread = vectors.select("id", "v").mapInArrow(keys, keyed)
+    spread = vectors.select("id", "v").mapInArrow(lean(keys), keyed)
     n = max(1, min(shuffle_width(vectors.sparkSession), rows * passes // (4 * window)))  # only neighbours meet, so a partition holds several windows
-    return spread.repartitionByRange(n, "turn", "order", "id").sortWithinPartitions("turn", "order", "id").mapInArrow(compare, out), out
+    return spread.repartitionByRange(n, "turn", "order", "id").sortWithinPartitions("turn", "order", "id").mapInArrow(lean(compare), out), out
 
 
 def _links(ids: np.ndarray, raws: list[bytes], turns: np.ndarray, dim: int, least: float, window: int) -> list[tuple]:
@@ -179,7 +179,7 @@ def _sampled_links(classes: DataFrame, rows: int, dim: int, least: float) -> Dat
             few = np.arange(len(i)) - np.searchsorted(i, i) < PARTNERS
             yield pa.RecordBatch.from_arrays([pa.array(ids[i[few]]), pa.array(own[j[few]])], names=["a", "b"])
 
-    return classes.select("id", "v").mapInArrow(run, "a long, b long")
+    return classes.select("id", "v").mapInArrow(lean(run), "a long, b long")
 
 
 def _measured_recall(links: DataFrame, comps: DataFrame) -> float:
@@ -201,7 +201,7 @@ def _counted(members: DataFrame, dim: int, least: float) -> DataFrame:
                 near = (_unit(b.column("v").to_pylist(), dim) * _unit(b.column("pv").to_pylist(), dim)).sum(axis=1) >= half + 1e-12
                 yield pa.RecordBatch.from_arrays([*[b.column(c) for c in ("comp", "id", "v", "copies")], pa.array(near)], names=["comp", "id", "v", "copies", "core"])
 
-    return members.select("comp", "id", "v", "copies", "pv").mapInArrow(core, "comp long, id long, v binary, copies long, core boolean")
+    return members.select("comp", "id", "v", "copies", "pv").mapInArrow(lean(core), "comp long, id long, v binary, copies long, core boolean")
 
 
 def _compared(rows: DataFrame, dim: int, least: float) -> DataFrame:
