@@ -46,22 +46,49 @@ def submit(spark: SparkSession, job_id: str, body: dict, cache: DataFrame) -> Da
 
 
 def with_model(df: DataFrame, call: Callable[[list[dict]], list[str | None]], out_col: str = "answer") -> DataFrame:
-    """Append the answers of an injected model (language model, recogniser, browser) to rows, a batch at a time; failed calls give null."""
-    schema = StructType([*df.schema.fields, StructField(out_col, StringType())])
+    """Append the answers of an injected model (language model, recogniser, browser) to rows, a batch at a time, and the error of each call that failed.
+
+    If a call for a batch fails, its rows are asked one by one, so only those that fail again have no answer.
+    """
+    schema = StructType([*df.schema.fields, StructField(out_col, StringType()), StructField(out_col + "_error", StringType())])
+
+    def ask(rows: list[dict]) -> tuple[list[str | None], list[str | None]]:
+        try:
+            answers = list(call(rows))
+            if len(answers) != len(rows):
+                raise ValueError(f"{len(answers)} answers to {len(rows)} rows")
+            return answers, [None] * len(rows)
+        except Exception as error:  # noqa: BLE001 - an external service: the row stays, with the error
+            if len(rows) == 1:
+                return [None], [f"{type(error).__name__}: {error}"]
+        parts = [ask([r]) for r in rows]
+        return [a for p, _ in parts for a in p], [e for _, p in parts for e in p]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            try:
-                answers = call(b.to_dict("records"))
-            except Exception:  # an external service: the row stays, without an answer
-                answers = [None] * len(b)
-            yield b.assign(**{out_col: answers})
+            answers, errors = ask(b.to_dict("records")) if len(b) else ([], [])
+            yield b.assign(**{out_col: answers, out_col + "_error": errors})
 
     return df.mapInPandas(run, schema)
 
 
+def first_model(models: list[str], call: Callable[[str, str], str]) -> Callable[[str], tuple[str, str]]:
+    """A caller of the first model that answers: gives its name and answer, or raises the last error."""
+
+    def ask(prompt: str) -> tuple[str, str]:
+        error: Exception = ValueError("no model named")
+        for m in models:
+            try:
+                return m, call(m, prompt)
+            except Exception as e:  # noqa: BLE001 - the next model may answer
+                error = e
+        raise error
+
+    return ask
+
+
 def product_gate(classified: DataFrame, is_sales_page: Callable[[list[dict]], list[str | None]]) -> DataFrame:
     """Let a model overrule the page class (answers ``true`` or ``false``); blocked, waiting and support pages are not asked."""
     asked = ~F.col("page_class").isin("blocked_page", "waiting_page", "support_spec_page", "document_download_heavy_support_page")
-    answered = with_model(classified.where(asked), is_sales_page, "sales").unionByName(classified.where(~asked).withColumn("sales", F.lit(None).cast("string")))
+    answered = with_model(classified.where(asked), is_sales_page, "sales").drop("sales_error").unionByName(classified.where(~asked).withColumn("sales", F.lit(None).cast("string")))
     return answered.withColumn("page_class", F.when(F.lower("sales") == "false", "non_product_page").otherwise(F.col("page_class"))).drop("sales")

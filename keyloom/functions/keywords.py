@@ -105,7 +105,7 @@ def semantic_signature(keyword: Column, t: Column | None = None) -> Column:
 
 
 def family_key(keyword: Column) -> Column:
-    return F.array_join(F.slice(F.filter(tokens(keyword, FAMILY_TOKEN), lambda x: ~x.isin(*dims.MODIFIERS)), 1, 2), " ")
+    return F.array_join(F.slice(F.filter(tokens(keyword, FAMILY_TOKEN), lambda x: ~x.isin(*dims.SELECTION_MODIFIERS)), 1, 2), " ")
 
 
 def filler(keyword: Column, t: Column | None = None) -> Column:

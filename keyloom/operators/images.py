@@ -6,34 +6,74 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from keyloom import dims
+from keyloom.functions.arrays import let, none, rows_of
 from keyloom.functions.keywords import has_any
-from keyloom.functions.web import host, unescape
+from keyloom.functions.web import unescape
 
+CODELIKE = r"(?U)\b(?:[a-z]{1,3}[0-9]+[a-z0-9]*|[0-9]+[a-z]{1,3}[a-z0-9]*)\b"
 _CODELIKE = r"(?:^|[^\p{L}\p{N}_])((?:[a-z]{1,3}[0-9]+[a-z0-9]*|[0-9]+[a-z]{1,3}[a-z0-9]*))(?=[^\p{L}\p{N}_]|$)"
 
 
 def _attribute(tag: Column, name: str) -> Column:
-    return F.nullif(F.trim(unescape(F.regexp_extract(tag, rf"(?is)(?:^|[\s\"'])" + name + r"\s*=\s*(?:\"([^\"]*)\"|'[^']*')", 1))), F.lit(""))
+    """Value of an attribute in double or single quotes; null if there is none."""
+    start = rf"(?is)(?:^|[\s\"'])" + name + r"\s*=\s*"
+    value = F.coalesce(F.nullif(F.regexp_extract(tag, start + r"\"([^\"]*)\"", 1), F.lit("")), F.regexp_extract(tag, start + "'([^']*)'", 1))
+    return F.nullif(F.trim(unescape(value)), F.lit(""))
+
+
+def _without_dots(path: Column) -> Column:
+    """A path with its ``.`` and ``..`` parts resolved."""
+    parts = F.split(path, "/")
+    step = lambda out, p: F.when(p == ".", out).when(p == "..", F.slice(out, F.lit(1), F.greatest(F.size(out) - 1, F.lit(1)))).otherwise(F.concat(out, F.array(p)))
+    plain = F.array_join(F.aggregate(parts, F.array().cast("array<string>"), step), "/")
+    return F.when(path.rlike(r"(?:^|/)\.\.?(?:/|$)"), plain).otherwise(path)
 
 
 def resolved(base: Column, link: Column) -> Column:
     """A link against its page: absolute, scheme-relative, root-relative or beside the page."""
     scheme = F.regexp_extract(base, "^([A-Za-z][A-Za-z0-9+.-]*):", 1)
-    root = F.concat(scheme, F.lit("://"), host(base))
-    folder = F.concat(root, F.regexp_extract(base, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*((?:/[^?#/]*)*)/", 1), F.lit("/"))
-    return F.when(link.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), link).when(link.startswith("//"), F.concat(scheme, F.lit(":"), link)).when(link.startswith("/"), F.concat(root, link)).otherwise(F.concat(folder, link))
+    root = F.concat(scheme, F.lit("://"), F.regexp_extract(base, "^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
+    folder = F.concat(F.regexp_extract(base, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*((?:/[^?#/]*)*)/", 1), F.lit("/"))
+    tail = F.regexp_extract(link, r"([?#].*)$", 1)
+    path = F.regexp_replace(link, r"[?#].*$", "")
+    return F.when(link.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), link).when(link.startswith("//"), F.concat(scheme, F.lit(":"), link)).when(link.startswith("/"), F.concat(root, _without_dots(path), tail)).otherwise(F.concat(root, _without_dots(F.concat(folder, path)), tail))
+
+
+def _source(value: Column) -> Column:
+    """The link of a source attribute: the first of a set, without its width; null for inline data."""
+    first = F.when(F.contains(value, F.lit(",")) & (F.contains(value, F.lit("srcset")) | F.contains(value, F.lit(" "))), F.substring_index(value, ",", 1)).otherwise(value)
+    link = F.trim(F.substring_index(F.trim(first), " ", 1))
+    return F.when((link != "") & ~link.startswith("data:"), link)
 
 
 def image_candidates(pages: DataFrame, most: int = 30) -> DataFrame:
-    """The first usable source of each ``img`` tag, each resolved url once, the first ``most`` of a page (columns page_id, url, html)."""
-    tags = pages.select("page_id", "url", F.posexplode(F.regexp_extract_all("html", F.lit(r"(?i)(<img\b[^>]*>)"), F.lit(1))).alias("dom_index", "tag"))
-    sources = F.array(*[F.struct(F.lit(a).alias("attribute"), _attribute(F.col("tag"), a).alias("raw")) for a in dims.IMAGE_SOURCES])
-    clean = F.trim(F.substring_index(F.trim(F.substring_index("s.raw", ",", 1)), " ", 1))
-    out = tags.withColumn("s", F.try_element_at(F.filter(sources, lambda x: x["raw"].isNotNull() & ~x["raw"].startswith("data:")), F.lit(1))).where("s is not null")
-    out = out.withColumn("src", resolved(F.col("url"), clean)).select("page_id", "dom_index", "src", F.coalesce(_attribute(F.col("tag"), "alt"), F.lit("")).alias("alt"), "s.attribute", _attribute(F.col("tag"), "width").try_cast("int").alias("width"), _attribute(F.col("tag"), "height").try_cast("int").alias("height"))
-    first = F.row_number().over(Window.partitionBy("page_id", "src").orderBy("dom_index"))
-    place = F.row_number().over(Window.partitionBy("page_id").orderBy("dom_index"))
-    out = out.withColumn("turn", first).where("turn = 1").withColumn("turn", place).where(F.col("turn") <= most).drop("turn")
+    """For each ``img`` tag the first source that no tag before it gave, the first ``most`` of a page (columns page_id, url, html).
+
+    What a tag may give depends on those before it, so a page's tags are folded in their order; nothing shuffles.
+    """
+    tags = F.regexp_extract_all("html", F.lit(r"(?i)(<img\b[^>]*>)"), F.lit(1))
+    number = lambda tag, name: F.regexp_extract(F.coalesce(_attribute(tag, name), F.lit("")), "([0-9]+)", 1).try_cast("int")
+    link = lambda tag, a: let(_attribute(tag, a), lambda v: let(_source(v), lambda x: resolved(F.col("url"), x)))
+    option = lambda tag, a: F.struct(F.lit(a).alias("attribute"), link(tag, a).alias("src"))
+    read = F.transform(
+        F.coalesce(tags, none()),
+        lambda tag, i: F.struct(
+            i.alias("dom_index"),
+            F.coalesce(_attribute(tag, "alt"), F.lit("")).alias("alt"),
+            number(tag, "width").alias("width"),
+            number(tag, "height").alias("height"),
+            F.filter(F.array(*[option(tag, a) for a in dims.IMAGE_SOURCES]), lambda o: o["src"].isNotNull()).alias("options"),
+        ),
+    )
+    made = "array<struct<dom_index:int,src:string,alt:string,attribute:string,width:int,height:int>>"
+
+    def step(out: Column, t: Column) -> Column:
+        new = F.filter(t["options"], lambda o: ~F.exists(out, lambda p: p["src"] == o["src"]))
+        take = lambda o: F.struct(t["dom_index"].alias("dom_index"), o["src"].alias("src"), t["alt"].alias("alt"), o["attribute"].alias("attribute"), t["width"].alias("width"), t["height"].alias("height"))
+        return F.when(F.size(out) < most, F.concat(out, F.slice(F.transform(new, take), 1, 1))).otherwise(out)
+
+    out = pages.select("page_id", "url", read.alias("read"))
+    out = rows_of(out, F.aggregate("read", F.array().cast(made), step), "page_id").select("page_id", "x.*")
     return out.withColumn("detail_hint", (F.col("attribute") != "src") | has_any(F.lower("src"), dims.DETAIL_PATHS))
 
 

@@ -49,13 +49,26 @@ def valid_competitor(keyword: Column, competitors: Column, identity: Column, cat
 
 
 def taxonomy_terms(packs: DataFrame, taxonomy: DataFrame) -> DataFrame:
-    """Terms of each pack (columns key, types, tags): allowed types empty, ``*`` or shared, and all required tags present. The taxonomy is a small dimension."""
-    t = F.broadcast(taxonomy.select("entry_id", "term", F.coalesce("allowed_product_types", F.array().cast("array<string>")).alias("allowed"), F.coalesce("required_anchor_tags", F.array().cast("array<string>")).alias("required")))
+    """Terms of each pack (columns key, types, tags): allowed types empty, ``*`` or shared, and all required tags present. Spark sends the smaller side, if it is small enough."""
+    t = taxonomy.select("entry_id", "term", F.coalesce("allowed_product_types", F.array().cast("array<string>")).alias("allowed"), F.coalesce("required_anchor_tags", F.array().cast("array<string>")).alias("required"))
     typed = (F.size("allowed") == 0) | F.array_contains("allowed", "*") | F.arrays_overlap("allowed", "types")
     return packs.join(t, typed & (F.size(F.array_except("required", "tags")) == 0)).select("key", "entry_id", "term")
 
 
-def quality_warnings(fallback: Column, weak: Column, sufficiency: Column, page_class: Column, thin: Column) -> Column:
-    """Ordered reasons for a quality warning."""
-    rules = [(F.lit("fallback_used"), fallback), (F.lit("weak_backfill_used"), weak), (F.lit("borderline_sufficiency"), sufficiency == "borderline"), (F.concat(F.lit("page_class:"), page_class), page_class.isin(*dims.WARNING_CLASSES)), (F.lit("thin_pack"), thin)]
+def quality_warnings(fallback: Column, weak: Column, sufficiency: Column, page_class: Column, thin: Column, reason: Column | None = None, text_source: Column | None = None, recognised: Column | None = None, dominant: Column | None = None) -> Column:
+    """Ordered reasons for a quality warning; what is not given does not count."""
+    no = F.lit(None).cast("string")
+    reason, text_source = (no if c is None else F.nullif(c, F.lit("")) for c in (reason, text_source))
+    recognised, dominant = (F.lit(False) if c is None else c for c in (recognised, dominant))
+    rules = [
+        (F.lit("fallback_used"), fallback),
+        (F.concat(F.lit("fallback_reason:"), reason), reason.isNotNull()),
+        (F.concat(F.lit("preprocessing_source:"), text_source), text_source.isNotNull()),
+        (F.lit("weak_backfill_used"), weak),
+        (F.lit("borderline_sufficiency"), sufficiency == "borderline"),
+        (F.concat(F.lit("page_class:"), page_class), page_class.isin(*dims.WARNING_CLASSES)),
+        (F.lit("ocr_used"), recognised),
+        (F.lit("ocr_dominant"), dominant),
+        (F.lit("thin_pack"), thin),
+    ]
     return F.array_compact(F.array(*[F.when(c, n) for n, c in rules]))

@@ -19,7 +19,7 @@ def largest_remainder(targets: DataFrame, dim: DataFrame) -> DataFrame:
     """
     whole = sum(dims.CATEGORY_TARGETS.values())
     rest = F.greatest(F.lit(0), F.col("total") - len(dims.CATEGORY_TARGETS))
-    x = targets.crossJoin(F.broadcast(dim)).withColumn("scaled", F.col("target") * rest)
+    x = targets.crossJoin(dim).withColumn("scaled", F.col("target") * rest)
     x = x.withColumn("floor", F.floor(F.col("scaled") / whole)).withColumn("fraction", F.col("scaled") % whole)
     by_total = Window.partitionBy("total")
     place = F.row_number().over(by_total.orderBy(F.desc("fraction"), F.desc("target"), "pos"))
@@ -29,18 +29,19 @@ def largest_remainder(targets: DataFrame, dim: DataFrame) -> DataFrame:
 
 
 def divisor_plan(demand: DataFrame) -> DataFrame:
-    """Seats of each key (columns key, total, pos, category, weight, available): one each, then the largest weight / (n + 0.5) first.
+    """Seats of each key (columns key, total, pos, category, target, strength, weight, available): one each, then the largest weight / (n + 0.5) first.
 
     The k-th extra seat of a category has the priority weight / (k + 0.5), k from 1, so the greedy loop
-    is a top-k over all seats. With fewer seats than categories, the heaviest get one each.
+    is a top-k over all seats; ties go to the one with more seats to spare, then by target, then by pos.
+    With fewer seats than categories, the strongest get one each (ties by target, then by name).
     """
     active = demand.where("available > 0")
-    lead = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("weight"), "pos"))
+    lead = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("strength"), F.desc("target"), "category"))
     active = active.withColumn("lead", lead).withColumn("n", F.count("*").over(Window.partitionBy("key")))
     extra = active.where("total > n").withColumn("k", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.col("available") - 1)))).where("k < available")
-    place = F.row_number().over(Window.partitionBy("key").orderBy(F.desc(F.col("weight") / (F.col("k") + 0.5)), F.desc(F.col("available") - F.col("k")), F.desc("weight"), "pos", "k"))
+    place = F.row_number().over(Window.partitionBy("key").orderBy(F.desc(F.col("weight") / (F.col("k") + 0.5)), F.desc(F.col("available") - F.col("k")), F.desc("target"), "pos", "k"))
     won = extra.withColumn("place", place).where("place <= total - n").groupBy("key", "category").agg(F.count("*").alias("more"))
-    base = active.withColumn("one", F.when((F.col("total") >= F.col("n")) | (F.col("lead") <= F.col("total")), 1).otherwise(0))
+    base = active.withColumn("one", F.when((F.col("total") > 0) & ((F.col("total") >= F.col("n")) | (F.col("lead") <= F.col("total"))), 1).otherwise(0))
     return base.join(won, ["key", "category"], "left").select("key", "category", (F.col("one") + F.coalesce("more", F.lit(0))).cast("long").alias("seats"))
 
 
@@ -59,5 +60,5 @@ def slot_split(slots: DataFrame) -> DataFrame:
 def category_gaps(counts: DataFrame, plan: DataFrame) -> DataFrame:
     """Missing rows of (key, category) against a plan (category, seats); counts: key, category, n. Keys and plan meet by a cross with the small plan."""
     keys = counts.select("key").distinct()
-    full = keys.crossJoin(F.broadcast(plan)).join(counts, ["key", "category"], "left")
+    full = keys.crossJoin(plan).join(counts, ["key", "category"], "left")
     return full.select("key", "category", F.greatest(F.lit(0), F.col("seats") - F.coalesce("n", F.lit(0))).cast("long").alias("gap"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from keyloom import dims
 from keyloom.functions import keywords as K
 from keyloom.functions import web
+from keyloom.functions.arrays import texts, where_here
 from keyloom.operators import accuracy, facts, jobs, pages, quota, rows
 from keyloom.plans import sql as S
 
@@ -30,7 +31,7 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def products(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _t(spark, sf_dir, "part").select(F.concat(F.lit("https://shop.example.com/product/"), "p_partkey").alias("url"), F.col("p_name").alias("product_name"), F.col("p_brand").alias("brand"), F.col("p_type").alias("type"))
+    return _t(spark, sf_dir, "part").select(F.concat(F.lit("https://shop.example.com/product/"), "p_partkey").alias("url"), F.col("p_name").alias("product_name"), F.col("p_brand").alias("brand"), F.col("p_type").alias("type"), F.array(F.when(F.col("p_size") % 5 == 0, "skincare").otherwise("general")).alias("types"), F.filter(texts(S._RIVALS), lambda c: F.lower(c) != F.lower("p_brand")).alias("competitors"), texts(("ECONOMY", "SMALL")).alias("category_terms"), F.array("p_name").alias("identity"))
 
 
 def candidate_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,9 +41,24 @@ def candidate_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- URLs
 
 
-@query("U01_canonical_url", f"SELECT page_id, {S.canonical('url')} AS canonical_url FROM pages")
+#: Urls that hold what is easily lost: values that end in "=", escapes that are none, signs that form encoding keeps or changes, ports, users, repeats.
+_URLS = "concat(CASE p_size % 4 WHEN 0 THEN 'HTTPS://Shop.Example.com:443//p//' WHEN 1 THEN 'http://u:w@h.example.com:8080/p/' WHEN 2 THEN 'http://h.example.com:080/p' ELSE 'https://h.example.com/p/x/' END, '?id=', p_partkey, CASE p_size % 3 WHEN 0 THEN '==' WHEN 1 THEN '%3D' ELSE '' END, '&d=100%zz&a=~x*y+z&b=%41%20é&empty=&flag&utm_source=q&Ref=1&ref=2', CASE WHEN p_size % 2 = 0 THEN '&a=0' ELSE '&c=a=b' END, '#f?x=1')"
+
+
+@query("U01_canonical_url", f"SELECT page_id, {S.canonical('url')} AS canonical_url FROM (SELECT page_id, url FROM pages UNION ALL SELECT p_partkey + 1000000, {_URLS} FROM part)")
 def u01(spark, d):
-    return _t(spark, d, "pages").select("page_id", web.canonical_url(F.col("url")).alias("canonical_url"))
+    made = _t(spark, d, "part").select((F.col("p_partkey") + 1000000).alias("page_id"), F.expr(_URLS).alias("url"))
+    return _t(spark, d, "pages").select("page_id", "url").unionByName(made).select("page_id", web.canonical_url(F.col("url")).alias("canonical_url"))
+
+
+_REFERENCES = {"caf&eacute; &euro;": "café €", "&#8361; 38&hellip;": "₩ 38…", "&#xE9;&AMP;&copy2": "é&©2", "a&amp;lt;b &notit; &unknown;": "a&lt;b ¬it; &unknown;", "x&nbsp;&nbsp;y &#150; &#0;": "x y – \ufffd"}
+
+
+@query("H01_references", "SELECT p_partkey, 'T' || p_partkey || ' ' || CASE p_size % 5 " + " ".join(f"WHEN {i} THEN {S.q(v)}" for i, v in enumerate(_REFERENCES.values())) + " END AS title FROM part")
+def h01r(spark, d):
+    said = F.get(texts(tuple(_REFERENCES)), F.col("p_size") % 5)
+    html = F.concat(F.lit("<p>x</p><TITLE a=1>\n T"), F.col("p_partkey").cast("string"), F.lit("  "), said, F.lit(" \t</TITLE><title>y</title>"))
+    return _t(spark, d, "part").select("p_partkey", web.title(html).alias("title"))
 
 
 @query("U02_cache_key", f"SELECT page_id, 'kwg:' || sha256({S.canonical('url')}) || ':platform:naver_sa:policy:v1:taxonomy:v1:generator:v1' AS cache_key FROM pages")
@@ -86,56 +102,59 @@ def h03(spark, d):
 _SNAP = ("page_id", "chars", "hangul", "latin", "confidence", "sellability", "sufficiency", "stock_state")
 
 
-@query("H09_signals", f"{S.SNAPSHOT} SELECT page_id, array_to_string(buy, '|') AS buy, array_to_string(promo, '|') AS promo, array_to_string(support, '|') AS support, array_to_string(download, '|') AS download, array_to_string(price, '|') AS price, array_to_string(blocker, '|') AS blocker FROM snap")
+@query("H09_signals", f"{S.snapshot()} SELECT page_id, array_to_string(buy, '|') AS buy, array_to_string(promo, '|') AS promo, array_to_string(support, '|') AS support, array_to_string(download, '|') AS download, array_to_string(price, '|') AS price, array_to_string(blocker, '|') AS blocker FROM snap")
 def h09(spark, d):
     return pages.snapshot(_t(spark, d, "pages")).select("page_id", *[F.array_join(c, "|").alias(c) for c in ("buy", "promo", "support", "download", "price", "blocker")])
 
 
-@query("H10_product_tokens", f"{S.SNAPSHOT} SELECT page_id, array_to_string(tokens, '|') AS tokens FROM snap")
+@query("H10_product_tokens", f"{S.snapshot()} SELECT page_id, array_to_string(tokens, '|') AS tokens FROM snap")
 def h10(spark, d):
     return pages.snapshot(_t(spark, d, "pages")).select("page_id", F.array_join("tokens", "|").alias("tokens"))
 
 
-@query("H11_density", f"{S.SNAPSHOT} SELECT page_id, CASE WHEN chars > 0 THEN len(promo)::DOUBLE / chars ELSE 0.0::DOUBLE END AS promo_density, CASE WHEN chars > 0 THEN len(support)::DOUBLE / chars ELSE 0.0::DOUBLE END AS support_density FROM snap")
+@query("H11_density", f"{S.snapshot()} SELECT page_id, " + ", ".join(f"CASE WHEN chars > 0 THEN round(len({c})::DOUBLE / chars, 6) ELSE 0.0::DOUBLE END AS {c}_density" for c in ("promo", "support", "download")) + " FROM snap")
 def h11(spark, d):
-    dens = lambda c: F.when(F.col("chars") > 0, F.size(c) / F.col("chars")).otherwise(F.lit(0.0))
-    return pages.snapshot(_t(spark, d, "pages")).select("page_id", dens("promo").alias("promo_density"), dens("support").alias("support_density"))
+    return pages.snapshot(_t(spark, d, "pages")).select("page_id", "promo_density", "support_density", "download_density")
 
 
-@query("H15_snapshot", f"{S.SNAPSHOT} SELECT {', '.join(_SNAP)} FROM snap")
+@query("H15_snapshot", f"{S.snapshot()} SELECT page_id, chars, hangul, latin, confidence, sellability, sufficiency, stock_state, sellability_state, title, product_name, spoken AS locale_detected FROM snap")
 def h15(spark, d):
-    return pages.snapshot(_t(spark, d, "pages")).select("page_id", *[F.col(c).cast("long").alias(c) for c in _SNAP[1:6]], *_SNAP[6:])
+    return pages.snapshot(_t(spark, d, "pages")).select("page_id", *[F.col(c).cast("long").alias(c) for c in ("chars", "hangul", "latin")], "confidence", "sellability", "sufficiency", "stock_state", "sellability_state", "title", "product_name", "locale_detected")
 
 
-@query("H14_language_shares", f"{S.SNAPSHOT} SELECT page_id, hangul::DOUBLE / greatest(hangul + latin, 1) AS ko, latin::DOUBLE / greatest(hangul + latin, 1) AS en FROM snap")
+@query("H14_language_shares", f"{S.snapshot()} SELECT page_id, CASE WHEN starts_with(coalesce(lang, ''), 'ko') THEN greatest(0.6::DOUBLE, round(hangul::DOUBLE / greatest(hangul + latin, 1), 4)) ELSE round(hangul::DOUBLE / greatest(hangul + latin, 1), 4) END AS ko, round(latin::DOUBLE / greatest(hangul + latin, 1), 4) AS en FROM snap")
 def h14(spark, d):
-    total = F.greatest(F.col("hangul") + F.col("latin"), F.lit(1))
-    return pages.snapshot(_t(spark, d, "pages")).select("page_id", (F.col("hangul") / total).alias("ko"), (F.col("latin") / total).alias("en"))
+    return pages.snapshot(_t(spark, d, "pages")).select("page_id", "ko", "en")
+
+
+_MARKED = "'# ' || source || chr(10) || '> - 1. [' || source || '](http://a.b/c) ![pic](d.png) `code`' || chr(10) || '```' || chr(10) || 'gone' || chr(10) || '```' || chr(10) || chr(10) || text"
 
 
-@query("H17_markdown_text", "SELECT doc_id, regexp_replace(regexp_replace(" + S.unescape("regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(?s)```.*?```', ' ', 'g'), '!\\[([^\\]]*)\\]\\([^)]*\\)', '\\1', 'g'), '\\[([^\\]]*)\\]\\([^)]*\\)', '\\1', 'g'), '(?m)^[ \\t]*(?:#{1,6}|[-*+>]|[0-9]+\\.)[ \\t]+', '', 'g')") + ", '[ \\t]+', ' ', 'g'), '\\n{2,}', chr(10), 'g') AS text FROM documents")
+@query("H17_markdown_text", f"SELECT doc_id, {S.tidied(S.unescape(chr(39).join(['replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(' + _MARKED + ', ', '(?s)```.*?```', ', chr(10), ', 'g', '), ', '!\\[([^\\]]*)\\]\\([^)]+\\)', ', ', '\\1', ', ', 'g', '), ', '\\[([^\\]]+)\\]\\([^)]+\\)', ', ', '\\1', ', ', 'g', '), ', '(?m)^[>#*\\-0-9.\\s]+', ', ', '', ', ', 'g', '), ', '`', ', ', '', ')'])))} AS text FROM documents")
 def h17(spark, d):
-    return _t(spark, d, "documents").select("doc_id", web.markdown_text(F.col("text")).alias("text"))
+    lit = F.lit
+    marked = F.concat(lit("# "), "source", lit("\n> - 1. ["), "source", lit("](http://a.b/c) ![pic](d.png) `code`\n```\ngone\n```\n\n"), "text")
+    return _t(spark, d, "documents").select("doc_id", web.markdown_text(marked).alias("text"))
 
 
-@query("P01_page_class", f"{S.CLASSED} SELECT page_class, count(*) AS pages, sum(chars)::BIGINT AS chars FROM classed GROUP BY page_class")
+@query("P01_page_class", f"{S.classed()} SELECT page_class, count(*) AS pages, sum(chars)::BIGINT AS chars FROM classed GROUP BY page_class")
 def p01(spark, d):
     return pages.classified(_t(spark, d, "pages")).groupBy("page_class").agg(F.count("*").alias("pages"), F.sum("chars").alias("chars"))
 
 
-@query("P02_supported_gate", f"{S.CLASSED} SELECT page_id, page_class, supported, CASE WHEN NOT supported THEN page_class END AS failure_code, page_class IN {dims.WARNING_CLASSES!r} AS quality_warning FROM classed")
+@query("P02_supported_gate", f"{S.classed()} SELECT page_id, page_class, supported, CASE WHEN NOT supported THEN page_class END AS failure_code, page_class IN {dims.WARNING_CLASSES!r} AS quality_warning FROM classed")
 def p02(spark, d):
     return pages.classified(_t(spark, d, "pages")).select("page_id", "page_class", "supported", "failure_code", "quality_warning")
 
 
-@query("P04_fallback_reason", f"{S.CLASSED} SELECT page_id, CASE WHEN page_class IN ('blocked_page','waiting_page') THEN 'blocked_or_waiting_surface' WHEN page_class IN ('non_product_page','promo_heavy_commerce_landing') AND len(price) = 0 AND len(buy) = 0 THEN 'client_side_render_suspected' WHEN page_class IN ('non_product_page','promo_heavy_commerce_landing') THEN 'thin_product_evidence' WHEN chars < 400 AND (len(price) = 0 OR len(buy) = 0) THEN 'thin_product_evidence' END AS reason FROM classed")
+@query("P04_fallback_reason", f"{S.classed()} SELECT page_id, CASE WHEN page_class IN ('blocked_page','waiting_page') THEN 'blocked_or_waiting_surface' WHEN page_class IN ('non_product_page','promo_heavy_commerce_landing') AND len(price) = 0 AND len(buy) = 0 THEN 'client_side_render_suspected' WHEN page_class IN ('non_product_page','promo_heavy_commerce_landing') THEN 'thin_product_evidence' WHEN chars < 1200 AND payloads = 0 AND (len(price) = 0 OR len(buy) = 0) THEN 'thin_product_evidence' END AS reason FROM classed")
 def p04(spark, d):
     return pages.classified(_t(spark, d, "pages")).select("page_id", pages.fallback_reason().alias("reason"))
 
 
-@query("P05_failure_hints", f"{S.CLASSED} SELECT page_id, array_to_string(list_concat(list_concat(CASE WHEN page_class = 'blocked_page' THEN ['blocker_page','retry_with_browser'] WHEN page_class = 'waiting_page' THEN ['waiting_room','retry_later'] WHEN page_class = 'promo_heavy_commerce_landing' THEN ['identity_not_proven','promo_landing'] WHEN page_class = 'non_product_page' THEN ['signals_too_weak'] ELSE [page_class || '_unsupported'] END, ['no_structured_data']), CASE WHEN len(buy) > 0 THEN []::VARCHAR[] ELSE ['no_buy_signals'] END), '|') AS hints FROM classed WHERE NOT supported")
+@query("P05_failure_hints", f"{S.classed()} SELECT page_id, array_to_string(list_concat(CASE page_class " + " ".join(f"WHEN {S.q(k)} THEN {S.lst(v)}" for k, v in dims.CLASS_HINTS.items()) + f" ELSE [page_class || {S.q(dims.OTHER_CLASS_HINT)}] END, list_filter([CASE WHEN payloads = 0 THEN {S.q(dims.NO_DATA_HINT)} END, CASE WHEN len(buy) = 0 THEN {S.q(dims.NO_BUY_HINT)} END], lambda x: x IS NOT NULL)), '|') AS hints FROM classed WHERE NOT supported")
 def p05(spark, d):
-    return pages.classified(_t(spark, d, "pages")).where("not supported").select("page_id", F.array_join(pages.failure_hints(), "|").alias("hints"))
+    return where_here(pages.classified(_t(spark, d, "pages")), ~F.col("supported")).select("page_id", F.array_join(pages.failure_hints(), "|").alias("hints"))
 
 
 # -- keyword rows
@@ -185,9 +204,9 @@ def f10(spark, d):
     return candidate_rows(spark, d).withColumn("banned", rows.banned_term()).groupBy("banned").agg(F.count("*").alias("n"))
 
 
-@query("D01_ordered_distinct", "WITH k AS (SELECT doc_id, list_filter(list_transform(string_split_regex(text, '\\n+'), lambda x: trim(regexp_replace(x, '[ \\t\\r\\n]+', ' ', 'g'))), lambda x: x <> '') AS v FROM documents), u AS (SELECT doc_id, i, x FROM (SELECT doc_id, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM k)), f AS (SELECT doc_id, min(i) AS i FROM u GROUP BY doc_id, lower(x)) SELECT d.doc_id, coalesce(count(f.i), 0) AS n, coalesce(string_agg(u.x, '|' ORDER BY u.i), '') AS lines FROM documents d LEFT JOIN f ON f.doc_id = d.doc_id LEFT JOIN u ON u.doc_id = f.doc_id AND u.i = f.i GROUP BY d.doc_id")
+@query("D01_ordered_distinct", "WITH k AS (SELECT doc_id, list_filter(list_transform(string_split_regex(text, '\\n+'), lambda x: " + S.collapse("x") + "), lambda x: x <> '') AS v FROM documents), u AS (SELECT doc_id, i, x FROM (SELECT doc_id, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM k)), f AS (SELECT doc_id, min(i) AS i FROM u GROUP BY doc_id, lower(x)) SELECT d.doc_id, coalesce(count(f.i), 0) AS n, coalesce(string_agg(u.x, '|' ORDER BY u.i), '') AS lines FROM documents d LEFT JOIN f ON f.doc_id = d.doc_id LEFT JOIN u ON u.doc_id = f.doc_id AND u.i = f.i GROUP BY d.doc_id")
 def d01(spark, d):
-    lines = web.ordered_distinct(F.split("text", "\n+"))
+    lines = web.ordered_distinct(F.split(F.coalesce("text", F.lit("")), "\n+"))
     return _t(spark, d, "documents").select("doc_id", lines.alias("v")).select("doc_id", F.size("v").cast("long").alias("n"), F.array_join("v", "|").alias("lines"))
 
 
@@ -202,7 +221,10 @@ def d03(spark, d):
     return rows.selection_scores(candidate_rows(spark, d)).select("url", "ord", "score")
 
 
-_CHOSEN = f"{S.SCORED}, lead AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY url, category ORDER BY score DESC, CASE WHEN evidence_tier = 'direct' THEN 0 ELSE 1 END, ord) = 1 THEN 0 ELSE 1 END AS l FROM scored), placed AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY l, score DESC, CASE WHEN evidence_tier = 'direct' THEN 0 ELSE 1 END, ord) AS place FROM lead), chosen AS (SELECT * FROM placed WHERE place <= 12)"
+_ORDER = "score DESC, CASE WHEN evidence_tier = 'direct' THEN 0 ELSE 1 END, ord"
+_POS = "CASE category " + " ".join(f"WHEN '{c}' THEN {i}" for i, c in enumerate(dims.CATEGORY_TARGETS)) + " END"
+#: The best of each category, in the order of categories, then the rest by score up to twelve; rows equal to a best one in category, keyword and labels go.
+_CHOSEN = f"{S.SCORED}, lead AS (SELECT *, row_number() OVER (PARTITION BY url, category ORDER BY {_ORDER}) = 1 AS first FROM scored), rest AS (SELECT l.* FROM lead l WHERE NOT first AND NOT EXISTS (SELECT 1 FROM lead f WHERE f.first AND f.url = l.url AND f.category = l.category AND f.keyword = l.keyword)), placed AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY first DESC, CASE WHEN first THEN {_POS} END, {_ORDER}) AS place FROM (SELECT * FROM lead WHERE first UNION ALL SELECT * FROM rest)), chosen AS (SELECT * FROM placed WHERE place <= 12)"
 
 
 @query("D04_select_rows", f"{_CHOSEN} SELECT {_KEY}, score, place FROM chosen")
@@ -210,7 +232,7 @@ def d04(spark, d):
     return rows.select_rows(rows.selection_scores(candidate_rows(spark, d)), 12).select("url", "ord", "score", F.col("place").cast("long").alias("place"))
 
 
-@query("D05_selection_summary", f"{_CHOSEN} SELECT s.url, s.category, count(c.ord) AS selected, count(*) - count(c.ord) AS dropped, min(c.score) AS cutline FROM scored s LEFT JOIN chosen c ON c.url = s.url AND c.ord = s.ord GROUP BY s.url, s.category")
+@query("D05_selection_summary", f"{_CHOSEN}, cut AS (SELECT url, min(score) AS cutline FROM chosen GROUP BY url), kept AS (SELECT DISTINCT url, category, keyword FROM chosen) SELECT s.url, s.category, count(c.ord) AS selected, count(*) FILTER (k.url IS NULL) AS dropped, any_value(t.cutline) AS cutline FROM scored s LEFT JOIN chosen c ON c.url = s.url AND c.ord = s.ord LEFT JOIN kept k ON k.url = s.url AND k.category = s.category AND k.keyword = s.keyword JOIN cut t ON t.url = s.url GROUP BY s.url, s.category")
 def d05(spark, d):
     scored = rows.selection_scores(candidate_rows(spark, d))
     return rows.selection_summary(scored, rows.select_rows(scored, 12))
@@ -218,7 +240,7 @@ def d05(spark, d):
 
 @query("A01_validation", S.VALIDATION)
 def a01(spark, d):
-    return rows.validation(candidate_rows(spark, d), least=12).select("url", "platform", "positives", "negatives", "weak", "violations", "failure", "status")
+    return rows.validation(candidate_rows(spark, d)).select("url", "platform", "positives", "negatives", "weak", "violations", "failure_detail", "failure_code", "status")
 
 
 @query("A04_url_metrics", S.METRICS)
@@ -277,9 +299,9 @@ def g01(spark, d):
 
 @query("G02_divisor_plan", S.DIVISOR)
 def g02(spark, d):
-    demand = _t(spark, d, "part").groupBy(F.col("p_brand").alias("key"), F.col("p_type").alias("category")).agg(F.least(F.count("*"), F.lit(9)).cast("int").alias("available"), F.max("p_size").alias("weight")).withColumn("total", F.lit(20))
+    demand = _t(spark, d, "part").groupBy(F.col("p_brand").alias("key"), F.col("p_type").alias("category")).agg(F.least(F.count("*"), F.lit(9)).cast("int").alias("available"), F.max("p_size").alias("target"), (F.min("p_size") % 4 / 4.0 + 1).alias("strength")).withColumn("total", F.lit(20))
     pos = F.dense_rank().over(Window.partitionBy("key").orderBy("category"))
-    return quota.divisor_plan(demand.withColumn("pos", pos))
+    return quota.divisor_plan(demand.withColumn("pos", pos).withColumn("weight", F.col("target") * F.col("strength")))
 
 
 @query("G03_slot_split", S.SLOTS)
@@ -417,4 +439,4 @@ def o08(spark, d):
     return accuracy.merged_lines(words)
 
 
-from keyloom.plans import more  # noqa: E402,F401  registers the rest
+from keyloom.plans import deep, more  # noqa: E402,F401  registers the rest

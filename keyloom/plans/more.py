@@ -54,7 +54,7 @@ def o04(spark, d):
     return images.ranked_images(_candidates(spark, d)).select("page_id", "src", "candidate_type", "density", "score", "rank")
 
 
-@query("O01_trigger_reasons", f"{S.CLASSED} SELECT page_id, array_to_string(list_filter([CASE WHEN chars < 1500 THEN 'thin_visible_text' END, CASE WHEN page_class = 'image_heavy_commerce_pdp' THEN 'image_heavy_page' END], lambda x: x IS NOT NULL), '|') AS reasons FROM classed")
+@query("O01_trigger_reasons", f"{S.classed()} SELECT page_id, array_to_string(list_filter([CASE WHEN chars < 1500 THEN 'thin_visible_text' END, CASE WHEN page_class = 'image_heavy_commerce_pdp' THEN 'image_heavy_page' END], lambda x: x IS NOT NULL), '|') AS reasons FROM classed")
 def o01(spark, d):
     p = pages.classified(_t(spark, d, "pages"))
     return p.select("page_id", F.array_join(images.trigger_reasons(F.col("chars"), F.lit(1.0), F.col("page_class"), F.lit(False), F.lit(False)), "|").alias("reasons"))
@@ -87,7 +87,7 @@ def i09(spark, d):
     return _t(spark, d, "part").select("p_partkey", product.canonical_brand(fact, name, url).alias("brand"))
 
 
-@query("E16_quality_warnings", f"{S.CLASSED} SELECT page_id, array_to_string(list_filter([CASE WHEN chars < 100 THEN 'fallback_used' END, CASE WHEN sufficiency = 'borderline' THEN 'borderline_sufficiency' END, CASE WHEN page_class IN {dims.WARNING_CLASSES!r} THEN 'page_class:' || page_class END, CASE WHEN len(price) = 0 THEN 'thin_pack' END], lambda x: x IS NOT NULL), '|') AS warnings FROM classed")
+@query("E16_quality_warnings", f"{S.classed()} SELECT page_id, array_to_string(list_filter([CASE WHEN chars < 100 THEN 'fallback_used' END, CASE WHEN sufficiency = 'borderline' THEN 'borderline_sufficiency' END, CASE WHEN page_class IN {dims.WARNING_CLASSES!r} THEN 'page_class:' || page_class END, CASE WHEN len(price) = 0 THEN 'thin_pack' END], lambda x: x IS NOT NULL), '|') AS warnings FROM classed")
 def e16(spark, d):
     p = pages.classified(_t(spark, d, "pages"))
     return p.select("page_id", F.array_join(product.quality_warnings(F.col("chars") < 100, F.lit(False), F.col("sufficiency"), F.col("page_class"), F.size("price") == 0), "|").alias("warnings"))
@@ -100,12 +100,12 @@ def e02(spark, d):
     return facts.fact_union(side(p.where("p_size < 10"), F.col("p_name")), side(p.where("p_size >= 10"), F.upper("p_name")))
 
 
-@query("H12_confidence", f"{S.SNAPSHOT} SELECT confidence, count(*) AS pages FROM snap GROUP BY confidence")
+@query("H12_confidence", f"{S.snapshot()} SELECT confidence, count(*) AS pages FROM snap GROUP BY confidence")
 def h12(spark, d):
     return pages.snapshot(_t(spark, d, "pages")).groupBy("confidence").agg(F.count("*").alias("pages"))
 
 
-@query("H13_sellability", f"{S.SNAPSHOT} SELECT sellability, count(*) AS pages FROM snap GROUP BY sellability")
+@query("H13_sellability", f"{S.snapshot()} SELECT sellability, count(*) AS pages FROM snap GROUP BY sellability")
 def h13(spark, d):
     return pages.snapshot(_t(spark, d, "pages")).groupBy("sellability").agg(F.count("*").alias("pages"))
 

@@ -20,9 +20,14 @@ def write_job(results: DataFrame, folder: str) -> None:
     done.write.mode("overwrite").partitionBy("job_id").json(f"{folder}/combined")
     done.select("job_id", F.explode("rows").alias("r")).select("job_id", "r.*").write.mode("overwrite").partitionBy("job_id").option("header", True).option("emptyValue", "").csv(f"{folder}/csv")
     results.where(~F.col("status").isin(*DONE)).select("job_id", "url_task_id", "raw_url", "failure_code").write.mode("overwrite").partitionBy("job_id").json(f"{folder}/failures")
+    manifest(results).write.mode("overwrite").json(f"{folder}/manifest")
+
+
+def manifest(results: DataFrame) -> DataFrame:
+    """Counts and status of each job's results (job_id, status)."""
     ok = F.count_if(F.col("status").isin(*DONE))
     counts = results.groupBy("job_id").agg(F.count("*").alias("submitted"), ok.alias("succeeded"), (F.count("*") - ok).alias("failed"))
-    counts.withColumn("status", job_status(F.col("succeeded"), F.col("failed"))).write.mode("overwrite").json(f"{folder}/manifest")
+    return counts.withColumn("status", job_status(F.col("succeeded"), F.col("failed")))
 
 
 def read_job(spark: SparkSession, folder: str) -> DataFrame:

@@ -25,9 +25,23 @@ def read_taxonomy(spark: SparkSession, path: str) -> DataFrame:
     return read_json(spark, path, TAXONOMY).where(F.trim(F.coalesce("term", F.lit(""))) != "")
 
 
+def taxonomies(spark: SparkSession) -> DataFrame:
+    """The built-in taxonomies: taxonomy, term, allowed_product_types."""
+    return spark.createDataFrame([(g, term, list(types)) for g, terms in dims.TAXONOMIES.items() for term, types in terms.items()], "taxonomy string, term string, allowed_product_types array<string>")
+
+
+def golden_rows(payloads: DataFrame, column: str = "payload") -> DataFrame:
+    """Golden cases from JSON texts, in long form."""
+    return _golden(payloads.select(F.from_json(column, GOLDEN).alias("c")).select("c.*"))
+
+
 def read_golden(spark: SparkSession, path: str) -> DataFrame:
     """Golden cases in long form: case, platform, kind, value."""
-    long = read_json(spark, path, GOLDEN).select("case_id", F.explode("platform_expectations").alias("platform", "e"))
+    return _golden(read_json(spark, path, GOLDEN))
+
+
+def _golden(cases: DataFrame) -> DataFrame:
+    long = cases.select("case_id", F.explode("platform_expectations").alias("platform", "e"))
     kinds = [F.struct(F.lit(k).alias("kind"), F.coalesce(F.col(f"e.{k}"), F.array().cast("array<string>")).alias("v")) for k in ("must_keep", "must_not_emit", "forbidden_substrings", "required_categories")]
     return long.select("case_id", "platform", F.explode(F.array(*kinds)).alias("x")).select("case_id", "platform", "x.kind", F.explode("x.v").alias("value"))
 
@@ -45,3 +59,39 @@ def write_csv(rows: DataFrame, path: str) -> None:
 def write_json(results: DataFrame, path: str) -> None:
     """Nested results, a folder for each job."""
     results.write.partitionBy("job_id").json(path)
+
+
+#: Columns of a page's snapshot as JSON holds it.
+SNAPSHOT = "raw_url string, canonical_url string, page_class string, final_url string, http_status int, title string, meta_description string, decoded_text string, visible_text_blocks array<string>, price_signals array<string>, buy_signals array<string>, usable_text_chars int, product_name string, locale_detected string, market_locale string, sellability_state string, stock_state string, sufficiency_state string, quality_warning boolean, fallback_used boolean, weak_backfill_used boolean, charset_confidence double, facts array<struct<" + ", ".join(f.replace(" ", ": ", 1) for f in FACT.split(", ")) + ">>"
+
+
+def snapshot_rows(payloads: DataFrame, column: str = "payload") -> DataFrame:
+    """Snapshots from JSON texts: either url stands in for the other, absent lists are empty, absent flags false, blank texts null, and a fact names the product where no field does."""
+    own = payloads.select(F.from_json(column, SNAPSHOT).alias("s")).select("s.*")
+    blank = lambda c: F.nullif(F.trim(c), F.lit("")).alias(c)
+    kind = own.schema["facts"].dataType.simpleString()
+    facts = F.coalesce("facts", F.array().cast(kind))
+    named = F.get(F.filter(facts, lambda f: f["type"] == "product_name"), F.lit(0))
+    fact_name = F.nullif(F.trim(F.coalesce(F.nullif(named["normalized_value"], F.lit("")), named["value"], F.lit(""))), F.lit(""))
+    lists = [F.coalesce(c, F.array().cast("array<string>")).alias(c) for c in ("visible_text_blocks", "price_signals", "buy_signals")]
+    flags = [F.coalesce(c, F.lit(False)).alias(c) for c in ("quality_warning", "fallback_used", "weak_backfill_used")]
+    plain = [blank(c) for c in ("final_url", "title", "meta_description", "decoded_text", "locale_detected", "market_locale", "sellability_state", "stock_state", "sufficiency_state")]
+    url, canonical = (F.nullif(c, F.lit("")) for c in ("raw_url", "canonical_url"))
+    return own.select(
+        F.coalesce(url, canonical, F.lit("")).alias("raw_url"),
+        F.coalesce(canonical, url, F.lit("")).alias("canonical_url"),
+        F.coalesce("page_class", F.lit("")).alias("page_class_hint"),
+        F.coalesce(F.nullif("product_name", F.lit("")), fact_name).alias("product_name"),
+        *plain,
+        *lists,
+        *flags,
+        "http_status",
+        "usable_text_chars",
+        "charset_confidence",
+        facts.alias("facts"),
+    )
+
+
+def read_snapshots(spark: SparkSession, path: str) -> DataFrame:
+    """Snapshots of JSON files, one a file."""
+    return snapshot_rows(spark.read.text(path, wholetext=True).withColumnRenamed("value", "payload"))

@@ -20,6 +20,9 @@ def one(spark, column, **values):
         ("HTTPS://Shop.Example.com:443//a//b/?utm_source=x&b=2&a=1&ref=z#f", "https://shop.example.com/a/b?a=1&b=2"),
         ("http://user@h.com:8080", "http://h.com:8080/"),
         ("https://h.com/x/?empty=&fbclid=1", "https://h.com/x"),
+        ("https://a.com/p?id=abc==", "https://a.com/p?id=abc%3D%3D"),
+        ("https://a.com/p?d=100%zz&a=~x*y z", "https://a.com/p?a=~x%2Ay+z&d=100%25zz"),
+        ("http://h.com:0080/", "http://h.com/"),
     ],
 )
 def test_canonical_url(spark, url, want):
@@ -61,15 +64,15 @@ def test_divisor_plan_equals_the_loop(spark):
     import random
 
     random.seed(5)
-    demand = [(k, random.randint(1, 30), p, f"c{p}", random.randint(1, 9), random.randint(0, 6)) for k in range(30) for p in range(5)]
-    demand = [(k, demand[k * 5][1], p, c, w, a) for k, _, p, c, w, a in demand]
-    got = {(r.key, r.category): r.seats for r in quota.divisor_plan(spark.createDataFrame(demand, "key int, total int, pos int, category string, weight int, available int")).collect()}
+    demand = [(k, random.randint(1, 30), p, f"c{p}", random.randint(1, 9), random.randint(0, 6), random.choice([0.5, 1.0, 1.25])) for k in range(30) for p in range(5)]
+    demand = [(k, demand[k * 5][1], p, c, t * s, a, t, s) for k, _, p, c, t, a, s in demand]
+    got = {(r.key, r.category): r.seats for r in quota.divisor_plan(spark.createDataFrame(demand, "key int, total int, pos int, category string, weight double, available int, target int, strength double")).collect()}
     for key in range(30):
         active = [x for x in demand if x[0] == key and x[5] > 0]
         total = active[0][1] if active else 0
         plan = {x[3]: 0 for x in active}
         if total < len(active):
-            for x in sorted(active, key=lambda x: (-x[4], x[2]))[:total]:
+            for x in sorted(active, key=lambda x: (-x[7], -x[6], x[3]))[:total]:
                 plan[x[3]] = 1
         else:
             plan = dict.fromkeys(plan, 1)
@@ -77,7 +80,7 @@ def test_divisor_plan_equals_the_loop(spark):
                 free = [x for x in active if plan[x[3]] < x[5]]
                 if not free:
                     break
-                best = max(free, key=lambda x: (x[4] / (plan[x[3]] + 0.5), x[5] - plan[x[3]], x[4], -x[2]))
+                best = max(free, key=lambda x: (x[4] / (plan[x[3]] + 0.5), x[5] - plan[x[3]], x[6], -x[2]))
                 plan[best[3]] += 1
         assert {c: got[key, c] for c in plan} == plan
 
@@ -86,7 +89,9 @@ def test_weak_ratio_fails_validation(spark):
     data = [("u", i, "brand", f"word{i} x{i}y", "확장소재", "broad", "weak" if i < 21 else "direct", "p", "b", "") for i in range(100)] + [("u", 100, "negative", "중고", "제외키워드", "negative", None, "p", "b", "")]
     df = spark.createDataFrame(data, "url string, ord int, category string, keyword string, naver_match string, google_match string, evidence_tier string, product_name string, brand string, reason string")
     got = rows.validation(df).collect()
-    assert {r.failure for r in got} == {"weak_ratio"} and {r.status for r in got} == {"FAILED_GENERATION"}
+    assert {r.failure_detail for r in got} == {"naver_sa weak-tier ratio exceeded 20%", "google_sa weak-tier ratio exceeded 20%"} and {r.status for r in got} == {"FAILED_GENERATION"}
+    report = rows.validation_report(rows.validation(df)).first()
+    assert (report.status, report.failure_detail, report.least_positives) == ("FAILED_GENERATION", "naver_sa weak-tier ratio exceeded 20%", 100)
 
 
 def test_auto_score_by_hand(spark):

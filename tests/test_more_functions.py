@@ -12,11 +12,18 @@ PAGE = """<html><head><script type="application/ld+json">{"@graph": [{"@type": [
 <script type='application/ld+json'>not json</script></head></html>"""
 
 
-def test_json_ld_nodes(spark):
+def test_json_ld_signals(spark):
     df = spark.createDataFrame([(PAGE,), ("",), (None,)], "html string")
-    r = df.select(F.size(structured.json_ld(F.col("html"))).alias("n"), structured.product_nodes(structured.json_ld_texts(F.col("html"))).alias("nodes")).collect()
-    assert r[0].n == 1 and [(x.kind, x.name, x.brand, x.price) for x in r[0].nodes if x.kind] == [("product,thing", "Night Mask", "Acme", "38000"), ("breadcrumblist", None, None, None)]
-    assert r[1].nodes == []
+    r = df.select(F.size(structured.json_ld(F.col("html"))).alias("n"), structured.structured_signals(structured.json_ld_texts(F.col("html"))).alias("s")).collect()
+    assert r[0].n == 1 and r[0].s.payloads == 1 and r[0].s.has_product
+    assert (r[0].s.name, r[0].s.fact_name, r[0].s.fact_brand, r[0].s.fact_price) == ("Night  Mask", "Night Mask", "Acme", "38000")
+    assert [(x.s.payloads, x.s.has_product, x.s.name) for x in r[1:]] == [(0, False, None)] * 2
+
+
+def test_walk_keeps_the_order_of_nested_graphs():
+    value = [{"@id": 1, "@graph": [{"@id": 2}, [{"@id": 3, "@graph": [{"@id": 4}]}]]}, "x", {"@id": 5}]
+    assert [n["@id"] for n in structured.walk(value)] == [1, 2, 3, 4, 5]
+    assert structured.page_signals(["[" * 100000, "1", "null"])["payloads"] == 2
 
 
 @pytest.mark.parametrize("raw, og, ld, want", [("Shop", "Acme Mask", "x", "Acme Mask"), ("Night Mask Pro", "o", "x", "Night Mask Pro"), ("Mask 2", "o", None, "Mask 2"), ("", None, "ld", "ld"), ("captcha", "o", None, "captcha"), (None, None, None, None)])
@@ -26,9 +33,11 @@ def test_resolved_title(spark, raw, og, ld, want):
 
 
 def test_decode_body(spark):
-    rows = [(bytearray("가격 할인 <html>".encode("cp949")), "cp949"), (bytearray("plain é".encode()), None), (None, None)]
-    got = spark.createDataFrame(rows, "b binary, c string").select(structured.decode_body("b", "c").alias("d")).collect()
-    assert got[0].d.text.startswith("가격") and got[0].d.charset == "cp949" and got[1].d.text == "plain é" and got[1].d.charset == "utf-8" and got[2].d.text is None
+    rows = [(bytearray("가격 할인 <html>".encode("cp949")), "text/html; charset=cp949"), (bytearray("plain é".encode()), None), (None, None), (bytearray('<meta charset="cp949"><title>가격</title>'.encode("cp949")), "text/html"), (bytearray("가격".encode()), "text/html; charset=no-such")]
+    got = [x.d for x in spark.createDataFrame(rows, "b binary, c string").select(structured.decode_body("b", "c").alias("d")).collect()]
+    assert got[0].text.startswith("가격") and got[0].charset == "cp949" and got[1].text == "plain é" and got[1].charset == "utf-8" and got[2].text is None
+    assert got[3].charset == "cp949" and "가격" in got[3].text and got[4].text == "가격" and got[4].flags == []
+    assert structured.damage("Ã©") == ["utf8_latin1_mojibake"]
 
 
 def test_images_rank_by_score_and_keep_each_source_once(spark):
@@ -81,7 +90,24 @@ def test_submit_and_hooks(spark):
     def broken(rows):
         raise OSError("no service")
 
-    assert [r.answer for r in api.with_model(cls, broken).collect()] == [None] * 3
+    got = api.with_model(cls, broken).collect()
+    assert [r.answer for r in got] == [None] * 3 and {r.answer_error for r in got} == {"OSError: no service"}
+
+    def picky(rows):
+        if any(r["page_id"] == 2 for r in rows):
+            raise OSError("two")
+        return ["ok"] * len(rows)
+
+    assert sorted((r.page_id, r.answer) for r in api.with_model(cls.coalesce(1), picky).collect()) == [(1, "ok"), (2, None), (3, "ok")]
+
+    def only_second(model, prompt):
+        if model != "b":
+            raise OSError(model)
+        return prompt.upper()
+
+    assert api.first_model(["a", "b", "c"], only_second)("x") == ("b", "X")
+    with pytest.raises(OSError, match="c"):
+        api.first_model(["a", "c"], only_second)("x")
 
 
 def test_artifacts_round_trip_and_fall_back(spark, tmp_path):
