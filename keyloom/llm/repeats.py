@@ -12,7 +12,10 @@ salt; each ranks its part, and only the first of equal windows in a part goes on
 
 Defined results: null and empty texts, and those shorter than ``width``, lose nothing. Rows with
 the same id count as one document: a string at the same start of two of them is not earlier in
-either. A null id comes before all others. Matches never cross documents.
+either. A null id comes before all others. Matches never cross documents. Rows are told apart by id
+and a hash of the text, so no list holds more than one text's positions, whatever ids repeat. Columns
+of any name are carried; added ones take a leading underscore where they clash. An empty table gives
+no rows.
 """
 
 from __future__ import annotations
@@ -20,7 +23,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -95,12 +97,12 @@ def _raw(texts: list[str | None]) -> list[bytes]:
 
 
 def _seeds(docs: DataFrame, width: int) -> DataFrame:
-    """(key, seeds, counts): the distinct seed hashes of each row and how often each is sampled in it."""
-    schema = StructType([StructField("key", LongType()), StructField("seeds", ArrayType(LongType())), StructField("counts", ArrayType(IntegerType()))])
+    """(key, mark, seeds, counts): the distinct seed hashes of each row and how often each is sampled in it."""
+    schema = StructType([StructField("key", LongType()), StructField("mark", LongType()), StructField("seeds", ArrayType(LongType())), StructField("counts", ArrayType(IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            raws = _raw(b.column(1).to_pylist())
+            raws = _raw(b.column(2).to_pylist())
             text, _, seed, _, _ = samples(raws, width)
             cut = np.searchsorted(text, np.arange(len(raws) + 1))
             seeds, counts = [], []
@@ -108,9 +110,9 @@ def _seeds(docs: DataFrame, width: int) -> DataFrame:
                 s, n = np.unique(seed[i:j], return_counts=True)
                 seeds.append(s)
                 counts.append(n.astype(np.int32))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(seeds, pa.list_(pa.int64())), pa.array(counts, pa.list_(pa.int32()))], names=schema.names)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(seeds, pa.list_(pa.int64())), pa.array(counts, pa.list_(pa.int32()))], names=schema.names)
 
-    return docs.select("key", "text").mapInArrow(lean(run), schema)
+    return docs.select("key", "mark", "text").mapInArrow(lean(run), schema)
 
 
 def _stretches(tied: DataFrame, cols: list[str], width: int) -> DataFrame:
@@ -239,74 +241,69 @@ def _last(ranked: DataFrame) -> DataFrame:
 
 
 def _copies(scratch: Scratch, rows: DataFrame, width: int) -> DataFrame:
-    """(key, rows of mark and size) of the ids whose every text stands whole under a lesser id: all of it goes, and its windows need no ranking."""
-    rows = scratch.save(rows)
-    least = scratch.save(rows.where(F.col("size") >= width).groupBy("mark", "other", "size").agg(F.min("key").alias("lo"), F.count("*").alias("n")).where("n > 1").drop("n"))
-    marked = rows.join(least, ["mark", "other", "size"], "left").withColumn("copy", F.coalesce(F.col("key") > F.col("lo"), F.lit(False)))
-    whole = marked.groupBy("key").agg(F.bool_and("copy").alias("all"), F.collect_set(F.struct("mark", "size")).alias("rows")).where("all")
-    return scratch.save(whole.select("key", "rows"))
+    """(key, mark, size) of the texts that stand whole under a lesser id: all of one goes, and its windows need no ranking."""
+    least = rows.where(F.col("size") >= width).groupBy("mark", "other", "size").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo < hi").drop("hi")
+    return scratch.save(rows.join(least, ["mark", "other", "size"]).where("key > lo").select("key", "mark", "size").distinct())
+
 
+def remove_repeats(df: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text", as_text: bool = False) -> DataFrame:
+    """Append ``kept`` (the remaining bytes), ``n_bytes``, ``n_removed`` and ``removed`` (maximal runs of removed bytes as start, end) to every row.
 
-def remove_repeats(df: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Append ``kept`` (the remaining bytes), ``n_bytes``, ``n_removed`` and ``removed`` (maximal runs of removed bytes as start, end) to every row."""
+    ``as_text``: ``kept`` is a text instead (null for null), without the bytes that are no whole character any more.
+    """
     if width < 2 * SEED:
         raise ValueError(f"width must be {2 * SEED} at least")
     spark = df.sparkSession
     prepare(spark)
     scratch = Scratch(spark, "repeats")
+    text = F.col(f"`{text_col}`")
     key = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(_NULL_ID)).alias("key")
-    narrow = df.select(key, F.col(f"`{text_col}`").alias("text"))
-    seeds = scratch.save(_seeds(narrow, width))
+    mark = F.xxhash64(text).alias("mark")
+    seeds = scratch.save(_seeds(df.select(key, mark, text.alias("text")), width))
     every = seeds.select(F.explode(F.arrays_zip("seeds", "counts")).alias("x")).select(F.col("x.seeds").alias("seed"), F.col("x.counts").alias("n"))
-    tied = scratch.save(every.groupBy("seed").agg(F.sum("n").alias("n")).where("n > 1"))
-    lists = seeds.select("key", F.explode("seeds").alias("seed")).join(tied, "seed").groupBy("key").agg(F.collect_set(F.struct("seed", "n")).alias("s"))
-    copies = _copies(scratch, df.select(key, F.xxhash64(F.col(f"`{text_col}`")).alias("mark"), F.xxhash64(F.lit(1), F.col(f"`{text_col}`")).alias("other"), F.octet_length(F.col(f"`{text_col}`")).alias("size")), width)
-    lists = scratch.save(lists.join(copies, "key", "left_anti").select("key", F.col("s.seed").alias("seeds"), F.col("s.n").alias("counts")))
+    tied = every.groupBy("seed").agg(F.sum("n").alias("n")).where("n > 1")
+    lists = seeds.select("key", "mark", F.explode("seeds").alias("seed")).join(tied, "seed").groupBy("key", "mark").agg(F.collect_set(F.struct("seed", "n")).alias("s"))
+    copies = _copies(scratch, df.select(key, mark, F.xxhash64(F.lit(1), text).alias("other"), F.octet_length(text).alias("size")), width)
+    lists = scratch.save(lists.join(copies, ["key", "mark"], "left_anti").select("key", "mark", F.col("s.seed").alias("seeds"), F.col("s.n").alias("counts")))
     scratch.drop(seeds)
-    scratch.drop(tied)
     scratch.release()
     names = fresh(df, "kept", "n_bytes", "n_removed", "removed")
-    own_key, own_mark, want, counts, cuts = tmp = fresh(df, "cut_key", "cut_mark", "cut_seeds", "cut_counts", "cuts")
-    # both joins read these rows whole, on the same key, so their exchange is made once
-    rows = df.withColumn(own_key, key).withColumn(own_mark, F.xxhash64(F.col(f"`{text_col}`")))
-    asked = rows.join(lists.select(F.col("key").alias(own_key), F.col("seeds").alias(want), F.col("counts").alias(counts)), own_key, "left")
-    ranked = _ranked(_stretches(asked, [own_key, text_col, own_mark, want, counts], width), width)
+    own_key, own_mark, want, counts, cuts = fresh(df, "cut_key", "cut_mark", "cut_seeds", "cut_counts", "cuts")
+    # both joins read these rows whole, on the same keys, so their exchange is made once
+    rows = df.withColumn(own_key, key).withColumn(own_mark, mark)
+    asked = rows.join(lists.select(F.col("key").alias(own_key), F.col("mark").alias(own_mark), F.col("seeds").alias(want), F.col("counts").alias(counts)), [own_key, own_mark], "left")
+    ranked = scratch.save(_ranked(_stretches(asked, [own_key, text_col, own_mark, want, counts], width), width))
+    scratch.drop(lists)
+    del asked
+    scratch.release()
     found = ranked.where("window is null").drop("window").unionByName(_last(ranked))
-    found = found.select(F.col("key").alias(own_key), F.struct("mark", F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end")).alias("cut"))
-    whole = copies.select(F.col("key").alias(own_key), F.explode("rows").alias("row")).select(own_key, F.struct(F.col("row.mark").alias("mark"), F.lit(0).alias("start"), F.col("row.size").alias("end")).alias("cut"))
-    found = found.unionByName(whole)
-    per_key = found.groupBy(own_key).agg(F.collect_list("cut").alias(cuts))
-    rows = rows.join(per_key, own_key, "left").select(*[F.col(f"`{c}`") for c in df.columns], own_mark, cuts)
+    found = found.unionByName(copies.select("key", "mark", F.lit(0).cast("long").alias("start"), F.col("size").cast("long").alias("end")))
+    found = found.select(F.col("key").alias(own_key), F.col("mark").alias(own_mark), F.struct(F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end")).alias("cut"))
+    per_row = found.groupBy(own_key, own_mark).agg(F.collect_list("cut").alias(cuts))
+    rows = rows.join(per_row, [own_key, own_mark], "left").select(*[F.col(f"`{c}`") for c in df.columns], cuts)
     span = StructType([StructField("start", LongType()), StructField("end", LongType())])
-    schema = StructType([*df.schema.fields, StructField(names[0], BinaryType()), StructField(names[1], LongType()), StructField(names[2], LongType()), StructField(names[3], ArrayType(span))])
+    schema = StructType([*df.schema.fields, StructField(names[0], StringType() if as_text else BinaryType()), StructField(names[1], LongType()), StructField(names[2], LongType()), StructField(names[3], ArrayType(span))])
     where = df.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         for b in batches:
             kept, size, gone, spans = [], [], [], []
-            marks = b.column(b.num_columns - 2).to_pylist()
-            for raw, mark, of_key in zip(_raw(b.column(where).to_pylist()), marks, b.column(b.num_columns - 1), strict=True):
+            texts = b.column(where).to_pylist()
+            for t, raw, of_row in zip(texts, _raw(texts), b.column(b.num_columns - 1), strict=True):
                 size.append(len(raw))
-                v = of_key.values if of_key.is_valid else None
-                own = v.field("mark").to_numpy() == mark if v is not None else np.zeros(0, bool)
-                if not own.any():
-                    kept.append(raw), gone.append(0), spans.append([])
+                if not of_row.is_valid:
+                    kept.append(t if as_text else raw), gone.append(0), spans.append([])
                     continue
                 change = np.zeros(len(raw) + 1, np.int64)
-                np.add.at(change, v.field("start").to_numpy()[own], 1)
-                np.add.at(change, v.field("end").to_numpy()[own], -1)
+                np.add.at(change, of_row.values.field("start").to_numpy(), 1)
+                np.add.at(change, of_row.values.field("end").to_numpy(), -1)
                 out = np.cumsum(change)[:-1] > 0
                 edge = np.flatnonzero(np.diff(np.concatenate([[0], out.astype(np.int8), [0]])))
-                kept.append(np.frombuffer(raw, np.uint8)[~out].tobytes())
+                left = np.frombuffer(raw, np.uint8)[~out].tobytes()
+                kept.append(left.decode("utf-8", "ignore") if as_text else left)
                 gone.append(int(out.sum()))
                 spans.append([{"start": s, "end": e} for s, e in edge.reshape(-1, 2).tolist()])
-            yield pa.RecordBatch.from_arrays([*b.columns[:-2], pa.array(kept, pa.binary()), pa.array(size, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, kind)], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(kept, pa.string() if as_text else pa.binary()), pa.array(size, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, kind)], names=schema.names)
 
     return rows.mapInArrow(lean(run), schema)
-
-
-@F.pandas_udf(StringType())
-def whole_characters(kept: pd.Series) -> pd.Series:
-    """Bytes as text; bytes that are no whole character any more are left out."""
-    return kept.map(lambda b: None if b is None else bytes(b).decode("utf-8", "ignore"))

@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 #: Rows and bytes that one Arrow batch hands to Python; texts are long, so far fewer than Spark's default.
 ARROW_ROWS, ARROW_BYTES = 512, 4 << 20
+#: Tasks for each core that write a scratch table, and partitions that one of them takes at most (each file costs a round trip to the file system).
+TASKS_A_CORE, FILES_IN_ONE = 12, 4
 #: What Python workers start with: freed memory of Arrow and numpy goes back to the system, not into pools of their own.
 WORKER_ENV = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_ARENA_MAX": "2", "MALLOC_MMAP_THRESHOLD_": str(4 << 20)}
 
@@ -101,9 +103,11 @@ class Scratch:
                 continue
 
     def save(self, df: DataFrame) -> DataFrame:
+        """Write a table; a task writes one file for several small partitions, but never for more than FILES_IN_ONE of them."""
         self.count += 1
         path = f"{self.root}/{self.count:04d}"
-        df.write.option("compression", "zstd").parquet(path)
+        most = max(TASKS_A_CORE * self.spark.sparkContext.defaultParallelism, -(-shuffle_width(self.spark) // FILES_IN_ONE))
+        df.coalesce(most).write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._keyloom_path = path
         return out
