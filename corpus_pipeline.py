@@ -1,7 +1,12 @@
 """Corpus pipeline (counted as part of the training-data subpackage).
 
 Language ID, near-duplicates, repeated passages, personal data, packing: each stage works on all
-rows that its predecessor kept, is written as Parquet in the shared folder, and is read again.
+rows that its predecessor kept, is written as Parquet in the shared folder, and is read again. All
+stages but the last return the columns of documents, whatever columns those are.
+
+Defined results: null texts and texts without letters go with the first stage. Rows that repeat an id
+and its text stay once; rows with a null id, or with one id and different texts, are documents of their
+own, and of a group of near-duplicates without any id all stay. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -33,10 +38,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the strings of 100 bytes that occur earlier; bytes of a character that is cut go with it."""
-    done = repeats.remove_repeats(docs)
-    kept = done.columns[-4]
-    text = F.when(F.col("text").isNotNull(), repeats.whole_characters(kept))
-    return done.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    done = repeats.remove_repeats(docs, as_text=True)
+    return done.withColumn("text", F.col(done.columns[-4])).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -67,7 +70,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "pipeline")
     docs, before = table(spark, sf_dir, "documents"), None
     for _, stage in STAGES:
+        known = set(Scratch.roots)
         docs = scratch.save(stage(spark, docs, sf_dir))
+        Scratch.forget(known)  # the stage's own tables have been read
         scratch.drop(before)
         before = docs
     return docs
