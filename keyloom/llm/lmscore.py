@@ -1,18 +1,23 @@
 """Language-model scores by stupid backoff, from n-gram counts of the whole corpus.
 
-Documents are dealt into batches by a hash. A batch's distinct words and word pairs, with their
-counts, are exploded into buckets by n-gram hash (one row of packed arrays for each batch and
-bucket, so a frequent word is sent once per batch). The bucket is the partition of the count
-table: it sums its n-grams and joins the totals back to the rows it got them from. The totals meet
-the batch's documents, which sum the scores of their words.
+Documents are dealt into batches by a hash. A batch's distinct n-grams, with their counts, are
+exploded into the partitions of a count table, which is partitioned by n-gram hash: one row of
+packed arrays for each batch and partition (64-bit hashes and counts), as a shuffle writes one block
+for each, so a frequent word is sent once per batch. A partition of the table sums its n-grams and
+joins the totals back to the rows that asked. The totals meet the batch's documents, which sum the
+scores of their words. Batches and partitions are as many as the bytes of the texts ask for, so none
+grows with the corpus.
 
 A document is scored on the others: its own counts are taken off. With c(.) counts in the other
-documents, N their words, and a = 0.4, a word w after v scores c(v w) / c(v) if c(v w) > 0, else
-a * max(c(w), 0.5) / N; the first word scores max(c(w), 0.5) / N. The document's score is the sum
-of round(1e6 * log10(score)), a long, so that its value does not depend on an order of summing.
+documents, N their words, and a = 0.4, a word w after the words v scores c(v w) / c(v) if
+c(v w) > 0, else a times what it scores after v without its first word; a word alone scores
+max(c(w), 0.5) / N. v has order - 1 words, or as many as the document has before w. The document's
+score is the sum of round(1e6 * log10(score)), a long, so that its value does not depend on an order
+of summing.
 
 Defined results: a null or empty text has no words and score 0; with no other document (N = 0)
-every word scores 1, that is 0. Repeated rows are documents of their own.
+every word scores 1, that is 0. Repeated rows and rows with null or equal ids are documents of their
+own. Other columns than the two named are not read, so none can clash; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,137 +29,144 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, IntegerType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
 
-from .runtime import lean, prepare, shuffle_width
+from .runtime import lean, prepare, shuffle_width, trim
 from .textkeys import mix, word_hashes
 
-BACKOFF, UNSEEN, PER_BATCH = 0.4, 0.5, 400
+#: Longest n-grams counted, the factor of a step back, and the count of a word that no other document has.
+ORDER, BACKOFF, UNSEEN = 2, 0.4, 0.5
+#: Bytes of text in a batch, and bytes of text for each partition of the count table (on average).
+BATCH_BYTES, TABLE_BYTES = 2 << 20, 16 << 20
 _C = np.uint64(0xA24BAED4963EE407)
 
 
-def grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Word hashes, document bounds, pair hashes (one for each word that has one before it in its document) and their places."""
+def grams(texts: list[str | None], order: int) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """Document bounds, and for n = 1 to ``order`` a hash for each word (of the n-gram that ends there) and the places that have one."""
     words, bounds = word_hashes([t or "" for t in texts])
-    second = np.ones(len(words), bool)
-    second[bounds[:-1][bounds[:-1] < len(words)]] = False
-    at = np.flatnonzero(second)
-    pairs = mix(words[at - 1] * _C + words[at]) if len(at) else np.zeros(0, np.uint64)
-    return words, bounds, pairs, at
-
-
-def scores(texts: list[str | None], word_total: tuple, pair_total: tuple, total: int) -> tuple[np.ndarray, np.ndarray]:
-    """Number of words and score of each text; totals are (sorted hashes, counts) that hold all of the texts' n-grams."""
-    words, bounds, pairs, at = grams(texts)
-    doc = np.repeat(np.arange(len(texts)), np.diff(bounds))
-    n = np.diff(bounds)
-
-    def others(h: np.ndarray, d: np.ndarray, known: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-        """Counts in other documents: the total less the own."""
-        k = np.searchsorted(known[0], h)
-        slot = d * np.int64(len(known[0]) + 1) + k
-        _, back, own = np.unique(slot, return_inverse=True, return_counts=True)
-        return known[1][k] - own[back] if len(h) else np.zeros(0, np.int64)
-
-    c1 = others(words, doc, word_total)
-    c2 = np.zeros(len(words), np.int64)
-    c2[at] = others(pairs, doc[at], pair_total)
-    rest = (total - n)[doc]
-    single = np.maximum(c1, UNSEEN) / np.maximum(rest, 1)
-    single[at] *= BACKOFF
-    before = np.maximum(np.concatenate([[1], c1[:-1]]) if len(c1) else c1, 1)
-    s = np.where(c2 > 0, c2 / before, single)
+    place = np.arange(len(words)) - np.repeat(bounds[:-1], np.diff(bounds))
+    out = [(words, np.arange(len(words)))]
+    for n in range(2, order + 1):
+        longer = mix(np.concatenate([words[:1], out[-1][0][:-1] * _C + words[1:]]))
+        out.append((longer, np.flatnonzero(place >= n - 1)))
+    return bounds, out
+
+
+def scores(texts: list[str | None], totals: list[tuple[np.ndarray, np.ndarray]], total: int) -> tuple[np.ndarray, np.ndarray]:
+    """Number of words and score of each text; totals are (sorted hashes, counts) by n that hold all of the texts' n-grams."""
+    bounds, made = grams(texts, len(totals))
+    n_words = np.diff(bounds)
+    doc = np.repeat(np.arange(len(texts)), n_words)
+    rest = (total - n_words)[doc]
+    s = before = np.zeros(0)
+    for n, ((hashes, at), known) in enumerate(zip(made, totals, strict=True), 1):
+        others = np.zeros(len(doc), np.int64)  # counts in other documents: the total less the own
+        if len(at):
+            k = np.searchsorted(known[0], hashes[at])
+            _, back, own = np.unique(doc[at] * np.int64(len(known[0]) + 1) + k, return_inverse=True, return_counts=True)
+            others[at] = known[1][k] - own[back]
+        if n == 1:
+            s = np.maximum(others, UNSEEN) / np.maximum(rest, 1)
+        else:
+            s[at] = np.where(others[at] > 0, others[at] / np.maximum(before[at - 1], 1), s[at] * BACKOFF)
+        before = others
     s[rest == 0] = 1
-    micro = np.rint(np.log10(s) * 1e6).astype(np.int64)
-    sums = np.concatenate([[0], np.cumsum(micro)])
-    return n, sums[bounds[1:]] - sums[bounds[:-1]]
+    sums = np.concatenate([[0], np.cumsum(np.rint(np.log10(s) * 1e6).astype(np.int64))])
+    return n_words, sums[bounds[1:]] - sums[bounds[:-1]]
 
 
-def _tables(texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
-    words, _, pairs, _ = grams(texts)
-    return [np.unique(words, return_counts=True), np.unique(pairs, return_counts=True)]
+def _tables(texts: list[str | None], order: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    return [np.unique(hashes[at], return_counts=True) for hashes, at in grams(texts, order)[1]]
 
 
-def _groups(batches: Iterator[pa.RecordBatch], column: str, rows: int) -> Iterator[pa.Table]:
-    """Tables of about ``rows`` rows that hold whole groups of a sorted column."""
-    held, size = [], 0
+def packed(x: np.ndarray) -> bytes:
+    """64-bit integers as eight planes of bytes: planes of equal bytes shrink to nothing in a shuffle."""
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view("<u8").ravel()
+
+
+def _groups(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Table]:
+    """Tables that hold one whole group each of a sorted column."""
+    held: list[pa.RecordBatch] = []
     for b in batches:
-        held.append(b)
-        size += b.num_rows
-        if size >= rows:
-            t = pa.Table.from_batches(held)
-            k = t.column(column).to_numpy()
-            cut = int(np.flatnonzero(k == k[-1])[0])
-            if cut:
-                yield t.slice(0, cut)
-            held, size = t.slice(cut).to_batches(), t.num_rows - cut
-    if size:
+        k = b.column(column).to_numpy()
+        edge = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1], [True]])).tolist()
+        for lo, hi in zip(edge, edge[1:], strict=False):
+            if held and held[-1].column(column)[-1].as_py() != int(k[lo]):
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(b.slice(lo, hi - lo))
+    if held:
         yield pa.Table.from_batches(held)
 
 
-def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``df``: id, n_words, score_micro."""
+def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER) -> DataFrame:
+    """One row per row of ``df``: id, n_words, score_micro. ``order`` is the longest n-gram counted (1 at least)."""
+    if order < 1:
+        raise ValueError("order must be 1 at least")
     spark = df.sparkSession
     prepare(spark)
-    n = shuffle_width(spark)
-    buckets = n
-    rows = df.count()
     text = F.col(f"`{text_col}`")
-    number = max(n, -(-rows // PER_BATCH))
+    count = F.size(F.filter(F.split(F.coalesce(text, F.lit("")), "[\\x20\\x09-\\x0D]+"), lambda w: w != "")).cast("long")
+    sizes = df.select(F.octet_length(text).cast("long").alias("b"), count.alias("w")).agg(F.sum("b"), F.sum("w")).first()
+    size, words = int(sizes[0] or 0), int(sizes[1] or 0)
+    n = max(shuffle_width(spark), -(-size // TABLE_BYTES))
+    number = max(n, -(-size // BATCH_BYTES))
     docs = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), text.alias("text"), F.pmod(F.xxhash64(F.col(f"`{id_col}`"), text), F.lit(number)).alias("batch"))
     dealt = docs.repartition(n, "batch")
-    packed = StructType([StructField("bucket", IntegerType()), StructField("batch", LongType()), StructField("order", IntegerType()), StructField("hashes", BinaryType()), StructField("counts", BinaryType())])
-
-    summed = StructType([*packed.fields[:3], StructField("width", StringType()), StructField("totals", BinaryType())])
-    shift = np.uint64(max(0, 64 - 48 - (buckets.bit_length() - 1)))
+    asked = StructType([StructField("part", IntegerType()), StructField("batch", LongType()), StructField("order", IntegerType()), StructField("hashes", BinaryType()), StructField("counts", BinaryType())])
+    summed = StructType([*asked.fields[:3], StructField("totals", BinaryType())])
+    kinds = pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary()
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        starts = np.array([(k << 64) // buckets for k in range(buckets)], np.uint64)
-        for t in _groups(batches, "batch", PER_BATCH):
-            key = t.column("batch").to_numpy()
-            text_of = t.column("text").to_pylist()
-            edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
-            for lo, hi in zip(edge.tolist(), edge[1:].tolist(), strict=False):
-                out: list[list] = [[], [], [], [], []]
-                for order, (h, c) in enumerate(_tables(text_of[lo:hi]), 1):
-                    # hashes are sorted, so the buckets are ranges of them; inside its bucket a hash keeps 48 bits
-                    cut = np.searchsorted(h, starts).tolist()
-                    for k, (i, j) in enumerate(zip(cut, [*cut[1:], len(h)], strict=True)):
-                        if i < j:
-                            inner = ((h[i:j] - starts[k]) >> shift).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
-                            for own, v in zip(out, (k, int(key[lo]), order, inner.tobytes(), c[i:j].astype("<u4").tobytes()), strict=True):
-                                own.append(v)
-                yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=packed.names)
+        starts = np.array([(k << 64) // n for k in range(n)], np.uint64)
+        for t in _groups(batches, "batch"):
+            batch = t.column("batch")[0].as_py()
+            out: list[list] = [[], [], [], [], []]
+            for length, (h, c) in enumerate(_tables(t.column("text").to_pylist(), order), 1):
+                cut = np.searchsorted(h, starts).tolist()  # hashes are sorted, so a partition's are a range of them
+                for k, (i, j) in enumerate(zip(cut, [*cut[1:], len(h)], strict=True)):
+                    if i < j:  # steps between sorted hashes have fewer bits than the hashes
+                        steps = np.diff(h[i:j], prepend=starts[k : k + 1])
+                        for own, v in zip(out, (k, batch, length, packed(steps), packed(c[i:j])), strict=True):
+                            own.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, kinds, strict=True)], names=asked.names)
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _groups(batches, "bucket", 1):
-            bucket, order = t.column("bucket").to_numpy(), t.column("order").to_numpy()
-            edge = np.flatnonzero(np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (order[1:] != order[:-1]), [True]]))
-            for lo, hi in zip(edge.tolist(), edge[1:].tolist(), strict=False):
-                part = t.slice(lo, hi - lo)
-                raw = [np.frombuffer(x, np.uint8).reshape(-1, 6) for x in part.column("hashes").to_pylist()]
-                counts = np.concatenate([np.frombuffer(x, "<u4") for x in part.column("counts").to_pylist()]).astype(np.int64)
-                wide = np.zeros((len(counts), 8), np.uint8)
-                wide[:, :6] = np.concatenate(raw)
-                _, back = np.unique(wide.view("<u8").ravel(), return_inverse=True)
-                sums = np.bincount(back, weights=counts).astype("<u4" if counts.sum() < 1 << 32 else "<u8")[back]
-                cut = np.cumsum([len(x) for x in raw])[:-1]
-                # a batch knows its hashes, so their totals alone go back, in the order in which they came
-                yield pa.RecordBatch.from_arrays([part.column(c).combine_chunks() if not isinstance(part.column(c).combine_chunks(), pa.ChunkedArray) else part.column(c).combine_chunks().chunk(0) for c in ("bucket", "batch", "order")] + [pa.array([str(sums.dtype.itemsize)] * len(raw), pa.string()), pa.array([x.tobytes() for x in np.split(sums, cut)], pa.binary())], names=summed.names)
+        held: list[pa.RecordBatch] = []
+        for t in _groups(batches, "turn"):
+            hashes = [np.cumsum(unpacked(x.as_py()), dtype=np.uint64) for x in t.column("hashes")]
+            counts = np.concatenate([unpacked(x.as_py()) for x in t.column("counts")])
+            cut = np.cumsum([len(x) for x in hashes])[:-1]
+            _, back = np.unique(np.concatenate(hashes), return_inverse=True)
+            sums = np.bincount(back, weights=counts).astype(np.uint64)[back]
+            # a batch knows its hashes, so their totals alone go back, in the order in which they came
+            held = t.select(["part", "batch", "order"]).to_batches()
+            done = 0
+            parts = np.split(sums, cut)
+            for b in held:
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array([packed(x) for x in parts[done : done + b.num_rows]], pa.binary())], names=summed.names)
+                done += b.num_rows
 
     # the exploding step takes the dealt rows whole, so that their exchange is shared with the last one
-    exploded = dealt.sortWithinPartitions("batch").mapInArrow(lean(explode), packed)
-    totals = exploded.repartition(n, "bucket").sortWithinPartitions("bucket", "order", "batch").mapInArrow(lean(total), summed)
-    words = int(df.select(F.size(F.filter(F.split(F.coalesce(text, F.lit("")), "[\\x20\\x09-\\x0D]+"), lambda w: w != "")).cast("long").alias("w")).agg(F.sum("w")).first()[0] or 0)
+    exploded = dealt.sortWithinPartitions("batch").mapInArrow(lean(explode), asked)
+    turn = (F.col("part").cast("long") * (order + 1) + F.col("order")).alias("turn")
+    table = exploded.repartitionById(n, F.col("part")).sortWithinPartitions("part", "order", "batch").select("*", turn)
+    totals = table.mapInArrow(lean(total), summed)
 
     def meet(own: pd.DataFrame, sums: pd.DataFrame) -> pd.DataFrame:
-        known, own_tables = [], _tables(list(own["text"]))
-        for order in (1, 2):
-            part = sums[sums["order"] == order].sort_values("bucket")
-            counts = [np.frombuffer(x, f"<u{w}").astype(np.int64) for x, w in zip(part["totals"], part["width"], strict=True)]
-            known.append((own_tables[order - 1][0], np.concatenate(counts) if counts else np.zeros(0, np.int64)))
-        n_words, micro = scores(list(own["text"]), *known, words)
-        return pd.DataFrame({"id": own["id"].astype("Int64"), "n_words": n_words, "score_micro": micro})
+        texts, known = list(own["text"]), []
+        for length, (hashes, _) in enumerate(_tables(texts, order), 1):
+            part = sums[sums["order"] == length].sort_values("part")
+            counts = [unpacked(x).astype(np.int64) for x in part["totals"]]
+            known.append((hashes, np.concatenate(counts) if counts else np.zeros(0, np.int64)))
+        n_words, micro = scores(texts, known, words)
+        made = pd.DataFrame({"id": own["id"].astype("Int64"), "n_words": n_words, "score_micro": micro})
+        trim()
+        return made
 
     out = dealt.groupBy("batch").cogroup(totals.groupBy("batch")).applyInPandas(meet, "id long, n_words long, score_micro long")
     return out.withColumnRenamed("id", id_col)
