@@ -1,16 +1,22 @@
 """BPE encoding and decoding with reuse of content-defined chunks.
 
 A document is cut where a rolling hash of its last 32 bytes has its upper bits at zero, so equal
-passages are cut alike wherever they stand. A task encodes a chunk once and keeps it in a bounded
-cache for every later document. A cut may fall inside a word: the join is repaired by re-encoding
-the stretch around it, which grows over further chunks until white space bounds it on both sides.
-There both sides agree with the encoding of the whole text, because the tokenizer drops white
-space and no rule of it looks across white space.
+passages are cut alike wherever they stand. Documents are dealt into batches by a hash, and every
+batch names its distinct chunks by a 128-bit hash. A chunk that several batches name is shared: the
+least of them encodes it, and a join on the hash brings the ids to the others, so a chunk is encoded
+once across documents. Only hashes and the ids of shared chunks are joined; a batch encodes its own
+chunks, each once, itself. A cut may fall inside a word: the join is repaired by re-encoding the stretch
+around it, which grows over further chunks until white space bounds it on both sides. There both sides
+agree with the encoding of the whole text, because the tokenizer drops white space and no rule of it
+looks across white space. Decoding does each distinct run of ids of a batch once.
 
 Below the chunks works ``Encoder``: whole batches of text become arrays of pieces (runs of letters
 or punctuation, single digits), pieces are looked up by a 64-bit hash in a direct-mapped table, and
 only pieces that the table lacks run through the merges, many at a time. Words with other bytes
 than ASCII and Latin-1 letters (or with an apostrophe or ``<``) go to the tokenizers library whole.
+
+Defined results: a null or empty text has no ids and decodes to an empty text. Rows stay one to one, in
+no order, whatever ids repeat or are null. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -20,14 +26,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, DataType, LongType, MapType, StringType, StructField, StructType, VariantType
 
-from .runtime import fresh, lean, prepare
+from .runtime import Scratch, fresh, lean, prepare, shuffle_width, trim
 
-#: Bounds of what a Python worker keeps; a full cache is emptied, which changes no result.
-SLOT_BITS, POOL_IDS, CHUNK_CACHE = 20, 6_000_000, 12_000
+#: Bounds of what a Python worker keeps; a full table is emptied, which changes no result.
+SLOT_BITS, POOL_IDS = 19, 3_000_000
+#: Bytes of text in a batch of documents (on average).
+BATCH_BYTES = 2 << 20
 #: Bytes that the encoder works on at once (a longer text is worked on whole), and letters of the longest piece merged here.
 BLOCK, LONGEST = 1 << 18, 48
 #: Upper bits of the rolling hash that must be zero at a cut: 2**10 bytes between cuts on average.
@@ -102,7 +112,6 @@ class Encoder:
         self.inside = np.array([vocab.get(c, -1) for c in names], np.int32)
         self.last = np.array([vocab.get(c + "</w>", -1) for c in names], np.int32)
         self.powers = Powers(_BASE)
-        self.chunks: dict[bytes, tuple[bytes, bytes, bytes] | None] = {}
         self.clear()
 
     def clear(self) -> None:
@@ -250,42 +259,29 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         return self.encode_raw([t.encode("utf-8", "surrogatepass") for t in texts])
 
-    def encode_chunked(self, texts: list[str]) -> list[bytes]:
-        """As encode(), with every content-defined chunk encoded once and the joins repaired."""
-        cut = [content_chunks(t.encode("utf-8", "surrogatepass")) for t in texts]
-        if len(self.chunks) > CHUNK_CACHE:
-            self.chunks.clear()
-        known = self.chunks
-        new = list(dict.fromkeys(c for cs in cut for c in cs if c not in known))
-        open_ends = []
-        for c in new:
-            head = b"" if c[0] in _SPACES else c.split(None, 1)[0]
-            if len(head) == len(c):
-                known[c] = None  # no white space in it
-                continue
-            tail = b"" if c[-1] in _SPACES else c.rsplit(None, 1)[-1]
-            open_ends.append((c, head, tail))
-        inner = self.encode_raw([c[len(h) : len(c) - len(t)] for c, h, t in open_ends])
-        for (c, h, t), ids in zip(open_ends, inner, strict=True):
-            known[c] = (h, ids, t)
+    def encode_chunked(self, cut: list[list[bytes]], known: dict[bytes, bytes]) -> list[list[bytes]]:
+        """Runs of ids that make up each text, given its chunks and the ids inside those that are ``known``; every other chunk is encoded once."""
+        entries = {c: bounds(c) for cs in cut for c in cs}
+        new = [c for c, e in entries.items() if e and c not in known]
+        inside = known | dict(zip(new, self.encode_raw([inner(c, entries[c]) for c in new]), strict=True))
         plans: list[list] = []
         joins: dict[bytes, int] = {}
         for cs in cut:
             stretch, plan = b"", []
             for c in cs:
-                entry = known[c]
+                entry = entries[c]
                 if entry is None:  # nothing bounds the stretch yet: it grows over the whole chunk
                     stretch += c
                     continue
                 if w := stretch + entry[0]:
                     plan.append(joins.setdefault(w, len(joins)))
-                plan.append(entry[1])
-                stretch = entry[2]
+                plan.append(inside[c])
+                stretch = entry[1]
             if stretch:
                 plan.append(joins.setdefault(stretch, len(joins)))
             plans.append(plan)
         mended = self.encode_raw(list(joins))
-        return [b"".join([mended[p] if type(p) is int else p for p in plan]) for plan in plans]
+        return [[mended[p] if type(p) is int else p for p in plan] for plan in plans]
 
     def decode(self, ids: bytes) -> str:
         return " ".join(map(self.texts.__getitem__, np.frombuffer(ids, "<u4").tolist()))
@@ -320,6 +316,27 @@ def content_chunks(raw: bytes) -> list[bytes]:
     return [raw[i:j] for i, j in zip(cuts, cuts[1:], strict=False)]
 
 
+def bounds(chunk: bytes) -> tuple[bytes, bytes] | None:
+    """What stands in a chunk before its first and after its last white space; None if it has none."""
+    head = b"" if chunk[0] in _SPACES else chunk.split(None, 1)[0]
+    if len(head) == len(chunk):
+        return None
+    return head, b"" if chunk[-1] in _SPACES else chunk.rsplit(None, 1)[-1]
+
+
+def inner(chunk: bytes, entry: tuple[bytes, bytes]) -> bytes:
+    return chunk[len(entry[0]) : len(chunk) - len(entry[1])]
+
+
+def _planes(ids: bytes) -> bytes:
+    """The first bytes of all ids, then the second ones, and so on: the upper ones shrink to nothing in a shuffle."""
+    return np.ascontiguousarray(np.frombuffer(ids, np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def _from_planes(raw: bytes) -> bytes:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).tobytes()
+
+
 _loaded: dict[str, Encoder] = {}
 
 
@@ -330,42 +347,100 @@ def coder(path: str) -> Encoder:
     return _loaded[path]
 
 
-def _mapped(df: DataFrame, text_col: str, add: list[tuple[str, object, pa.DataType]], work, keep: list[str]) -> DataFrame:
-    """Append columns that ``work(texts)`` makes from a batch of texts; ``keep`` are the columns carried along."""
-    part = df.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*keep, text_col])])
-    where = part.columns.index(text_col)
-    schema = StructType([f for f in part.schema.fields if f.name in keep] + [StructField(n, t) for n, t, _ in add])
-    kept = [i for i, c in enumerate(part.columns) if c in keep]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _hashable(kind: DataType) -> bool:
+    if isinstance(kind, ArrayType):
+        return _hashable(kind.elementType)
+    if isinstance(kind, StructType):
+        return all(_hashable(f.dataType) for f in kind.fields)
+    return not isinstance(kind, (MapType, VariantType))
+
+
+def _chunked(df: DataFrame, vocabulary: str, text_col: str, keep: list[str], add: list[tuple[str, DataType, pa.DataType]], finish) -> DataFrame:
+    """Append to the columns ``keep`` those that ``finish`` makes of the runs of ids of a batch's texts."""
+    spark = df.sparkSession
+    prepare(spark)
+    scratch = Scratch(spark, "bpe")
+    rest = [c for c in dict.fromkeys(keep) if c != text_col]
+    part = df.select(*[F.col(f"`{c}`") for c in (*rest, text_col)])
+    (batch,) = fresh(part, "batch")
+    size = int(part.select(F.sum(F.octet_length(F.col(f"`{text_col}`")).cast("long"))).first()[0] or 0)
+    width = shuffle_width(spark)
+    number = max(width, -(-size // BATCH_BYTES))
+    spread = [F.col(f"`{f.name}`") for f in part.schema.fields if _hashable(f.dataType)]
+    docs = part.withColumn(batch, F.pmod(F.xxhash64(*spread), F.lit(number)))
+    named = StructType([StructField("batch", LongType()), StructField("key", BinaryType())])
+    packed = StructType([*[f for f in docs.schema.fields if f.name in rest], StructField(text_col, BinaryType()), StructField(batch, LongType())])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(level=1)
         for b in batches:
-            texts = [t or "" for t in b.column(where).to_pylist()]
-            made = work(texts)
-            yield pa.RecordBatch.from_arrays([b.column(i) for i in kept] + [pa.array(v, k) for v, (_, _, k) in zip(made, add, strict=True)], names=schema.names)
-
-    return part.mapInArrow(lean(run), schema)
+            texts = [None if t is None else squeeze.compress(t.encode("utf-8", "surrogatepass")) for t in b.column(len(rest)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(rest)], pa.array(texts, pa.binary()), b.column(len(rest) + 1)], names=packed.names)
 
+    def cuts(t: pa.Table) -> list[list[bytes]]:
+        open_ = zstandard.ZstdDecompressor()
+        return [content_chunks(open_.decompress(x)) if x else [] for x in t.column(text_col).to_pylist()]
 
-def encode_documents(df: DataFrame, vocabulary: str, text_col: str = "text", keep: list[str] | None = None, ids_col: str = "ids", chunked: bool = True) -> DataFrame:
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = dict.fromkeys((k, xxhash.xxh3_128_digest(c)) for t, k in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if t for c in content_chunks(t.encode("utf-8", "surrogatepass")) if bounds(c))
+            keys = list(zip(*found, strict=True)) or [(), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(keys[0], pa.int64()), pa.array(keys[1], pa.binary())], names=named.names)
+
+    def make(own: pa.Table, asked: pa.Table) -> pa.Table:
+        want = {k for ks in asked.column("keys").to_pylist() for k in ks}
+        chunks = {xxhash.xxh3_128_digest(c): c for cs in cuts(own) for c in cs} if want else {}
+        keys = [k for k in want if k in chunks]
+        ids = coder(vocabulary).encode_raw([inner(chunks[k], bounds(chunks[k])) for k in keys])
+        return pa.table({"key": pa.array(keys, pa.binary()), "ids": pa.array(map(_planes, ids), pa.binary())})
+
+    out = StructType([f for c in keep for f in part.schema.fields if f.name == c] + [StructField(n, t) for n, t, _ in add])
+
+    def end(own: pa.Table, shared: pa.Table) -> pa.Table:
+        cut = cuts(own)
+        ids = dict(zip(shared.column("key").to_pylist(), shared.column("ids").to_pylist(), strict=True))
+        known = {}
+        for c in {c for cs in cut for c in cs} if ids else ():
+            if (found := ids.get(xxhash.xxh3_128_digest(c))) is not None:
+                known[c] = _from_planes(found)
+        c = coder(vocabulary)
+        made = dict(zip([n for n, _, _ in add], finish(c, c.encode_chunked(cut, known)), strict=True))
+        kinds = {n: k for n, _, k in add}
+        cols = {}
+        for n in out.names:
+            if n == text_col and n not in made:
+                cols[n] = pa.array([None if x is None else zstandard.ZstdDecompressor().decompress(x).decode("utf-8", "surrogatepass") for x in own.column(n).to_pylist()], pa.string())
+            else:
+                cols[n] = pa.array(made[n], kinds[n]) if n in made else own.column(n)
+        trim()
+        return pa.table(cols)
+
+    chunks = scratch.save(docs.select(F.col(f"`{text_col}`"), F.col(f"`{batch}`")).mapInArrow(lean(name), named))
+    shared = scratch.save(chunks.groupBy("key").agg(F.min("batch").alias("owner"), F.max("batch").alias("last")).where("owner < last").select("key", "owner"))
+    scratch.release()
+    dealt = docs.mapInArrow(lean(pack), packed).repartition(width, batch)
+    owned = shared.groupBy(F.col("owner").alias(batch)).agg(F.collect_list("key").alias("keys"))
+    made = dealt.groupBy(batch).cogroup(owned.groupBy(batch)).applyInArrow(make, "key binary, ids binary")
+    asked = chunks.distinct().join(shared.select("key"), "key", "left_semi")
+    answers = asked.join(made, "key").select(F.col("batch").alias(batch), "key", "ids")
+    return dealt.groupBy(batch).cogroup(answers.groupBy(batch)).applyInArrow(end, out)
+
+
+def encode_documents(df: DataFrame, vocabulary: str, text_col: str = "text", keep: list[str] | None = None, ids_col: str = "ids") -> DataFrame:
     """Append the ids of every whole text as little-endian unsigned 32-bit integers (binary column ``ids_col``).
 
-    ``keep``: columns to carry (default all). A null or empty text has no ids. A clash of ``ids_col``
-    with a column of ``df`` raises ValueError. Rows stay one to one and in no order.
+    ``keep``: columns to carry (default all). A clash of ``ids_col`` with a column of ``df`` raises ValueError.
     """
-    prepare(df.sparkSession)
-    keep = [c for c in df.columns] if keep is None else keep
+    keep = list(df.columns) if keep is None else keep
     if ids_col.lower() in {c.lower() for c in keep}:
         raise ValueError(f"{ids_col} is a column already")
-
-    def work(texts: list[str]) -> list[list]:
-        c = coder(vocabulary)
-        return [c.encode_chunked(texts) if chunked else c.encode(texts)]
-
-    return _mapped(df, text_col, [(ids_col, BinaryType(), pa.binary())], work, keep)
+    return _chunked(df, vocabulary, text_col, keep, [(ids_col, BinaryType(), pa.binary())], lambda _, runs: [[b"".join(r) for r in runs]])
 
 
 def decode_documents(df: DataFrame, vocabulary: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
-    """Append the text of the ids, special tokens included; null ids give an empty text."""
+    """Append the text of the ids, special tokens included; null ids give an empty text. A clash of ``out_col`` raises ValueError."""
+    if out_col.lower() in {c.lower() for c in df.columns}:
+        raise ValueError(f"{out_col} is a column already")
     prepare(df.sparkSession)
     schema = StructType([*df.schema.fields, StructField(out_col, StringType())])
     where = df.columns.index(ids_col)
@@ -378,16 +453,19 @@ def decode_documents(df: DataFrame, vocabulary: str, ids_col: str = "ids", out_c
     return df.mapInArrow(lean(run), schema)
 
 
+def _decoded(c: Encoder, runs: list[list[bytes]]) -> list[str]:
+    """The texts of runs of ids; each distinct run is decoded once."""
+    text = {x: c.decode(x) for x in {x for r in runs for x in r} if x}
+    return [" ".join(text[x] for x in r if x) for r in runs]
+
+
 def encode_and_decode(df: DataFrame, vocabulary: str, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Ids and decoded text of every text in one pass over it: columns ``n_tokens``, ``ids`` and ``decoded``."""
-    prepare(df.sparkSession)
-    keep = [c for c in df.columns] if keep is None else keep
+    """Ids and decoded text of every text: columns ``n_tokens``, ``ids`` and ``decoded`` (with a leading underscore where they clash) beside ``keep`` (default all)."""
+    keep = list(df.columns) if keep is None else keep
     names = fresh(df.select(*[F.col(f"`{c}`") for c in keep]), "n_tokens", "ids", "decoded")
+    kinds = [(LongType(), pa.int64()), (BinaryType(), pa.binary()), (StringType(), pa.string())]
 
-    def work(texts: list[str]) -> list[list]:
-        c = coder(vocabulary)
-        ids = c.encode_chunked(texts)
-        return [[len(x) // 4 for x in ids], ids, [c.decode(x) for x in ids]]
+    def finish(c: Encoder, runs: list[list[bytes]]) -> list[list]:
+        return [[sum(map(len, r)) // 4 for r in runs], [b"".join(r) for r in runs], _decoded(c, runs)]
 
-    kinds = [(LongType(), pa.int64()), (BinaryType(), pa.binary()), (StringType(), pa.string())]
-    return _mapped(df, text_col, [(n, t, a) for n, (t, a) in zip(names, kinds, strict=True)], work, keep)
+    return _chunked(df, vocabulary, text_col, keep, [(n, t, a) for n, (t, a) in zip(names, kinds, strict=True)], finish)
