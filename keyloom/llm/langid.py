@@ -1,14 +1,21 @@
 """Language identification by blended-spectrum string kernels.
 
 A text is the set of its letter n-grams (n = 1 to 3, presence only; a run of letters is bounded by
-one space on each side). k(x, y) = |G(x) & G(y)| / sqrt(|G(x)| |G(y)|). A bounded sample of
-labelled documents is the training set, its first rows are the Nystroem landmarks, and one-versus-
-rest kernel ridge regression gives the weights. As k(x, l) is a product of presence vectors, the
-landmark weights fold into one weight per n-gram and language, and a batch of texts is scored by one
-matrix product; the scores are those of the kernel expansion.
+one space on each side), with code points folded to lower case. n-grams are told apart by a hash of
+SLOT_BITS bits. k(x, y) = |G(x) & G(y)| / sqrt(|G(x)| |G(y)|). A bounded sample of labelled
+documents is the training set, its first rows are the Nystroem landmarks, and one-versus-rest kernel
+ridge regression gives the weights. As k(x, l) is a product of presence vectors, the landmark weights
+fold into one weight per n-gram and language, and a batch of texts is scored by one matrix product;
+the scores are those of the kernel expansion.
+
+The sample holds at most PER_LANGUAGE different texts of every label, and SAMPLE in all: no label is
+left out, but with more than SAMPLE / PER_LANGUAGE of them each has fewer texts. A column with more
+than SAMPLE different values names no languages, and raises ValueError.
 
 Defined results: a null text, or one without letters, is ``und`` with score 0. If nothing is
-labelled, every text is ``und``. Equal texts get equal results.
+labelled, every text is ``und``. Equal texts get equal results, whatever their ids; null and repeated
+ids change nothing, since the sample is drawn by a hash of the text. Added columns take a leading
+underscore where they clash. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,23 +31,22 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from .runtime import fresh, lean, prepare
 
-#: Labelled documents per language that the classifier is fitted on at most (the bound of the sample), landmarks of them, ridge, and languages.
-PER_LANGUAGE, LANDMARKS, RIDGE, MOST_LANGUAGES = 400, 96, 1e-3, 256
-#: Symbols are code points folded to lower case and hashed to 6 bits beyond a to z; symbol 0 is the bound of a run.
-SYMBOLS = 64
-SPACE = SYMBOLS + SYMBOLS**2 + SYMBOLS**3
+#: Labelled texts per language and in all that the classifier is fitted on at most (the bounds of the sample), landmarks of them, and ridge.
+PER_LANGUAGE, SAMPLE, LANDMARKS, RIDGE = 400, 40_000, 96, 1e-3
+#: n-grams are hashed to so many bits; code point 0 is the bound of a run.
+SLOT_BITS = 20
+SPACE = 1 << SLOT_BITS
+_SHIFT, _HALF = np.uint32(32 - SLOT_BITS), np.uint32(15)
+_ONE, _TWO, _THREE = (np.uint32(x) for x in (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D))
 
 
-def _symbols() -> np.ndarray:
-    """Symbol of each code point of the basic plane; -1 where it is no letter."""
-    out = np.full(1 << 16, -1, np.int32)
+def _letters() -> np.ndarray:
+    """Lower-case code point of each letter of the basic plane; 0 where it is no letter."""
+    out = np.zeros(1 << 16, np.uint32)
     for c in range(1 << 16):
-        if 0xD800 <= c < 0xE000:
-            continue
         x = chr(c)
         if unicodedata.category(x)[0] == "L":
-            low = x.lower()[0]
-            out[c] = ord(low) - 96 if "a" <= low <= "z" else 27 + ord(low) * 2654435761 % (1 << 32) % 37
+            out[c] = ord(x.lower()[0])
     return out
 
 
@@ -48,26 +54,26 @@ _TABLE: list[np.ndarray] = []
 
 
 def grams(text: str) -> np.ndarray:
-    """The distinct n-gram codes of a text; empty if it has no letter."""
+    """The distinct n-gram slots of a text, sorted; empty if it has no letter."""
     if not _TABLE:
-        _TABLE.append(_symbols())
+        _TABLE.append(_letters())
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    if len(points) and points.max() >= 1 << 16:
-        high, back = np.unique(points, return_inverse=True)  # a letter beyond the basic plane counts as one letter in it
-        high = np.array([c if c < 1 << 16 else 0x4E00 + c % 997 if unicodedata.category(chr(c))[0] == "L" else 32 for c in high.tolist()], np.uint32)
-        points = high[back]
-    s = _TABLE[0][points]
-    s = np.concatenate([[0], np.maximum(s, 0), [0]])
+    s = np.zeros(len(points) + 2, np.uint32)
+    _TABLE[0].take(points, mode="clip", out=s[1:-1])
+    if len(points) and points.max() > 0xFFFF:
+        high = np.flatnonzero(points > 0xFFFF)
+        one, back = np.unique(points[high], return_inverse=True)
+        s[1 + high] = np.array([ord(chr(c).lower()[0]) if unicodedata.category(chr(c))[0] == "L" else 0 for c in one.tolist()], np.uint32)[back]
     if not s.any():
         return np.zeros(0, np.int64)
     s = s[np.concatenate([[True], (s[1:] != 0) | (s[:-1] != 0)])]  # one bound between runs
-    seen = np.zeros(SPACE, bool)
-    one = s[s > 0]
-    seen[one] = True
-    two = s[:-1] * SYMBOLS + s[1:]
-    seen[SYMBOLS + two] = True
-    seen[SYMBOLS + SYMBOLS**2 + two[:-1] * SYMBOLS + s[2:]] = True
-    return np.flatnonzero(seen)
+    one = s * _ONE
+    two = (one[:-1] + s[1:]) * _TWO
+    three = ((two[:-1] ^ (two[:-1] >> _HALF)) + s[2:]) * _THREE
+    h = np.concatenate([one[s > 0], two, three])
+    h = (h ^ (h >> _HALF)) * _ONE >> _SHIFT
+    h.sort()
+    return h[np.concatenate([[True], h[1:] != h[:-1]])].astype(np.int64)
 
 
 class Model:
@@ -81,9 +87,10 @@ class Model:
         languages = sorted(set(labels))
         if not languages:
             return cls([], np.zeros(0, np.int64), np.zeros((0, 0)))
-        marks: list[int] = []
-        for lang in languages:  # the first rows of each language
-            marks += [i for i, x in enumerate(labels) if x == lang][: max(1, landmarks // len(languages))]
+        of: dict[str, list[int]] = {}
+        for i, x in enumerate(labels):
+            of.setdefault(x, []).append(i)
+        marks = [i for lang in languages for i in of[lang][: max(1, landmarks // len(languages))]]  # the first rows of each language
         codes = np.unique(np.concatenate([sets[i] for i in marks]))
         at = np.full(SPACE, -1)
         at[codes] = np.arange(len(codes))
@@ -96,7 +103,7 @@ class Model:
             kernel[row] = base[:, k[k >= 0]].sum(axis=1) * len(s) ** -0.5
         own = kernel[marks]
         targets = np.where(np.array(labels)[:, None] == np.array(languages)[None, :], 1.0, -1.0)
-        weight = np.array([1 / labels.count(x) for x in labels])[:, None] * len(labels) / len(languages)
+        weight = np.array([1 / len(of[x]) for x in labels])[:, None] * len(labels) / len(languages)
         # Nystroem ridge: min |K a - y|^2 + ridge * n * a' own a
         alpha = np.linalg.solve(kernel.T @ (kernel * weight) + ridge * len(sets) * own + 1e-8 * np.eye(len(marks)), kernel.T @ (targets * weight))
         return cls(languages, codes, base.T @ alpha)
@@ -125,17 +132,19 @@ class Model:
         return lang, score
 
 
-def sample(labelled: DataFrame, id_col: str, text_col: str, label_col: str, per_language: int = PER_LANGUAGE) -> list[tuple[str, np.ndarray]]:
-    """At most ``per_language`` labelled texts of each language as n-gram sets, chosen by a hash of the id, in its order."""
-    mix = F.xxhash64(F.col(f"`{id_col}`"), F.lit(5))
-    narrow = labelled.select(mix.alias("h"), F.col(f"`{label_col}`").alias("label"), F.col(f"`{text_col}`").alias("text")).where("label is not null and text is not null")
-    counts = {r[0]: r[1] for r in narrow.groupBy("label").count().orderBy(F.desc("count"), "label").limit(MOST_LANGUAGES).collect()}
+def sample(labelled: DataFrame, text_col: str, label_col: str, per_language: int = PER_LANGUAGE) -> list[tuple[str, np.ndarray]]:
+    """Different labelled texts of each language as n-gram sets, chosen by a hash of the text, in its order."""
+    mixed = F.xxhash64(F.col(f"`{text_col}`"), F.lit(5))
+    narrow = labelled.select(mixed.alias("h"), F.col(f"`{label_col}`").alias("label"), F.col(f"`{text_col}`").alias("text")).where("label is not null and text is not null")
+    counts = {r[0]: r[1] for r in narrow.groupBy("label").agg(F.approx_count_distinct("h")).orderBy("label").limit(SAMPLE + 1).collect()}
+    if len(counts) > SAMPLE:
+        raise ValueError(f"{label_col} has more than {SAMPLE} different values")
     if not counts:
         return []
-    keep = F.lit(False)
-    for label, n in counts.items():  # twice the bound is drawn by hash, so that the bound is met; what is over it goes below
-        share = min(1.0, 2.0 * per_language / n)
-        keep = keep | ((F.col("label") == label) & (F.pmod("h", F.lit(1 << 30)) < int(share * (1 << 30))))
+    most = max(1, min(per_language, SAMPLE // len(counts)))
+    # twice the bound is drawn by hash, so that the bound is met; what is over it goes below
+    shares = F.map_from_arrays(F.array(*[F.lit(x) for x in counts]), F.array(*[F.lit(int(min(1.0, 2.0 * most / n) * (1 << 30))) for n in counts.values()]))
+    drawn = narrow.where(F.pmod("h", F.lit(1 << 30)) < F.element_at(shares, F.col("label")))
     schema = "label string, h long, codes binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,18 +152,18 @@ def sample(labelled: DataFrame, id_col: str, text_col: str, label_col: str, per_
             codes = [grams(t).astype("<i4").tobytes() for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(1), b.column(0), pa.array(codes, pa.binary())], names=["label", "h", "codes"])
 
-    rows = sorted((r[0], r[1], bytes(r[2])) for r in narrow.where(keep).mapInArrow(lean(run), schema).where("length(codes) > 0").collect())
+    rows = sorted((r[0], r[1], bytes(r[2])) for r in drawn.mapInArrow(lean(run), schema).where("length(codes) > 0").distinct().collect())
     out, taken = [], {}
     for label, _, codes in rows:
-        if taken.get(label, 0) < per_language:
+        if taken.get(label, 0) < most:
             taken[label] = taken.get(label, 0) + 1
             out.append((label, np.frombuffer(codes, "<i4").astype(np.int64)))
     return out
 
 
-def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", per_language: int = PER_LANGUAGE) -> Model:
+def train(labelled: DataFrame, text_col: str = "text", label_col: str = "lang", per_language: int = PER_LANGUAGE) -> Model:
     prepare(labelled.sparkSession)
-    rows = sample(labelled, id_col, text_col, label_col, per_language)
+    rows = sample(labelled, text_col, label_col, per_language)
     return Model.fit([s for _, s in rows], [x for x, _ in rows])
 
 
