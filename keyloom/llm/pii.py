@@ -2,16 +2,26 @@
 
 Base spans (email, ip, card, phone) are exact regular-expression matches over the whole text, found
 by scans that are linear in its length. The field's nodes are a document's tokens that hold a
-digit or ``@`` (all others are outside by definition). Node potentials come from shape and context
-features, chain edges link neighbours, and skip edges link the tokens with the same letters or digits,
-however far apart: to one with a base label where there is one, else through a hub that all share
-(weights are fitted on edges to the last such token). Weights are fitted on a bounded sample of documents whose base
-spans serve as labels: piecewise, a logistic model for nodes and smoothed log-odds for edges.
-Decoding is damped loopy sum-product with base labels clamped, until messages settle. So every
-recurrence of an entity hears of its base label directly, whatever their number; its own features and
-neighbours are weighed against that. Base spans always stay; added spans never overlap one of their kind.
-
-Defined results: a null or empty text has no spans. Equal texts get equal spans.
+digit or ``@`` (all others are outside by definition). Node potentials come from the token's own form
+and from the words before it, chain edges link neighbours, and skip edges link the tokens with the
+same letters or digits, however far apart: to one with a base label where there is one, else through
+a hub that all share.
+
+Nodes, chain and skip are fitted together, by pseudo-likelihood, on a bounded sample of documents
+whose base spans serve as labels, with part of the evidence hidden: each node counts once as it is,
+once without its form and once without its context. A hidden form leaves the label to context and
+edges, so the edges learn to carry what a pattern sees here to where none sees it. Tokens that share
+letters or digits with a base span without being in one are unknown, not outside. A fifth label,
+``secret``, learns from long tokens assigned to a name such as ``token`` or ``password``; no base
+pattern finds it, so every secret is the field's own decision.
+
+Decoding is damped loopy sum-product with base labels clamped, until messages settle. Base spans
+always stay; added spans (of any kind) never overlap one of their kind.
+
+Defined results: a null or empty text has no spans. Equal texts get equal spans. Ids are not read, so
+null and repeated ones change nothing; repeated texts count once in the sample. Added columns take a
+leading underscore where they clash. An empty table gives no rows, and a field that adds nothing but
+recurrences of base spans.
 """
 
 from __future__ import annotations
@@ -29,9 +39,15 @@ from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, S
 
 from .runtime import fresh, lean, prepare
 
+#: Kinds of the base patterns, and all kinds of spans in their order.
 KINDS = ("email", "ip", "card", "phone")
-#: Documents that the field is fitted on at most (the bound of the sample), hashed features, the move under which messages have settled, rounds after which damping is stronger (a field that still swings stops after four times as many), and the probability that adds a span.
-SAMPLE, FEATURES, SETTLED, ROUNDS, LEAST = 6000, 4096, 1e-3, 100, 0.6
+SPAN_KINDS = (*KINDS, "secret")
+#: Documents with nodes that the field is fitted on at most (the bound of the sample), hashed features, the move under which messages have settled, rounds after which damping is stronger (a field that still swings stops after four times as many), and the probability that adds a span.
+SAMPLE, FEATURES, SETTLED, ROUNDS, LEAST = 3000, 4096, 1e-3, 100, 0.6
+#: Features of a node: the first is always there, then those of its form, then those of its context.
+FORM, CONTEXT = 9, 3
+#: What a skip edge costs at first whose ends differ, and how much this counts against the sample.
+DISAGREE, PRIOR = 3.0, 4.0
 SPANS = ArrayType(StructType([StructField("kind", StringType()), StructField("start", IntegerType()), StructField("end", IntegerType()), StructField("base", BooleanType())]))
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -41,7 +57,10 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGIT = re.compile("[0-9]")
 _MARKED = re.compile(r"[0-9@]")
 _WHITE = re.compile(r"\s")
+_WORD = re.compile(r"[^\W\d_]+|[=:|]")
 _SHAPES = [(re.compile("[A-Z]+"), "A"), (re.compile("[a-z]+"), "a"), (re.compile("[^\x00-\x7f]+"), "u")]
+#: Assignments of a long value to a name that says it is secret; labels for fitting only.
+_ASSIGNED = re.compile(r"(?i)(?:token|secret|password|passwd|credential|api[_-]?key|access[_-]?key)s?[\"']?\s{0,3}[:=]\s{0,3}[\"']?([A-Za-z0-9+/_.=-]{16,})")
 
 
 def luhn(digits: str) -> bool:
@@ -108,10 +127,15 @@ def _nodes(text: str) -> list[tuple[int, int]]:
 
 def shape(token: str) -> str:
     """Runs of capitals, small letters and others collapsed to one sign; digits as their number up to 20."""
-    s = token[:64]
     for pattern, sign in _SHAPES:
-        s = pattern.sub(sign, s)
-    return re.sub("[0-9]+", lambda m: f"<{min(20, len(m[0]))}>", s)
+        token = pattern.sub(sign, token)
+    return re.sub("[0-9]+", lambda m: f"<{min(20, len(m[0]))}>", token)
+
+
+def _mixture(token: str) -> str:
+    """Which sorts of characters a token has, and whether it reads as hexadecimal."""
+    sorts = "".join(sign for sign, p in (("A", "[A-Z]"), ("a", "[a-z]"), ("0", "[0-9]"), ("u", "[^\x00-\x7f]"), (".", "[^A-Za-z0-9\x80-\U0010ffff]")) if re.search(p, token))
+    return sorts + ("x" if re.fullmatch("[0-9a-fA-F]{16,}", token) else "")
 
 
 def _validity(digits: str, token: str) -> str:
@@ -156,22 +180,16 @@ def recurrences(text: str, nodes: list[tuple[int, int]], label: np.ndarray) -> t
 def document_graph(text: str, base: list[tuple[int, int, int]]) -> tuple[list[tuple[int, int]], np.ndarray, list[list[int]], np.ndarray, np.ndarray]:
     """Nodes, labels from base spans (0: outside), features of each, chain edges and skip edges."""
     nodes = _nodes(text)
-    label = np.zeros(len(nodes), np.int64)
-    starts = np.array([s for s, _ in nodes] or [0])
-    for kind, s, e in base:
-        i = max(0, int(np.searchsorted(starts, s, side="right")) - 1)
-        while i < len(nodes) and nodes[i][0] < e:
-            if nodes[i][1] > s:
-                label[i] = kind + 1
-            i += 1
+    label = _labels(nodes, base)
     features, chain, skip, last = [], [], [], {}
     for i, (s, e) in enumerate(nodes):
         token = text[s:e]
-        before = text[max(0, s - 24) : s].split()
+        words = ["^", "^", *_WORD.findall(text[max(0, s - 40) : s].lower())][-2:]
         sh = shape(token)
         digits = "".join(c for c in token if "0" <= c <= "9")
-        names = ["bias", "s=" + sh, f"d={min(20, len(digits))}", f"l={min(30, e - s)}", "p=" + sh[:4], "q=" + sh[-4:], "w=" + (shape(before[-1].lower()) if before else "^"), "v=" + _validity(digits, token)]
-        features.append([crc32(n.encode()) % FEATURES for n in names])
+        form = ["s=" + sh, f"d={min(20, len(digits))}", f"l={min(30, e - s)}", "p=" + sh[:4], "q=" + sh[-4:], "v=" + _validity(digits, token), "m=" + _mixture(token), f"c={min(16, len(set(token)))}", f"b={(e - s).bit_length()}{'@' in token}"]
+        context = ["w=" + words[-1], "ww=" + " ".join(words), "x=" + ("" if e >= len(text) else shape(text[e]))]
+        features.append([crc32(n.encode()) % (FEATURES - 1) + 1 for n in (*form, *context)])
         if i and s - nodes[i - 1][1] <= 3:
             chain.append((i - 1, i))
         for key in _keys(token):
@@ -181,48 +199,85 @@ def document_graph(text: str, base: list[tuple[int, int, int]]) -> tuple[list[tu
     return nodes, label, features, np.array(chain, np.int64).reshape(-1, 2), np.array(skip, np.int64).reshape(-1, 2)
 
 
+def _labels(nodes: list[tuple[int, int]], spans: list[tuple[int, int, int]]) -> np.ndarray:
+    label = np.zeros(len(nodes), np.int64)
+    starts = np.array([s for s, _ in nodes] or [0])
+    for kind, s, e in spans:
+        i = max(0, int(np.searchsorted(starts, s, side="right")) - 1)
+        while i < len(nodes) and nodes[i][0] < e:
+            if nodes[i][1] > s:
+                label[i] = kind + 1
+            i += 1
+    return label
+
+
+def labelled_graph(text: str) -> tuple:
+    """Labels to fit on (-1: unknown), features, chain and skip edges of a text."""
+    nodes, label, features, chain, skip = document_graph(text, base_spans(text))
+    secret = _labels(nodes, [(len(KINDS), *m.span(1)) for m in _ASSIGNED.finditer(text) if _DIGIT.search(m[1])])
+    label = np.where(label > 0, label, secret)
+    known = {key for (s, e), y in zip(nodes, label, strict=True) if y for key in _keys(text[s:e])}
+    unknown = [not y and bool(_keys(text[s:e]) & known) for (s, e), y in zip(nodes, label, strict=True)]
+    return np.where(unknown, -1, label), features, chain, skip
+
+
 class Field:
-    """Weights of the field: nodes (feature x label), chain and skip (label x label)."""
+    """Weights of the field: nodes (feature x label; row 0 is the bias), chain and skip (label x label)."""
 
     def __init__(self, node: np.ndarray, chain: np.ndarray, skip: np.ndarray):
         self.node, self.chain, self.skip = node, chain, skip
 
     @classmethod
     def fit(cls, graphs: list[tuple], rounds: int = 150) -> Field:
-        labels = len(KINDS) + 1
-        node = np.zeros((FEATURES, labels))
-        chain, skip = np.ones((labels, labels)), np.ones((labels, labels)) + 10 * np.eye(labels)  # the prior says that similar tokens agree
-        x = np.array([f for g in graphs for f in g[1]], np.int64).reshape(-1, 8)
-        y = np.concatenate([g[0] for g in graphs]) if graphs else np.zeros(0, np.int64)
-        if len(y):
-            # equal rows count once, with their number
-            rows, count = np.unique(np.column_stack([x, y]), axis=0, return_counts=True)
-            x, y = rows[:, :-1], rows[:, -1]
-            target, speed = np.eye(labels)[y], np.zeros_like(node)
-            for _ in range(rounds):
-                z = node[x].sum(axis=1)
+        """Nodes, chain and skip together, by the likelihood of each label given its neighbours' (adaptive gradient steps)."""
+        labels = len(SPAN_KINDS) + 1
+        node, chain = np.zeros((FEATURES, labels)), np.zeros((labels, labels))
+        prior = -DISAGREE * (1 - np.eye(labels))
+        if not graphs:
+            return cls(node, chain, prior)
+        first = np.cumsum([0] + [len(g[0]) for g in graphs])
+        y = np.concatenate([g[0] for g in graphs])
+        x = np.array([f for g in graphs for f in g[1]], np.int64).reshape(-1, FORM + CONTEXT)
+        ends = [np.concatenate([g[k] + n for g, n in zip(graphs, first[:-1], strict=True)]) for k in (2, 3)]
+        ends = [e[(y[e] >= 0).any(axis=1)] for e in ends]
+        # the neighbours that a node's label is judged by: before and after it in the chain, and along skip edges
+        sides = [(0, ends[0][:, 0], ends[0][:, 1], False), (0, ends[0][:, 1], ends[0][:, 0], True), (1, ends[1][:, 0], ends[1][:, 1], False), (1, ends[1][:, 1], ends[1][:, 0], True)]
+        sides = [(t, a[(y[a] >= 0) & (y[b] >= 0)], b[(y[a] >= 0) & (y[b] >= 0)], turned) for t, a, b, turned in sides]
+        known = np.flatnonzero(y >= 0)
+        target = np.eye(labels)[np.maximum(y, 0)]
+        views = [(np.arange(FORM + CONTEXT), 1.0), (np.arange(FORM, FORM + CONTEXT), 0.5), (np.arange(FORM), 0.5)]
+        orders = [np.argsort(c, kind="stable") for c in x.T]
+        heads = [np.flatnonzero(np.concatenate([[True], np.diff(c[o]) > 0])) for c, o in zip(x.T, orders, strict=True)]
+        tables, start = [node, chain, prior.copy()], [0.0, 0.0, prior]
+        speed = [np.zeros_like(t) for t in tables]
+        for _ in range(rounds):
+            grads = [np.zeros_like(t) for t in tables]
+            near = np.zeros((len(y), labels))
+            for t, a, b, turned in sides:
+                np.add.at(near, b, (tables[1 + t].T if turned else tables[1 + t])[y[a]])
+            for columns, weight in views:
+                z = node[0] + node[x[:, columns]].sum(axis=1) + near
                 p = np.exp(z - z.max(axis=1, keepdims=True))
-                p = (p / p.sum(axis=1, keepdims=True) - target) * count[:, None]
-                grad = np.zeros_like(node)
-                for k in range(x.shape[1]):
-                    np.add.at(grad, x[:, k], p)
-                grad = grad / count.sum() + 1e-6 * node
-                speed += grad**2
-                node -= 0.5 * grad / (np.sqrt(speed) + 1e-8)
-            for g in graphs:
-                for edges, table in ((g[2], chain), (g[3], skip)):
-                    np.add.at(table, (g[0][edges[:, 0]], g[0][edges[:, 1]]), 1)
-        if not len(y):
-            return cls(node, np.zeros((labels, labels)), np.zeros((labels, labels)))
-        rows, cols = (lambda t: t.sum(axis=1, keepdims=True)), (lambda t: t.sum(axis=0, keepdims=True))
-        near = np.clip(np.log(chain * chain.sum() / (rows(chain) * cols(chain))), -2, 3)
-        far = skip + skip.T  # what an edge costs whose ends differ, against one whose ends agree
-        far = np.clip(np.log(far / np.sqrt(rows(far) * cols(far))), -4, 0)
-        return cls(node, near, far)
+                p = (p / p.sum(axis=1, keepdims=True) - target) * weight
+                p[y < 0] = 0
+                grads[0][0] += p.sum(axis=0)
+                for k in columns.tolist():  # rows of equal features add up
+                    grads[0][x[orders[k][heads[k]], k]] += np.add.reduceat(p[orders[k]], heads[k], axis=0)
+                for t, a, b, turned in sides:
+                    own = np.zeros((labels, labels))
+                    np.add.at(own, y[a], p[b])
+                    grads[1 + t] += own.T if turned else own
+            grads[2] = (grads[2] + grads[2].T) / 2  # a skip edge has no direction
+            for t, g, s, fixed, pull in zip(tables, grads, speed, start, (0.05, 0.5, PRIOR), strict=True):
+                g += pull * (t - fixed)
+                g /= max(1, len(known))
+                s += g**2
+                t -= 0.3 * g / (np.sqrt(s) + 1e-8)
+        return cls(node, np.clip(tables[1], -4, 4), np.clip(tables[2], -6, 6))
 
     def marginals(self, label: np.ndarray, features: list[list[int]], chain: np.ndarray, skip: np.ndarray, hubs: int = 0) -> np.ndarray:
         """Label probabilities by damped loopy sum-product until it settles; nodes with a base label are clamped to it, hubs come after the nodes."""
-        unary = self.node[np.array(features)].sum(axis=1)
+        unary = self.node[0] + self.node[np.array(features)].sum(axis=1)
         unary[label > 0] = -30
         unary[np.arange(len(label)), label] = np.where(label > 0, 0, unary[np.arange(len(label)), label])
         unary = np.vstack([unary, np.zeros((hubs, unary.shape[1]))])
@@ -261,24 +316,26 @@ class Field:
         return sorted(out)
 
 
-def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = SAMPLE) -> Field:
-    """Fit the field on about ``most`` documents at most, chosen by a hash of the id."""
+def train(df: DataFrame, text_col: str = "text", most: int = SAMPLE) -> Field:
+    """Fit the field on ``most`` different texts with nodes at most, chosen by a hash of the text."""
     prepare(df.sparkSession)
-    rows = df.count()
-    share = min(1.0, most / max(1, rows))
-    some = df.where(F.pmod(F.xxhash64(F.col(f"`{id_col}`"), F.lit(2)), F.lit(1 << 30)) < int(share * (1 << 30))).select(F.col(f"`{text_col}`"))
+    text = F.col(f"`{text_col}`")
+    mixed = F.xxhash64(text, F.lit(2))
+    marked = df.where(text.rlike("[0-9@]"))
+    share = min(1.0, 1.2 * most / max(1, marked.select(F.approx_count_distinct(mixed)).first()[0]))
+    some = marked.where(F.pmod(mixed, F.lit(1 << 30)) < int(share * (1 << 30))).select(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            graphs = [document_graph(t, base_spans(t))[1:] for t in b.column(0).to_pylist() if t]
+            graphs = [labelled_graph(t) for t in b.column(0).to_pylist() if t]
             yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(g) for g in graphs if len(g[0])], pa.binary())], names=["graph"])
 
-    graphs = sorted(bytes(r[0]) for r in some.mapInArrow(lean(run), "graph binary").collect())
-    return Field.fit([pickle.loads(g) for g in graphs])
+    graphs = some.mapInArrow(lean(run), "graph binary").distinct().orderBy(F.xxhash64("graph"), "graph").limit(most).collect()
+    return Field.fit([pickle.loads(bytes(r[0])) for r in graphs])
 
 
 def find(df: DataFrame, field: Field, text_col: str = "text", out_col: str = "pii", keep: list[str] | None = None) -> DataFrame:
-    """Append an array of spans (kind, start, end in code points, base), by kind as in KINDS and start."""
+    """Append an array of spans (kind, start, end in code points, base), by kind as in SPAN_KINDS and start."""
     prepare(df.sparkSession)
     keep = list(df.columns) if keep is None else keep
     part = df.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*keep, text_col])])
@@ -289,7 +346,7 @@ def find(df: DataFrame, field: Field, text_col: str = "text", out_col: str = "pi
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            made = [[{"kind": KINDS[k], "start": s, "end": e, "base": x} for k, s, e, x in field.spans(t)] if t else [] for t in b.column(where).to_pylist()]
+            made = [[{"kind": SPAN_KINDS[k], "start": s, "end": e, "base": x} for k, s, e, x in field.spans(t)] if t else [] for t in b.column(where).to_pylist()]
             yield pa.RecordBatch.from_arrays([*[b.column(i) for i in kept], pa.array(made, kind)], names=schema.names)
 
     return part.mapInArrow(lean(run), schema)
@@ -300,7 +357,7 @@ def redacted(text: str, spans: list[tuple[int, int, int, bool]]) -> str:
     out, end = [], 0
     for kind, s, e, _ in sorted(spans, key=lambda x: (x[1], -x[2])):
         if s >= end:
-            out += [text[end:s], f"[{KINDS[kind].upper()}]"]
+            out += [text[end:s], f"[{SPAN_KINDS[kind].upper()}]"]
         end = max(end, e)
     return "".join([*out, text[end:]])
 

@@ -25,7 +25,7 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = F.filter("pii", lambda x: x["base"])
     joined = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
     counts = [F.expr(f"cast(size(filter(pii, x -> x.base and x.kind = '{k}')) as bigint) as n_{k}") for k in pii.KINDS]
-    return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("pii")).alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("pii")).alias("spans"), F.size("pii").cast("long").alias("n_spans"), F.expr("cast(size(filter(pii, x -> not x.base)) as bigint)").alias("n_added"))
 
 
 def op3_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
