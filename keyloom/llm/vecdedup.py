@@ -3,7 +3,8 @@
 Each pass orders the vectors by a 64-bit key of random hyperplane signs (most significant first) and
 compares every vector with the ``window`` next ones; pairs are verified in double precision on the
 vectors themselves. A pass's comparisons inside a partition leave as a spanning forest of the links
-found, and the rows near a partition's bounds meet those of the next partition in a second step.
+found. The rows near a partition's bounds meet those of the next one in a second step, which runs on
+over partitions that are shorter than a window, so the window is the same wherever bounds fall.
 The union of all passes gives components. The first passes are as many as vectors spread evenly need.
 Then recall is measured: a bounded sample of vectors is compared exactly with all others, and further
 passes with wider windows follow until the wanted share of the sample's links lies inside components.
@@ -11,11 +12,14 @@ Where vectors lie close together, a plane separates few of them, so there it tak
 
 Links are then counted inside components. Vectors closer to the component's pivot than half the
 threshold angle all link with each other (by the triangle inequality for angles), so they are
-counted without comparison; the others are compared with the whole component in blocks.
+counted without comparison; each of the others is compared with the whole component, in blocks.
 
 Equal vectors form a class, of which one goes through the passes. Vectors of each length go through
-passes of their own. Defined results: vectors that are null, zero, or hold null or non-finite
-components link with nothing.
+passes of their own. Vectors travel in the precision of their column.
+
+Defined results: vectors that are null, zero, or hold null or non-finite components link with
+nothing, and so do rows with a null id. An id is one vector: of rows that repeat an id the vector
+least by its bytes speaks for all of them, and they get the same values. Other columns than the two named are not read. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -29,12 +33,12 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, FloatType, IntegerType, LongType, StructField, StructType
 
 from .components import components
 from .runtime import Scratch, lean, prepare, shuffle_width
 
-WINDOW, RECALL, SEED, TILE = 64, 0.97, 7, 512
+WINDOW, RECALL, SEED, TILE, BLOCK = 64, 0.97, 7, 512, 1024
 #: Vectors whose links are all known by comparison (the bound of the sample), partners of each that are kept of a batch, and window and passes of the first further round (the window doubles with each).
 SAMPLE, PARTNERS, WIDER, MORE = 4096, 16, 1024, 8
 
@@ -51,13 +55,16 @@ def planes(number: int, dim: int) -> np.ndarray:
 
 
 def _unit(raws: list[bytes], dim: int) -> np.ndarray:
-    v = np.frombuffer(b"".join(raws), "<f8").reshape(len(raws), dim)
+    """Unit vectors in double precision of vectors of 4 or 8 bytes a component."""
+    v = np.frombuffer(b"".join(raws), "<f4" if raws and len(raws[0]) == 4 * dim else "<f8").reshape(len(raws), dim).astype(np.float64)
     v = v / np.abs(v).max(axis=1, keepdims=True)  # neither overflow nor underflow in the norm
     return v / np.sqrt((v * v).sum(axis=1))[:, None]
 
 
 def _valid(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(id, v, dim) of the vectors that can link: bytes of their components as doubles."""
+    """(id, v, dim) of the vectors that can link: bytes of their components, as doubles unless the column holds floats."""
+    kind = df.schema[vector_col].dataType
+    code = "<f4" if isinstance(kind, ArrayType) and isinstance(kind.elementType, FloatType) else "<f8"
     schema = StructType([StructField("id", LongType()), StructField("v", BinaryType()), StructField("dim", IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -67,7 +74,8 @@ def _valid(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
                 values = x.values if x.is_valid else None
                 if i is None or values is None or not len(values) or values.null_count:
                     continue
-                v = values.to_numpy(zero_copy_only=False).astype("<f8") + 0.0
+                v = values.to_numpy(zero_copy_only=False).astype(code)
+                v = v + v.dtype.type(0)  # minus zero is zero
                 if np.isfinite(v).all() and v.any():
                     ids.append(i), raws.append(v.tobytes()), dims.append(len(v))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(raws, pa.binary()), pa.array(dims, pa.int32())], names=schema.names)
@@ -75,8 +83,8 @@ def _valid(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return df.select(F.col(f"`{id_col}`").cast("long"), F.col(f"`{vector_col}`")).mapInArrow(lean(run), schema)
 
 
-def _forest(ids: np.ndarray, unit: np.ndarray, least: float, window: int, split: int = 0) -> list[tuple[int, int]]:
-    """Spanning forest of the links between each row and the ``window`` next ones (only across place ``split``, if given)."""
+def _forest(ids: np.ndarray, unit: np.ndarray, least: float, window: int) -> list[tuple[int, int]]:
+    """Spanning forest of the links between each row and the ``window`` next ones."""
     n, parent = len(ids), list(range(len(ids)))
 
     def root(x: int) -> int:
@@ -91,8 +99,6 @@ def _forest(ids: np.ndarray, unit: np.ndarray, least: float, window: int, split:
         s = unit[lo : min(n, lo + TILE)] @ unit[lo:hi].T
         i, j = np.nonzero(s >= least)
         near = (j > i) & (j <= i + window)
-        if split:
-            near &= (i + lo < split) & (j + lo >= split)
         for a, b in zip((i[near] + lo).tolist(), (j[near] + lo).tolist(), strict=True):
             x, y = root(a), root(b)
             if x != y:
@@ -101,8 +107,8 @@ def _forest(ids: np.ndarray, unit: np.ndarray, least: float, window: int, split:
     return out
 
 
-def _pass_links(vectors: DataFrame, dim: int, passes: int, least: float, window: int, rows: int, first: int = 0) -> tuple[DataFrame, DataFrame]:
-    """Links within the partitions of the sorted passes (numbered from ``first``), and the rows near the bounds (a row has kind 0 or 1)."""
+def _pass_links(vectors: DataFrame, dim: int, passes: int, least: float, window: int, rows: int, first: int = 0) -> DataFrame:
+    """Of the sorted passes (numbered from ``first``): links within partitions (kind 0), rows near the bounds (kind 1, with their place in the partition's part of the pass) and numbers of rows of a partition in its first and last pass (kind 2, as place)."""
     keyed = StructType([StructField("turn", IntegerType()), StructField("order", LongType()), StructField("id", LongType()), StructField("v", BinaryType())])
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,17 +120,18 @@ def _pass_links(vectors: DataFrame, dim: int, passes: int, least: float, window:
                 key = ((unit @ own[p].T > 0) * bits).sum(axis=1, dtype=np.uint64) ^ np.uint64(1 << 63)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(b.num_rows, p, np.int32)), pa.array(key.view(np.int64)), b.column(0), b.column(1)], names=keyed.names)
 
-    out = StructType([StructField("kind", IntegerType()), StructField("turn", IntegerType()), StructField("bound", IntegerType()), StructField("place", LongType()), StructField("a", LongType()), StructField("b", LongType()), StructField("v", BinaryType())])
+    out = StructType([StructField("kind", IntegerType()), StructField("turn", IntegerType()), StructField("part", IntegerType()), StructField("side", IntegerType()), StructField("place", LongType()), StructField("a", LongType()), StructField("b", LongType()), StructField("v", BinaryType())])
+    kinds = pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         ids, raws, turns = np.zeros(0, np.int64), [], np.zeros(0, np.int32)
-        head: dict[int, int] = {}
+        count: dict[int, int] = {}
         done = 0
 
-        def edges(rows: list[tuple]) -> pa.RecordBatch:
-            cols = list(zip(*rows, strict=True)) if rows else [()] * 7
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=out.names)
+        def made(rows: list[tuple]) -> pa.RecordBatch:
+            cols = list(zip(*rows, strict=True)) if rows else [()] * len(kinds)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=out.names)
 
         for b in batches:
             turns = np.concatenate([turns, b.column("turn").to_numpy()])
@@ -132,23 +139,50 @@ def _pass_links(vectors: DataFrame, dim: int, passes: int, least: float, window:
             raws += b.column("v").to_pylist()
             rows = []
             for t, i, v in zip(b.column("turn").to_pylist(), b.column("id").to_pylist(), b.column("v").to_pylist(), strict=True):
-                if not head or (t in head and head[t] < window):  # the first rows of the partition belong to the first pass in it
-                    rows.append((1, t, part - 1, window + head.get(t, 0), i, None, v))
-                    head[t] = head.get(t, 0) + 1
+                n = count.get(t, 0)
+                if n < window and (not count or t == next(iter(count))):  # the first rows of the partition belong to the first pass in it
+                    rows.append((1, t, part, 0, n, i, None, v))
+                count[t] = n + 1
             if len(ids) - done >= 4 * TILE:
                 rows += _links(ids, raws, turns, dim, least, window)
                 ids, raws, turns = ids[-window:], raws[-window:], turns[-window:]
                 done = len(ids)
-            yield edges(rows)
+            yield made(rows)
         rows = _links(ids, raws, turns, dim, least, window)
-        if len(turns):  # the last rows of the last pass in it
-            tail = np.flatnonzero(turns == turns[-1])[-window:].tolist()
-            rows += [(1, int(turns[-1]), part, window - len(tail) + k, int(ids[i]), None, raws[i]) for k, i in enumerate(tail)]
-        yield edges(rows)
+        if count:
+            begin, end = next(iter(count)), int(turns[-1])
+            rows += [(2, t, part, None, count[t], None, None, None) for t in {begin, end}]
+            tail = np.flatnonzero(turns == end)[-window:].tolist()
+            if begin != end or count[end] >= window:  # else these are the first rows already
+                rows += [(1, end, part, 1, count[end] - len(tail) + k, int(ids[i]), None, raws[i]) for k, i in enumerate(tail)]
+        yield made(rows)
 
     spread = vectors.select("id", "v").mapInArrow(lean(keys), keyed)
-    n = max(1, min(shuffle_width(vectors.sparkSession), rows * passes // (4 * window)))  # only neighbours meet, so a partition holds several windows
-    return spread.repartitionByRange(n, "turn", "order", "id").sortWithinPartitions("turn", "order", "id").mapInArrow(lean(compare), out), out
+    n = max(1, min(shuffle_width(vectors.sparkSession), rows * passes // (4 * window)))  # a partition holds several windows
+    return spread.repartitionByRange(n, "turn", "order", "id").sortWithinPartitions("turn", "order", "id").mapInArrow(lean(compare), out)
+
+
+def chains(counts: list[tuple[int, int, int]], window: int) -> list[tuple[int, int, int, int]]:
+    """(turn, part, side, chain): the runs of rows near bounds that follow on each other without a gap.
+
+    ``counts``: (turn, part, rows) of the first and last pass of every partition. A partition with a
+    whole window of a pass ends a run with its first rows and begins another with its last ones; a
+    shorter one lies inside a run.
+    """
+    out, chain, before = [], 0, None
+    firsts: dict[int, int] = {}
+    for turn, part, _ in counts:
+        firsts[part] = min(turn, firsts.get(part, turn))
+    for turn, part, n in sorted(counts):
+        if turn != before:
+            chain, before = chain + 1, turn
+        if firsts[part] == turn:
+            out.append((turn, part, 0, chain))
+        if n >= window:
+            chain += 1
+        if n >= window or firsts[part] != turn:
+            out.append((turn, part, 1, chain))
+    return out
 
 
 def _links(ids: np.ndarray, raws: list[bytes], turns: np.ndarray, dim: int, least: float, window: int) -> list[tuple]:
@@ -157,7 +191,7 @@ def _links(ids: np.ndarray, raws: list[bytes], turns: np.ndarray, dim: int, leas
         k = np.flatnonzero(turns == t)
         if len(k) > 1:
             unit = _unit([raws[i] for i in k.tolist()], dim)
-            rows += [(0, t, None, None, a, b, None) for a, b in _forest(ids[k], unit, least, window)]
+            rows += [(0, t, None, None, None, a, b, None) for a, b in _forest(ids[k], unit, least, window)]
     return rows
 
 
@@ -205,44 +239,43 @@ def _counted(members: DataFrame, dim: int, least: float) -> DataFrame:
 
 
 def _compared(rows: DataFrame, dim: int, least: float) -> DataFrame:
-    """Links between blocks: every row outside the core with every row of the component; (id, links) partial sums."""
+    """(id, links) partial sums: links of the rows outside the core (side 1, in blocks i) with all rows of their component (side 2, in blocks j), counted for both unless the other is outside too."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        left, right = group[group["side"] != 2], group[group["side"] != 1]
+        left, right = group[group["side"] == 1], group[group["side"] == 2]
         if not len(left) or not len(right):
             return pd.DataFrame({"id": np.zeros(0, np.int64), "links": np.zeros(0, np.int64)})
         u, w = _unit(list(left["v"]), dim), _unit(list(right["v"]), dim)
         ids_u, ids_w = left["id"].to_numpy(), right["id"].to_numpy()
-        core_u, core_w = left["core"].to_numpy(), right["core"].to_numpy()
-        cu, cw = left["copies"].to_numpy(), right["copies"].to_numpy()
+        core, cu, cw = right["core"].to_numpy(dtype=bool), left["copies"].to_numpy(), right["copies"].to_numpy()
         links_u, links_w = np.zeros(len(u), np.int64), np.zeros(len(w), np.int64)
-        same = group["side"].iloc[0] == 0
         for lo in range(0, len(u), TILE):
-            hit = u[lo : lo + TILE] @ w.T >= least
-            hit &= ~(core_u[lo : lo + TILE, None] & core_w[None, :]) & (ids_u[lo : lo + TILE, None] != ids_w[None, :])
-            links_u[lo : lo + TILE] += hit @ cw
-            if not same:
-                links_w += cu[lo : lo + TILE] @ hit
-        return pd.DataFrame({"id": np.concatenate([ids_u, ids_w]) if not same else ids_u, "links": np.concatenate([links_u, links_w]) if not same else links_u})
+            hit = (u[lo : lo + TILE] @ w.T >= least) & (ids_u[lo : lo + TILE, None] != ids_w[None, :])
+            links_u[lo : lo + TILE] = hit @ cw
+            links_w += cu[lo : lo + TILE] @ hit
+        return pd.DataFrame({"id": np.concatenate([ids_u, ids_w[core]]), "links": np.concatenate([links_u, links_w[core]])})
 
     return rows.groupBy("comp", "i", "j").applyInPandas(run, "id long, links long")
 
 
 def _of_length(scratch: Scratch, valid: DataFrame, dim: int, least: float, window: int) -> DataFrame:
     """(v, component_id, n_links) of the distinct vectors of one length."""
+    spark = valid.sparkSession
     classes = scratch.save(valid.groupBy("v").agg(F.min("id").alias("id"), F.count("*").alias("copies")))
     rows = int(classes.count())
 
     def linked(passes: int, window: int, first: int, before: DataFrame | None) -> DataFrame:
-        found = scratch.save(_pass_links(classes, dim, passes, least, window, rows, first)[0])
+        found = scratch.save(_pass_links(classes, dim, passes, least, window, rows, first))
 
         def meet(group: pd.DataFrame) -> pd.DataFrame:
-            group = group.sort_values("place")
-            split = int((group["place"] < window).sum())
-            pairs = _forest(group["a"].to_numpy(), _unit(list(group["v"]), dim), least, window, split) if 0 < split < len(group) else []
+            group = group.sort_values(["part", "place"])
+            pairs = _forest(group["a"].to_numpy(), _unit(list(group["v"]), dim), least, window) if len(group) > 1 else []
             return pd.DataFrame(pairs, columns=["a", "b"]).astype("int64")
 
-        across = found.where("kind = 1").groupBy("turn", "bound").applyInPandas(meet, "a long, b long")
+        # two numbers for each partition reach the driver, whatever the rows
+        counts = [tuple(r) for r in found.where("kind = 2").select("turn", "part", "place").collect()]
+        runs = spark.createDataFrame(chains(counts, window), "turn int, part int, side int, chain int")
+        across = found.where("kind = 1").join(runs, ["turn", "part", "side"]).groupBy("chain").applyInPandas(meet, "a long, b long")
         edges = found.where("kind = 0").select("a", "b").unionByName(across)
         if before is not None:
             edges = edges.unionByName(before.select(F.col("component").alias("a"), F.col("node").alias("b")))
@@ -261,15 +294,16 @@ def _of_length(scratch: Scratch, valid: DataFrame, dim: int, least: float, windo
     # link counts inside the components of more than one class
     named = classes.join(comps.withColumnRenamed("node", "id"), "id").select(F.col("component").alias("comp"), "id", "v", "copies")
     named = scratch.save(named)
-    pivots = scratch.save(named.where("id = comp").select("comp", F.col("v").alias("pv")))
+    pivots = scratch.save(named.where("id = comp").groupBy("comp").agg(F.min("v").alias("pv")))
     marked = scratch.save(_counted(named.join(pivots, "comp"), dim, least))
     sizes = scratch.save(marked.groupBy("comp").agg(F.count("*").alias("rows"), F.sum(F.when(F.col("core"), F.col("copies")).otherwise(0)).alias("inner"), F.count_if(~F.col("core")).alias("outer")))
     withs = scratch.save(marked.join(sizes, "comp"))
     base = withs.select("id", F.when(F.col("core"), F.col("inner") - F.col("copies")).otherwise(0).alias("links"))
-    blocks = F.ceil(F.col("rows") / 1024)
-    open_ = withs.where("outer > 0").withColumn("n", blocks).withColumn("x", F.pmod(F.xxhash64("id"), F.col("n")))
-    dealt = open_.withColumn("y", F.explode(F.expr("sequence(0L, n - 1)")))
-    dealt = dealt.select("comp", "id", "v", "copies", "core", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), F.when(F.col("x") == F.col("y"), 0).when(F.col("x") < F.col("y"), 1).otherwise(2).alias("side"))
+    # a row of the core is sent once for each block of rows outside it, and these once for each block of all rows
+    open_ = withs.where("outer > 0").withColumn("m", F.ceil(F.col("outer") / BLOCK)).withColumn("n", F.ceil(F.col("rows") / BLOCK))
+    outside = open_.where("not core").withColumn("i", F.pmod(F.xxhash64("id"), F.col("m"))).withColumn("j", F.explode(F.expr("sequence(0L, n - 1)"))).withColumn("side", F.lit(1))
+    whole = open_.withColumn("j", F.pmod(F.xxhash64("id"), F.col("n"))).withColumn("i", F.explode(F.expr("sequence(0L, m - 1)"))).withColumn("side", F.lit(2))
+    dealt = outside.unionByName(whole).select("comp", "id", "v", "copies", "core", "i", "j", "side")
     links = base.unionByName(_compared(dealt, dim, least)).groupBy("id").agg(F.sum("links").alias("links"))
     return scratch.save(classes.join(comps.withColumnRenamed("node", "id"), "id", "left").join(links, "id", "left").select("v", F.coalesce("component", "id").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
 
@@ -279,7 +313,8 @@ def near_duplicates(df: DataFrame, least: float = 0.9, id_col: str = "vec_id", v
     spark = df.sparkSession
     prepare(spark)
     scratch = Scratch(spark, "vectors")
-    valid = scratch.save(_valid(df, id_col, vector_col))
+    first = _valid(df, id_col, vector_col).groupBy("id").agg(F.min(F.struct("v", "dim")).alias("x"))
+    valid = scratch.save(first.select("id", "x.v", "x.dim"))
     dims = [int(r[0]) for r in valid.select("dim").distinct().orderBy("dim").collect()]
     ids = df.select(F.col(f"`{id_col}`").cast("long").alias("id"))
     if not dims:
@@ -288,6 +323,6 @@ def near_duplicates(df: DataFrame, least: float = 0.9, id_col: str = "vec_id", v
     for dim in dims:
         part = _of_length(scratch, valid.where(F.col("dim") == dim), dim, least, window)
         of_class = part if of_class is None else of_class.unionByName(part)
-    of_row = valid.join(of_class, "v").select("id", "n_links", "component_id").dropDuplicates(["id"])
+    of_row = valid.join(of_class, "v").select("id", "component_id", "n_links")
     out = ids.join(of_row, "id", "left").select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
