@@ -12,9 +12,12 @@ are all pairs that share an integer at places whose offset leaves enough overlap
 frames 4 to 16 before and after agree in most bits; the occurrences of an integer meet in one task and
 only pairs that pass leave it. Equal fingerprints form a class that goes through as one row.
 
-Defined results: a recording that is null, no such file, or too short for an integer has none and is
-its own group. Silence has integers like any sound. Recordings that overlap by fewer than LEAST_FRAMES
-frames (about a second) link only if their fingerprints are equal.
+Defined results: a recording that is null, no such file, of a stated sampling rate over MOST_HZ, or
+too short for an integer has none and is its own group. Silence has integers like any sound.
+Recordings that overlap by fewer than LEAST_FRAMES frames (about a second) link only if their
+fingerprints are equal. Rows with the same id are told apart by their fingerprints; a null id is in no
+group but its own fingerprint's. Other columns than the two named are not read. An empty table gives
+no rows.
 """
 
 from __future__ import annotations
@@ -33,6 +36,8 @@ from .components import components
 from .runtime import Scratch, lean, prepare, shuffle_width
 
 HOP_S, LOWEST_HZ, SPAN, STEP = 0.064, 130.8128, 8, 0.06
+#: Highest sampling rate that is taken for one, and sampling rates whose projections a worker keeps.
+MOST_HZ, RATES = 768_000, 16
 #: Share of the shorter recording that must overlap, frames that must at least, and bit errors allowed there.
 OVERLAP, LEAST_FRAMES, ERRORS = 0.6, 16, 0.15
 #: Frames around an integer that are compared (16 bits of each), share of their bits that may differ, turns in which the integers are dealt, and offsets of a histogram that are tried.
@@ -46,6 +51,8 @@ def samples(data: bytes | None) -> tuple[np.ndarray, int]:
             rate, channels, size, raw = w.getframerate(), w.getnchannels(), w.getsampwidth(), w.readframes(w.getnframes())
     except (wave.Error, EOFError):
         return np.zeros(0, np.float32), 0
+    if not 0 < rate <= MOST_HZ:
+        return np.zeros(0, np.float32), 0
     if size == 1:
         x = (np.frombuffer(raw, np.uint8).astype(np.float32) - 128) / 128
     elif size == 2:
@@ -61,6 +68,8 @@ _bases: dict[int, tuple[int, np.ndarray, np.ndarray]] = {}
 def _basis(rate: int) -> tuple[int, np.ndarray, np.ndarray]:
     """Hop, projections (cosines beside sines, windowed), and class of each pitch, for a sampling rate."""
     if rate not in _bases:
+        if len(_bases) >= RATES:
+            _bases.clear()
         hop = max(1, round(rate * HOP_S))
         pitches = [k for k in range(96) if LOWEST_HZ * 2 ** (k / 12) < 0.495 * rate]
         t = np.arange(2 * hop) / rate
@@ -72,11 +81,11 @@ def _basis(rate: int) -> tuple[int, np.ndarray, np.ndarray]:
 
 def chroma(x: np.ndarray, rate: int) -> np.ndarray:
     """One row of 12 pitch-class shares for every hop."""
-    if not rate:
+    if not rate or len(x) // max(1, round(rate * HOP_S)) < 2:
         return np.zeros((0, 12))
     hop, basis, cls = _basis(rate)
     n = len(x) // hop - 1
-    if n < 1 or not len(cls):
+    if not len(cls):
         return np.zeros((0, 12))
     blocks = x[: (n + 1) * hop].reshape(n + 1, hop)
     y = blocks[:-1] @ basis[:hop] + blocks[1:] @ basis[hop:]
