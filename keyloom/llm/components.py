@@ -1,6 +1,7 @@
 """Connected components of an edge table: union-find within tasks, then large-star and small-star rounds.
 
-Every task first replaces its edges by a spanning forest of them. What is left goes through rounds
+Defined results: loops (a = b) and repeated edges change nothing, no edges give no rows, and nulls are not
+allowed. Every task first replaces its edges by a spanning forest of them. What is left goes through rounds
 of distributed star operations until every node hangs on the least of its component. Edges that fit
 a checked bound (a constant, whatever the input) go through one more union-find instead.
 """

@@ -6,9 +6,15 @@ classes are cut into bands. In each bucket of a band the least member is linked
 bucket still holds several components, other pivots are tried, and what is left is compared block
 by block across components, so the stars lose no pair that shares a bucket.
 
+Two members of a bucket whose signatures agree in fewer slots than the wanted similarity less SLACK
+(over 4 standard deviations, so less than one true link in 100,000 is passed over, far fewer than banding
+passes over) are not compared further.
+
 Defined results: a null or empty text, or one without words, has an empty set and links with
 nothing. Rows with the same id share its class if their texts do. A row whose id is null never
-names a component: it takes that of its class, or null (and is kept) if its class has no id.
+names a component: it takes that of its class, or null (and is kept) if its class has no id. Other
+columns than the two named are not read; ``keep_one`` carries columns of any name. An empty table gives
+no rows.
 """
 
 from __future__ import annotations

@@ -6,7 +6,9 @@ lengths are placed longest first, each into the shortest packs so far, by count
 The plan then comes back to the pieces by rank: the k-th piece of a length takes the k-th place
 that the patterns hold for that length.
 
-Nulls and empty texts: one piece with the end id alone. Repeated rows are packed once each.
+Defined results: null and empty texts are one piece with the end id alone. Repeated rows, and rows with
+null or equal ids, are packed once each. An empty table gives no rows. ``token_pieces`` reads two columns
+only; ``pack`` carries all columns, and raises ValueError if ``sequence_id`` or ``offset`` is among them.
 """
 
 from __future__ import annotations

@@ -6,8 +6,12 @@ the sequence holds each stratum in proportion, so cutting the sequence into equa
 that match the mixture. Both sorts are range-partitioned over all tasks: a stratum with a third of
 the rows is spread like any other.
 
-Defined results: a null stratum is a stratum of its own; rows equal in all columns are told apart
-by their place only. Row counts of shards differ by one at most; an empty table gives no rows.
+Law ``rows``: row counts of shards differ by one at most, whatever the sizes of rows. Rows are dealt one
+by one, so groups of equal texts are not kept together: like any rows they spread over the shards.
+
+Defined results: a null stratum is a stratum of its own; rows with null or equal keys are told apart
+by their place only. An empty table gives no rows. All columns are carried; ``shard`` or ``slot`` among
+them raises ValueError.
 """
 
 from __future__ import annotations

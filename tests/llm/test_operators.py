@@ -142,7 +142,7 @@ def test_pii_keeps_base_spans_adds_recurrences_and_masks(spark, empty):
 
 def test_pii_finds_all_of_many_recurrences(spark):
     text = "call +5551234567 " + " ".join(f"{prose(6)} 5551234567" for _ in range(50)) + " end"
-    labels = len(pii.KINDS) + 1
+    labels = len(pii.SPAN_KINDS) + 1
     neutral = pii.Field(np.zeros((pii.FEATURES, labels)), np.zeros((labels, labels)), -4 * (1 - np.eye(labels)))
     for field in (neutral, pii.train(spark.createDataFrame([(i, f"{prose(5)} call +555{1000000 + 7919 * i} {prose(3)}") for i in range(60)], "doc_id long, text string"))):
         assert len([x for x in field.spans(text) if x[0] == 3]) == 51

@@ -31,3 +31,16 @@ def test_stages_keep_columns_and_take_effect(spark, tmp_path):
             assert "[PHONE]" in text and "555" not in text and "alpha beta gamma" in text
     assert [n for n, _ in seen] == ["language", "near_duplicates", "repeats", "personal_data", "packing"]
     assert out.agg(F.count_distinct("doc_id")).first()[0] == seen[3][1]
+
+
+def test_run_on_odd_and_empty_tables(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, kept_id string, own_hash int"
+    text = "the house and the water are here for all of us today and tomorrow again"
+    odd = [(None, text + " x", "en", None, 1, "k", 1), (None, None, None, None, None, None, None), (1, "", "en", "s", 0, "k", 1), (2, "  ", None, "s", 2, "k", 1), (3, text, "en", "s", 1, "k", 1), (3, text, "en", "s", 1, "k", 1), (4, text.upper(), None, "s", 1, "k", 1), (5, "les maisons sont ici " * 400, "fr", "s", 1, "k", 1), (6, "das haus und wasser nicht ohne uns " * 3, "de", "s", 1, "k", 1)]
+    spark.createDataFrame(odd, schema).repartition(2).write.parquet(f"file://{tmp_path}/odd/documents.parquet")
+    spark.createDataFrame([], schema).write.parquet(f"file://{tmp_path}/none/documents.parquet")
+    got = cp.run(spark, f"file://{tmp_path}/odd").collect()
+    ids = [r.doc_id for r in got]
+    assert set(ids) <= {None, 3, 4, 5, 6} and len({3, 4} & set(ids)) == 1 and {5, 6} <= set(ids)
+    assert all(r.length > 0 and r.offset + r.length <= 4096 for r in got)
+    assert cp.run(spark, f"file://{tmp_path}/none").count() == 0
