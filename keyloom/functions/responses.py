@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from keyloom.functions.web import intent_id
+from keyloom.workers import ready
 
 NAMES = ("intents", "keywords", "items", "rows")
 FIELDS = ("intent_id", "category", "keyword", "slot_type", "reason", "evidence_tier", "quality_score")
@@ -61,7 +62,7 @@ def response_items(texts: pd.Series) -> pd.Series:
 
 def parsed_rows(answers: DataFrame, text_col: str = "answer") -> DataFrame:
     """Items of responses in order; rows without a keyword go, and a missing id is made from category and keyword."""
-    out = answers.select("*", F.posexplode(response_items(text_col)).alias("ord", "item"))
+    out = ready(answers).select("*", F.posexplode(response_items(text_col)).alias("ord", "item"))
     out = out.select(*[c for c in answers.columns if c != text_col], "ord", "item.*").where(F.coalesce("keyword", F.lit("")) != "")
     return out.withColumn("intent_id", F.coalesce(F.nullif("intent_id", F.lit("")), intent_id(F.coalesce("category", F.lit("")), F.col("keyword"))))
 

@@ -16,6 +16,7 @@ from keyloom import dims
 from keyloom.functions import keywords as K
 from keyloom.functions.arrays import collapse, first_of_each, let, none, rows_of, texts, unique, words_of
 from keyloom.operators import interpret, quota, slots, surface
+from keyloom.workers import ready
 
 POSITIVES = tuple(dims.CATEGORY_TARGETS)
 BUDGET_OF_WEAK, NEGATIVES = 20, 10
@@ -240,7 +241,7 @@ def selected(banked: DataFrame, plan: DataFrame, verbose: bool = False) -> DataF
     it = {n: F.col(n) for n in ("name", "product_category", "secondary", "audience", "concerns", "usage", "page_class", "events", "measures", "specs", "ingredients", "technology", "form_factors")}
     weights = strengths()
     out = banked.withColumn("judged", F.transform("bank", lambda e: F.struct(e["pos"].alias("pos"), signature(e["keyword"]).alias("signature"), surface.surface_code(e["keyword"], e["category"], it, verbose).isNotNull().alias("rejected"))))
-    out = out.join(seats, "url", "left").withColumn("plan", F.coalesce("plan", F.array().cast("array<struct<pos:int,seats:int>>")))
+    out = ready(out).join(seats, "url", "left").withColumn("plan", F.coalesce("plan", F.array().cast("array<struct<pos:int,seats:int>>")))
     out = out.select("url", "bank", "judged", "plan", F.array(*[weights[c].cast("double") for c in POSITIVES]).alias("strength"))
     return out.mapInArrow(_picked, ", ".join(map(" ".join, PICKED)))
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from keyloom import dims
 from keyloom.functions import structured, web
 from keyloom.functions.arrays import any_in, texts
+from keyloom.workers import ready
 
 _SIGNALS = (("buy", dims.BUY), ("stock", dims.STOCK), ("promo", dims.PROMO), ("support", dims.SUPPORT), ("download", dims.DOWNLOAD), ("waiting", dims.WAITING))
 #: Visible characters from which a cleaned page replaces the raw one.
@@ -17,7 +18,7 @@ LEAST_CLEANED = 60
 def described(pages: DataFrame) -> DataFrame:
     """Pages (page_id, url, html and any other columns) with what their markup says: title, description, names, language, JSON-LD signals and text."""
     html, url = F.col("html"), F.col("url")
-    out = pages.withColumns(
+    out = ready(pages).withColumns(
         {
             "ld": structured.structured_signals(structured.json_ld_texts(html)),
             "raw_title": web.title(html),

@@ -11,6 +11,7 @@ from keyloom.functions import web
 from keyloom.functions.arrays import texts, where_here
 from keyloom.operators import accuracy, facts, jobs, pages, quota, rows
 from keyloom.plans import sql as S
+from keyloom.workers import ready
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -27,7 +28,7 @@ def query(name: str, sql: str | None = None):
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return ready(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
 
 
 def products(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,6 +7,8 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from keyloom.workers import ready
+
 #: What a fetch gives; the last four only if the page was rendered.
 PAGE = "raw_url string, final_url string, html string, http_status int, content_type string, fetch_profile string, error string, cleaned_html string, markdown string, fit_markdown string, screenshot boolean"
 _FIELDS = [f.split(" ")[0] for f in PAGE.split(", ")]
@@ -34,4 +36,4 @@ def fetch_pages(urls: DataFrame, fetchers: list[tuple[str, Callable[[str], dict]
         for b in batches:
             yield pd.DataFrame([fetch_one(u, fetchers) for u in b[url_col]], columns=_FIELDS).astype(object).where(lambda x: x.notna(), None)
 
-    return urls.select(url_col).mapInPandas(run, PAGE)
+    return ready(urls).select(url_col).mapInPandas(run, PAGE)
