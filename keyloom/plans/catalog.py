@@ -249,9 +249,12 @@ def a04(spark, d):
     return rows.url_metrics(candidate_rows(spark, d)).select("url", "platform", "total", "fillers", F.col("natural_sum").cast("long").alias("natural_sum"), "exact_distinct", "semantic_distinct", "reasoned", "malformed", "invalid_negatives", "failures")
 
 
-@query("A04_auto_score")
+_COUNTS = "n AS (SELECT url AS u, platform AS p, " + ", ".join(f"count(*) FILTER (category = '{c}') AS n_{c}" for c in dims.IDEAL_SHARES) + " FROM sides GROUP BY url, platform)"
+_DEVIATION = "(0.0::DOUBLE + " + " + ".join(f"abs(n_{c}::DOUBLE / total - {v}::DOUBLE)" for c, v in dims.IDEAL_SHARES.items()) + ") / 9"
+
+
+@query("A04_auto_score", S.METRICS.split("SELECT *, array_to_string")[0] + f", {_COUNTS}, v AS (SELECT a.*, {_DEVIATION} AS deviation FROM a JOIN n ON u = url AND p = platform) SELECT url, platform, deviation, least(100::DOUBLE, greatest(0::DOUBLE, natural_sum::DOUBLE / (total * 100) * 30 + greatest(0::DOUBLE, 10 - deviation * 100) + semantic_distinct::DOUBLE / total * 10 + reasoned::DOUBLE / total * 10 - (fillers::DOUBLE / total * 60 + (malformed * 3 + invalid_negatives)::DOUBLE / 2))) AS auto_score FROM v")
 def a04b(spark, d):
-    """Scores are sums of doubles, so they are tested against brute force and not by hash."""
     return rows.url_metrics(candidate_rows(spark, d)).select("url", "platform", "auto_score", "deviation")
 
 
