@@ -37,7 +37,7 @@ from .textkeys import mix, word_hashes
 #: Longest n-grams counted, the factor of a step back, and the count of a word that no other document has.
 ORDER, BACKOFF, UNSEEN = 2, 0.4, 0.5
 #: Bytes of text in a batch, and bytes of text for each partition of the count table (on average).
-BATCH_BYTES, TABLE_BYTES = 2 << 20, 16 << 20
+BATCH_BYTES, TABLE_BYTES = 4 << 20, 16 << 20
 _C = np.uint64(0xA24BAED4963EE407)
 
 
@@ -114,9 +114,10 @@ def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     sizes = df.select(F.octet_length(text).cast("long").alias("b"), count.alias("w")).agg(F.sum("b"), F.sum("w")).first()
     size, words = int(sizes[0] or 0), int(sizes[1] or 0)
     n = max(shuffle_width(spark), -(-size // TABLE_BYTES))
-    number = max(n, -(-size // BATCH_BYTES))
+    number = n * max(1, -(-size // (BATCH_BYTES * n)))  # as many batches in every partition
     docs = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), text.alias("text"), F.pmod(F.xxhash64(F.col(f"`{id_col}`"), text), F.lit(number)).alias("batch"))
-    dealt = docs.repartition(n, "batch")
+    slot = (F.col("batch") % n).cast("int").alias("slot")
+    dealt = docs.select("*", slot).repartitionById(n, F.col("slot"))
     asked = StructType([StructField("part", IntegerType()), StructField("batch", LongType()), StructField("order", IntegerType()), StructField("hashes", BinaryType()), StructField("counts", BinaryType())])
     summed = StructType([*asked.fields[:3], StructField("totals", BinaryType())])
     kinds = pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary()
@@ -155,7 +156,7 @@ def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     exploded = dealt.sortWithinPartitions("batch").mapInArrow(lean(explode), asked)
     turn = (F.col("part").cast("long") * (order + 1) + F.col("order")).alias("turn")
     table = exploded.repartitionById(n, F.col("part")).sortWithinPartitions("part", "order", "batch").select("*", turn)
-    totals = table.mapInArrow(lean(total), summed)
+    totals = table.mapInArrow(lean(total), summed).select("*", slot).repartitionById(n, F.col("slot"))
 
     def meet(own: pd.DataFrame, sums: pd.DataFrame) -> pd.DataFrame:
         texts, known = list(own["text"]), []
@@ -168,5 +169,5 @@ def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         trim()
         return made
 
-    out = dealt.groupBy("batch").cogroup(totals.groupBy("batch")).applyInPandas(meet, "id long, n_words long, score_micro long")
+    out = dealt.groupBy("slot", "batch").cogroup(totals.groupBy("slot", "batch")).applyInPandas(meet, "id long, n_words long, score_micro long")
     return out.withColumnRenamed("id", id_col)
