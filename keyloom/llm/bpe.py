@@ -37,7 +37,7 @@ from .runtime import Scratch, fresh, lean, prepare, shuffle_width, trim
 #: Bounds of what a Python worker keeps; a full table is emptied, which changes no result.
 SLOT_BITS, POOL_IDS = 19, 3_000_000
 #: Bytes of text in a batch of documents (on average).
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 4 << 20
 #: Bytes that the encoder works on at once (a longer text is worked on whole), and letters of the longest piece merged here.
 BLOCK, LONGEST = 1 << 18, 48
 #: Upper bits of the rolling hash that must be zero at a cut: 2**10 bytes between cuts on average.
@@ -362,10 +362,10 @@ def _chunked(df: DataFrame, vocabulary: str, text_col: str, keep: list[str], add
     scratch = Scratch(spark, "bpe")
     rest = [c for c in dict.fromkeys(keep) if c != text_col]
     part = df.select(*[F.col(f"`{c}`") for c in (*rest, text_col)])
-    (batch,) = fresh(part, "batch")
+    batch, slot = fresh(part, "batch", "slot")
     size = int(part.select(F.sum(F.octet_length(F.col(f"`{text_col}`")).cast("long"))).first()[0] or 0)
     width = shuffle_width(spark)
-    number = max(width, -(-size // BATCH_BYTES))
+    number = width * max(1, -(-size // (BATCH_BYTES * width)))  # as many batches in every partition
     spread = [F.col(f"`{f.name}`") for f in part.schema.fields if _hashable(f.dataType)]
     docs = part.withColumn(batch, F.pmod(F.xxhash64(*spread), F.lit(number)))
     named = StructType([StructField("batch", LongType()), StructField("key", BinaryType())])
@@ -418,12 +418,16 @@ def _chunked(df: DataFrame, vocabulary: str, text_col: str, keep: list[str], add
     chunks = scratch.save(docs.select(F.col(f"`{text_col}`"), F.col(f"`{batch}`")).mapInArrow(lean(name), named))
     shared = scratch.save(chunks.groupBy("key").agg(F.min("batch").alias("owner"), F.max("batch").alias("last")).where("owner < last").select("key", "owner"))
     scratch.release()
-    dealt = docs.mapInArrow(lean(pack), packed).repartition(width, batch)
-    owned = shared.groupBy(F.col("owner").alias(batch)).agg(F.collect_list("key").alias("keys"))
-    made = dealt.groupBy(batch).cogroup(owned.groupBy(batch)).applyInArrow(make, "key binary, ids binary")
+
+    def by_slot(rows: DataFrame) -> DataFrame:
+        return rows.withColumn(slot, (F.col(f"`{batch}`") % width).cast("int")).repartitionById(width, F.col(slot))
+
+    dealt = by_slot(docs.mapInArrow(lean(pack), packed))
+    owned = by_slot(shared.groupBy(F.col("owner").alias(batch)).agg(F.collect_list("key").alias("keys")))
+    made = dealt.groupBy(slot, batch).cogroup(owned.groupBy(slot, batch)).applyInArrow(make, "key binary, ids binary")
     asked = chunks.distinct().join(shared.select("key"), "key", "left_semi")
-    answers = asked.join(made, "key").select(F.col("batch").alias(batch), "key", "ids")
-    return dealt.groupBy(batch).cogroup(answers.groupBy(batch)).applyInArrow(end, out)
+    answers = by_slot(asked.join(made, "key").select(F.col("batch").alias(batch), "key", "ids"))
+    return dealt.groupBy(slot, batch).cogroup(answers.groupBy(slot, batch)).applyInArrow(end, out)
 
 
 def encode_documents(df: DataFrame, vocabulary: str, text_col: str = "text", keep: list[str] | None = None, ids_col: str = "ids") -> DataFrame:
