@@ -261,15 +261,16 @@ def remove_repeats(df: DataFrame, width: int = WIDTH, id_col: str = "doc_id", te
     mark = F.xxhash64(text).alias("mark")
     seeds = scratch.save(_seeds(df.select(key, mark, text.alias("text")), width))
     every = seeds.select(F.explode(F.arrays_zip("seeds", "counts")).alias("x")).select(F.col("x.seeds").alias("seed"), F.col("x.counts").alias("n"))
-    tied = every.groupBy("seed").agg(F.sum("n").alias("n")).where("n > 1")
+    tied = scratch.save(every.groupBy("seed").agg(F.sum("n").alias("n")).where("n > 1"))
+    scratch.release()
     lists = seeds.select("key", "mark", F.explode("seeds").alias("seed")).join(tied, "seed").groupBy("key", "mark").agg(F.collect_set(F.struct("seed", "n")).alias("s"))
     copies = _copies(scratch, df.select(key, mark, F.xxhash64(F.lit(1), text).alias("other"), F.octet_length(text).alias("size")), width)
     lists = scratch.save(lists.join(copies, ["key", "mark"], "left_anti").select("key", "mark", F.col("s.seed").alias("seeds"), F.col("s.n").alias("counts")))
     scratch.drop(seeds)
+    scratch.drop(tied)
     scratch.release()
     names = fresh(df, "kept", "n_bytes", "n_removed", "removed")
     own_key, own_mark, want, counts, cuts = fresh(df, "cut_key", "cut_mark", "cut_seeds", "cut_counts", "cuts")
-    # both joins read these rows whole, on the same keys, so their exchange is made once
     rows = df.withColumn(own_key, key).withColumn(own_mark, mark)
     asked = rows.join(lists.select(F.col("key").alias(own_key), F.col("mark").alias(own_mark), F.col("seeds").alias(want), F.col("counts").alias(counts)), [own_key, own_mark], "left")
     ranked = scratch.save(_ranked(_stretches(asked, [own_key, text_col, own_mark, want, counts], width), width))

@@ -7,6 +7,7 @@ import ctypes
 import gc
 import os
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 from pathlib import Path
@@ -19,6 +20,8 @@ from pyspark.sql import functions as F
 ARROW_ROWS, ARROW_BYTES = 512, 4 << 20
 #: Tasks for each core that write a scratch table, and partitions that one of them takes at most (each file costs a round trip to the file system).
 TASKS_A_CORE, FILES_IN_ONE = 12, 4
+#: Seconds after which the gateway's worker, which wakes once a second, has passed on what Python let go.
+GATEWAY_PAUSE = 1.5
 #: What Python workers start with: freed memory of Arrow and numpy goes back to the system, not into pools of their own.
 WORKER_ENV = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_ARENA_MAX": "2", "MALLOC_MMAP_THRESHOLD_": str(4 << 20)}
 
@@ -121,7 +124,9 @@ class Scratch:
     def release(self) -> None:
         """Let Spark's cleaner remove the shuffle files of plans that nothing refers to any more; it learns of them by garbage collection."""
         gc.collect()
-        self.spark._jvm.System.gc()
+        for _ in range(2):  # what Python let go is held on the JVM's side until the gateway's worker wakes, and some of it until a second collection
+            time.sleep(GATEWAY_PAUSE)
+            self.spark._jvm.System.gc()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
