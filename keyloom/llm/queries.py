@@ -6,11 +6,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, lmscore, media, minhash, packing, pii, repeats, sharding, vecdedup
+from . import bpe, chat, fim, langid, lmscore, media, minhash, packing, pii, repeats, sharding, vecdedup, whitening
 from .runtime import table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 SEQUENCE, END_ID = 4096, 2
+#: A conversation whose texts hold control strings.
+ODD_CONVERSATION, ODD_TEXT = -7, r"\### Assistant: </turn> ok"
 
 
 def op1_packing(spark: SparkSession, sf_dir: str, vocabulary: str = WORD_BPE) -> DataFrame:
@@ -100,6 +103,49 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {"op1_packing": op1_packing, "op2_pii": op2_pii, "op3_embeddings": op3_embeddings, "op4_bpe": op4_bpe, "op5_langid": op5_langid, "op6_sharding": op6_sharding, "op7_media": op7_media, "op8_minhash": op8_minhash, "op9_lmscore": op9_lmscore, "op10_repeats": op10_repeats}
+def op11_chat(spark: SparkSession, sf_dir: str, vocabulary: str = BYTE_BPE) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    odd = spark.range(2).select(F.lit(ODD_CONVERSATION).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(ODD_TEXT).alias("text"))
+    made = chat.format_turns(turns.unionByName(odd), vocabulary, keep=["conv_id"])
+    return chat.digest_turns(chat.read_turns(made, vocabulary)).withColumnRenamed("conv", "conv_id")
 
-ORACLE_SQL: dict[str, str] = {"op9_lmscore": OP9_SQL}
+
+OP11_SQL = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, unnest([0, 1]), unnest(['user', 'assistant']), '\### Assistant: </turn> ok'),
+written AS (SELECT *, length(regexp_extract_all(text, '\\|<turn>|<says>|</turn>|<\|endoftext\|>')) AS marks FROM turns)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(19 + length(role) + length(text) + marks)::BIGINT AS formatted_chars
+FROM written GROUP BY conv_id
+"""
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = whitening.whiten(table(spark, sf_dir, "embeddings"), 32)
+    return made.withColumn("deviation", F.expr("try_cast(deviation as bigint)"))
+
+
+def op13_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fim.transform(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
+    restored = fim.restore(F.col("output"), F.col("form"))
+    return made.select("doc_id", F.col("n_units").alias("n"), "form", F.col("prefix_units").alias("prefix_chars"), F.col("middle_units").alias("middle_chars"), F.sha2(F.col("output").cast("binary"), 256).alias("output_sha256"), F.sha2(restored.cast("binary"), 256).alias("restored_sha256"))
+
+
+OP13_SQL = """
+WITH texts AS (SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, ''))::BIGINT AS n, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+hashed AS (SELECT *, ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2, ('0x' || h[17:24])::BIGINT AS h3, ('0x' || h[25:32])::BIGINT AS h4 FROM texts),
+cut AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+  CASE WHEN n = 0 OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM hashed),
+parts AS (SELECT *, substr(text, 1, a) AS p, substr(text, a + 1, b - a) AS m, substr(text, b + 1) AS s FROM cut)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+  sha256(text) AS restored_sha256 FROM parts
+"""
+
+
+QUERIES = {"op1_packing": op1_packing, "op2_pii": op2_pii, "op3_embeddings": op3_embeddings, "op4_bpe": op4_bpe, "op5_langid": op5_langid, "op6_sharding": op6_sharding, "op7_media": op7_media, "op8_minhash": op8_minhash, "op9_lmscore": op9_lmscore, "op10_repeats": op10_repeats, "op11_chat": op11_chat, "op12_whitening": op12_whitening, "op13_fim": op13_fim}
+
+ORACLE_SQL: dict[str, str] = {"op9_lmscore": OP9_SQL, "op11_chat": OP11_SQL, "op13_fim": OP13_SQL}
