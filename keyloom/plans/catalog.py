@@ -443,4 +443,4 @@ def o08(spark, d):
     return accuracy.merged_lines(words)
 
 
-from keyloom.plans import deep, more  # noqa: E402,F401  registers the rest
+from keyloom.plans import deep, more, service  # noqa: E402,F401  registers the rest

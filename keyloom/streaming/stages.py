@@ -42,6 +42,8 @@ PLATFORMS = ("naver_sa", "google_sa")
 BUCKETS = 64
 
 Fetch = Callable[[DataFrame], DataFrame]
+#: From packs, a mode and a number of rows to rows and one report per url.
+Generate = Callable[[DataFrame, str, int], tuple[DataFrame, DataFrame]]
 
 
 def _path(spark: SparkSession, path: str):
@@ -104,8 +106,12 @@ def _stage(stream: DataFrame, root: str, name: str, work: Callable[[DataFrame, S
     token = _token(spark, checkpoint)
 
     def batch(rows: DataFrame, number: int) -> None:
-        if not rows.isEmpty():
-            work(rows, Sink(rows.sparkSession, root, f"{token}-{number:09d}"))
+        # all of the batch is taken from the keyed state, once, whatever of its outputs are there already
+        own, inbox = rows.sparkSession, f"{checkpoint}/inbox"
+        rows.write.mode("overwrite").parquet(inbox)
+        held = own.read.schema(rows.schema).parquet(inbox)
+        if not held.isEmpty():
+            work(held, Sink(own, root, f"{token}-{number:09d}"))
 
     stream.writeStream.foreachBatch(batch).outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
@@ -180,7 +186,7 @@ def from_pages(pages: DataFrame) -> Fetch:
     return lambda urls: urls.join(held, "raw_url", "left").withColumn("error", F.when(F.col("html").isNull(), "page not found"))
 
 
-def handle(tasks: DataFrame, fetch: Fetch, cache: DataFrame, most: int = 100) -> DataFrame:
+def handle(tasks: DataFrame, fetch: Fetch, cache: DataFrame, most: int = 100, generate: Generate = intents.generate) -> DataFrame:
     """Results (RESULT) of tasks (TASK): fetch, resolve, generate what is lacking, put it together with what is cached.
 
     A page is fetched and resolved once, and generated once for each set of platforms that is lacking, however many tasks ask for it.
@@ -192,7 +198,7 @@ def handle(tasks: DataFrame, fetch: Fetch, cache: DataFrame, most: int = 100) ->
     for mode in sorted(r.generate for r in asked.select("generate").distinct().collect()):  # three at most
         wanted = asked.where(F.col("generate") == mode).select(F.col("raw_url").alias("url"))
         own = packs.join(wanted, "url", "left_semi")
-        chosen, report = intents.generate(own, mode, most)
+        chosen, report = generate(own, mode, most)
         # each row's field by name, in the order of selection; negative rows come last
         fields = [F.col(f.split(":")[0]).cast(f.split(":")[1]).alias(f.split(":")[0]) for f in artifacts.ROW[len("struct<") : -1].split(",")]
         rows = chosen.select("url", F.struct(F.coalesce("place", F.lit(1 << 30)).alias("p"), "ord", F.struct(*fields).alias("row")).alias("x"))
@@ -219,7 +225,7 @@ def components(results: DataFrame) -> DataFrame:
 # -- the stages
 
 
-def collection(spark: SparkSession, root: str, fetch: Fetch, most: int = 100, per_trigger: int = 10) -> None:
+def collection(spark: SparkSession, root: str, fetch: Fetch, most: int = 100, generate: Generate = intents.generate, per_trigger: int = 10) -> None:
     """Work off the collection queue. Messages of unknown tasks are ignored."""
 
     def work(messages: DataFrame, sink: Sink) -> None:
@@ -227,7 +233,7 @@ def collection(spark: SparkSession, root: str, fetch: Fetch, most: int = 100, pe
         tasks = table(own, root, "tasks").dropDuplicates(["job_id", "task_id"]).join(messages.distinct(), ["job_id", "task_id"], "left_semi")
         if tasks.isEmpty():
             return
-        done = sink.put("results", lambda: handle(tasks, fetch, table(own, root, "cache"), most), by="bucket")
+        done = sink.put("results", lambda: handle(tasks, fetch, table(own, root, "cache"), most, generate), by="bucket")
         sink.put("cache", lambda: components(done))
         sink.put("queue/aggregation", lambda: done.select("job_id", F.col("url_task_id").alias("task_id"), "status", F.lit(None).cast("long").alias("submitted"), F.current_timestamp().alias("ts")))
 
@@ -273,8 +279,8 @@ def _queue(spark: SparkSession, root: str, name: str) -> str:
     return path
 
 
-def drain(spark: SparkSession, root: str, fetch: Fetch, most: int = 100) -> None:
+def drain(spark: SparkSession, root: str, fetch: Fetch, most: int = 100, generate: Generate = intents.generate) -> None:
     """Work off all three queues; none sends back to an earlier one, so one turn each is enough."""
-    collection(spark, root, fetch, most)
+    collection(spark, root, fetch, most, generate)
     aggregation(spark, root)
     notification(spark, root)

@@ -132,16 +132,3 @@ def test_facts_and_jobs_on_empty_tables(spark):
     assert facts.distinct_facts(empty).count() == 0
     assert jobs.status_counts(spark.createDataFrame([], "job_id int, task_id int, status string")).count() == 0
     assert rows.validation(rows.keyword_rows(spark.createDataFrame([], "url string, product_name string, brand string, type string"))).count() == 0
-
-
-def test_stream_of_job_events_ends_with_one_summary_each(spark, tmp_path):
-    import json
-
-    from keyloom.streaming import jobs as stream
-
-    events = [(1, 1, "RECEIVED"), (1, 2, "RECEIVED"), (1, 1, "COMPLETED"), (1, 2, "FAILED_COLLECTION"), (1, 2, "FAILED_COLLECTION"), (2, 1, "RECEIVED")]
-    (tmp_path / "in").mkdir()
-    for i, (j, t, s) in enumerate(events):
-        (tmp_path / "in" / f"{i}.json").write_text(json.dumps({"job_id": j, "task_id": t, "status": s, "ts": f"2024-01-01T00:0{i}:00"}))
-    stream.drain(stream.read_events(spark, str(tmp_path / "in")), "done_jobs", str(tmp_path / "ck"))
-    assert [(r.job_id, r.status) for r in spark.table("done_jobs").collect()] == [(1, "PARTIAL_COMPLETED")]

@@ -96,6 +96,14 @@ PAGE = """<html lang="ko-KR"><head><title>Night 크림 50ml | Acme Official</tit
 URLS = {"good": "https://shop.example.co.kr/products/1", "blocked": "https://shop.example.co.kr/products/2", "lost": "https://shop.example.co.kr/products/3", "half": "https://shop.example.co.kr/products/4", "whole": "https://shop.example.co.kr/products/5"}
 
 
+def generate(packs, mode, most):
+    """Two rows for each wanted platform, and a report; the real generation has a test of its own."""
+    labels = [("완전일치", "") for _ in range(2) if mode != "google_sa"] + [("", "exact") for _ in range(2) if mode != "naver_sa"]
+    rows = [F.struct(F.lit(i).alias("ord"), F.lit(i).alias("place"), F.concat(F.lit(f"{n or g} {i} "), "product_name").alias("keyword"), F.lit(n).alias("naver_match"), F.lit(g).alias("google_match")) for i, (n, g) in enumerate(labels)]
+    chosen = packs.select("url", "product_name", F.explode(F.array(*rows)).alias("r")).select("url", "product_name", "r.*", F.lit("brand").alias("category"), F.lit("r").alias("reason"), F.lit(False).alias("quality_warning"))
+    return chosen, packs.select("url", F.lit("COMPLETED").alias("status"), F.lit(None).cast("string").alias("failure_code"), F.lit(None).cast("string").alias("failure_detail"))
+
+
 def result_rows(spark, root):
     return {(r.job_id, r.url_task_id): r for r in stages.table(spark, root, "results").collect()}
 
@@ -119,7 +127,7 @@ def drained(spark, tmp_path_factory):
     (folder / "queue/collection/odd.json").write_text("\n".join(json.dumps(m) for m in ({"job_id": "j1", "task_id": "unknown"}, {"job_id": "none", "task_id": "x"}, {"job_id": "j1", "task_id": None}, {"job_id": "j1", "task_id": "ut_j1_01"})))
     pages = spark.createDataFrame([(URLS["good"], PAGE), (URLS["half"], PAGE), (URLS["half"] + "?utm_source=x", PAGE), (URLS["blocked"], "<html><title>Access Denied</title><body>captcha robot check</body></html>")], "url string, html string")
     fetch = stages.from_pages(pages)
-    stages.drain(spark, root, fetch, most=20)
+    stages.drain(spark, root, fetch, most=20, generate=generate)
     return folder, asked, fetch
 
 
@@ -132,14 +140,19 @@ def test_submission_and_transform(spark, drained):
     assert (got["j1", "ut_j1_03"].status, got["j1", "ut_j1_03"].failure_detail) == ("FAILED_COLLECTION", "page not found")
     assert got["j1", "ut_j1_02"].status == "FAILED_COLLECTION" and got["j1", "ut_j1_02"].failure_code
     for t in ("ut_j1_01", "ut_j1_04", "ut_j1_06"):
-        assert got["j1", t].status in ("COMPLETED", "FAILED_GENERATION") and got["j1", t].page_class == "commerce_pdp", got["j1", t]
-    # a partial hit generates rows for the lacking platform only
-    new = [r for r in got["j1", "ut_j1_04"].rows if r.keyword != "cached"]
-    assert new and all(r.naver_match == "" and r.google_match for r in new)
-    both = got["j1", "ut_j1_01"].rows
-    assert any(r.naver_match for r in both) and any(r.google_match for r in both)
-    if got["j1", "ut_j1_04"].status == "COMPLETED":
-        assert got["j1", "ut_j1_04"].rows[0].keyword == "cached"
+        assert got["j1", t].status == "COMPLETED" and got["j1", t].page_class == "image_heavy_commerce_pdp", got["j1", t]
+    # a partial hit generates rows for the lacking platform only, after the cached ones
+    sides = lambda t: [(r.naver_match, r.google_match) for r in got["j1", t].rows]
+    assert sides("ut_j1_04") == sides("ut_j1_06") == [("완전일치", "")] + [("", "exact")] * 2
+    assert sides("ut_j1_01") == [("완전일치", "")] * 2 + [("", "exact")] * 2 and got["j1", "ut_j1_04"].rows[0].keyword == "cached"
+    held = {(r.canonical_url, r.platform): len(r.rows) for r in stages.table(spark, root, "cache").collect()}
+    assert held[URLS["good"], "naver_sa"] == held[URLS["good"], "google_sa"] == held[URLS["half"], "google_sa"] == 2 and (URLS["blocked"], "naver_sa") not in held
+
+
+def test_transform_generates_the_lacking_platform(spark):
+    tasks = spark.createDataFrame([("j", "t", URLS["good"], URLS["good"], "both", "google_sa")], "job_id string, task_id string, raw_url string, canonical_url string, mode string, generate string")
+    (r,) = stages.handle(tasks, stages.from_pages(spark.createDataFrame([(URLS["good"], PAGE)], "url string, html string")), spark.createDataFrame([], stages.COMPONENT), 20).collect()
+    assert r.status in ("COMPLETED", "FAILED_GENERATION") and r.rows and all(x.naver_match == "" and x.google_match for x in r.rows)
 
 
 def test_jobs_end_once_and_notify_once(spark, drained):
@@ -164,11 +177,11 @@ def test_nothing_changes_when_run_again(spark, drained):
                 last = log
         last.unlink()
         (last.parent / f".{last.name}.crc").unlink(missing_ok=True)
-    stages.drain(spark, root, fetch, most=20)
+    stages.drain(spark, root, fetch, most=20, generate=generate)
     assert files(folder) == before
     # the same messages, delivered again
     (folder / "queue/collection/again.json").write_text(json.dumps({"job_id": "j1", "task_id": "ut_j1_01"}))
     (folder / "queue/notification/again.json").write_text(json.dumps({"job_id": "j1"}))
     (folder / "queue/aggregation/again.json").write_text(json.dumps({"job_id": "j1", "task_id": "ut_j1_01", "status": "COMPLETED", "ts": "2030-01-01T00:00:00"}))
-    stages.drain(spark, root, fetch, most=20)
+    stages.drain(spark, root, fetch, most=20, generate=generate)
     assert [f for f in files(folder) if "again" not in f] == before
