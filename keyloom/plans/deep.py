@@ -522,14 +522,6 @@ def r04(spark, d):
     return responses.parsed_rows(answers).select("p_partkey", "category", "keyword", "intent_id")
 
 
-@query("R05_survivors", "SELECT p_partkey::VARCHAR AS intent_id, p_partkey AS ord, 'high' AS quality_score FROM part WHERE p_size % 3 < 2")
-def r05(spark, d):
-    p = _part(spark, d)
-    candidates = p.select(F.col("p_partkey").cast("string").alias("intent_id"), F.col("p_partkey").alias("ord"), F.lit("brand").alias("category"), F.concat("p_name", F.lit(" "), F.col("p_partkey").cast("string")).alias("keyword"))
-    answered = p.where("p_size % 3 < 2").select(F.when(F.col("p_size") % 3 == 0, F.col("p_partkey").cast("string")).otherwise("other").alias("intent_id"), F.lit("Brand").alias("category"), F.upper(F.concat("p_name", F.lit(" "), F.col("p_partkey").cast("string"))).alias("keyword"), F.lit("high").alias("quality_score"))
-    return responses.surviving(candidates, answered).select("intent_id", "ord", "quality_score")
-
-
 @query("D06_debug_rows", f"{S.ROWS} SELECT url, ord, category, keyword, coalesce(reason, '') AS reason FROM r")
 def d06(spark, d):
     made = candidate_rows(spark, d).withColumn("slot_type", F.lit(None).cast("string")).select("url", "ord", reports.as_json(reports.ROW_FIELDS).alias("j"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from keyloom.functions import responses
 from keyloom.plans.catalog import _TASKS_SQL, _t, _tasks, query
 from keyloom.streaming import jobs as closing
 
@@ -16,3 +17,36 @@ def q03c(spark, d):
     times = F.when(F.col("status") == "RECEIVED", F.array(F.lit("RECEIVED"))).when(F.col("task_id") % 3 == 0, F.array(F.col("status"), F.lit("RECEIVED"), F.col("status"))).otherwise(F.array(F.lit("RECEIVED"), F.col("status")))
     events = tasks.join(sizes, "job_id").select(F.col("job_id").cast("string").alias("job_id"), F.col("task_id").cast("string").alias("task_id"), F.posexplode(times).alias("k", "status"), "submitted").withColumn("ts", F.timestamp_seconds("k"))
     return closing.finished(events).select("job_id", "submitted", "cached", "succeeded", "failed", "status")
+
+
+#: Candidates of every product have the same ids and places; what answers say of them is a wording of their own, a refusal, or an id.
+_CANDIDATES = "SELECT p_partkey AS url, x.i AS intent_id, x.o AS ord, x.c AS category, x.k AS keyword FROM (SELECT p_partkey, unnest([{'i': 'c0', 'o': 0, 'c': 'brand', 'k': p_name}, {'i': 'c1', 'o': 1, 'c': 'long_tail', 'k': p_type || ' ' || p_size}, {'i': NULL, 'o': 2, 'c': 'benefit_price', 'k': p_brand || ' 가격'}, {'i': 'c3', 'o': 3, 'c': 'brand', 'k': 'only ' || p_name}]) AS x FROM part)"
+_ANSWERS = "SELECT p_partkey AS url, x.p AS place, x.i AS intent_id, x.c AS category, x.k AS keyword, x.s AS score FROM (SELECT p_partkey, p_size, unnest([{'p': 0, 'i': CASE WHEN p_size % 3 = 0 THEN 'c0' ELSE 'zz' END, 'c': 'brand', 'k': '', 's': 'high'}, {'p': 1, 'i': 'zz', 'c': 'long_tail', 'k': 'best ' || p_type || ' ' || p_size, 's': 'medium'}, {'p': 2, 'i': '', 'c': 'benefit_price', 'k': p_brand || ' 가격', 's': 'high'}, {'p': 3, 'i': 'c1', 'c': 'x', 'k': 'x', 's': 'low'}, {'p': 4, 'i': 'none', 'c': 'brand', 'k': CASE WHEN p_size % 5 = 0 THEN 'only' ELSE 'nowhere' END, 's': 'low'}]) AS x FROM part) WHERE x.p <> 3 OR p_size % 2 = 0"
+_MADE_ID = "substr(sha1(%s.category || '|' || %s.keyword), 1, 16)"
+
+
+@query(
+    "R05_survivors",
+    f"WITH c AS (SELECT *, coalesce(intent_id, {_MADE_ID % ('k', 'k')}) AS id FROM ({_CANDIDATES}) k), a AS ({_ANSWERS}), "
+    f"m AS (SELECT a.url, a.place, a.score, coalesce((SELECT min(ord) FROM c WHERE c.url = a.url AND c.id = a.intent_id), (SELECT min(ord) FROM c WHERE c.url = a.url AND a.keyword <> '' AND c.id = {_MADE_ID % ('a', 'a')}), (SELECT min(ord) FROM c WHERE c.url = a.url AND a.keyword <> '' AND (contains(c.keyword, a.keyword) OR contains(a.keyword, c.keyword)))) AS ord FROM a) "
+    "SELECT m.url, m.ord, any_value(c.keyword) AS keyword, arg_max(m.score, m.place) AS quality_score FROM m JOIN c ON c.url = m.url AND c.ord = m.ord GROUP BY m.url, m.ord",
+)
+def r05(spark, d):
+    p = _t(spark, d, "part").withColumn("url", F.col("p_partkey"))
+    item = lambda i, o, c, k: F.struct(F.lit(i).cast("string").alias("intent_id"), F.lit(o).alias("ord"), F.lit(c).alias("category"), k.alias("keyword"))
+    kinds = F.concat("p_type", F.lit(" "), F.col("p_size").cast("string"))
+    price = F.concat("p_brand", F.lit(" 가격"))
+    candidates = p.select("url", F.inline(F.array(item("c0", 0, "brand", F.col("p_name")), item("c1", 1, "long_tail", kinds), item(None, 2, "benefit_price", price), item("c3", 3, "brand", F.concat(F.lit("only "), "p_name")))))
+    said = lambda i, c, k, s, keep=None: F.struct((i if hasattr(i, "cast") else F.lit(i)).alias("intent_id"), F.lit(c).alias("category"), k.alias("keyword"), F.lit(s).alias("quality_score"), (F.lit(True) if keep is None else keep).alias("keep"))
+    items = F.array(
+        said(F.when(F.col("p_size") % 3 == 0, "c0").otherwise("zz"), "brand", F.lit(""), "high"),
+        said("zz", "long_tail", F.concat(F.lit("best "), kinds), "medium"),
+        said("", "benefit_price", price, "high"),
+        said("c1", "x", F.lit("x"), "low", F.col("p_size") % 2 == 0),
+        said("none", "brand", F.when(F.col("p_size") % 5 == 0, "only").otherwise("nowhere"), "low"),
+    )
+    answer = F.concat(F.lit('Here: {"dropped_duplicates":[{"intent_text":"x"}],"result":{"surviving":'), F.to_json(items), F.lit("}} done"))
+    # the outer object is met first, so the answer stands alone on every other product
+    answer = F.when(F.col("p_size") % 2 == 0, F.concat(F.lit('{"surviving":'), F.to_json(items), F.lit(',"dropped_duplicates":[{"intent_text":"x"}]}'))).otherwise(F.regexp_replace(answer, r'"dropped_duplicates":\[\{"intent_text":"x"\}\],', '"notes":["surviving"],'))
+    made = responses.reports(p.select("url", answer.alias("answer")))
+    return responses.surviving(candidates, responses.answered_rows(made, ["url"]), ["url"]).select("url", "ord", "keyword", "quality_score")
