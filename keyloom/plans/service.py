@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from keyloom.functions import responses
-from keyloom.plans.catalog import _TASKS_SQL, _t, _tasks, query
+from keyloom.operators import golden, rows
+from keyloom.plans.catalog import _CHOSEN, _TASKS_SQL, _t, _tasks, candidate_rows, query
 from keyloom.streaming import jobs as closing
 
 
@@ -50,3 +51,37 @@ def r05(spark, d):
     answer = F.when(F.col("p_size") % 2 == 0, F.concat(F.lit('{"surviving":'), F.to_json(items), F.lit(',"dropped_duplicates":[{"intent_text":"x"}]}'))).otherwise(F.regexp_replace(answer, r'"dropped_duplicates":\[\{"intent_text":"x"\}\],', '"notes":["surviving"],'))
     made = responses.reports(p.select("url", answer.alias("answer")))
     return responses.surviving(candidates, responses.answered_rows(made, ["url"]), ["url"]).select("url", "ord", "keyword", "quality_score")
+
+
+_NORMAL = "trim(regexp_replace(lower(%s), '[|/_\\s]+', ' ', 'g'))"
+
+
+@query(
+    "A13_golden_findings",
+    f"{_CHOSEN}, shown AS (SELECT url AS case_id, p.platform, ord, category, keyword, {_NORMAL % 'keyword'} AS form FROM (SELECT url, ord, category, keyword, unnest([{{'platform': 'naver_sa', 'label': naver_match}}, {{'platform': 'google_sa', 'label': google_match}}]) AS p FROM chosen WHERE category <> 'negative') WHERE p.label <> ''), "
+    "first AS (SELECT case_id, platform, form, arg_min(keyword, ord) AS keyword FROM shown GROUP BY ALL), "
+    "part_ AS (SELECT 'https://shop.example.com/product/' || p_partkey AS case_id, *, p.platform AS platform FROM (SELECT *, unnest([{'platform': 'naver_sa'}, {'platform': 'google_sa'}]) AS p FROM part) WHERE p_size % 4 <> 0 OR p.platform = 'naver_sa'), "
+    f"keep AS (SELECT case_id, platform, unnest([p_name, p_name || ' | ' || p_type]) AS v FROM part_), ban AS (SELECT case_id, platform, p_name AS v FROM part_ WHERE p_size % 2 = 0), frag AS (SELECT case_id, platform, unnest(['추천', '_' || p_type]) AS v FROM part_), cat AS (SELECT case_id, platform, unnest(['brand', 'season_event', 'nothing']) AS v FROM part_) "
+    f"SELECT case_id, platform, 'missing_must_keep' AS finding, v AS value FROM keep WHERE NOT EXISTS (SELECT 1 FROM first f WHERE f.case_id = keep.case_id AND f.platform = keep.platform AND f.form = {_NORMAL % 'keep.v'}) "
+    f"UNION ALL SELECT f.case_id, f.platform, 'emitted_forbidden_keyword', f.keyword FROM first f SEMI JOIN ban ON f.case_id = ban.case_id AND f.platform = ban.platform AND f.form = {_NORMAL % 'ban.v'} "
+    f"UNION ALL SELECT DISTINCT f.case_id, f.platform, 'emitted_forbidden_substring', f.keyword FROM first f JOIN frag ON f.case_id = frag.case_id AND f.platform = frag.platform WHERE contains(f.form, {_NORMAL % 'frag.v'}) "
+    "UNION ALL SELECT case_id, platform, 'missing_category', v FROM cat WHERE NOT EXISTS (SELECT 1 FROM shown s WHERE s.case_id = cat.case_id AND s.platform = cat.platform AND s.category = cat.v)",
+)
+def a13f(spark, d):
+    """Every product is a case: two names to keep, its bare name banned for half of them, two fragments, three categories; a fourth asks for one platform."""
+    chosen = rows.select_rows(rows.selection_scores(candidate_rows(spark, d)), 12)
+    p = _t(spark, d, "part").withColumn("case_id", F.concat(F.lit("https://shop.example.com/product/"), "p_partkey"))
+    one = lambda kind, value: F.struct(F.lit(kind).alias("kind"), value.alias("value"))
+    values = F.array_compact(
+        F.array(
+            one("must_keep", F.col("p_name")),
+            one("must_keep", F.concat("p_name", F.lit(" | "), "p_type")),
+            F.when(F.col("p_size") % 2 == 0, one("must_not_emit", F.col("p_name"))),
+            one("forbidden_substrings", F.lit("추천")),
+            one("forbidden_substrings", F.concat(F.lit("_"), "p_type")),
+            *[one("required_categories", F.lit(c)) for c in ("brand", "season_event", "nothing")],
+        )
+    )
+    expected = p.select("case_id", F.explode(values).alias("x")).select("case_id", F.explode(F.array(F.lit("naver_sa"), F.lit("google_sa"))).alias("platform"), "x.kind", "x.value")
+    modes = p.select("case_id", F.when(F.col("p_size") % 4 == 0, "naver_sa").otherwise("both").alias("mode"))
+    return golden.findings(chosen, expected, modes)
