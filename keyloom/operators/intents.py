@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from keyloom import dims
 from keyloom.functions import keywords as K
 from keyloom.functions.arrays import none, rows_of, texts, unique, where_here
 from keyloom.operators import bank, interpret, rows, surface
+from keyloom.scratch import written
 
 MODES = {"naver_sa": ("naver_sa",), "google_sa": ("google_sa",), "both": ("naver_sa", "google_sa")}
 #: Fields of an intent beside its own: who may show it, and how.
@@ -86,20 +88,44 @@ def in_context(rows_: DataFrame, banked: DataFrame) -> DataFrame:
     return rows_.drop("product_name", "brand").join(own, "url")
 
 
-def generate(packs: DataFrame, mode: str = "both", most: int = 100, verbose: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Keyword rows of evidence packs, and one report per product: interpret, build the bank, plan, pick, render, filter, score, select, validate.
+def generate(packs: DataFrame, mode: str = "both", most: int = 100, verbose: bool = False, ask: Callable[[int, DataFrame, DataFrame], DataFrame] | None = None, rounds: int = 2) -> tuple[DataFrame, DataFrame]:
+    """Keyword rows of evidence packs, and one report per product: interpret, build the bank, plan, pick, render, filter, supplement, score, select, validate.
 
     Thin pages (``sufficiency`` borderline) aim for four rows fewer. Products that fail still give their rows. The banks are
-    read several times, so they are kept (``persist``); call ``clearCache`` when the results have been written.
+    read several times, so they are a table (``scratch.written``).
+
+    ``ask`` is a model that is asked in at most ``rounds`` rounds for what the rows lack (see ``supplement.supplemented``): it gives intents
+    (url, category, slot_type, keyword, reason, evidence_tier). The report then has ``rounds``, ``missing``, ``added`` and ``reason`` too.
     """
+    from keyloom.operators import supplement
+
     if mode not in MODES:
         raise ValueError(f"unsupported platform mode: {mode}")
-    banked = bank.with_bank(interpret.interpreted(packs), verbose).persist(StorageLevel.MEMORY_AND_DISK)
+    banked = written(bank.with_bank(interpret.interpreted(packs), verbose))
     borderline = (F.col("sufficiency") == "borderline") if "sufficiency" in banked.columns else F.lit(False)
     plan = bank.category_plan(banked, F.when(borderline, F.lit(max(0, min(most, 100) - 4))).otherwise(F.lit(most)))
-    made = rendered(with_renders(bank.intents(banked, plan, verbose), mode), mode).withColumn("quality_score", F.lit(None).cast("string"))
-    judged = where_here(rows.with_issues(in_context(made, banked)), F.size("hard_issues") == 0)
-    judged = where_here(surface.with_surface(judged, verbose), ~F.col("surface_hard"))
+
+    def shown(intents_: DataFrame) -> DataFrame:
+        return rendered(with_renders(intents_, mode), mode).withColumn("quality_score", F.lit(None).cast("string"))
+
+    def clean(made: DataFrame) -> DataFrame:
+        judged = where_here(rows.with_issues(in_context(made, banked)), F.size("hard_issues") == 0)
+        return where_here(surface.with_surface(judged, verbose), ~F.col("surface_hard"))
+
+    judged, lacking = clean(shown(bank.intents(banked, plan, verbose))), None
+    if ask is not None:
+        slot = bank.slot_plan(banked, plan)
+        turn = F.row_number().over(Window.partitionBy("url").orderBy("category", F.desc("required"), "slot_type"))
+        own = [c for c in ("url", "ord", "intent_id", "category", "slot_type", "evidence_tier", "part", "reason", "keyword", "naver_match", "google_match", "quality_score") if c in judged.columns]
+
+        def asked(number: int, wanted: DataFrame, have: DataFrame) -> DataFrame:
+            place = F.row_number().over(Window.partitionBy("url").orderBy("category", "slot_type", "keyword"))
+            new = ask(number, wanted, have).where(F.col("category").isin(*dims.CATEGORY_TARGETS, dims.NEGATIVE))
+            new = new.select("url", (place + 1_000_000 * number).alias("ord"), F.concat_ws(":", "category", "keyword").alias("intent_id"), "category", "slot_type", "keyword", "reason", "evidence_tier")
+            return shown(new)
+
+        more, lacking = supplement.supplemented(banked, judged.select(*own), slot.withColumn("place", turn), asked, clean, most, mode, rounds)
+        judged = clean(more)
     positive = rows.select_rows(rows.selection_scores(judged), most, mode)
     names = ["url", "ord", "product_name", "category", "keyword", "slot_type", "naver_match", "google_match", "reason", "quality_warning", "evidence_tier", "quality_score", "issues", "hard_issues"]
     if "quality_warning" not in positive.columns:
@@ -114,7 +140,7 @@ def generate(packs: DataFrame, mode: str = "both", most: int = 100, verbose: boo
             "status": F.when(short_of, "FAILED_GENERATION").otherwise(F.col("status")),
         }
     )
-    return chosen, report
+    return chosen, report if lacking is None else report.join(lacking, "url", "left")
 
 
 def restored_heads(rows_: DataFrame, sources: DataFrame, banked: DataFrame, most: int = 2) -> DataFrame:

@@ -14,6 +14,7 @@ from keyloom.functions.arrays import none, rows_of, texts
 from keyloom.operators import bank, evidence, images, intents, interpret, labels, pages, product, recognised, reports, resolve, rows, surface
 from keyloom.plans import sql as S
 from keyloom.plans.catalog import _t, candidate_rows, query
+from keyloom.scratch import written
 from keyloom.sources import files
 
 Q = S.q
@@ -302,13 +303,13 @@ def g08(spark, d):
 
 @query("G09_picks")
 def g09(spark, d):
-    banked = _banked(spark, d).persist()
+    banked = written(_banked(spark, d))
     return bank.selected(banked, bank.category_plan(banked, F.lit(30))).select("url", "ord", "category", "keyword")
 
 
 @query("G10_intents")
 def g10(spark, d):
-    banked = _banked(spark, d).persist()
+    banked = written(_banked(spark, d))
     return bank.intents(banked, bank.category_plan(banked, F.lit(30)))
 
 
@@ -323,7 +324,7 @@ def _plan(spark, d) -> DataFrame:
 @query("G04_slot_plan", "SELECT 'https://www.acme.com/products/' || p_partkey AS url, x.c AS category, x.s AS slot_type, x.t::BIGINT AS target, x.r AS required FROM (SELECT p_partkey, unnest([{'c': 'generic_category', 's': 'generic_type_phrase', 't': 12, 'r': true}, {'c': 'problem_solution', 's': 'problem_noun_phrase', 't': 12, 'r': true}, {'c': 'competitor_comparison', 's': 'competitor_brand_type', 't': 8, 'r': true}, {'c': 'negative', 's': 'negative_exclusion', 't': 1, 'r': true}, {'c': 'season_event', 's': 'seasonal_context', 't': 6, 'r': true}]) AS x FROM part)")
 def g04(spark, d):
     """Categories with one slot that has seeds get all their seats there."""
-    made = bank.slot_plan(interpret.interpreted(product_packs(spark, d)).persist(), _plan(spark, d))
+    made = bank.slot_plan(written(interpret.interpreted(product_packs(spark, d))), _plan(spark, d))
     return made.where(F.col("category").isin("generic_category", "problem_solution", "competitor_comparison", "negative", "season_event")).select("url", "category", "slot_type", "target", "required")
 
 

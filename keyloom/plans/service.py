@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from keyloom import dims
 from keyloom.functions import responses
-from keyloom.operators import golden, rows
+from keyloom.operators import golden, rows, supplement
 from keyloom.plans.catalog import _CHOSEN, _TASKS_SQL, _t, _tasks, candidate_rows, query
+from keyloom.plans.more import _SLOT_SQL, _slotted
+from keyloom.scratch import folder
+from keyloom.sources import artifacts
 from keyloom.streaming import jobs as closing
 
 
@@ -85,3 +89,43 @@ def a13f(spark, d):
     expected = p.select("case_id", F.explode(values).alias("x")).select("case_id", F.explode(F.array(F.lit("naver_sa"), F.lit("google_sa"))).alias("platform"), "x.kind", "x.value")
     modes = p.select("case_id", F.when(F.col("p_size") % 4 == 0, "naver_sa").otherwise("both").alias("mode"))
     return golden.findings(chosen, expected, modes)
+
+
+@query("S06_manifested_results", "SELECT s_nationkey::VARCHAR AS job_id, s_suppkey::VARCHAR AS url_task_id, CASE WHEN s_suppkey % 3 = 0 THEN 'FAILED_GENERATION' ELSE 'COMPLETED' END AS status, s_name AS keyword, CASE WHEN s_nationkey % 2 = 0 AND EXISTS (SELECT 1 FROM supplier o WHERE o.s_nationkey = s.s_nationkey AND o.s_suppkey % 3 <> 0) THEN 'combined' ELSE 'manifest' END AS source FROM supplier s WHERE s_nationkey % 2 = 1 OR s_suppkey % 3 <> 0 OR NOT EXISTS (SELECT 1 FROM supplier o WHERE o.s_nationkey = s.s_nationkey AND o.s_suppkey % 3 <> 0)")
+def s06(spark, d):
+    """A nation is a job, its suppliers are tasks: all in a manifest, every other job's combined file missing."""
+    s = _t(spark, d, "supplier")
+    row = F.struct(*[(F.col("s_name") if c == "keyword" else F.lit(False) if c == "quality_warning" else F.lit("")).alias(c) for c in dims.EXPORT_COLUMNS])
+    results = s.select(F.col("s_nationkey").cast("string").alias("job_id"), F.col("s_suppkey").cast("string").alias("url_task_id"), F.concat(F.lit("https://x.com/"), "s_suppkey").alias("raw_url"), F.lit("commerce_pdp").alias("page_class"), F.when(F.col("s_suppkey") % 3 == 0, "FAILED_GENERATION").otherwise("COMPLETED").alias("status"), F.lit(None).cast("string").alias("failure_code"), F.array(row).alias("rows"))
+    at = folder(spark)
+    artifacts.write_items(results, at)
+    artifacts.write_combined(results.where(F.col("job_id").cast("int") % 2 == 0), at)
+    return artifacts.read_jobs(spark, at).select("job_id", "url_task_id", "status", F.col("rows")[0]["keyword"].alias("keyword"), "source")
+
+
+_SLOTS = [*dims.DEFAULT_SLOTS.items()]
+_TARGETS = (
+    f"{_SLOT_SQL}, half AS (SELECT * FROM sl WHERE ord % 2 = 0), slot(place, category, slot_type) AS (VALUES " + ", ".join(f"({i}, '{c}', '{s}')" for i, (c, s) in enumerate(_SLOTS)) + "), "
+    "plan AS (SELECT 'https://shop.example.com/product/' || p_partkey AS url, place, category, slot_type, 1 + (p_partkey + place) % 5 AS target, (p_partkey + place) % 4 <> 0 AS required FROM part CROSS JOIN slot), "
+    "c AS (SELECT url, category, slot_type, count(*) FILTER (naver_match <> '') AS n, count(*) FILTER (google_match <> '') AS g FROM half GROUP BY ALL), "
+    "gap AS (SELECT p.*, target - least(coalesce(n, 0), coalesce(g, 0)) AS gap FROM plan p LEFT JOIN c ON c.url = p.url AND c.category = p.category AND c.slot_type = p.slot_type), "
+    "k AS (SELECT url, category, sum(n) AS n, sum(g) AS g FROM c GROUP BY ALL), lack AS (SELECT p.url, p.category, p.slot_type FROM plan p LEFT JOIN k ON k.url = p.url AND k.category = p.category WHERE coalesce(k.n, 0) = 0 OR coalesce(k.g, 0) = 0), "
+    "asked AS (SELECT url, category, slot_type FROM lack UNION SELECT url, category, slot_type FROM gap g WHERE gap > 0 AND NOT EXISTS (SELECT 1 FROM lack l WHERE l.url = g.url AND l.category = g.category AND l.category <> 'negative')), "
+    "have AS (SELECT u.url, greatest(0, 40 - coalesce(sum(n) FILTER (category <> 'negative'), 0), 40 - coalesce(sum(g) FILTER (category <> 'negative'), 0)) AS short FROM (SELECT DISTINCT url FROM plan) u LEFT JOIN k ON k.url = u.url GROUP BY u.url), "
+    "lef AS (SELECT h.url, greatest(0, short - (SELECT count(*) FROM asked a WHERE a.url = h.url AND a.category <> 'negative')) AS rest FROM have h), "
+    "w AS (SELECT p.*, l.rest, greatest(1, p.target * l.rest // sum(p.target) OVER (PARTITION BY p.url)) AS extra, CASE WHEN a.url IS NULL THEN 0 ELSE 1 END AS named FROM plan p JOIN lef l ON l.url = p.url AND l.rest > 0 LEFT JOIN asked a ON a.url = p.url AND a.category = p.category AND a.slot_type = p.slot_type WHERE p.required AND p.category <> 'negative'), "
+    "x AS (SELECT *, named + extra AS now, greatest(0, sum(extra) OVER (PARTITION BY url) - rest) AS surplus, coalesce(sum(named + extra - 1) OVER (PARTITION BY url ORDER BY place DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM w), "
+    "y AS (SELECT url, category, slot_type, now - least(now - 1, greatest(0, surplus - off)) AS target FROM x), "
+    "z AS (SELECT coalesce(a.url, y.url) AS url, coalesce(a.category, y.category) AS category, coalesce(a.slot_type, y.slot_type) AS slot_type, coalesce(y.target, 1)::BIGINT AS target FROM asked a FULL JOIN y ON a.url = y.url AND a.category = y.category AND a.slot_type = y.slot_type) "
+    "SELECT *, (sum(target) OVER (PARTITION BY url))::BIGINT AS total FROM z"
+)
+
+
+@query("A03_supplement_targets", _TARGETS)
+def a03s(spark, d):
+    """What every product's rows lack against a plan of its own, forty positive rows wanted."""
+    half = _slotted(spark, d).where("ord % 2 = 0")
+    slot = F.array(*[F.struct(F.lit(i).alias("place"), F.lit(c).alias("category"), F.lit(s).alias("slot_type")) for i, (c, s) in enumerate(_SLOTS)])
+    at = F.col("p_partkey") + F.col("x.place")
+    plan = _t(spark, d, "part").select("p_partkey", F.concat(F.lit("https://shop.example.com/product/"), "p_partkey").alias("url"), F.explode(slot).alias("x")).select("url", "x.*", (at % 5 + 1).cast("int").alias("target"), (at % 4 != 0).alias("required"))
+    return supplement.targets(plan.select("url").distinct(), half, plan, 40)

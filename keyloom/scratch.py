@@ -23,13 +23,19 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def written(df: DataFrame) -> DataFrame:
-    """The rows of ``df``, computed now and read back from a table."""
-    spark = df.sparkSession
+def folder(spark: SparkSession) -> str:
+    """A new folder, removed when the driver ends."""
     path = f"{shared_folder(spark)}/keyloom-table-{uuid.uuid4().hex}"
     if not _FOLDERS:
         atexit.register(forget)
     _FOLDERS[path] = spark
+    return path
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The rows of ``df``, computed now and read back from a table."""
+    spark = df.sparkSession
+    path = folder(spark)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._keyloom_table = path

@@ -110,3 +110,21 @@ def test_rounds_stop_at_the_limit(spark):
 
 def test_default_slots_are_known():
     assert set(dims.DEFAULT_SLOTS) >= {*CATEGORIES} and callable(slots.default_slot)
+
+
+def test_generation_asks_a_model_for_what_is_lacking(spark):
+    from keyloom.operators import intents
+    from keyloom.plans import deep
+    from tests.conftest import SF
+
+    packs = deep.product_packs(spark, SF).limit(1)
+
+    def ask(number, wanted, have):
+        words = F.concat(F.lit("레티놀 크림 "), F.lit(" 가나"[number]), F.lit(" "), "category")
+        return wanted.select("url", "category", "slot_type", words.alias("keyword"), F.lit("asked of a model").alias("reason"), F.lit("direct").alias("evidence_tier"))
+
+    chosen, report = intents.generate(packs, "naver_sa", 60, ask=ask)
+    (r,) = report.collect()
+    assert (r.rounds, r.reason) == (2, "limit") and r.added > 0 and r.missing > 0
+    rows = chosen.collect()
+    assert any(x.ord >= 1_000_000 for x in rows) and all(x.google_match == "" for x in rows)
