@@ -149,13 +149,12 @@ def restored_heads(rows_: DataFrame, sources: DataFrame, banked: DataFrame, most
     ``sources``: the intents' rows before filtering (url, ord, category, keyword and the fields of ``rows_``).
     """
     generic = lambda d, name: d.where(F.col("category") == "generic_category").groupBy("url").agg(F.collect_list("keyword").alias(name))
-    one = banked.select("url", "name", "brand", "short", "category_terms").join(generic(rows_, "generic"), "url").join(generic(sources, "sources"), "url")
-    put = surface.missing_heads(one, most).select("url", F.lower("keyword").alias("head_"))
+    # admission comes first: a head that the rules refuse neither counts against the limit nor as a row for later ones
     found = sources.where(F.col("category") == "generic_category").withColumn("head_", F.lower(F.trim(F.regexp_replace("keyword", r"\s+", " "))))
     first = found.groupBy("url", "head_").agg(F.min_by(F.struct(*sources.columns), "ord").alias("row"))
-    again = put.join(first, ["url", "head_"]).select("row.*")
-    judged = surface.with_surface(rows.with_issues(in_context(rows.hard_rules(again), banked)))
-    judged = where_here(judged, ~F.col("surface_hard") & (F.size("hard_issues") == 0))
-    return rows_.unionByName(judged.select(*[c for c in rows_.columns if c in judged.columns]), allowMissingColumns=True)
-
-
+    judged = surface.with_surface(rows.with_issues(in_context(rows.hard_rules(first.select("row.*")), banked)))
+    judged = where_here(judged, ~F.col("surface_hard") & (F.size("hard_issues") == 0)).select(*[c for c in rows_.columns if c in judged.columns])
+    one = banked.select("url", "name", "brand", "short", "category_terms").join(generic(rows_, "generic"), "url").join(generic(judged, "sources"), "url")
+    put = surface.missing_heads(one, most).select("url", F.lower("keyword").alias("head_"))
+    again = judged.withColumn("head_", F.lower(F.trim(F.regexp_replace("keyword", r"\s+", " ")))).join(put, ["url", "head_"], "left_semi").drop("head_")
+    return rows_.unionByName(again, allowMissingColumns=True)

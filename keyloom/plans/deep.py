@@ -567,10 +567,28 @@ def a14p(spark, d):
 # -- sources
 
 
-@query("S03_snapshots", "SELECT 'https://x.com/' || p_partkey AS raw_url, CASE WHEN p_size % 2 = 0 THEN p_name ELSE 'Fact ' || p_name END AS product_name, CASE WHEN p_size % 3 = 0 THEN NULL ELSE p_type END AS title, 0::BIGINT AS n_blocks, false AS quality_warning FROM part")
+_SNAPSHOT_SQL = (
+    "SELECT 'https://x.com/' || p_partkey AS raw_url, CASE WHEN p_size % 2 = 0 THEN p_name ELSE 'Fact ' || p_name END AS product_name, CASE WHEN p_size % 3 = 0 THEN NULL ELSE p_type END AS title, 0::BIGINT AS n_blocks, false AS quality_warning, "
+    "CASE WHEN p_size % 2 = 0 THEN 'fallback' END AS fallback_reason, CASE WHEN p_size % 2 = 0 THEN p_size::VARCHAR || '|sold out' ELSE '' END AS stock, CASE WHEN p_size % 2 = 0 THEN p_size / 100::DOUBLE END AS ko, "
+    "CASE WHEN p_size % 2 = 0 THEN p_size END AS width, CASE WHEN p_size % 2 = 0 THEN 'ocr ' || p_name END AS recognised, CASE WHEN p_size % 2 = 0 THEN 'paddle' END AS engine, CASE WHEN p_size % 2 = 0 THEN p_brand END AS ld_brand FROM part"
+)
+
+
+@query("S03_snapshots", _SNAPSHOT_SQL)
 def s03(spark, d):
-    payload = F.expr("""concat('{"canonical_url":"https://x.com/', p_partkey, '","title":"', CASE WHEN p_size % 3 = 0 THEN '  ' ELSE p_type END, '","page_class":"commerce_pdp","_test_notes":"n"', CASE WHEN p_size % 2 = 0 THEN concat(',"product_name":"', p_name, '"') ELSE concat(',"facts":[{"type":"brand","value":"b"},{"type":"product_name","value":"Fact ', p_name, '"}]') END, '}')""")
-    return files.snapshot_rows(_part(spark, d).select(payload.alias("payload"))).select("raw_url", "product_name", "title", F.size("visible_text_blocks").cast("long").alias("n_blocks"), "quality_warning")
+    """Half of the snapshots hold signals, scores, images, recognised text and structured data; the others none."""
+    rich = """concat(',"product_name":"', p_name, '","fallback_reason":" fallback ","stock_signals":["', p_size, '","sold out"],"language_scores":{"ko":', p_size / 100D, '},"image_candidates":[{"src":"a.jpg","width":', p_size, '}],"ocr_text_blocks":[{"text":"ocr ', p_name, '","block_order":0}],"ocr_image_results":[{"image_src":"a.jpg","ocr_passes":[{"engine_used":"paddle","engine_ok":true}]}],"structured_data":[{"@type":"Product","brand":{"name":"', p_brand, '"}}]')"""
+    payload = F.expr(f"""concat('{{"canonical_url":"https://x.com/', p_partkey, '","title":"', CASE WHEN p_size % 3 = 0 THEN '  ' ELSE p_type END, '","page_class":"commerce_pdp","_test_notes":"n"', CASE WHEN p_size % 2 = 0 THEN {rich} ELSE concat(',"facts":[{{"type":"brand","value":"b"}},{{"type":"product_name","value":"Fact ', p_name, '"}}]') END, '}}')""")
+    out = files.snapshot_rows(_part(spark, d).select(payload.alias("payload")))
+    first = lambda c: F.get(F.col(c), F.lit(0))
+    return out.select(
+        *("raw_url", "product_name", "title", F.size("visible_text_blocks").cast("long").alias("n_blocks"), "quality_warning", "fallback_reason", F.array_join("stock_signals", "|").alias("stock")),
+        F.try_element_at("language_scores", F.lit("ko")).alias("ko"),
+        first("image_candidates")["width"].alias("width"),
+        first("ocr_text_blocks")["text"].alias("recognised"),
+        F.get(first("ocr_image_results")["ocr_passes"], F.lit(0))["engine_used"].alias("engine"),
+        F.try_variant_get(first("structured_data"), "$.brand.name", "string").alias("ld_brand"),
+    )
 
 
 @query("S04_decoded", "SELECT doc_id, md5(coalesce(text, '')) AS digest, 'utf-8' AS charset FROM documents")

@@ -61,34 +61,37 @@ def write_json(results: DataFrame, path: str) -> None:
     results.write.partitionBy("job_id").json(path)
 
 
-#: Columns of a page's snapshot as JSON holds it.
-SNAPSHOT = "raw_url string, canonical_url string, page_class string, final_url string, http_status int, title string, meta_description string, decoded_text string, visible_text_blocks array<string>, price_signals array<string>, buy_signals array<string>, usable_text_chars int, product_name string, locale_detected string, market_locale string, sellability_state string, stock_state string, sufficiency_state string, quality_warning boolean, fallback_used boolean, weak_backfill_used boolean, charset_confidence double, facts array<struct<" + ", ".join(f.replace(" ", ": ", 1) for f in FACT.split(", ")) + ">>"
+#: Columns of a page's snapshot by kind, as JSON holds them: texts, lists of texts, numbers, flags, and lists of objects.
+SNAPSHOT_TEXTS = ("final_url", "content_type", "fetch_profile_used", "fetched_at", "charset_selected", "meta_locale", "title", "meta_description", "canonical_tag", "decoded_text", "locale_detected", "market_locale", "sellability_state", "stock_state", "sufficiency_state", "fallback_reason", "preprocessing_source")
+SNAPSHOT_LISTS = ("mojibake_flags", "visible_text_blocks", "breadcrumbs", "primary_product_tokens", "price_signals", "buy_signals", "stock_signals", "promo_signals", "support_signals", "download_signals", "blocker_signals", "waiting_signals", "ocr_trigger_reasons")
+SNAPSHOT_NUMBERS = {"http_status": "int", "usable_text_chars": "int", "charset_confidence": "double", "single_product_confidence": "double", "sellability_confidence": "double", "support_density": "double", "download_density": "double", "promo_density": "double"}
+SNAPSHOT_FLAGS = ("quality_warning", "fallback_used", "weak_backfill_used")
+IMAGE = "src string, alt string, attribute string, dom_index int, detail_hint boolean, width int, height int"
+BLOCK = "text string, source string, image_src string, image_attribute string, image_score double, candidate_type string, pipeline_type string, engine_used string, recognizer_lang string, preprocessing_variant string, tile_mode string, tile_index int, block_order int"
+PASS = "pipeline_type string, preprocessing_variant string, recognizer_lang string, tile_mode string, engine_used string, block_count int, char_count int, tile_count int, runtime_ms int, engine_ok boolean, error string"
+_fields = lambda ddl: "struct<" + ", ".join(f.replace(" ", ": ", 1) for f in ddl.split(", ")) + ">"
+IMAGE_RESULT = "struct<image_src: string, status: string, raw_block_count: int, raw_char_count: int, runtime_ms: int, error: string, ocr_passes: array<" + _fields(PASS) + ">>"
+SNAPSHOT_OBJECTS = {"structured_data": "variant", "image_candidates": _fields(IMAGE), "facts": _fields(FACT), "ocr_text_blocks": _fields(BLOCK), "ocr_image_results": IMAGE_RESULT}
+SNAPSHOT = ", ".join(["raw_url string, canonical_url string, page_class string, product_name string, language_scores map<string, double>", *[f"{c} string" for c in SNAPSHOT_TEXTS], *[f"{c} array<string>" for c in SNAPSHOT_LISTS], *[f"{c} {k}" for c, k in SNAPSHOT_NUMBERS.items()], *[f"{c} boolean" for c in SNAPSHOT_FLAGS], *[f"{c} array<{k}>" for c, k in SNAPSHOT_OBJECTS.items()]])
 
 
 def snapshot_rows(payloads: DataFrame, column: str = "payload") -> DataFrame:
     """Snapshots from JSON texts: either url stands in for the other, absent lists are empty, absent flags false, blank texts null, and a fact names the product where no field does."""
     own = payloads.select(F.from_json(column, SNAPSHOT).alias("s")).select("s.*")
-    blank = lambda c: F.nullif(F.trim(c), F.lit("")).alias(c)
-    kind = own.schema["facts"].dataType.simpleString()
-    facts = F.coalesce("facts", F.array().cast(kind))
-    named = F.get(F.filter(facts, lambda f: f["type"] == "product_name"), F.lit(0))
+    named = F.get(F.filter(F.coalesce("facts", F.array().cast(f"array<{SNAPSHOT_OBJECTS['facts']}>")), lambda f: f["type"] == "product_name"), F.lit(0))
     fact_name = F.nullif(F.trim(F.coalesce(F.nullif(named["normalized_value"], F.lit("")), named["value"], F.lit(""))), F.lit(""))
-    lists = [F.coalesce(c, F.array().cast("array<string>")).alias(c) for c in ("visible_text_blocks", "price_signals", "buy_signals")]
-    flags = [F.coalesce(c, F.lit(False)).alias(c) for c in ("quality_warning", "fallback_used", "weak_backfill_used")]
-    plain = [blank(c) for c in ("final_url", "title", "meta_description", "decoded_text", "locale_detected", "market_locale", "sellability_state", "stock_state", "sufficiency_state")]
     url, canonical = (F.nullif(c, F.lit("")) for c in ("raw_url", "canonical_url"))
+    kinds = {c: own.schema[c].dataType for c in (*SNAPSHOT_LISTS, *SNAPSHOT_OBJECTS)}
     return own.select(
         F.coalesce(url, canonical, F.lit("")).alias("raw_url"),
         F.coalesce(canonical, url, F.lit("")).alias("canonical_url"),
         F.coalesce("page_class", F.lit("")).alias("page_class_hint"),
         F.coalesce(F.nullif("product_name", F.lit("")), fact_name).alias("product_name"),
-        *plain,
-        *lists,
-        *flags,
-        "http_status",
-        "usable_text_chars",
-        "charset_confidence",
-        facts.alias("facts"),
+        F.coalesce("language_scores", F.create_map().cast("map<string, double>")).alias("language_scores"),
+        *[F.nullif(F.trim(c), F.lit("")).alias(c) for c in SNAPSHOT_TEXTS],
+        *[F.coalesce(c, F.array().cast(kind)).alias(c) for c, kind in kinds.items()],
+        *[F.coalesce(c, F.lit(False)).alias(c) for c in SNAPSHOT_FLAGS],
+        *SNAPSHOT_NUMBERS,
     )
 
 
