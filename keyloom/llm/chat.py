@@ -19,7 +19,7 @@ from __future__ import annotations
 import hashlib
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -53,6 +53,7 @@ class Template:
         self.open, self.says, self.close = self.reserved = (size, size + 1, size + 2)
         strings = [*CONTROLS, *sorted(x.content for x in self.coder.get_added_tokens_decoder().values())]
         either = "|".join(map(re.escape, sorted(strings, key=len, reverse=True)))
+        self._roles = lru_cache(maxsize=64)(self.decode)
         self._escape, self._unescape = re.compile(rf"\\|{either}"), re.compile(rf"\\(\\|{either})")
 
     def escape(self, text: str) -> str:
@@ -64,21 +65,18 @@ class Template:
     def encode(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self.coder.encode_batch(texts, add_special_tokens=False)]
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids: Sequence[int]) -> str:
         return self.coder.decode(ids, skip_special_tokens=False)
 
-    def turns(self, ids: list[int]) -> list[tuple[str, str, int]]:
-        """Role, text and code points of the written form of each turn in a stretch of whole turns."""
-        out, at = [], 0
-        while at < len(ids):
-            says = ids.index(self.says, at)
-            close = ids.index(self.close, says)
-            if ids[at] != self.open:
-                raise ValueError("a turn does not begin with its reserved id")
-            role, text = self.decode(ids[at + 1 : says]), self.decode(ids[says + 1 : close])
-            out.append((self.unescape(role), self.unescape(text), len(OPEN + role + SAYS + text + CLOSE)))
-            at = close + 1
-        return out
+    def turn(self, ids: list[int], lo: int, hi: int) -> tuple[str, str, int, str | None]:
+        """Role, text, code points of the written form, and the text of the ids from ``lo`` to before ``hi`` (None if there are none) of a turn."""
+        says, close = ids.index(self.says), len(ids) - 1
+        if ids[0] != self.open or ids[close] != self.close:
+            raise ValueError("a turn does not lie between its reserved ids")
+        role, text = self._roles(tuple(ids[1:says])), self.decode(ids[says + 1 : close])
+        plain = self.unescape(text)
+        masked = None if hi <= lo else plain if (lo, hi) == (says + 1, close) else self.unescape(self.decode(ids[lo:hi]))
+        return self.unescape(role), plain, len(OPEN) + len(role) + len(SAYS) + len(text) + len(CLOSE), masked
 
 
 @lru_cache(maxsize=2)
@@ -182,9 +180,7 @@ def read_turns(made: DataFrame, vocabulary: str, conv_col: str = "conv_id") -> D
         for b in batches:
             rows = []
             for ids, start, lo, hi in zip(*[b.column(i).to_pylist() for i in range(2, 6)], strict=True):
-                own = np.frombuffer(ids, "<u4").tolist()
-                ((role, text, n),) = t.turns(own)
-                rows.append((role, text, n, t.unescape(t.decode(own[lo - start : hi - start])) if hi > lo else None))
+                rows.append(t.turn(np.frombuffer(ids, "<u4").tolist(), lo - start, hi - start))
             kinds = (pa.string(), pa.string(), pa.int64(), pa.string())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.array([r[j] for r in rows], k) for j, k in enumerate(kinds)]], names=schema.names)
 
