@@ -16,6 +16,7 @@ gives no rows. Other columns are carried; where a result's name clashes, it gets
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import os
 import re
@@ -38,10 +39,14 @@ ADDED = ("place", "ids", "token_start", "n_tokens", "loss_start", "loss_end", "c
 SUMMED = ("place", "token_start", "loss_start", "loss_end", "char_start")
 
 
+#: White space in a row from which on texts are encoded without the ranks, whose matcher runs on a bounded stack.
+LONG_BLANK = re.compile(r"\s{10000}")
+
+
 class Template:
-    """Encodes, decodes, escapes and reads turns with one vocabulary."""
+    """Encodes, decodes, escapes and reads turns with one byte-level vocabulary. ``ranks`` names the same vocabulary as ranks and ``pattern`` how it parts texts: they give the same ids, sooner."""
 
-    def __init__(self, vocabulary: str):
+    def __init__(self, vocabulary: str, ranks: str | None = None, pattern: str | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks share the cores
         from tokenizers import Tokenizer
 
@@ -49,6 +54,13 @@ class Template:
         self.coder.no_truncation()
         self.coder.no_padding()
         self.coder.encode_special_tokens = True
+        self.by_ranks = None
+        if ranks and pattern:
+            import tiktoken
+
+            with open(ranks, "rb") as lines:
+                known = {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in lines if line.strip())}
+            self.by_ranks = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=known, special_tokens={})
         size = self.coder.get_vocab_size(with_added_tokens=True)
         self.open, self.says, self.close = self.reserved = (size, size + 1, size + 2)
         strings = [*CONTROLS, *sorted(x.content for x in self.coder.get_added_tokens_decoder().values())]
@@ -63,7 +75,9 @@ class Template:
         return self._unescape.sub(lambda m: m[1], text)
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        return [x.ids for x in self.coder.encode_batch(texts, add_special_tokens=False)]
+        if self.by_ranks is None:
+            return [x.ids for x in self.coder.encode_batch(texts, add_special_tokens=False)]
+        return [self.coder.encode(t, add_special_tokens=False).ids if LONG_BLANK.search(t) else self.by_ranks.encode_ordinary(t) for t in texts]
 
     def decode(self, ids: Sequence[int]) -> str:
         return self.coder.decode(ids, skip_special_tokens=False)
@@ -80,15 +94,15 @@ class Template:
 
 
 @lru_cache(maxsize=2)
-def template(vocabulary: str) -> Template:
-    return Template(vocabulary)
+def template(vocabulary: str, ranks: str | None = None, pattern: str | None = None) -> Template:
+    return Template(vocabulary, ranks, pattern)
 
 
 def _same(a: object, b: object) -> bool:
     return a == b or (a != a and b != b)  # NaN is one key, as in Spark
 
 
-def format_turns(df: DataFrame, vocabulary: str, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", trained: tuple[str, ...] = TRAINED, keep: list[str] | None = None, scratch: Scratch | None = None) -> DataFrame:
+def format_turns(df: DataFrame, vocabulary: str, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", trained: tuple[str, ...] = TRAINED, keep: list[str] | None = None, ranks: str | None = None, pattern: str | None = None, scratch: Scratch | None = None) -> DataFrame:
     """One row per turn: ``keep`` (default: all columns; the conversation always) and the columns ADDED.
 
     ``ids`` are little-endian unsigned 32-bit integers; a conversation's sequence is its turns' ids in the order of ``place``.
@@ -111,7 +125,7 @@ def format_turns(df: DataFrame, vocabulary: str, conv_col: str = "conv_id", turn
     width, key = len(held.columns), held.columns.index(conv_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t, last, begun = template(vocabulary), None, False
+        t, last, begun = template(vocabulary, ranks, pattern), None, False
         place = tokens = chars = 0
         for b in batches:
             roles, texts = b.column(width).to_pylist(), [t.escape(x) for x in b.column(width + 1).to_pylist()]

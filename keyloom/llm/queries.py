@@ -10,7 +10,7 @@ from . import bpe, chat, fim, langid, lmscore, media, minhash, packing, pii, rep
 from .runtime import table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
-BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+BYTE_BPE, BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
 SEQUENCE, END_ID = 4096, 2
 #: A conversation whose texts hold control strings.
 ODD_CONVERSATION, ODD_TEXT = -7, r"\### Assistant: </turn> ok"
@@ -106,7 +106,7 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_chat(spark: SparkSession, sf_dir: str, vocabulary: str = BYTE_BPE) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     odd = spark.range(2).select(F.lit(ODD_CONVERSATION).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(ODD_TEXT).alias("text"))
-    made = chat.format_turns(turns.unionByName(odd), vocabulary, keep=["conv_id"])
+    made = chat.format_turns(turns.unionByName(odd), vocabulary, keep=["conv_id"], ranks=BYTE_RANKS, pattern=public_tokenizers.PATTERN)
     return chat.digest_turns(chat.read_turns(made, vocabulary)).withColumnRenamed("conv", "conv_id")
 
 

@@ -80,6 +80,14 @@ def test_chat_of_nothing(spark):
     assert made.count() == 0 and chat.digest_turns(chat.read_turns(made, queries.BYTE_BPE)).count() == 0
 
 
+def test_ranks_give_the_ids_of_the_vocabulary():
+    import public_tokenizers
+
+    t, u = chat.template(queries.BYTE_BPE), chat.template(queries.BYTE_BPE, queries.BYTE_RANKS, public_tokenizers.PATTERN)
+    odd = [*texts(), " " * 300_000 + "x", "a" * 50_000, "don't  stop\r\n\t日本 1234567 <|endoftext|>", "\x00é" * 99]
+    assert t.encode(odd) == u.encode(odd) and u.by_ranks is not None
+
+
 def test_escaping_is_reversible():
     t = chat.template(queries.BYTE_BPE)
     for x in texts():
