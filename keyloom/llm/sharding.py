@@ -29,11 +29,13 @@ def shard_rows(df: DataFrame, shards: int = 16, stratum_col: str = "source", key
     if {"shard", "slot"} & {c.lower() for c in df.columns}:
         raise ValueError("shard and slot are columns already")
     scratch = Scratch(df.sparkSession, "sharding")
-    mix, place, own, fraction, first, size = fresh(df, "mix", "place", "own", "fraction", "first", "size")
+    mix, place, own, fraction, first, size, salt = fresh(df, "mix", "place", "own", "fraction", "first", "size", "salt")
     keys = [F.col(f"`{c}`") for c in key_cols]
     named = df.withColumn(own, F.coalesce(F.concat(F.lit("="), F.col(f"`{stratum_col}`").cast("string")), F.lit("")))
-    mixed = named.withColumn(mix, F.xxhash64(F.lit(seed), *keys))
-    ranked, raw = global_rank(scratch, mixed, [F.col(own), F.col(mix), *keys], place)
+    # the salt parts rows with one key (a null id, say), which would otherwise all lie in one range
+    mixed = named.withColumn(mix, F.xxhash64(F.lit(seed), *keys)).withColumn(salt, F.monotonically_increasing_id())
+    ranked, raw = global_rank(scratch, mixed, [F.col(own), F.col(mix), *keys, F.col(salt)], place)
+    ranked = ranked.drop(salt)
     strata = scratch.save(ranked.groupBy(own).agg(F.min(place).alias(first), F.count("*").alias(size)))
     total = int(strata.agg(F.sum(size)).first()[0] or 0)
     # the joined rows are ordered by (fraction, stratum): a fraction is the middle of the row's share

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from keyloom.llm import chat, fim, queries, whitening
+from keyloom.llm import chat, fim, queries, sharding, whitening
 
 R = random.Random(3)
 sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
@@ -227,3 +227,23 @@ def test_units_and_selection():
         assert [i for i in range(len(x)) if fim.unit_starts(x, "words") >> i & 1] == want
     with pytest.raises(ValueError):
         fim.transform(None, units="lines")
+
+
+def test_rows_with_one_key_lie_in_many_ranges(spark, monkeypatch):
+    widest = []
+    ranked = sharding.global_rank
+
+    def watched(scratch, df, order, rank, parts=None):
+        out, kept = ranked(scratch, df, order, rank, 8)
+        spread = df.repartitionByRange(8, *order).groupBy(F.spark_partition_id()).count().collect()
+        widest.append(max(r["count"] for r in spread))
+        return out, kept
+
+    monkeypatch.setattr(sharding, "global_rank", watched)
+    df = spark.range(4000).select(F.when(F.col("id") % 3 == 0, F.col("id")).alias("doc_id"), F.lit("one").alias("source"), F.lit(1).alias("Salt")).repartition(4)
+    got = sharding.shard_rows(df, 16).collect()
+    slots = defaultdict(list)
+    for r in got:
+        slots[r.shard].append(r.slot)
+    assert len(got) == 4000 and all(sorted(x) == list(range(250)) for x in slots.values()) and len(slots) == 16
+    assert max(widest) < 1500 and set(got[0].asDict()) == {"doc_id", "source", "Salt", "shard", "slot"}
