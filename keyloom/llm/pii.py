@@ -12,8 +12,8 @@ whose base spans serve as labels, with part of the evidence hidden: each node co
 once without its form and once without its context. A hidden form leaves the label to context and
 edges, so the edges learn to carry what a pattern sees here to where none sees it. Tokens that share
 letters or digits with a base span without being in one are unknown, not outside. A fifth label,
-``secret``, learns from long tokens assigned to a name such as ``token`` or ``password``; no base
-pattern finds it, so every secret is the field's own decision.
+``secret``, learns from long tokens assigned to a name such as ``token`` or ``password``. No base
+pattern finds it, but the pattern that labels it would find most of what the field adds.
 
 Decoding is damped loopy sum-product with base labels clamped, until messages settle. Base spans
 always stay; added spans (of any kind) never overlap one of their kind.
