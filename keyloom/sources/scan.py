@@ -25,7 +25,7 @@ from keyloom.functions import structured, web
 from keyloom.workers import findable, ready
 
 SCAN = "raw_url string, final_url string, http_status int, content_type string, fetch_profile string, headers map<string,string>, body binary, error string, tries int"
-#: Request headers in the order in which they are tried.
+#: Request headers in the order in which they are tried (names and browser string are fixed values).
 PROFILES: tuple[tuple[str, dict[str, str]], ...] = (
     ("desktop_chrome", {"Accept": "text/html,application/xhtml+xml;q=0.9,*/*;q=0.8", "Accept-Language": "ko-KR,ko;q=0.9,en;q=0.7", "User-Agent": "Mozilla/5.0 (Windows NT 10.0; Win64; x64) AppleWebKit/537.36 (KHTML, like Gecko) Chrome/135.0.0.0 Safari/537.36"}),
     ("generic_html", {"Accept": "text/html,*/*;q=0.8", "Accept-Language": "ko,en;q=0.8", "User-Agent": "keyloom/1.0"}),

@@ -176,3 +176,18 @@ def test_empty_tables(spark):
     packs, failures = resolve.resolve(empty)
     assert packs.count() == 0 and failures.count() == 0
     assert evidence.numbered(packs).count() == 0
+
+
+def test_refused_heads_do_not_use_up_the_limit(spark):
+    packs = deep.product_packs(spark, SF).where("p_partkey < 6 and p_size % 3 = 0")
+    banked = bank.with_bank(interpret.interpreted(packs)).limit(1).persist()
+    url = banked.first().url
+    refused = "무료배송 크림"
+    banked = banked.withColumn("category_terms", F.array(F.lit(refused), F.lit("레티놀 크림")))
+    fields = "url string, ord int, category string, keyword string, slot_type string, naver_match string, google_match string, reason string, evidence_tier string, quality_score string"
+    row = lambda i, k: (url, i, "generic_category", k, "generic_type_phrase", "확장소재", "broad", "r", "inferred", None)
+    long = f"민감 피부 {refused}"
+    stayed = spark.createDataFrame([row(0, "민감 피부 레티놀 크림"), row(3, long)], fields)
+    sources = spark.createDataFrame([row(0, "민감 피부 레티놀 크림"), row(1, "레티놀 크림"), row(2, refused)], fields)
+    back = {r.keyword for r in intents.restored_heads(stayed, sources, banked, most=1).collect()}
+    assert "레티놀 크림" in back and refused not in back
