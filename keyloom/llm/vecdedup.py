@@ -216,13 +216,13 @@ def _sampled_links(classes: DataFrame, rows: int, dim: int, least: float) -> Dat
     return classes.select("id", "v").mapInArrow(lean(run), "a long, b long")
 
 
-def _measured_recall(links: DataFrame, comps: DataFrame) -> float:
-    """Share of the links that lie inside components, over all or as the mean of each vector's share, whichever is less."""
+def _measured_recall(links: DataFrame, comps: DataFrame) -> float | None:
+    """Share of the links that lie inside components, over all or as the mean of each vector's share, whichever is less; None if there are no links to measure by."""
     of_a, of_b = (comps.select(F.col("node").alias(c), F.col("component").alias("c" + c)) for c in "ab")
     inside = F.coalesce("ca", "a") == F.coalesce("cb", "b")
     each = links.join(of_a, "a", "left").join(of_b, "b", "left").groupBy("a").agg(F.count_if(inside).alias("met"), F.count("*").alias("all"))
     r = each.agg(F.sum("met") / F.sum("all"), F.avg(F.col("met") / F.col("all"))).first()
-    return 1.0 if r[0] is None else min(r[0], r[1])
+    return None if r[0] is None else min(r[0], r[1])
 
 
 def _counted(members: DataFrame, dim: int, least: float) -> DataFrame:
@@ -287,7 +287,11 @@ def _of_length(scratch: Scratch, valid: DataFrame, dim: int, least: float, windo
     done = passes_for(rows, least, window)
     comps = linked(done, window, 0, None)
     known = scratch.save(_sampled_links(classes, rows, dim, least))
-    while _measured_recall(known, comps) < RECALL:
+    while True:
+        recall = _measured_recall(known, comps)
+        # a sample of all vectors without a link says that there is none; a smaller one says nothing, so one wider round follows
+        if (recall is None and (rows <= SAMPLE or window >= WIDER)) or (recall is not None and recall >= RECALL):
+            break
         window = max(WIDER, 2 * window)
         comps = linked(MORE, window, done, comps)
         done += MORE

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from keyloom.llm import chat, fim, queries, sharding, whitening
+from keyloom.llm import chat, fim, queries, sharding, vecdedup, whitening
 
 R = random.Random(3)
 sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
@@ -247,3 +247,18 @@ def test_rows_with_one_key_lie_in_many_ranges(spark, monkeypatch):
         slots[r.shard].append(r.slot)
     assert len(got) == 4000 and all(sorted(x) == list(range(250)) for x in slots.values()) and len(slots) == 16
     assert max(widest) < 1500 and set(got[0].asDict()) == {"doc_id", "source", "Salt", "shard", "slot"}
+
+
+@pytest.mark.parametrize("sample, rounds", [(4096, 1), (1, 2)])
+def test_a_sample_without_links_measures_nothing(spark, monkeypatch, sample, rounds):
+    """Of 300 vectors two are near; a sample of one of the others holds no link, so a wider round follows, once."""
+    r = np.random.default_rng(8)
+    v = r.standard_normal((300, 24))
+    v[299] = v[298] + 0.01
+    made, links = [], vecdedup._pass_links
+    monkeypatch.setattr(vecdedup, "_pass_links", lambda *a: made.append(a) or links(*a))
+    monkeypatch.setattr(vecdedup, "SAMPLE", sample)
+    if sample == 1:
+        monkeypatch.setattr(vecdedup, "_sampled_links", lambda classes, *_: classes.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0))
+    got = {x.vec_id: x for x in vecdedup.near_duplicates(spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")).collect()}
+    assert len(made) == rounds and (got[299].component_id, got[299].n_links, got[5].n_links) == (298, 1, 0)
