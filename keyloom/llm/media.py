@@ -7,10 +7,14 @@ compare neighbouring boxes, each is cut into 2 Gray-coded bits, and a frame's 32
 
 Two recordings are aligned at the mode of their offset histogram (places of equal integers; of the
 fullest offsets the one with fewest bit errors), and linked if the overlap there covers most of the
-shorter one with few bit errors. So noisy copies, excerpts and copies with a lead-in link. Candidates
-are all pairs that share an integer at places whose offset leaves enough overlap and around which the
-frames 4 to 16 before and after agree in most bits; the occurrences of an integer meet in one task and
-only pairs that pass leave it. Equal fingerprints form a class that goes through as one row.
+shorter one with few bit errors. So noisy copies, excerpts and copies with a lead-in link. A candidate
+is found from its shorter side: places spread over it ask for 20 bits of their integer, as they are and
+with each one turned, and any place of a recording no shorter answers if its 20 bits are the same, the
+offset leaves enough overlap and the frames 4 to 16 before and after agree in most bits. At the most
+bit errors that a link allows, a place finds its like with probability 0.17, and at least 16 ask. Bits
+that many places share are dealt over several tasks by their count (at most 2^20 counts reach the
+driver); a task holds one such block of answers and lets those that ask run past. Equal fingerprints
+form a class that goes through as one row.
 
 Defined results: a recording that is null, no such file, of a stated sampling rate over MOST_HZ, or
 too short for an integer has none and is its own group. Silence has integers like any sound.
@@ -41,7 +45,9 @@ MOST_HZ, RATES = 768_000, 16
 #: Share of the shorter recording that must overlap, frames that must at least, and bit errors allowed there.
 OVERLAP, LEAST_FRAMES, ERRORS = 0.6, 16, 0.15
 #: Frames around an integer that are compared (16 bits of each), share of their bits that may differ, turns in which the integers are dealt, and offsets of a histogram that are tried.
-AROUND, NEAR, TURNS, TRIED = (4, 8, 12, 16), 14 / 64, 4, 16
+AROUND, NEAR, TURNS, TRIED = (4, 8, 12, 16), 16 / 64, 4, 16
+#: Bits of an integer that are looked up (the sign of every filter, both bits of four), places of a recording that ask, answers to the same bits that one task holds, and pairs that are compared at once.
+KEY, ASKED, BLOCK, AT_ONCE = 0xABABABAB, 32, 1 << 15, 1 << 19
 
 
 def samples(data: bytes | None) -> tuple[np.ndarray, int]:
@@ -219,59 +225,98 @@ def _around(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return after, before
 
 
-def _meetings(code: np.ndarray, ids: np.ndarray, place: np.ndarray, size: np.ndarray, sides: list[np.ndarray]) -> np.ndarray:
-    """Distinct (a, b, offset of b in a) of the recordings that share an integer in like surroundings, with enough overlap (rows sorted by integer)."""
-    end = np.searchsorted(code, code, side="right")
-    i, d, out = np.arange(len(code)), 1, []
+def _rows(i: int, code: np.ndarray, turn: int, hot: np.ndarray, parts: np.ndarray) -> list[np.ndarray]:
+    """Columns of the rows of a recording in a turn: what its places answer to, and what some of them ask for. ``parts``: blocks of the keys ``hot``."""
+
+    def own(key: np.ndarray) -> np.ndarray:
+        return np.flatnonzero((key * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % np.uint64(TURNS) == turn)
+
+    def blocks(key: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(hot, key), len(hot) - 1)
+        return np.where(hot[at] == key, parts[at], 1) if len(hot) else np.ones(len(key), np.int64)
+
+    after, before = _around(code)
+    key = code.astype(np.uint64) & np.uint64(KEY)
+    place = own(key)
+    if len(place):  # equal integers in equal surroundings (silence) once
+        place = place[np.unique(np.column_stack([code[place].astype(np.uint64), after[place], before[place]]), axis=0, return_index=True)[1]]
+    mixed = (place.astype(np.uint64) + np.uint64(i % (1 << 64)) * np.uint64(0xD6E8FEB86659FD93)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)
+    answers = key[place], mixed.astype(np.int64) % blocks(key[place])
+    turned = np.array([0, *(1 << k for k in range(32) if KEY >> k & 1)], np.uint64)
+    some = np.unique(np.linspace(0, len(code) - 1, min(len(code), ASKED)).astype(np.int64))
+    asked, asks = (key[some][:, None] ^ turned).ravel(), np.repeat(some, len(turned))
+    keep = own(asked)
+    asked, asks = asked[keep], asks[keep]
+    many = blocks(asked)  # every block of the answers is asked
+    block = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+    asked, asks = np.repeat(asked, many), np.repeat(asks, many)
+    spot = np.concatenate([answers[0].astype(np.int64) << 31 | answers[1] << 1, asked.astype(np.int64) << 31 | block << 1 | 1])
+    at = np.concatenate([place, asks])
+    return [spot, np.full(len(at), i, np.int64), at.astype(np.int32), np.full(len(at), len(code), np.int32), after[at].view(np.int64), before[at].view(np.int64)]
+
+
+def _meetings(spot: np.ndarray, ids: np.ndarray, place: np.ndarray, size: np.ndarray, sides: list[np.ndarray]) -> np.ndarray:
+    """Distinct (a, b, offset of b in a) of recordings where one asks and the other, no shorter, answers in like surroundings, with enough overlap (rows sorted by spot)."""
+    ask, out = np.flatnonzero(spot & 1), []
+    first, last = np.searchsorted(spot, spot[ask] - 1), np.searchsorted(spot, spot[ask])
+    some = last > first
+    ask, first, each = ask[some], first[some], (last - first)[some]
     far = np.uint64(16 * (len(AROUND) - 1))
-    while len(i := i[i + d < end[i]]):
-        for part in np.array_split(i, len(i) // (1 << 18) + 1):
-            a, b = part, part + d
-            for v in sides:  # at first only where all frames are there
-                x, y = v[a], v[b]
-                near = (np.bitwise_count(x ^ y) <= 64 * NEAR) | (x >> far == 0) | (y >> far == 0)
-                a, b = a[near], b[near]
-            low, high = np.maximum(0, place[a] - place[b]), np.minimum(size[a], size[b] + place[a] - place[b])
-            short = np.minimum(size[a], size[b])
-            enough = (ids[a] != ids[b]) & (high - low >= np.maximum(LEAST_FRAMES, OVERLAP * short))
-            a, b = a[enough], b[enough]
-            wrong, seen = np.zeros(len(a)), np.zeros(len(a))
-            for v in sides:
-                for k in range(len(AROUND)):
-                    x, y = ((v[w] >> np.uint64(16 * k)) & np.uint64(0xFFFF) for w in (a, b))
-                    both = (x > 0) & (y > 0)
-                    wrong += np.bitwise_count(x ^ y) * both
-                    seen += 16 * both
-            a, b = a[wrong <= NEAR * seen], b[wrong <= NEAR * seen]
-            a, b = np.where(ids[a] < ids[b], a, b), np.where(ids[a] < ids[b], b, a)
-            out.append(np.column_stack([ids[a], ids[b], place[a] - place[b]]))
-        d += 1
+    for part in np.split(np.arange(len(ask)), np.flatnonzero(np.diff(np.cumsum(each) // AT_ONCE)) + 1):
+        n = each[part]
+        a = np.repeat(ask[part], n)
+        b = np.arange(len(a)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[part], n)
+        for v in sides:  # at first only where all frames are there
+            x, y = v[a], v[b]
+            near = (np.bitwise_count(x ^ y) <= 64 * NEAR) | (x >> far == 0) | (y >> far == 0)
+            a, b = a[near], b[near]
+        low, high = np.maximum(0, place[a] - place[b]), np.minimum(size[a], size[b] + place[a] - place[b])
+        enough = (ids[a] != ids[b]) & (size[a] <= size[b]) & (high - low >= np.maximum(LEAST_FRAMES, OVERLAP * size[a]))
+        a, b = a[enough], b[enough]
+        wrong, seen = np.zeros(len(a)), np.zeros(len(a))
+        for v in sides:
+            for k in range(len(AROUND)):
+                x, y = ((v[w] >> np.uint64(16 * k)) & np.uint64(0xFFFF) for w in (a, b))
+                both = (x > 0) & (y > 0)
+                wrong += np.bitwise_count(x ^ y) * both
+                seen += 16 * both
+        a, b = a[wrong <= NEAR * seen], b[wrong <= NEAR * seen]
+        a, b = np.where(ids[a] < ids[b], a, b), np.where(ids[a] < ids[b], b, a)
+        out.append(np.unique(np.column_stack([ids[a], ids[b], place[a] - place[b]]), axis=0))
     return np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 3), np.int64)
 
 
+def _hot_keys(codes: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Keys that more than BLOCK places answer to, and the number of blocks of each; a key has 20 bits, so there are at most 2^20."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            key, n = np.unique(np.frombuffer(b"".join(b.column(0).to_pylist()), "<u4") & np.uint32(KEY), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int64)), pa.array(n.astype(np.int64))], names=["key", "n"])
+
+    many = codes.select("codes").mapInArrow(lean(run), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") > BLOCK).orderBy("key").collect()
+    return np.array([r.key for r in many], np.uint64), np.array([-(-r.n // BLOCK) for r in many], np.int64)
+
+
 def _candidates(scratch: Scratch, codes: DataFrame) -> DataFrame:
     """(a, b, hints): pairs of recordings that may link, a < b, with offsets of b in a."""
-    placed = StructType([StructField("code", LongType()), StructField("id", LongType()), StructField("place", IntegerType()), StructField("size", IntegerType()), StructField("after", LongType()), StructField("before", LongType())])
+    placed = StructType([StructField("spot", LongType()), StructField("id", LongType()), StructField("place", IntegerType()), StructField("size", IntegerType()), StructField("after", LongType()), StructField("before", LongType())])
     names, width, found = placed.names, shuffle_width(codes.sparkSession), None
+    codes = codes.where(F.length("codes") >= 4 * LEAST_FRAMES)  # no link has fewer frames
+    hot, parts = _hot_keys(codes)
 
     def places(turn: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 for i, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                    code = np.frombuffer(raw, "<u4")
-                    after, before = _around(code)
-                    own = np.flatnonzero((code.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % np.uint64(TURNS) == turn)
-                    if len(own):  # equal integers in equal surroundings (silence) once
-                        own = own[np.unique(np.column_stack([code[own].astype(np.uint64), after[own], before[own]]), axis=0, return_index=True)[1]]
-                    full = [np.full(len(own), v, t) for v, t in ((i, np.int64), (len(code), np.int32))]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in (code[own].astype(np.int64), full[0], own.astype(np.int32), full[1], after[own].view(np.int64), before[own].view(np.int64))], names=names)
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in _rows(i, np.frombuffer(raw, "<u4"), turn, hot, parts)], names=names)
 
         return run
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def made(t: pa.Table) -> pa.RecordBatch:
-            code, ids, place, size, after, before = (t.column(c).to_numpy() for c in names)
-            out = _meetings(code, ids, place.astype(np.int64), size.astype(np.int64), [after.view(np.uint64), before.view(np.uint64)])
+            spot, ids, place, size, after, before = (t.column(c).to_numpy() for c in names)
+            out = _meetings(spot, ids, place.astype(np.int64), size.astype(np.int64), [after.view(np.uint64), before.view(np.uint64)])
             return pa.RecordBatch.from_arrays([pa.array(out[:, k]) for k in range(3)], names=["a", "b", "offset"])
 
         held, rows = [], 0
@@ -280,17 +325,17 @@ def _candidates(scratch: Scratch, codes: DataFrame) -> DataFrame:
             rows += b.num_rows
             if rows >= 1 << 17:
                 t = pa.Table.from_batches(held)
-                code = t.column("code").to_numpy()
-                whole = int(np.searchsorted(code, code[-1]))  # the last integer may go on
-                if whole:
-                    yield made(t.slice(0, whole))
-                held, rows = t.slice(whole).to_batches(), t.num_rows - whole
+                yield made(t)
+                spot = t.column("spot").to_numpy()
+                last = spot[-1] & ~1  # more may ask for it: what answers stays
+                t = t.slice(int(np.searchsorted(spot, last)), int(np.searchsorted(spot, last + 1) - np.searchsorted(spot, last)))
+                held, rows = t.to_batches(), 0
         if rows:
             yield made(pa.Table.from_batches(held))
 
     for turn in range(TURNS):
         rows = codes.select("id", "codes").mapInArrow(lean(places(turn)), placed)
-        part = scratch.save(rows.repartition(width, "code").sortWithinPartitions("code").mapInArrow(lean(meet), "a long, b long, offset long"))
+        part = scratch.save(rows.repartition(width, F.shiftright("spot", 1)).sortWithinPartitions("spot").mapInArrow(lean(meet), "a long, b long, offset long"))
         scratch.release()
         found = part if found is None else found.unionByName(part)
     return found.groupBy("a", "b").agg(F.collect_set("offset").alias("hints"))

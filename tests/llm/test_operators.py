@@ -430,6 +430,40 @@ def test_noisy_copies_excerpts_and_lead_ins_align(spark, monkeypatch):
     assert all(got[k].offset == 90 and got[k + 1].offset == 200 and got[k + 2].offset == len(made[k - 4]) - len(made[k + 2]) for k in range(4, 84, 7))
 
 
+def _flipped(r, code, share):
+    return code ^ ((r.random((len(code), 32)) < share) @ (np.uint64(1) << np.arange(32, dtype=np.uint64))).astype(np.uint32)
+
+
+def test_candidates_reach_the_bit_errors_that_links_allow(spark):
+    """Pairs with independent wrong bits, up to the most that a link may have, become candidates at their true offset."""
+    r, rows, pairs = np.random.default_rng(11), [], {}
+    for frames in (16, 30, 60, 120):
+        for share in (0.1, 0.12, 0.15):
+            for _ in range(150):
+                code = r.integers(0, 1 << 32, frames, dtype=np.uint32)
+                lead = r.integers(0, 1 << 32, 40, dtype=np.uint32)
+                pairs[len(rows)] = frames, share
+                rows += [(len(rows), code.tobytes()), (len(rows) + 1, np.concatenate([lead, _flipped(r, code, share)]).tobytes())]
+    found = media._candidates(Scratch(spark, "test"), spark.createDataFrame(rows, "id long, codes binary")).collect()
+    hit = {x.a for x in found if x.b == x.a + 1 and x.a in pairs and -40 in x.hints}
+    for key in set(pairs.values()):
+        of_key = [i for i, k in pairs.items() if k == key]
+        assert sum(i in hit for i in of_key) >= 0.9 * len(of_key), key
+    assert len(found) < 1.01 * len(pairs)
+
+
+def test_bits_that_many_places_share_are_dealt_over_blocks(spark, monkeypatch):
+    r = np.random.default_rng(12)
+    common = r.integers(0, 1 << 32, 60, dtype=np.uint32)
+    rows = [(i, np.concatenate([r.integers(0, 1 << 32, i % 7, dtype=np.uint32), _flipped(r, common, 0.03)]).tobytes()) for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, codes binary")
+    whole = {(x.a, x.b, tuple(sorted(x.hints))) for x in media._candidates(Scratch(spark, "test"), df).collect()}
+    monkeypatch.setattr(media, "BLOCK", 4)
+    assert len(media._hot_keys(df)[0]) > 0
+    dealt = {(x.a, x.b, tuple(sorted(x.hints))) for x in media._candidates(Scratch(spark, "test"), df).collect()}
+    assert dealt == whole and len(whole) == 60 * 59 // 2
+
+
 def test_shingles_count_words_as_stated():
     w, bounds = word_hashes(["a b c d e f", "A\x0bB", "", "x"])
     assert [len(s) for s in shingles(w, bounds, 5)] == [2, 1, 0, 1] and np.diff(bounds).tolist() == [6, 2, 0, 1]
