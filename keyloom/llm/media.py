@@ -10,7 +10,7 @@ fullest offsets the one with fewest bit errors), and linked if the overlap there
 shorter one with few bit errors. So noisy copies, excerpts and copies with a lead-in link. A candidate
 is found from its shorter side: places spread over it ask for 20 bits of their integer, as they are and
 with each one turned, and any place of a recording no shorter answers if its 20 bits are the same, the
-offset leaves enough overlap and the frames 4 to 16 before and after agree in most bits. At the most
+offset leaves enough overlap and the frames 6 to 128 before and after agree in most bits. At the most
 bit errors that a link allows, a place finds its like with probability 0.17, and at least 16 ask. Bits
 that many places share are dealt over several tasks by their count (at most 2^20 counts reach the
 driver); a task holds one such block of answers and lets those that ask run past. Equal fingerprints
@@ -32,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, DoubleType, IntegerType, LongType, StructField, StructType
 
@@ -44,10 +44,12 @@ HOP_S, LOWEST_HZ, SPAN, STEP = 0.064, 130.8128, 8, 0.06
 MOST_HZ, RATES = 768_000, 16
 #: Share of the shorter recording that must overlap, frames that must at least, and bit errors allowed there.
 OVERLAP, LEAST_FRAMES, ERRORS = 0.6, 16, 0.15
-#: Frames around an integer that are compared (16 bits of each), share of their bits that may differ, turns in which the integers are dealt, and offsets of a histogram that are tried.
-AROUND, NEAR, TURNS, TRIED = (4, 8, 12, 16), 16 / 64, 4, 16
+#: Frames around an integer that are compared (16 bits of each), share of their bits that may differ and bits beyond it, turns in which the integers are dealt, and offsets of a histogram that are tried.
+AROUND, NEAR, MORE, TURNS, TRIED = (6, 24, 64, 128), 14 / 64, 2, 4, 16
 #: Bits of an integer that are looked up (the sign of every filter, both bits of four), places of a recording that ask, answers to the same bits that one task holds, and pairs that are compared at once.
 KEY, ASKED, BLOCK, AT_ONCE = 0xABABABAB, 32, 1 << 15, 1 << 19
+#: Partners that a recording has been aligned with after each round, the likeliest first; the last round takes all pairs that are left between components.
+PARTNERS = (1, 8, 64, None)
 
 
 def samples(data: bytes | None) -> tuple[np.ndarray, int]:
@@ -240,7 +242,7 @@ def _rows(i: int, code: np.ndarray, turn: int, hot: np.ndarray, parts: np.ndarra
     place = own(key)
     if len(place):  # equal integers in equal surroundings (silence) once
         place = place[np.unique(np.column_stack([code[place].astype(np.uint64), after[place], before[place]]), axis=0, return_index=True)[1]]
-    mixed = (place.astype(np.uint64) + np.uint64(i % (1 << 64)) * np.uint64(0xD6E8FEB86659FD93)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)
+    mixed = (place.astype(np.uint64) + np.uint64(i * 0xD6E8FEB86659FD93 % (1 << 64))) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)
     answers = key[place], mixed.astype(np.int64) % blocks(key[place])
     turned = np.array([0, *(1 << k for k in range(32) if KEY >> k & 1)], np.uint64)
     some = np.unique(np.linspace(0, len(code) - 1, min(len(code), ASKED)).astype(np.int64))
@@ -268,7 +270,7 @@ def _meetings(spot: np.ndarray, ids: np.ndarray, place: np.ndarray, size: np.nda
         b = np.arange(len(a)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[part], n)
         for v in sides:  # at first only where all frames are there
             x, y = v[a], v[b]
-            near = (np.bitwise_count(x ^ y) <= 64 * NEAR) | (x >> far == 0) | (y >> far == 0)
+            near = (np.bitwise_count(x ^ y) <= 64 * NEAR + 2 * MORE) | (x >> far == 0) | (y >> far == 0)
             a, b = a[near], b[near]
         low, high = np.maximum(0, place[a] - place[b]), np.minimum(size[a], size[b] + place[a] - place[b])
         enough = (ids[a] != ids[b]) & (size[a] <= size[b]) & (high - low >= np.maximum(LEAST_FRAMES, OVERLAP * size[a]))
@@ -280,7 +282,8 @@ def _meetings(spot: np.ndarray, ids: np.ndarray, place: np.ndarray, size: np.nda
                 both = (x > 0) & (y > 0)
                 wrong += np.bitwise_count(x ^ y) * both
                 seen += 16 * both
-        a, b = a[wrong <= NEAR * seen], b[wrong <= NEAR * seen]
+        close = wrong <= NEAR * seen + MORE
+        a, b = a[close], b[close]
         a, b = np.where(ids[a] < ids[b], a, b), np.where(ids[a] < ids[b], b, a)
         out.append(np.unique(np.column_stack([ids[a], ids[b], place[a] - place[b]]), axis=0))
     return np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 3), np.int64)
@@ -338,7 +341,34 @@ def _candidates(scratch: Scratch, codes: DataFrame) -> DataFrame:
         part = scratch.save(rows.repartition(width, F.shiftright("spot", 1)).sortWithinPartitions("spot").mapInArrow(lean(meet), "a long, b long, offset long"))
         scratch.release()
         found = part if found is None else found.unionByName(part)
-    return found.groupBy("a", "b").agg(F.collect_set("offset").alias("hints"))
+    # dealt by b alone: the choice among a recording's pairs needs no other exchange
+    return found.repartition(width, "b").groupBy("a", "b").agg(F.collect_set("offset").alias("hints"))
+
+
+def _links(scratch: Scratch, pairs: DataFrame, codes: DataFrame) -> DataFrame:
+    """(a, b): links that join what all links of ``pairs`` join, so that a group of copies needs no alignment of all with all.
+
+    Every recording first aligns with its likeliest earlier partners; pairs inside a component then go, and
+    more partners follow, until the last round takes all pairs that are left.
+    """
+    links, tested = None, 0
+    for most in PARTNERS:
+        place = F.row_number().over(Window.partitionBy("b").orderBy(F.desc(F.size("hints")), "a"))
+        left = pairs.withColumn("place", place) if not tested else pairs
+        chosen = left if most is None else left.where(F.col("place") <= most)
+        linked = _aligned(chosen.select("a", "b", "hints"), codes).where((F.col("overlap") >= OVERLAP) & (F.col("frames") >= LEAST_FRAMES) & (F.col("bit_errors") <= ERRORS))
+        linked = scratch.save(linked.select("a", "b"))
+        links = linked if links is None else links.unionByName(linked)
+        if most is None:
+            break
+        comps = scratch.save(components(scratch, links))
+        of = lambda c: comps.select(F.col("node").alias(c), F.col("component").alias("of_" + c))  # noqa: E731, B023
+        rest = left.where(F.col("place") > most).join(of("a"), "a", "left").join(of("b"), "b", "left")
+        pairs = scratch.save(rest.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b", "hints", "place"))
+        tested = most
+        if pairs.isEmpty():
+            break
+    return links
 
 
 def align_recordings(df: DataFrame, id_col: str = "id", media_col: str = "media") -> DataFrame:
@@ -349,11 +379,10 @@ def align_recordings(df: DataFrame, id_col: str = "id", media_col: str = "media"
     some = made.where("length(codes) > 0 and id is not null")
     classes = scratch.save(some.groupBy("print", "crc").agg(F.min("id").alias("rep")))
     codes = scratch.save(some.join(classes.select(F.col("rep").alias("id")), "id", "left_semi").select("id", "codes").dropDuplicates(["id"]))
-    links = _aligned(scratch.save(_candidates(scratch, codes)), codes).where((F.col("overlap") >= OVERLAP) & (F.col("frames") >= LEAST_FRAMES) & (F.col("bit_errors") <= ERRORS))
-    links = scratch.save(links.select("a", "b", "offset"))
-    comps = scratch.save(components(scratch, links.select("a", "b")))
+    pairs = scratch.save(_candidates(scratch, codes))
+    comps = scratch.save(components(scratch, _links(scratch, pairs, codes)))
     own = comps.where("node != component").select(F.col("component").alias("a"), F.col("node").alias("b"))
-    own = own.join(links, ["a", "b"], "left").select("a", "b", F.when(F.col("offset").isNull(), F.array().cast("array<bigint>")).otherwise(F.array("offset")).alias("hints"))
+    own = own.join(pairs, ["a", "b"], "left").select("a", "b", F.coalesce("hints", F.array().cast("array<bigint>")).alias("hints"))
     against = scratch.save(_aligned(own, codes).select("b", "offset", "bit_errors"))
     of_class = classes.join(comps.withColumnRenamed("node", "rep"), "rep", "left").join(against.withColumnRenamed("b", "rep"), "rep", "left")
     of_class = scratch.save(of_class.select("print", "crc", F.coalesce("component", "rep").alias("group_id"), F.when(F.coalesce("component", "rep") == F.col("rep"), 0).otherwise(F.col("offset")).alias("offset"), F.when(F.coalesce("component", "rep") == F.col("rep"), 0.0).otherwise(F.col("bit_errors")).alias("bit_errors")))
