@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from keyloom import dims
+from keyloom.functions.tables import spread
 
 
 def categories(spark: SparkSession) -> DataFrame:
@@ -42,7 +43,7 @@ def divisor_plan(demand: DataFrame) -> DataFrame:
     place = F.row_number().over(Window.partitionBy("key").orderBy(F.desc(F.col("weight") / (F.col("k") + 0.5)), F.desc(F.col("available") - F.col("k")), F.desc("target"), "pos", "k"))
     won = extra.withColumn("place", place).where("place <= total - n").groupBy("key", "category").agg(F.count("*").alias("more"))
     base = active.withColumn("one", F.when((F.col("total") > 0) & ((F.col("total") >= F.col("n")) | (F.col("lead") <= F.col("total"))), 1).otherwise(0))
-    return base.join(won, ["key", "category"], "left").select("key", "category", (F.col("one") + F.coalesce("more", F.lit(0))).cast("long").alias("seats"))
+    return base.join(spread(won), ["key", "category"], "left").select("key", "category", (F.col("one") + F.coalesce("more", F.lit(0))).cast("long").alias("seats"))
 
 
 def slot_split(slots: DataFrame) -> DataFrame:
@@ -60,5 +61,5 @@ def slot_split(slots: DataFrame) -> DataFrame:
 def category_gaps(counts: DataFrame, plan: DataFrame) -> DataFrame:
     """Missing rows of (key, category) against a plan (category, seats); counts: key, category, n. Keys and plan meet by a cross with the small plan."""
     keys = counts.select("key").distinct()
-    full = keys.crossJoin(plan).join(counts, ["key", "category"], "left")
+    full = keys.crossJoin(F.broadcast(plan)).join(spread(counts), ["key", "category"], "left")
     return full.select("key", "category", F.greatest(F.lit(0), F.col("seats") - F.coalesce("n", F.lit(0))).cast("long").alias("gap"))
