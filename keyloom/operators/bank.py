@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from keyloom import dims
 from keyloom.functions import keywords as K
 from keyloom.functions.arrays import collapse, first_of_each, let, none, rows_of, texts, unique, words_of
+from keyloom.functions.tables import spread
 from keyloom.operators import interpret, quota, slots, surface
 from keyloom.workers import ready
 
@@ -241,7 +242,7 @@ def selected(banked: DataFrame, plan: DataFrame, verbose: bool = False) -> DataF
     it = {n: F.col(n) for n in ("name", "product_category", "secondary", "audience", "concerns", "usage", "page_class", "events", "measures", "specs", "ingredients", "technology", "form_factors")}
     weights = strengths()
     out = banked.withColumn("judged", F.transform("bank", lambda e: F.struct(e["pos"].alias("pos"), signature(e["keyword"]).alias("signature"), surface.surface_code(e["keyword"], e["category"], it, verbose).isNotNull().alias("rejected"))))
-    out = ready(out).join(seats, "url", "left").withColumn("plan", F.coalesce("plan", F.array().cast("array<struct<pos:int,seats:int>>")))
+    out = ready(out).join(spread(seats), "url", "left").withColumn("plan", F.coalesce("plan", F.array().cast("array<struct<pos:int,seats:int>>")))
     out = out.select("url", "bank", "judged", "plan", F.array(*[weights[c].cast("double") for c in POSITIVES]).alias("strength"))
     return out.mapInArrow(_picked, ", ".join(map(" ".join, PICKED)))
 
@@ -258,7 +259,7 @@ def negatives(interpreted: DataFrame) -> DataFrame:
 def intents(banked: DataFrame, plan: DataFrame, verbose: bool = False) -> DataFrame:
     """Picked candidates, then negatives, as intents: url, ord, intent_id, category, slot_type, keyword, reason, evidence_tier."""
     slot = slots.slot_type(F.col("aliases"), F.col("brand"), F.col("type_phrases"), F.concat("ingredients", "technology", "form_factors"), F.col("audience"), F.col("events"), F.col("name"))
-    positive = selected(banked, plan, verbose).join(banked.select("url", "aliases", "brand", "type_phrases", "ingredients", "technology", "form_factors", "audience", "events", "name"), "url")
+    positive = selected(banked, plan, verbose).join(spread(banked.select("url", "aliases", "brand", "type_phrases", "ingredients", "technology", "form_factors", "audience", "events", "name")), "url")
     positive = positive.withColumn("slot_type", F.coalesce("slot_type", slot)).select("url", "ord", "category", "keyword", "reason", "tier", "slot_type")
     every = positive.unionByName(negatives(banked).withColumn("ord", F.col("ord") + 100_000))
     return every.select("url", "ord", F.concat_ws(":", "category", "keyword").alias("intent_id"), "category", "slot_type", "keyword", "reason", F.col("tier").alias("evidence_tier"))
@@ -294,12 +295,12 @@ def slot_plan(interpreted: DataFrame, plan: DataFrame) -> DataFrame:
     ]
     rows = rows_of(interpreted, F.array(*[F.struct(F.lit(i).alias("pos"), F.lit(dims.SLOT_ORDER[c].index(t)).alias("rank"), F.lit(c).alias("category"), F.lit(t).alias("slot_type"), s.alias("seeds")) for i, (c, t, s) in enumerate(sources)]), "url").select("url", "x.*").where(F.size("seeds") > 0)
     seats = plan.select("url", "category", F.col("seats").cast("int").alias("total")).unionByName(interpreted.select("url", F.lit(dims.NEGATIVE).alias("category"), F.lit(1).alias("total")))
-    rows = rows.join(seats, ["url", "category"]).where("total > 0")
+    rows = rows.join(spread(seats), ["url", "category"]).where("total > 0")
     primary = F.col("rank") == F.min("rank").over(Window.partitionBy("url", "category"))
     rows = rows.withColumn("is_primary", primary).withColumn("n", F.size("seeds"))
     split = quota.slot_split(rows.select(F.concat_ws("\x01", "url", "category").alias("key"), "total", F.format_string("%03d:%s", "pos", "slot_type").alias("slot"), F.col("n").alias("seeds"), "is_primary"))
     named = split.select(F.split("key", "\x01")[0].alias("url"), F.split("key", "\x01")[1].alias("category"), F.substring("slot", 5, 100).alias("slot_type"), F.col("seats").alias("target"))
-    out = rows.join(named, ["url", "category", "slot_type"]).where("target > 0")
+    out = rows.join(spread(named), ["url", "category", "slot_type"]).where("target > 0")
     return out.select("url", "category", "slot_type", "target", F.col("is_primary").alias("required"), F.slice("seeds", 1, 8).alias("seeds"))
 
 
@@ -314,7 +315,7 @@ def weak_batches(batches: DataFrame, rows: DataFrame, mode: str = "both") -> Dat
     """Batches with too few rows: ``missing`` (none of the category) and ``low_volume`` (fewer than max(1, 35 % of the target))."""
     labels = {"naver_sa": F.col("naver_match") != "", "google_sa": F.col("google_match") != "", "both": (F.col("naver_match") != "") | (F.col("google_match") != "")}
     hits = rows.where(labels[mode]).groupBy("url", "category").agg(F.count("*").alias("n"))
-    out = batches.join(hits, ["url", "category"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    out = batches.join(spread(hits), ["url", "category"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
     least = F.greatest(F.lit(1), F.floor(F.greatest(F.col("target"), F.lit(1)) * 0.35))
     out = out.withColumns({"missing": F.col("n") == 0, "low_volume": F.col("n") < least, "least": least.cast("long")})
     return out.where("missing or low_volume").select("url", "batch", "category", "n", "least", "missing", "low_volume")
@@ -324,7 +325,7 @@ def supplement_order(batches: DataFrame, gaps: DataFrame, missing: DataFrame) ->
     """Batches that still lack something, the emptiest first: ``gaps`` (url, category, slot_type, missing), ``missing`` (url, category)."""
     open_ = gaps.where("missing > 0").groupBy("url", "category").agg(F.sum("missing").alias("gap"))
     lacks = missing.select("url", "category", F.lit(1).alias("lacks")).distinct()
-    out = batches.join(open_, ["url", "category"], "left").join(lacks, ["url", "category"], "left").where("gap is not null or lacks is not null")
+    out = batches.join(spread(open_), ["url", "category"], "left").join(spread(lacks), ["url", "category"], "left").where("gap is not null or lacks is not null")
     out = out.withColumns({"gap": F.coalesce("gap", F.lit(0)), "lacks": F.coalesce("lacks", F.lit(0))})
     place = F.row_number().over(Window.partitionBy("url").orderBy(F.desc("gap"), F.desc("lacks"), "batch"))
     return out.select("url", "batch", "gap", "lacks", place.alias("place"))

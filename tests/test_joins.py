@@ -8,6 +8,7 @@ from tests.conftest import SF
 #: Queries and how many of their sides are small by nature (a plan of categories or slots).
 JOINED = {
     "A02_category_gaps": 1,
+    "G11_weak_batches": 0,
 }
 
 
