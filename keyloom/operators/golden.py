@@ -17,6 +17,7 @@ from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from keyloom import dims
 from keyloom.functions.responses import contained
+from keyloom.functions.tables import spread
 from keyloom.operators.rows import by_platform
 from keyloom.workers import ready
 
@@ -75,18 +76,18 @@ def findings(rows: DataFrame, expected: DataFrame, modes: DataFrame | None = Non
     wanted = ready(expected).select("case_id", "platform", "kind", "value").where("value is not null").distinct()
     if modes is not None:
         asked = modes.select("case_id", "mode").distinct()
-        wanted = wanted.join(asked, "case_id").where((F.col("mode") == "both") | (F.col("mode") == F.col("platform"))).drop("mode")
+        wanted = wanted.join(spread(asked), "case_id").where((F.col("mode") == "both") | (F.col("mode") == F.col("platform"))).drop("mode")
     wanted = wanted.withColumn("form", normal_form("value"))
     shown = by_platform(ready(rows).where(F.col("category") != dims.NEGATIVE)).select(F.col("url").alias("case_id"), "platform", "ord", "category", "keyword").withColumn("form", normal_form("keyword"))
     key = ["case_id", "platform"]
     first = shown.groupBy(*key, "form").agg(F.min_by("keyword", "ord").alias("keyword"))
     of = lambda kind: wanted.where(F.col("kind") == kind)
     say = lambda df, kind, value: df.select(*key, F.lit(KINDS[kind]).alias("finding"), F.col(value).alias("value"))
-    missing = say(of("must_keep").join(first, [*key, "form"], "left_anti"), "must_keep", "value")
-    emitted = say(first.join(of("must_not_emit").select(*key, "form").distinct(), [*key, "form"], "left_semi"), "must_not_emit", "keyword")
+    missing = say(of("must_keep").join(spread(first), [*key, "form"], "left_anti"), "must_keep", "value")
+    emitted = say(first.join(spread(of("must_not_emit").select(*key, "form").distinct()), [*key, "form"], "left_semi"), "must_not_emit", "keyword")
     banned = of("forbidden_substrings").select(*key, F.col("form").alias("fragment")).distinct()
     pairs = fragments_in(first.select(F.col("form").alias("text")), banned, most).withColumnRenamed("text", "form")
-    held = first.join(pairs, "form").join(banned, [*key, "fragment"], "left_semi").select(*key, "keyword").distinct()
+    held = first.join(spread(pairs), "form").join(spread(banned), [*key, "fragment"], "left_semi").select(*key, "keyword").distinct()
     categories = shown.select(*key, F.col("category").alias("value")).distinct()
-    lacking = say(of("required_categories").join(categories, [*key, "value"], "left_anti"), "required_categories", "value")
+    lacking = say(of("required_categories").join(spread(categories), [*key, "value"], "left_anti"), "required_categories", "value")
     return missing.unionByName(emitted).unionByName(say(held, "forbidden_substrings", "keyword")).unionByName(lacking)

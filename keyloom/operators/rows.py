@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from keyloom import dims
 from keyloom.functions import keywords as K
 from keyloom.functions.arrays import collapse, none
+from keyloom.functions.tables import dealt, spread
 from keyloom.operators import product
 from keyloom.operators.interpret import terms_for
 
@@ -18,7 +19,7 @@ def keyword_rows(products: DataFrame) -> DataFrame:
     Products are dealt by url first, so the rows of one lie together and later windows and groups by url need no exchange.
     """
     items = F.array(*[F.struct(*[F.lit(v).cast(t).alias(n) for n, v, t in zip(("ord", "category", "pattern", "reason", "evidence_tier", "quality_score"), row, ("int", *["string"] * 5), strict=True)]) for row in dims.TEMPLATES])
-    out = products.repartition("url").select("*", F.explode(items).alias("x")).select(*products.columns, "x.*")
+    out = dealt(products, "url").select("*", F.explode(items).alias("x")).select(*products.columns, "x.*")
     filled = F.col("pattern")
     for mark, column in (("{b}", "brand"), ("{n}", "product_name"), ("{t}", "type")):
         filled = F.replace(filled, F.lit(mark), F.col(column))
@@ -124,7 +125,7 @@ def select_rows(scored: DataFrame, target: int, mode: str = "both") -> DataFrame
     rest = F.filter("rows", lambda x: ~F.array_contains(F.col("taken"), x["row"]))
     done = F.aggregate(rest, F.col("lead"), lambda st, x: F.when(fits(st, x), add(st, x, F.lit(99))).otherwise(st), lambda st: st["out"])
     chosen = listed.select("url", F.posexplode(done).alias("place", "ord"))
-    return scored.join(chosen.withColumn("place", F.col("place") + 1), ["url", "ord"])
+    return scored.join(spread(chosen.withColumn("place", F.col("place") + 1)), ["url", "ord"])
 
 
 def selection_summary(scored: DataFrame, chosen: DataFrame) -> DataFrame:
@@ -134,7 +135,7 @@ def selection_summary(scored: DataFrame, chosen: DataFrame) -> DataFrame:
     """
     names = ["url", "category", "keyword", "naver_match", "google_match"]
     picked = chosen.select("url", "ord", F.lit(True).alias("hit"))
-    marked = scored.select(*names, "ord", "score").join(picked, ["url", "ord"], "left")
+    marked = scored.select(*names, "ord", "score").join(spread(picked), ["url", "ord"], "left")
     same = F.max(F.coalesce("hit", F.lit(False))).over(Window.partitionBy(*names))
     marked = marked.withColumn("same", same).withColumn("cutline", F.min(F.when(F.col("hit"), F.col("score"))).over(Window.partitionBy("url")))
     return marked.groupBy("url", "category").agg(F.count_if(F.coalesce("hit", F.lit(False))).alias("selected"), F.count_if(~F.col("same")).alias("dropped"), F.first("cutline").alias("cutline"))
