@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from keyloom import dims
 from keyloom.functions.arrays import rows_of
+from keyloom.functions.tables import spread
 
 INTENT_FIELDS = ("intent_id", "category", "slot_type", "keyword", "reason", "evidence_tier", "quality_score")
 ROW_FIELDS = ("category", "slot_type", "keyword", "naver_match", "google_match", "reason", "evidence_tier", "quality_score")
@@ -22,7 +23,7 @@ def policy_drops(rows: DataFrame, intents: DataFrame) -> DataFrame:
     """One line for each hard issue of a dropped row, with the slot of the intent that it came from (the first of its category and keyword)."""
     first = intents.groupBy("url", "category", "keyword").agg(F.min_by("slot_type", "ord").alias("intent_slot"))
     lost = rows_of(rows.where(F.size("hard_issues") > 0), F.col("hard_issues"), "url", "category", "keyword", item="issue")
-    out = lost.join(first, ["url", "category", "keyword"], "left")
+    out = lost.join(spread(first), ["url", "category", "keyword"], "left")
     code = F.when(F.col("issue") == "low_information", "dedup_low_quality").otherwise(F.col("issue"))
     return out.select("url", "keyword", "category", F.coalesce("intent_slot", F.lit("")).alias("slot_type"), F.lit("policy_filter").alias("drop_stage"), code.alias("drop_reason_code"), F.col("issue").alias("drop_reason_detail"))
 
@@ -32,7 +33,7 @@ def dedup_drops(answers: DataFrame, intents: DataFrame) -> DataFrame:
     first = intents.groupBy("url", "category", "keyword").agg(F.min_by("slot_type", "ord").alias("slot"), F.min("ord").alias("at"))
     named = first.withColumnRenamed("category", "own")
     tagged = answers.withColumn("n", F.monotonically_increasing_id())
-    found = tagged.join(named, ["url", "keyword"], "left").withColumn("turn", F.row_number().over(Window.partitionBy("n").orderBy(F.coalesce(F.col("own") == F.col("category"), F.lit(False)).desc(), "at"))).where("turn = 1")
+    found = tagged.join(spread(named), ["url", "keyword"], "left").withColumn("turn", F.row_number().over(Window.partitionBy("n").orderBy(F.coalesce(F.col("own") == F.col("category"), F.lit(False)).desc(), "at"))).where("turn = 1")
     duplicate = F.col("kind") == "duplicate"
     code = F.when(duplicate, "semantic_duplicate").when(F.col("quality_score") == "low", "low_quality").otherwise("dedup_low_quality")
     detail = F.coalesce(F.nullif("reason", F.lit("")), F.when(duplicate, "semantic duplicate").otherwise("low quality"))
@@ -42,7 +43,7 @@ def dedup_drops(answers: DataFrame, intents: DataFrame) -> DataFrame:
 def recommendation(rows: DataFrame, baseline: str = "raw_html") -> DataFrame:
     """Rows of cases and text sources (case_id, candidate_source, page_class, supported, chars, blocks, facts) beside their baseline: deltas, regressions, and whether the source is worth taking."""
     base = rows.where(F.col("candidate_source") == baseline).select("case_id", *[F.col(c).alias("b_" + c) for c in ("page_class", "supported", "chars", "blocks", "facts")])
-    out = rows.join(base, "case_id")
+    out = rows.join(spread(base), "case_id")
     changed = (F.col("page_class") != F.col("b_page_class")) | (F.col("supported") != F.col("b_supported"))
     known = lambda c: F.col(c).isin(*dims.SUPPORTED_CLASSES)
     fewer = (F.col("blocks") > 0) & (F.col("b_blocks") > 0) & (F.col("blocks") * 2 < F.col("b_blocks"))
