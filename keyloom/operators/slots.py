@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from keyloom import dims
 from keyloom.functions.keywords import UNIT_ONLY
+from keyloom.functions.tables import spread
 from keyloom.operators.rows import by_platform
 
 PRICE_BAND = r"(?:^|[^\p{L}\p{N}_])[0-9]+\s*(?:원|만원|천원|달러|usd|유로)대(?:[^\p{L}\p{N}_]|$)"
@@ -50,7 +51,7 @@ def default_slot(category: Column) -> Column:
 def slot_gaps(rows: DataFrame, plan: DataFrame) -> DataFrame:
     """Missing rows of each (url, category, slot_type) of a plan (category, slot_type, target) on both platforms, and the larger of the two."""
     counts = by_platform(rows).groupBy("url", "category", "slot_type").agg(F.count_if(F.col("platform") == "naver_sa").alias("n"), F.count_if(F.col("platform") == "google_sa").alias("g"))
-    full = rows.select("url").distinct().crossJoin(plan).join(counts, ["url", "category", "slot_type"], "left")
+    full = rows.select("url").distinct().crossJoin(F.broadcast(plan)).join(spread(counts), ["url", "category", "slot_type"], "left")
     gap = lambda c: F.greatest(F.lit(0), F.col("target") - F.coalesce(c, F.lit(0))).cast("long")
     out = full.select("url", "category", "slot_type", gap("n").alias("naver_gap"), gap("g").alias("google_gap"))
     return out.withColumn("gap", F.greatest("naver_gap", "google_gap")).where("gap > 0")
