@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from keyloom import dims
 from keyloom.functions import keywords as K
 from keyloom.functions import web
+from keyloom.functions.tables import spread
 from keyloom.operators import facts, images, pages, product, rows, slots
 from keyloom.plans import sql as S
 from keyloom.plans.catalog import _CHOSEN, _t, candidate_rows, query
@@ -151,7 +152,7 @@ def a17(spark, d):
     r = candidate_rows(spark, d)
     one = rows.select_rows(rows.selection_scores(r), 12).select("url", "keyword", F.lit(1).alias("a")).distinct()
     two = r.where("category != 'negative' and ord <= 10").select("url", "keyword", F.lit(1).alias("b")).distinct()
-    both = one.join(two, ["url", "keyword"], "full")
+    both = one.join(spread(two), ["url", "keyword"], "full")
     return both.groupBy("url").agg(F.count_if(F.col("a").isNotNull() & F.col("b").isNotNull()).alias("shared"), F.count_if(F.col("b").isNull()).alias("only_a"), F.count_if(F.col("a").isNull()).alias("only_b"))
 
 

@@ -15,6 +15,7 @@ JOINED = {
     "A03_gap_totals": 1,
     "A03_slot_gaps": 1,
     "A13_golden_diff": 0,
+    "A17_run_overlap": 0,
     "D05_selection_summary": 0,
     "D04_select_rows": 0,
 }
