@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, LongType, StringType, StructField, StructType
 
+from keyloom.functions.tables import spread
 from keyloom.functions.web import intent_id
 from keyloom.operators.slots import default_slot
 from keyloom.workers import ready
@@ -132,7 +133,7 @@ def contained(short: DataFrame, long: DataFrame, by: list[str], size: int = 3) -
     """Pairs of rows with equal ``by`` of which the text ``s`` is within the text ``t``: drawn by the first characters of ``s`` from an index of the substrings of ``t``, then tested."""
     probe = short.withColumn("gram_", F.substring("s", 1, size))
     index = long.withColumn("gram_", F.explode(grams(F.col("t"), size)))
-    return probe.join(index, [*by, "gram_"]).where(F.contains("t", F.col("s"))).drop("gram_")
+    return probe.join(spread(index), [*by, "gram_"]).where(F.contains("t", F.col("s"))).drop("gram_")
 
 
 def surviving(candidates: DataFrame, answered: DataFrame, by: list[str]) -> DataFrame:
@@ -148,16 +149,16 @@ def surviving(candidates: DataFrame, answered: DataFrame, by: list[str]) -> Data
     made = F.when(F.col("said") != "", intent_id(F.col("said_category"), F.col("said")))
     names = F.explode(F.array_compact(F.array(F.when(F.col("said_id") != "", F.struct(F.lit(0).alias("way"), F.col("said_id").alias("id_"))), F.when(made.isNotNull(), F.struct(F.lit(1).alias("way"), made.alias("id_"))))))
     key = [*by, "place"]
-    by_id = asked.select("*", names.alias("n")).select(*key, "n.way", "n.id_").join(one.select(*by, "id_", "first_"), [*by, "id_"])
-    rest = asked.where("said <> ''").join(by_id.select(*key).distinct(), key, "left_anti")
+    by_id = asked.select("*", names.alias("n")).select(*key, "n.way", "n.id_").join(spread(one.select(*by, "id_", "first_")), [*by, "id_"])
+    rest = asked.where("said <> ''").join(spread(by_id.select(*key).distinct()), key, "left_anti")
     texts = one.select(*by, "id_", "first_", F.coalesce("row_.keyword", F.lit("")).alias("kw"))
     within = contained(rest.select(*key, F.col("said").alias("s")), texts.withColumnRenamed("kw", "t"), by)
     around = contained(texts.withColumnRenamed("kw", "s"), rest.select(*key, F.col("said").alias("t")), by)
     by_text = within.select(*key, F.lit(2).alias("way"), "id_", "first_").unionByName(around.select(*key, F.lit(2).alias("way"), "id_", "first_"))
     best = by_id.select(*key, "way", "id_", "first_").unionByName(by_text).groupBy(*key).agg(F.min(F.struct("way", "first_", "id_"))["id_"].alias("id_"))
-    judged = best.join(asked.select(*key, "quality_score", "quality_reason"), key).groupBy(*by, "id_").agg(F.max_by(F.struct("quality_score", "quality_reason"), "place").alias("j_"))
+    judged = best.join(spread(asked.select(*key, "quality_score", "quality_reason")), key).groupBy(*by, "id_").agg(F.max_by(F.struct("quality_score", "quality_reason"), "place").alias("j_"))
     rest_cols = [c for c in candidates.columns if c not in ("quality_score", "quality_reason")]
-    return one.join(judged, [*by, "id_"]).select(*[F.col(f"row_.{c}").alias(c) for c in rest_cols], "j_.quality_score", "j_.quality_reason")
+    return one.join(spread(judged), [*by, "id_"]).select(*[F.col(f"row_.{c}").alias(c) for c in rest_cols], "j_.quality_score", "j_.quality_reason")
 
 
 def pairs_of_duplicates(reports_: DataFrame, by: list[str]) -> DataFrame:

@@ -18,6 +18,7 @@ JOINED = {
     "A17_run_overlap": 0,
     "D05_selection_summary": 0,
     "D04_select_rows": 0,
+    "R05_survivors": 0,
 }
 
 
