@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from keyloom import dims
 from keyloom.functions import keywords as K
 from keyloom.functions.arrays import none, rows_of, texts, unique, where_here
+from keyloom.functions.tables import spread
 from keyloom.operators import bank, interpret, rows, surface
 from keyloom.scratch import written
 
@@ -85,7 +86,7 @@ CONTEXT = ("name", "brand", "short", "page_class", "types", "competitors", "cate
 def in_context(rows_: DataFrame, banked: DataFrame) -> DataFrame:
     """Rows with what the policy and surface rules read of their product; one join on url, by which the rows lie together from then on."""
     own = banked.select("url", *[c for c in CONTEXT if c in banked.columns], F.col("name").alias("product_name"), identity(F.col("url"), F.col("name"), F.col("short"), F.col("brand")).alias("identity"))
-    return rows_.drop("product_name", "brand").join(own, "url")
+    return rows_.drop("product_name", "brand").join(spread(own), "url")
 
 
 def generate(packs: DataFrame, mode: str = "both", most: int = 100, verbose: bool = False, ask: Callable[[int, DataFrame, DataFrame], DataFrame] | None = None, rounds: int = 2) -> tuple[DataFrame, DataFrame]:
@@ -140,7 +141,7 @@ def generate(packs: DataFrame, mode: str = "both", most: int = 100, verbose: boo
             "status": F.when(short_of, "FAILED_GENERATION").otherwise(F.col("status")),
         }
     )
-    return chosen, report if lacking is None else report.join(lacking, "url", "left")
+    return chosen, report if lacking is None else report.join(spread(lacking), "url", "left")
 
 
 def restored_heads(rows_: DataFrame, sources: DataFrame, banked: DataFrame, most: int = 2) -> DataFrame:
@@ -154,7 +155,7 @@ def restored_heads(rows_: DataFrame, sources: DataFrame, banked: DataFrame, most
     first = found.groupBy("url", "head_").agg(F.min_by(F.struct(*sources.columns), "ord").alias("row"))
     judged = surface.with_surface(rows.with_issues(in_context(rows.hard_rules(first.select("row.*")), banked)))
     judged = where_here(judged, ~F.col("surface_hard") & (F.size("hard_issues") == 0)).select(*[c for c in rows_.columns if c in judged.columns])
-    one = banked.select("url", "name", "brand", "short", "category_terms").join(generic(rows_, "generic"), "url").join(generic(judged, "sources"), "url")
+    one = banked.select("url", "name", "brand", "short", "category_terms").join(spread(generic(rows_, "generic")), "url").join(spread(generic(judged, "sources")), "url")
     put = surface.missing_heads(one, most).select("url", F.lower("keyword").alias("head_"))
-    again = judged.withColumn("head_", F.lower(F.trim(F.regexp_replace("keyword", r"\s+", " ")))).join(put, ["url", "head_"], "left_semi").drop("head_")
+    again = judged.withColumn("head_", F.lower(F.trim(F.regexp_replace("keyword", r"\s+", " ")))).join(spread(put), ["url", "head_"], "left_semi").drop("head_")
     return rows_.unionByName(again, allowMissingColumns=True)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from keyloom import dims
 from keyloom.functions import responses, structured
 from keyloom.functions.arrays import none, rows_of, texts
+from keyloom.functions.tables import dealt
 from keyloom.operators import bank, evidence, images, intents, interpret, labels, pages, product, recognised, reports, resolve, rows, surface
 from keyloom.plans import sql as S
 from keyloom.plans.catalog import _t, candidate_rows, query
@@ -29,7 +30,7 @@ def _pick(values, of: str = "p_partkey") -> Column:
 
 
 def _part(spark, d) -> DataFrame:
-    return _t(spark, d, "part")
+    return dealt(_t(spark, d, "part"), "p_partkey")
 
 
 # -- pages with structured data

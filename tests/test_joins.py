@@ -29,3 +29,14 @@ def test_sent_whole(spark, name):
     lines = [x for x in plan.splitlines() if "BroadcastExchange" in x]
     assert "BroadcastHashJoin" not in plan
     assert len(lines) == JOINED[name] and "BuildLeft" not in plan
+
+
+@pytest.mark.parametrize("name", ["G04_slot_plan", "G06_phrase_bank", "E04_pack_facts", "I01_interpretation", "E05_text_entries"])
+def test_spread_over_cores(spark, name, monkeypatch):
+    from keyloom.plans import deep
+
+    seen = []
+    real = deep.dealt
+    monkeypatch.setattr(deep, "dealt", lambda df, *keys: seen.append(real(df, *keys)) or seen[-1])
+    entry.queries()[name](spark, SF)
+    assert seen and all(x.rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism for x in seen)
