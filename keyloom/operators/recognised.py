@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from keyloom import dims
 from keyloom.functions.arrays import any_in, collapse, none, rows_of, texts
+from keyloom.functions.tables import spread
 from keyloom.operators.images import CODELIKE
 
 MEASURE = r"(?iU)\b\d+(?:\.\d+)?\s?(?:" + "|".join(dims.RECOGNITION_UNITS) + r")\b"
@@ -125,7 +126,7 @@ def direct_evidence(text: Column, kind: Column, product: Column, quality: Column
 def judged(blocks: DataFrame, pages: DataFrame) -> DataFrame:
     """Blocks with matched tokens, three scores, their blend, the reason against them and whether they are direct evidence."""
     page = pages.select("page_id", F.col("product_name").alias("page_name"), "tokens", F.col("text").alias("page_text"), "page_class")
-    out = blocks.join(page, "page_id").withColumn("text", collapse(F.coalesce("text", F.lit("")))).withColumn("own_tokens", token_set(F.col("tokens"), F.col("page_name")))
+    out = blocks.join(spread(page), "page_id").withColumn("text", collapse(F.coalesce("text", F.lit("")))).withColumn("own_tokens", token_set(F.col("tokens"), F.col("page_name")))
     out = out.withColumn("matched", matching(F.col("own_tokens"), F.col("text")))
     c, kind = F.col, F.coalesce("candidate_type", F.lit("general_detail_image"))
     out = out.withColumns(
@@ -196,7 +197,7 @@ def direct_candidates(groups: DataFrame) -> DataFrame:
 def image_results(ranked: DataFrame, results: DataFrame) -> DataFrame:
     """Ranked images with what an earlier recognition gave (left join by page and source); its values come before the candidate's."""
     r = results.where(F.trim("image_src") != "").select("page_id", F.col("image_src").alias("src"), *[F.col(n).alias("r_" + n) for n in ("image_attribute", "candidate_type", "engine_used", "tile_count", "status", "raw_block_count", "raw_char_count", "runtime_ms", "error")])
-    out = ranked.join(r, ["page_id", "src"], "left")
+    out = ranked.join(spread(r), ["page_id", "src"], "left")
     zero = lambda n: F.coalesce("r_" + n, F.lit(0)).alias(n)
     return out.select(
         "page_id",
@@ -227,7 +228,7 @@ def decisions(pages: DataFrame, judged_: DataFrame, candidates: DataFrame) -> Da
     ok = F.col("rejected").isNull()
     per = judged_.groupBy("page_id").agg(F.count("*").alias("n"), F.count_if(ok).alias("admitted"), F.sum(F.when(ok, F.length("text")).otherwise(0)).alias("chars"), F.bround(F.coalesce(F.avg(F.when(ok, F.col("same_product"))), F.lit(0.0)), 4).alias("mean_same_product"), F.bround(F.coalesce(F.avg(F.when(ok, F.col("text_quality"))), F.lit(0.0)), 4).alias("mean_text_quality"))
     direct = candidates.groupBy("page_id").agg(F.count("*").alias("direct_candidates"))
-    out = pages.select("page_id", "reasons").join(per, "page_id", "left").join(direct, "page_id", "left")
+    out = pages.select("page_id", "reasons").join(spread(per), "page_id", "left").join(spread(direct), "page_id", "left")
     some, asked = F.coalesce(F.col("n"), F.lit(0)) > 0, F.size("reasons") > 0
     extra = lambda *v: F.array(*[F.lit(x) for x in v])
     reasons = F.when(some, F.when(asked, F.col("reasons")).otherwise(extra("fixture_ocr_blocks_present"))).when(asked, F.concat("reasons", extra("no_ocr_blocks_available"))).otherwise(extra("ocr_not_required"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keyloom.functions.arrays import none, where_here
+from keyloom.functions.tables import spread
 from keyloom.operators import evidence, pages, recognised
 
 FAILURE = ("page_id", "url", "page_class", "failure_code", "failure_detail", "hints")
@@ -39,7 +40,7 @@ def resolve(fetched: DataFrame, rendered: DataFrame | None = None, blocks: DataF
         judged = recognised.judged(blocks, final.select("page_id", "product_name", "tokens", "text", "page_class")).where("rejected is null")
         admitted = judged.groupBy("page_id").agg(F.transform(F.array_sort(F.collect_list(F.struct((~F.col("direct")).alias("d"), (-F.col("score")).alias("s"), "text"))), lambda b: b["text"]).alias("admitted"))
         direct = recognised.direct_candidates(recognised.line_groups(judged)).groupBy("page_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "text"))), lambda b: b["text"]).alias("direct"))
-        final = final.join(admitted, "page_id", "left").join(direct, "page_id", "left")
+        final = final.join(spread(admitted), "page_id", "left").join(spread(direct), "page_id", "left")
         final = final.withColumns({c: F.coalesce(F.col(c), none()) for c in ("admitted", "direct")})
     after = F.when(F.col("fallback_used"), " after Crawl4AI fallback").otherwise("")
     why = F.when(F.col("fallback_used"), F.array(F.concat(F.lit("Crawl4AI fallback was triggered because `"), "fallback_reason", F.lit("`")))).otherwise(none())
