@@ -48,8 +48,8 @@ def unique(values: Column, most: int | None = None) -> Column:
 
 
 def any_in(text: Column, parts: Column) -> Column:
-    """Whether a text holds any of the parts (an array)."""
-    return F.exists(parts, lambda p: F.contains(text, p))
+    """Whether a text holds any of the parts (an array); the text is computed once, not once a part."""
+    return let(text, lambda x: F.exists(parts, lambda p: F.contains(x, p)))
 
 
 def rows_of(df: DataFrame, items: Column, *names: str, item: str = "x", place: str | None = None) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from keyloom import dims
+from keyloom.functions.arrays import let
 
 EVAL_TOKEN = "[A-Za-z0-9가-힣]+"
 POLICY_TOKEN = "[A-Za-z0-9가-힣]+(?:'[A-Za-z0-9가-힣]+)?"
@@ -25,7 +26,8 @@ def tokens(keyword: Column, pattern: str = POLICY_TOKEN) -> Column:
 
 
 def has_any(text: Column, values: tuple[str, ...]) -> Column:
-    return F.exists(words(values), lambda v: F.contains(text, v))
+    """Whether a text holds any of the values; the text is computed once, not once a value."""
+    return let(text, lambda x: F.exists(words(values), lambda v: F.contains(x, v)))
 
 
 def token_in(toks: Column, values: tuple[str, ...]) -> Column:
@@ -95,7 +97,7 @@ def short_name(product: Column, brand: Column) -> Column:
 def strip_tail(toks: Column, values: tuple[str, ...]) -> Column:
     """Tokens without the trailing ones that are in ``values``."""
     keep = F.aggregate(F.transform(toks, lambda x, i: F.when(x.isin(*values), 0).otherwise(i + 1)), F.lit(0), lambda a, x: F.greatest(a, x))
-    return F.when(keep == 0, F.array().cast("array<string>")).otherwise(F.slice(toks, 1, F.greatest(keep, F.lit(1))))
+    return F.slice(toks, F.lit(1), keep)
 
 
 def semantic_signature(keyword: Column, t: Column | None = None) -> Column:

@@ -172,7 +172,7 @@ def markdown_text(text: Column) -> Column:
 
 def hits(lowered: Column, patterns: tuple[str, ...]) -> Column:
     """The patterns that a lower-case text contains, in their order."""
-    return F.filter(_quoted(patterns), lambda p: F.contains(lowered, p))
+    return let(lowered, lambda low: F.filter(_quoted(patterns), lambda p: F.contains(low, p)))
 
 
 def price_hits(text: Column) -> Column:

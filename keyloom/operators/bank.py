@@ -31,6 +31,23 @@ def signature(keyword: Column) -> Column:
     return let(kept, lambda t: let(K.strip_tail(t, dims.SHALLOW_TOKENS), lambda s: F.array_join(once(s), " ")))
 
 
+def signed(keywords: Column) -> Column:
+    """Keywords ``k`` with their signatures ``s``."""
+    return F.transform(keywords, lambda k: F.struct(k.alias("k"), signature(k).alias("s")))
+
+
+#: Parts that many phrases share: columns of their own, so that a row computes them once.
+SHARED = ("alias", "kind_head", "own_name", "maker")
+
+
+def _shared(out: DataFrame) -> DataFrame:
+    """``alias``: the name's first word where it is not the brand; ``kind_head``: the last word of the category; ``own_name``: the short name without the alias; ``maker``: alias or brand."""
+    out = out.withColumn("alias", _brand_alias()).withColumn("kind_head", interpret.head(F.col("product_category")))
+    alias, name = F.col("alias"), F.col("name")
+    own = F.when((F.col("short") == name) & alias.isNotNull() & name.startswith(F.concat(alias, F.lit(" "))), F.trim(F.substring(name, F.length(alias) + 1, F.length(name)))).otherwise(F.col("short"))
+    return out.withColumns({"own_name": own, "maker": F.coalesce(alias, F.nullif("brand", F.lit("")))})
+
+
 def _join(*parts: Column) -> Column:
     return F.concat(*[p for x in parts for p in (F.lit(" "), x)][1:])
 
@@ -57,21 +74,19 @@ def _comparisons() -> Column:
 def _brand_alias() -> Column:
     """The name's first word where it is not the brand; null if it is."""
     first = F.get(words_of(F.col("name")), F.lit(0))
-    return F.when((first != "") & (F.lower(first) != F.lower(F.coalesce("brand", F.lit("")))), first)
+    return let(first, lambda w: F.when((w != "") & (F.lower(w) != F.lower(F.coalesce("brand", F.lit("")))), w))
 
 
 def _purchases(verbose: bool) -> Column:
-    alias, name, kind = _brand_alias(), F.col("name"), F.col("product_category")
-    brand = F.coalesce(alias, F.nullif("brand", F.lit("")))
-    own = F.when((F.col("short") == name) & alias.isNotNull() & name.startswith(F.concat(alias, F.lit(" "))), F.trim(F.substring(name, F.length(alias) + 1, F.length(name)))).otherwise(F.col("short"))
+    name, kind, brand, own = (F.col(c) for c in ("name", "product_category", "maker", "own_name"))
     differs = (own != "") & (own != name)
-    out = F.concat(F.array(name), _if(differs, F.array(own)), _if(brand.isNotNull(), F.array(_join(brand, interpret.head(kind)), _join(brand, kind))), _if(brand.isNotNull() & differs, F.array(_join(brand, own))))
+    out = F.concat(F.array(name), _if(differs, F.array(own)), _if(brand.isNotNull(), F.array(_join(brand, F.col("kind_head")), _join(brand, kind))), _if(brand.isNotNull() & differs, F.array(_join(brand, own))))
     return F.concat(out, F.array(_join(name, F.lit("공식몰"))), _if(brand.isNotNull(), F.array(_join(brand, F.lit("공식몰"))))) if verbose else out
 
 
 def _long_tails(name: Column) -> Column:
     kind = F.col("product_category")
-    return F.concat(_each(F.slice("ingredients", 1, 4), lambda a: _join(a, kind), lambda a: _join(a, interpret.head(kind))), _each(F.slice("specs", 1, 2), lambda s: _join(name, s), lambda s: _join(kind, s)))
+    return F.concat(_each(F.slice("ingredients", 1, 4), lambda a: _join(a, kind), lambda a: _join(a, F.col("kind_head"))), _each(F.slice("specs", 1, 2), lambda s: _join(name, s), lambda s: _join(kind, s)))
 
 
 def _prices(name: Column, verbose: bool) -> Column:
@@ -82,12 +97,12 @@ def _prices(name: Column, verbose: bool) -> Column:
 
 def _seasons() -> Column:
     kind = F.col("product_category")
-    return _each(F.col("events"), lambda e: _join(e, interpret.head(kind)), lambda e: _join(e, kind))
+    return _each(F.col("events"), lambda e: _join(e, F.col("kind_head")), lambda e: _join(e, kind))
 
 
 def _problems() -> Column:
     kind = F.col("product_category")
-    return _each(F.transform(F.slice("concerns", 1, 6), collapse), lambda c: _join(c, interpret.head(kind)), lambda c: F.when(interpret.head(kind) != kind, _join(c, kind)))
+    return _each(F.transform(F.slice("concerns", 1, 6), collapse), lambda c: _join(c, F.col("kind_head")), lambda c: F.when(F.col("kind_head") != kind, _join(c, kind)))
 
 
 def _bank(verbose: bool) -> dict[str, tuple[Column, Column, Column, str, Column]]:
@@ -96,7 +111,7 @@ def _bank(verbose: bool) -> dict[str, tuple[Column, Column, Column, str, Column]
     branded = F.coalesce(brand, F.lit("")) != ""
     feature = F.when(interpret.is_support(F.col("page_class")), short).otherwise(name)
     secondary = F.slice("secondary", 1, 3)
-    alias = _brand_alias()
+    alias = F.col("alias")
     own = F.concat(F.array(brand, _join(brand, kind)), F.transform(secondary, lambda t: _join(brand, t)), F.array(_join(alias, kind)), F.transform(secondary, lambda t: _join(alias, t)))
     lit = F.lit
     said = lambda start, end: F.concat(start, lit(end))
@@ -125,27 +140,30 @@ def with_bank(interpreted: DataFrame, verbose: bool = False) -> DataFrame:
     out = interpreted.withColumnRenamed("category", "product_category")
     if "weak_backfill_used" not in out.columns:
         out = out.withColumn("weak_backfill_used", F.lit(False))
+    out = _shared(out)
     parts = _bank(verbose)
-    out = out.withColumns({f"own_{c}": unique(p[0]) for c, p in parts.items()} | {f"pad_{c}": unique(p[4]) for c, p in parts.items()})
+    # what is verbatim among the own phrases has a signature of theirs, so it never pads
+    out = out.withColumns({f"raw_{c}": p[0] for c, p in parts.items()})
+    out = out.withColumns({f"own_{c}": signed(unique(F.col(f"raw_{c}"))) for c in parts} | {f"pad_{c}": signed(F.filter(unique(F.array_except(p[4], F.col(f"raw_{c}"))), lambda k: ~K.low_information(k))) for c, p in parts.items()})
 
     def candidates(pos: int, category: str) -> Column:
         _, reason, tier, slot, _ = parts[category]
-        entry = lambda k, r, t, s: F.struct(F.lit(pos).alias("pos"), F.lit(category).alias("category"), k.alias("keyword"), r.alias("reason"), t.alias("tier"), s.alias("slot_type"))
-        weak = lambda e, i: F.when(F.col("weak_backfill_used"), e.withField("tier", F.when(i < BUDGET_OF_WEAK, "weak").otherwise("inferred"))).otherwise(e)
+        entry = lambda e, r, t, s: F.struct(e["s"].alias("s"), F.struct(F.lit(pos).alias("pos"), F.lit(category).alias("category"), e["k"].alias("keyword"), r.alias("reason"), t.alias("tier"), s.alias("slot_type")).alias("c"))
+        weak = lambda e, i: F.when(F.col("weak_backfill_used"), e.withField("c.tier", F.when(i < BUDGET_OF_WEAK, "weak").otherwise("inferred"))).otherwise(e)
 
         def built(own: Column) -> Column:
             room = F.greatest(F.lit(max(dims.CATEGORY_TARGETS[category] + 8, 24)) - F.size(own), F.lit(0))
-            spare = let(F.transform(own, signature), lambda s: first_of_each(F.filter(F.col(f"pad_{category}"), lambda k: ~K.low_information(k) & ~F.array_contains(s, signature(k))), signature))
-            first = F.transform(own, lambda k: entry(k, reason, tier, F.lit(slot)))
-            more = F.transform(F.slice(spare, F.lit(1), room), lambda k: entry(k, F.concat(F.col("name"), F.lit(f" {category} supplementation pool")), F.lit("inferred"), F.lit(None).cast("string")))
+            spare = let(own["s"], lambda taken: first_of_each(F.filter(F.col(f"pad_{category}"), lambda e: ~F.array_contains(taken, e["s"])), lambda e: e["s"]))
+            first = F.transform(own, lambda e: entry(e, reason, tier, F.lit(slot)))
+            more = F.transform(F.slice(spare, F.lit(1), room), lambda e: entry(e, F.concat(F.col("name"), F.lit(f" {category} supplementation pool")), F.lit("inferred"), F.lit(None).cast("string")))
             every = F.concat(first, more)
-            return first_of_each(F.transform(every, weak) if category == "problem_solution" else every, lambda e: signature(e["keyword"]))
+            return first_of_each(F.transform(every, weak) if category == "problem_solution" else every, lambda e: e["s"])["c"]
 
         return let(F.col(f"own_{category}"), built)
 
     made = {f"bank_{c}": candidates(i, c) for i, c in enumerate(parts)}
     out = out.withColumns(made).withColumn("bank", F.concat(*made)).drop(*made)
-    return out.drop(*[f"{side}_{c}" for side in ("own", "pad") for c in parts])
+    return out.drop(*[f"{side}_{c}" for side in ("raw", "own", "pad") for c in parts], *SHARED)
 
 
 def strengths() -> dict[str, Column]:

@@ -54,7 +54,7 @@ def direct_texts(facts: Column) -> Column:
 
 
 def mentions(values: Column, needle: Column) -> Column:
-    return F.exists(values, lambda v: F.contains(F.lower(v), F.lower(needle)))
+    return let(F.lower(needle), lambda n: F.exists(values, lambda v: F.contains(F.lower(v), n)))
 
 
 def measure_only(text: Column) -> Column:
@@ -99,8 +99,7 @@ def clean_title(text: Column, page_class: Column) -> Column:
         words = words_of(value)
         return let(words, lambda w: trimmed(F.array_join(F.slice(w, 1, F.coalesce(F.array_max(F.transform(w, lambda x, i: F.when(~low(x).isin(*dims.STORE_TOKENS), i + 1))), F.lit(0))), " ")))
 
-    first = trimmed(F.coalesce(text, F.lit("")))
-    first = F.when(F.contains(first, F.lit("|")), trimmed(F.substring_index(first, "|", 1))).otherwise(first)
+    first = let(trimmed(F.coalesce(text, F.lit(""))), lambda t: F.when(F.contains(t, F.lit("|")), trimmed(F.substring_index(t, "|", 1))).otherwise(t))
     return F.coalesce(F.nullif(let(let(first, parts_kept), ended), F.lit("")), F.lit("product"))
 
 
@@ -111,7 +110,7 @@ def short_name(name: Column, brand: Column) -> Column:
 
 def head(text: Column) -> Column:
     """The last word."""
-    return F.coalesce(F.element_at(F.split(collapse(text), " "), -1), text)
+    return let(text, lambda t: F.coalesce(F.element_at(F.split(collapse(t), " "), -1), t))
 
 
 def placeholder(text: Column) -> Column:
@@ -119,8 +118,7 @@ def placeholder(text: Column) -> Column:
 
 
 def broad(text: Column) -> Column:
-    low = F.lower(collapse(text))
-    return low.isin(*dims.BROAD_CATEGORIES) | head(low).isin(*dims.BROAD_HEADS)
+    return let(F.lower(collapse(text)), lambda low: low.isin(*dims.BROAD_CATEGORIES) | head(low).isin(*dims.BROAD_HEADS))
 
 
 def evidence_text(name: Column, page_class: Column, url: Column, facts: Column) -> Column:
@@ -140,18 +138,18 @@ def category_terms(types: Column, text: Column) -> Column:
 
 def resolved_category(raw: Column, name: Column, short: Column, terms: Column, evidence: Column) -> Column:
     """The stated category unless it says little; then the term best borne out by the evidence (the first of equals), and what else is left."""
-    raw = collapse(F.coalesce(raw, F.lit("")))
-    joined = F.lower(F.array_join(evidence, " "))
 
-    def score(term: Column) -> Column:
+    def score(term: Column, joined: Column) -> Column:
         low = F.lower(term)
         return F.when(broad(term), 0).otherwise(3) + F.when(F.contains(term, F.lit(" ")), 1).otherwise(0) + F.when(F.contains(joined, low), 5).when(F.contains(joined, F.lower(head(term))), 2).otherwise(0)
 
     good = F.filter(F.transform(terms, collapse), lambda t: (t != "") & ~placeholder(t))
-    best = F.array_max(F.transform(good, lambda t, i: F.struct(score(t).alias("s"), (-i).alias("i"), t.alias("t"))))["t"]
-    usable = (raw != "") & (raw != name) & ~placeholder(raw)
-    other = F.get(F.filter(good, lambda t: t != name), F.lit(0))
-    return F.when(usable & ~broad(raw), raw).otherwise(F.coalesce(best, F.when(usable, raw), other, F.when((short != "") & (short != name) & ~placeholder(short), short), name))
+    best = lambda g: let(F.lower(F.array_join(evidence, " ")), lambda joined: F.array_max(F.transform(g, lambda t, i: F.struct(score(t, joined).alias("s"), (-i).alias("i"), t.alias("t")))))["t"]
+    other = lambda g: F.get(F.filter(g, lambda t: t != name), F.lit(0))
+    without = lambda x: let(good, lambda g: F.coalesce(best(g), F.when(x["usable"], x["raw"]), other(g), F.when((short != "") & (short != name) & ~placeholder(short), short), name))
+    usable = lambda r: (r != "") & (r != name) & ~placeholder(r)
+    said = let(collapse(F.coalesce(raw, F.lit(""))), lambda r: F.struct(r.alias("raw"), usable(r).alias("usable")))
+    return let(said, lambda x: F.when(x["usable"] & ~broad(x["raw"]), x["raw"]).otherwise(without(x)))
 
 
 # -- the whole
@@ -203,11 +201,11 @@ def interpreted(packs: DataFrame) -> DataFrame:
             "usage": usage(facts),
             "price": first_value(facts, "price"),
             "price_allowed": ~is_support(cls) & (F.col("sellability_state") == "sellable"),
-            "value_terms": unique(F.filter(texts(dims.VALUE_TERMS), lambda t: mentions(F.col("direct_texts"), t))),
+            "value_terms": unique(let(F.transform("direct_texts", F.lower), lambda d: F.filter(texts(dims.VALUE_TERMS), lambda t: F.exists(d, lambda v: F.contains(v, F.lower(t)))))),
             "measures": measures(F.col("specs")),
             "competitors": product.competitor_terms(F.col("types"), F.col("brand"), F.col("url")),
-            "events": F.filter(texts(dims.EVENT_TERMS), lambda t: F.contains(F.lower(F.array_join(F.col("direct_texts"), " ")), t)),
-            "secondary": F.filter(unique(F.filter("category_terms", lambda t: head(t) == head(F.col("category")))), lambda t: t != F.col("category")),
+            "events": let(F.lower(F.array_join(F.col("direct_texts"), " ")), lambda low: F.filter(texts(dims.EVENT_TERMS), lambda t: F.contains(low, t))),
+            "secondary": F.filter(unique(let(head(F.col("category")), lambda h: F.filter("category_terms", lambda t: head(t) == h))), lambda t: t != F.col("category")),
         }
     )
     out = out.withColumn("type_phrases", unique(F.concat(F.array("category"), F.col("secondary"))))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keyloom import dims
+from keyloom.functions.arrays import let
 from keyloom.functions.keywords import MEASURE, has_any, tokens, words
 from keyloom.functions.web import ordered_distinct, policy_host_brand
 
@@ -13,24 +14,23 @@ from keyloom.functions.web import ordered_distinct, policy_host_brand
 def product_types(text: Column) -> Column:
     """Types any hint of which is in the text, in the order of the types; ``general`` if none."""
     low = F.lower(text)
-    hit = F.array_compact(F.array(*[F.when(has_any(low, hints), F.lit(t)) for t, hints in dims.PRODUCT_TYPES.items()]))
-    return F.when(F.size(hit) == 0, F.array(F.lit("general"))).otherwise(hit)
+    hit = let(low, lambda x: F.array_compact(F.array(*[F.when(has_any(x, hints), F.lit(t)) for t, hints in dims.PRODUCT_TYPES.items()])))
+    return let(hit, lambda h: F.when(F.size(h) == 0, F.array(F.lit("general"))).otherwise(h))
 
 
 def canonical_brand(fact_brand: Column, product_name: Column, url: Column) -> Column:
     """The fact's brand; but the host's where the fact's is only the first word of the name and the host is no marketplace."""
-    fact, host = F.trim(F.coalesce(fact_brand, F.lit(""))), policy_host_brand(url)
     first = F.lower(F.substring_index(F.trim(product_name), " ", 1))
-    replaced = (host != "") & ~F.lower(host).isin(*dims.MARKETPLACES) & (fact != "") & (F.lower(fact) != F.lower(host)) & (first == F.lower(fact))
-    return F.when(replaced, host).when(fact != "", fact).otherwise(host)
+    replaced = lambda fact, host: (host != "") & ~F.lower(host).isin(*dims.MARKETPLACES) & (fact != "") & (F.lower(fact) != F.lower(host)) & (first == F.lower(fact))
+    return let(F.trim(F.coalesce(fact_brand, F.lit(""))), lambda fact: let(policy_host_brand(url), lambda host: F.when(replaced(fact, host), host).when(fact != "", fact).otherwise(host)))
 
 
 def competitor_terms(types: Column, brand: Column, url: Column) -> Column:
     """Seeds of the types but for the product's own brand and its host's."""
     table = F.map_from_arrays(F.array(*[F.lit(t) for t in dims.COMPETITORS]), F.array(*[words(v) if v else F.array().cast("array<string>") for v in dims.COMPETITORS.values()]))
     every = F.flatten(F.transform(types, lambda t: F.coalesce(F.try_element_at(table, t), F.array().cast("array<string>"))))
-    own = F.lower(F.coalesce(brand, F.lit(""))), F.lower(policy_host_brand(url))
-    return ordered_distinct(F.filter(every, lambda x: (F.lower(x) != own[0]) & (F.lower(x) != own[1])))
+    own = F.struct(F.lower(F.coalesce(brand, F.lit(""))).alias("brand"), F.lower(policy_host_brand(url)).alias("host"))
+    return ordered_distinct(let(own, lambda o: F.filter(every, lambda x: (F.lower(x) != o["brand"]) & (F.lower(x) != o["host"]))))
 
 
 def domain_mismatch(keyword: Column, types: Column) -> Column:
