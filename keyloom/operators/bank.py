@@ -259,7 +259,8 @@ def selected(banked: DataFrame, plan: DataFrame, verbose: bool = False) -> DataF
     seats = plan.groupBy("url").agg(F.sort_array(F.collect_list(F.struct(pos[F.col("category")].alias("pos"), F.col("seats").cast("int").alias("seats")))).alias("plan"))
     it = {n: F.col(n) for n in ("name", "product_category", "secondary", "audience", "concerns", "usage", "page_class", "events", "measures", "specs", "ingredients", "technology", "form_factors")}
     weights = strengths()
-    out = banked.withColumn("judged", F.transform("bank", lambda e: F.struct(e["pos"].alias("pos"), signature(e["keyword"]).alias("signature"), surface.surface_code(e["keyword"], e["category"], it, verbose).isNotNull().alias("rejected"))))
+    judge = lambda e, bare: F.struct(e["pos"].alias("pos"), signature(e["keyword"]).alias("signature"), surface.surface_code(e["keyword"], e["category"], it | {"bare": bare}, verbose).isNotNull().alias("rejected"))
+    out = banked.withColumn("judged", let(surface.bare_suffixes(it), lambda bare: F.transform("bank", lambda e: judge(e, bare))))
     out = ready(out).join(spread(seats), "url", "left").withColumn("plan", F.coalesce("plan", F.array().cast("array<struct<pos:int,seats:int>>")))
     out = out.select("url", "bank", "judged", "plan", F.array(*[weights[c].cast("double") for c in POSITIVES]).alias("strength"))
     return out.mapInArrow(_picked, ", ".join(map(" ".join, PICKED)))

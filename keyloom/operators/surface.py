@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keyloom import dims
-from keyloom.functions.arrays import any_in, collapse, rows_of, texts, unique, where_here
+from keyloom.functions.arrays import any_in, collapse, let, rows_of, texts, unique, where_here
 from keyloom.operators.evidence import is_support
 from keyloom.operators.interpret import head, measure_only
 from keyloom.operators.slots import PRICE_BAND
@@ -29,10 +29,10 @@ def exact_price(keyword: Column) -> Column:
 
 def overlaps(keyword: Column, terms: Column) -> Column:
     """Whether a keyword holds a term, is held by one, or shares a word of two letters or more with one."""
-    low = F.lower(keyword)
-    own = F.filter(F.split(low, dims.SPACE + "+"), lambda w: F.length(w) >= 2)
-    meets = lambda t: F.contains(low, t) | F.contains(t, low) | F.arrays_overlap(own, F.filter(F.split(t, " "), lambda w: F.length(w) >= 2))
-    return F.exists(F.transform(terms, lambda t: F.lower(collapse(t))), lambda t: (t != "") & F.coalesce(meets(t), F.lit(False)))
+    own = lambda low: F.filter(F.split(low, dims.SPACE + "+"), lambda w: F.length(w) >= 2)
+    meets = lambda t, low, words: F.contains(low, t) | F.contains(t, low) | F.arrays_overlap(words, F.filter(F.split(t, " "), lambda w: F.length(w) >= 2))
+    within = lambda low, words: F.exists(F.transform(terms, lambda t: F.lower(collapse(t))), lambda t: (t != "") & F.coalesce(meets(t, low, words), F.lit(False)))
+    return let(F.lower(keyword), lambda low: let(own(low), lambda words: within(low, words)))
 
 
 def short_model(keyword: Column, name: Column) -> Column:
@@ -41,21 +41,26 @@ def short_model(keyword: Column, name: Column) -> Column:
     return keyword.startswith(F.concat(name, F.lit(" "))) & F.lower(suffix).rlike(r"(?U)^\d{1,2}(?:세대|gen)?$")
 
 
+def bare_suffixes(it: dict[str, Column]) -> Column:
+    """What may not follow the name alone."""
+    return unique(F.concat(F.array(it["product_category"]), it["secondary"], it["audience"], it["concerns"], it["usage"], texts(dims.BARE_SUFFIXES)))
+
+
 def surface_code(keyword: Column, category: Column, it: dict[str, Column] | None = None, verbose: bool = False) -> Column:
     """Code of the first surface rule that a keyword breaks, or null.
 
     ``it``: columns of the interpretation by name (default: those of the row): name, category (as ``product_category``
     where the row has a category of its own), secondary, audience, concerns, usage, page_class, events, measures, specs,
-    ingredients, technology, form_factors.
+    ingredients, technology, form_factors; ``bare`` (``bare_suffixes``) where many keywords of a row share it.
     """
     it = it or {n: F.col(n) for n in ("name", "product_category", "secondary", "audience", "concerns", "usage", "page_class", "events", "measures", "specs", "ingredients", "technology", "form_factors")}
     name, kind, low = it["name"], it["product_category"], F.lower(keyword)
     prefixed = keyword.startswith(F.concat(name, F.lit(" ")))
     suffix = F.trim(F.substring(keyword, F.length(name) + 1, F.length(keyword)))
-    bare = F.array_contains(unique(F.concat(F.array(kind), it["secondary"], it["audience"], it["concerns"], it["usage"], texts(dims.BARE_SUFFIXES))), suffix)
+    bare = F.array_contains(it["bare"] if "bare" in it else bare_suffixes(it), suffix)
     features = F.concat(it["measures"], it["specs"], it["ingredients"], it["technology"], it["form_factors"])
     events = F.transform(it["events"], F.lower)
-    purpose = prefixed & (suffix != "") & ~measure_only(suffix) & ~exact_price(suffix) & ~price_band(suffix) & suffix.endswith("용")
+    purpose = prefixed & suffix.endswith("용") & ~measure_only(suffix) & ~exact_price(suffix) & ~price_band(suffix)
     plain = F.lit(not verbose)
     of = lambda *c: category.isin(*c)
     has = lambda words: any_in(keyword, texts(words))
