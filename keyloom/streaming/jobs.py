@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from keyloom.operators.jobs import DONE
+from keyloom.operators.jobs import DONE, job_status
 from keyloom.workers import ready
 
 EVENT = "job_id string, task_id string, status string, submitted long, ts timestamp"
@@ -122,17 +122,29 @@ class JobCloser(StatefulProcessor):
 
 def finished(events: DataFrame, remember: int = REMEMBER) -> DataFrame:
     """One row (SUMMARY) per finished job of a stream of events (EVENT), given once; on a plain table, the jobs that are finished in it."""
+    if not events.isStreaming:
+        return _finished(events)
     asked = keyed(events).where(F.col("job_id").isNotNull()).select("job_id", "task_id", "status", "submitted", F.unix_micros("ts").alias("at"))
-    closer, mode = (JobCloser(remember), "processingTime") if events.isStreaming else (_Untimed(remember), "none")
-    out = asked.groupBy("job_id").transformWithState(closer, SUMMARY.replace("timestamp", "long"), "append", mode)
+    out = asked.groupBy("job_id").transformWithState(JobCloser(remember), SUMMARY.replace("timestamp", "long"), "append", "processingTime")
     return out.withColumn("finished_at", F.timestamp_micros("finished_at"))
 
 
-class _Untimed(JobCloser):
-    """For tables, which have no clock: every job is seen once."""
-
-    def _again(self, timer: int | None, now: Any) -> int | None:
-        return None
+def _finished(events: DataFrame) -> DataFrame:
+    """The rules of ``JobCloser`` over a table, where all events of a job are there at once: one aggregation by task, one by job."""
+    received = F.col("status") == RECEIVED
+    final = F.col("status").isin(*DONE) | F.col("status").startswith("FAILED")
+    valid = events.where(F.col("job_id").isNotNull() & F.col("task_id").isNotNull() & F.col("ts").isNotNull() & (received | final))
+    tasks = valid.groupBy("job_id", "task_id").agg(
+        F.coalesce(F.bool_or(received), F.lit(False)).alias("known"),
+        F.max(F.when(received, F.coalesce("submitted", F.lit(0)))).alias("submitted"),
+        F.max(F.when(final, F.struct("ts", "status")))["status"].alias("ended"),
+        F.max("ts").alias("last"),
+    )
+    of = lambda c: F.count_if(F.col("known") & F.coalesce(c, F.lit(False)))
+    ended = F.col("ended")
+    counts = tasks.groupBy("job_id").agg(F.count_if("known").alias("known"), F.max("submitted").alias("stated"), of(ended == CACHED).alias("cached"), of(ended.isin(*DONE)).alias("succeeded"), of(ended.startswith("FAILED")).alias("failed"), F.max("last").alias("finished_at"))
+    out = counts.where((F.col("known") > 0) & (F.col("known") >= F.col("stated")) & (F.col("succeeded") + F.col("failed") == F.col("known")))
+    return out.select("job_id", F.col("known").alias("submitted"), "cached", "succeeded", "failed", job_status(F.col("succeeded"), F.col("failed")).alias("status"), "finished_at")
 
 
 class FirstOnly(StatefulProcessor):
