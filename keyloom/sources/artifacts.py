@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keyloom import dims
+from keyloom.functions.tables import dealt
 from keyloom.operators.jobs import DONE, job_status
 from keyloom.sources import scan
 
@@ -55,8 +56,9 @@ MOST_FOLDERS = 1000
 def write_items(results: DataFrame, folder: str) -> None:
     """The result of every task (RESULT) in a place of its own, and a manifest (ITEM) of where that is, relative to ``folder``."""
     place = F.concat(F.lit("per_url/job_id="), "job_id", F.lit("/url_task_id="), "url_task_id")
-    copy = results.withColumns({"job": F.col("job_id"), "task": F.col("url_task_id")})
-    copy.write.mode("overwrite").partitionBy("job_id", "url_task_id").json(f"{folder}/per_url")
+    # as many files as tasks: written by all cores, and moved to their places by the tasks that wrote them, not one by one by the driver
+    copy = dealt(results, "job_id", "url_task_id").withColumns({"job": F.col("job_id"), "task": F.col("url_task_id")})
+    copy.write.mode("overwrite").option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy("job_id", "url_task_id").json(f"{folder}/per_url")
     results.select("job_id", "url_task_id", "status", place.alias("artifact")).write.mode("overwrite").json(f"{folder}/manifest_items")
 
 
