@@ -594,8 +594,9 @@ def s03(spark, d):
 
 @query("S04_decoded", "SELECT doc_id, md5(coalesce(text, '')) AS digest, 'utf-8' AS charset FROM documents")
 def s04(spark, d):
+    docs = _t(spark, d, "documents")  # before the function is made, which remembers where workers find this package
     body = structured.decode_body(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), F.lit("text/html"))
-    return _t(spark, d, "documents").select("doc_id", body.alias("b")).select("doc_id", F.md5("b.text").alias("digest"), "b.charset")
+    return docs.select("doc_id", body.alias("b")).select("doc_id", F.md5("b.text").alias("digest"), "b.charset")
 
 
 @query("S05_taxonomies", "SELECT * FROM (VALUES " + ", ".join(f"({Q(g)}, {len(t)}::BIGINT, {sum(map(len, t.values()))}::BIGINT)" for g, t in dims.TAXONOMIES.items()) + ") v(taxonomy, terms, types)")
