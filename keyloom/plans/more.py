@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from keyloom import dims
 from keyloom.functions import keywords as K
 from keyloom.functions import web
-from keyloom.functions.tables import spread
+from keyloom.functions.tables import dealt, spread
 from keyloom.operators import facts, images, pages, product, rows, slots
 from keyloom.plans import sql as S
 from keyloom.plans.catalog import _CHOSEN, _t, candidate_rows, query
@@ -17,7 +17,7 @@ _HTML = "'<p>x</p><img src=\"/detail/' || p_partkey || '.webp?v=1\" alt=\"' || p
 
 def _image_pages(spark, d):
     html = F.expr(_HTML.replace("''/detail", "\\'/detail").replace("?v=1''>", "?v=1\\'>"))
-    return _t(spark, d, "part").select(F.col("p_partkey").alias("page_id"), F.lit("https://shop.example.com/a/b.html?x=1").alias("url"), html.alias("html"))
+    return dealt(_t(spark, d, "part"), "p_partkey").select(F.col("p_partkey").alias("page_id"), F.lit("https://shop.example.com/a/b.html?x=1").alias("url"), html.alias("html"))
 
 
 @query("H04_image_candidates", "SELECT p_partkey AS page_id, 0 AS dom_index, 'https://shop.example.com/detail/' || p_partkey || '.webp?v=1' AS src, p_type || ' & co' AS alt, 'src' AS attribute, (p_size * 30)::INTEGER AS width, 700::INTEGER AS height, true AS detail_hint FROM part UNION ALL SELECT p_partkey, 3, 'https://shop.example.com/a/img/' || p_brand || '.jpg', '', 'data-src', NULL, NULL, true FROM part")
