@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 
 from keyloom import dims
 
-SPACE = dims.SPACE
+#: White space; what it is not in nearly every text (ASCII signs, Hangul) is told by the first test of a character.
+SPACE = rf"[[^!-~\x{{3131}}-\x{{d79d}}]&&{dims.SPACE}]"
+#: The same characters as a text.
+SPACES = "".join(map(chr, (*range(9, 14), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -26,8 +29,13 @@ def texts(values: tuple[str, ...] | list[str]) -> Column:
 
 
 def collapse(text: Column) -> Column:
-    """Words with one space between them."""
-    return F.trim(F.regexp_replace(text, SPACE + "+", " "))
+    """Words with one space between them; a lone space is no match, so most texts are left as they are."""
+    return F.trim(F.regexp_replace(text, f"{SPACE}(?:{SPACE}+|(?<! ))", " "))
+
+
+def stripped(text: Column) -> Column:
+    """A text without white space at its ends."""
+    return F.trim(text, F.lit(SPACES))
 
 
 def words_of(text: Column) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from keyloom import dims
 from keyloom.functions import web
-from keyloom.functions.arrays import any_in, collapse, first_of_each, let, none, rows_of, texts, unique, words_of
+from keyloom.functions.arrays import SPACE, any_in, collapse, first_of_each, let, none, rows_of, stripped, texts, unique, words_of
 from keyloom.operators import product
 
 FACT = "struct<type:string,value:string,source:string,tier:string,tags:array<string>,confidence:double>"
@@ -125,7 +125,7 @@ def ingredients(text: Column) -> Column:
 def all_caps(text: Column) -> Column:
     """One to six words of Latin letters, all in capitals."""
     found = F.regexp_extract_all(text, F.lit("([A-Za-z][A-Za-z0-9.+-]*)"), F.lit(1))
-    return (F.size(found) > 0) & (F.size(found) <= 6) & F.forall(found, lambda w: F.upper(w) == w)
+    return let(found, lambda f: (F.size(f) > 0) & (F.size(f) <= 6) & F.forall(f, lambda w: F.upper(w) == w))
 
 
 def brand_technology(text: Column) -> Column:
@@ -174,12 +174,12 @@ def facts_of(entries: Column) -> Column:
 
 def dropped_block(block: Column, name: Column, brand: Column) -> Column:
     """Whether a block is a badge, a link or a list of a catalogue instead of a statement about the product."""
-    text, low = collapse(block), F.lower(collapse(block))
-    forms = F.size(F.filter(texts(dims.CATALOG_FORMS), lambda f: F.contains(low, f)))
     # only these characters count as a token of a name here
     marks = F.filter(F.regexp_extract_all(F.coalesce(name, F.lit("")), F.lit(r"([\\w.+-]+)"), F.lit(1)), lambda t: F.length(t) >= 2)
-    scoped = ((F.coalesce(brand, F.lit("")) != "") & F.contains(low, F.lower(F.coalesce(brand, F.lit(""))))) | any_in(low, F.transform(marks, F.lower))
-    return (F.length(text) <= 1) | url_like(text) | any_in(low, texts(dims.BADGES)) | all_caps(text) | any_in(low, texts(dims.CATALOG_MARKERS)) | ((forms >= 3) & ~scoped) | (forms >= 5)
+    scoped = lambda low: ((F.coalesce(brand, F.lit("")) != "") & F.contains(low, F.lower(F.coalesce(brand, F.lit(""))))) | any_in(low, F.transform(marks, F.lower))
+    listed = lambda low: let(F.size(F.filter(texts(dims.CATALOG_FORMS), lambda f: F.contains(low, f))), lambda forms: ((forms >= 3) & ~scoped(low)) | (forms >= 5))
+    judged = lambda text, low: (F.length(text) <= 1) | low.rlike(_URL_LIKE) | any_in(low, texts(dims.BADGES)) | all_caps(text) | any_in(low, texts(dims.CATALOG_MARKERS)) | listed(low)
+    return let(collapse(block), lambda text: let(F.lower(text), lambda low: judged(text, low)))
 
 
 def _entry(source: Column, text: Column, bias: float) -> Column:
@@ -192,7 +192,7 @@ def text_entries(blocks: Column, text: Column, name: Column, brand: Column) -> C
     numbered = F.filter(F.transform(blocks, lambda b, i: F.struct(i.alias("i"), b.alias("b"))), lambda x: F.trim(x["b"]) != "")
     own = F.transform(F.filter(numbered, lambda x: ~dropped_block(x["b"], name, brand)), lambda x: _entry(F.concat(F.lit("decoded_text:"), (x["i"] + 1).cast("string")), x["b"], 0.0))
     whole = F.coalesce(text, F.lit(""))
-    lines = F.transform(F.split(whole, dims.SPACE + "{2,}|\n+"), lambda b, i: F.struct(i.alias("i"), F.regexp_replace(b, f"^{dims.SPACE}+|{dims.SPACE}+$", "").alias("b")))
+    lines = F.transform(F.split(whole, SPACE + "{2,}|\n+"), lambda b, i: F.struct(i.alias("i"), stripped(b).alias("b")))
     read = F.transform(F.filter(lines, lambda x: (x["b"] != "") & ~dropped_block(x["b"], name, brand)), lambda x: _entry(F.concat(F.lit("decoded_fallback:"), (x["i"] + 1).cast("string")), x["b"], -0.02))
     rest = let(read, lambda r: F.when(F.size(r) > 0, r).otherwise(F.array(_entry(F.lit("decoded_text"), whole, 0.0))))
 

@@ -59,3 +59,19 @@ def test_padding_is_what_the_category_lacks(spark):
                     own.append((c, x["k"], True))
             want += own
         assert made[r["url"]] == want
+
+
+def test_a_block_is_read_once(spark):
+    """White space of a block is collapsed once, not once for each word that is looked for; every kind of white space counts as before."""
+    from keyloom import dims
+    from keyloom.functions.arrays import SPACE, collapse, stripped
+    from keyloom.operators import evidence
+
+    every = spark.range(1, 0xD800).select(F.decode(F.unhex(F.lpad(F.hex("id"), 8, "0")), "UTF-32").alias("c"))
+    assert every.where(F.col("c").rlike(f"^{SPACE}$") != F.col("c").rlike(f"^{dims.SPACE}$")).count() == 0
+    said = ["", " ", "a", " a  b ", "a\tb", "\ta 　b\n", "가 나 다", "a b", " ", "a \t b\x1c"]
+    df = spark.createDataFrame([(s,) for s in said] + [(None,)], "t string")
+    old = F.trim(F.regexp_replace("t", dims.SPACE + "+", " "))
+    assert df.where(~collapse(F.col("t")).eqNullSafe(old)).count() == 0
+    assert df.where(~stripped(F.col("t")).eqNullSafe(F.regexp_replace("t", f"^{dims.SPACE}+|{dims.SPACE}+$", ""))).count() == 0
+    assert _plan(df.select(evidence.dropped_block(F.col("t"), F.lit("Night Cream"), F.lit("Acme")).alias("d"))).count("regexp_replace(") == 1
