@@ -55,6 +55,14 @@ def unique(values: Column, most: int | None = None) -> Column:
     return F.slice(out, 1, most) if most else out
 
 
+def named(rules: list[tuple[str, Column]]) -> Column:
+    """The names of the rules that hold, in order; the names differ.
+
+    Without a lambda: below one, Spark would interpret all that the rules are made of instead of compiling it.
+    """
+    return F.array_except(F.array(*[F.when(c, F.lit(n)) for n, c in rules]), F.array(F.lit(None).cast("string")))
+
+
 def any_in(text: Column, parts: Column) -> Column:
     """Whether a text holds any of the parts (an array); the text is computed once, not once a part."""
     return let(text, lambda x: F.exists(parts, lambda p: F.contains(x, p)))

@@ -30,6 +30,14 @@ def has_any(text: Column, values: tuple[str, ...]) -> Column:
     return let(text, lambda x: F.exists(words(values), lambda v: F.contains(x, v)))
 
 
+def holds(text: Column, values: tuple[str, ...]) -> Column:
+    """The same of a column that is computed already: compiled, without a lambda."""
+    out = F.contains(text, F.lit(values[0]))
+    for v in values[1:]:
+        out = out | F.contains(text, F.lit(v))
+    return out
+
+
 def token_in(toks: Column, values: tuple[str, ...]) -> Column:
     return F.arrays_overlap(toks, words(values))
 
@@ -48,10 +56,10 @@ def repeated_tokens(t: Column) -> Column:
     half = F.greatest(n / 2, F.lit(1)).cast("int")
     halves = (n >= 4) & (n % 2 == 0) & (F.slice(t, 1, half) == F.slice(t, half + 1, F.greatest(n, F.lit(1))))
     neighbours = shifted(t, 1, lambda x, y: (x == y) & ~number(x))
-    w = F.filter(t, lambda x: ~number(x))
-    thrice = shifted(F.array_sort(w), 2, lambda x, y: x == y)  # in sorted order a token that stands three times does so in a row
-    ends = F.try_element_at(w, F.lit(1)) == F.try_element_at(w, F.lit(-1))
-    return halves | neighbours | ((F.size(w) >= 3) & (thrice | ends))
+    thrice = lambda w: shifted(F.sort_array(w), 2, lambda x, y: x == y)  # noqa: E731 - in sorted order a token that stands three times does so in a row
+    ends = lambda w: F.try_element_at(w, F.lit(1)) == F.try_element_at(w, F.lit(-1))
+    words_ = F.filter(t, lambda x: ~number(x))
+    return halves | neighbours | ((n >= 3) & let(words_, lambda w: (F.size(w) >= 3) & (thrice(w) | ends(w))))
 
 
 def placeholder_unit(keyword: Column, t: Column | None = None) -> Column:
@@ -59,24 +67,26 @@ def placeholder_unit(keyword: Column, t: Column | None = None) -> Column:
     return token_in(tokens(keyword) if t is None else t, dims.UNITS)
 
 
-def boilerplate(keyword: Column) -> Column:
-    return has_any(F.lower(keyword), dims.DOC_BOILERPLATE)
+def boilerplate(keyword: Column, low: Column | None = None) -> Column:
+    """``low``, here and below: the keyword in lower case, where that is a column already."""
+    return has_any(F.lower(keyword), dims.DOC_BOILERPLATE) if low is None else holds(low, dims.DOC_BOILERPLATE)
 
 
-def low_information(keyword: Column, t: Column | None = None) -> Column:
-    low = F.lower(keyword)
-    parts = F.filter(F.split(low, r"\s+"), lambda x: x != "")
-    twice = (F.size(parts) >= 2) & (F.try_element_at(parts, F.lit(1)) == F.try_element_at(parts, F.lit(2)))
-    return has_any(low, dims.LOW_INFORMATION) | boilerplate(keyword) | placeholder_unit(keyword, t) | F.coalesce(twice, F.lit(False))
+def low_information(keyword: Column, t: Column | None = None, low: Column | None = None) -> Column:
+    """Whether a keyword says little: an empty word, boilerplate, a unit, or its first part twice."""
+    if low is None:
+        return let(F.lower(keyword), lambda x: low_information(keyword, t, x))
+    twice = low.rlike(r"^\s*(\S+)\s+\1(?:\s|\z)")
+    return holds(low, dims.LOW_INFORMATION) | boilerplate(keyword, low) | placeholder_unit(keyword, t) | F.coalesce(twice, F.lit(False))
 
 
 def occurrences(text: Column, part: Column) -> Column:
     return F.when(part == "", 0).otherwise((F.length(text) - F.length(F.replace(text, part, F.lit("")))) / F.greatest(F.length(part), F.lit(1)))
 
 
-def invalid_exact(keyword: Column, category: Column, product: Column, short: Column, brand: Column, t: Column | None = None) -> Column:
+def invalid_exact(keyword: Column, category: Column, product: Column, short: Column, brand: Column, t: Column | None = None, low: Column | None = None) -> Column:
     """Whether a keyword may not carry an exact label."""
-    low, t = F.lower(keyword), tokens(keyword) if t is None else t
+    low, t = F.lower(keyword) if low is None else low, tokens(keyword) if t is None else t
     allowed = F.lower(product).eqNullSafe(low) | F.lower(short).eqNullSafe(low) | F.lower(brand).eqNullSafe(low) | (F.lower(F.concat(brand, F.lit(" "), short)) == low)
     return (
         F.when(allowed & (low != ""), False)
@@ -101,9 +111,12 @@ def strip_tail(toks: Column, values: tuple[str, ...]) -> Column:
 
 
 def semantic_signature(keyword: Column, t: Column | None = None) -> Column:
-    t = tokens(keyword, EVAL_TOKEN) if t is None else t
-    s = strip_tail(strip_tail(t, dims.DUPLICATE_SUFFIXES), dims.LIGHT_FILLERS)
-    return F.array_join(F.when(F.size(s) == 0, t).otherwise(s), " ")
+    """The tokens without suffixes, then without fillers at the end; all of them if that leaves none. Tokens hold no space, so they are cut off as text."""
+    text = F.array_join(tokens(keyword, EVAL_TOKEN) if t is None else t, " ")
+    cut = text
+    for values in (dims.DUPLICATE_SUFFIXES, dims.LIGHT_FILLERS):
+        cut = F.regexp_replace(cut, "(?:(?:^| )(?:" + "|".join(values) + "))+$", "")
+    return F.coalesce(F.nullif(cut, F.lit("")), text)
 
 
 def family_key(keyword: Column) -> Column:
@@ -113,22 +126,22 @@ def family_key(keyword: Column) -> Column:
 def filler(keyword: Column, t: Column | None = None) -> Column:
     """A filler suffix anywhere, a number at the end, or two filler words."""
     t = tokens(keyword, EVAL_TOKEN) if t is None else t
-    return has_any(keyword, dims.FILLER_SUFFIXES) | F.trim(keyword).rlike(r"(?:^|\s)[0-9]+$") | (F.size(F.filter(t, lambda x: x.isin(*dims.LIGHT_FILLERS))) >= 2)
+    return holds(keyword, dims.FILLER_SUFFIXES) | F.trim(keyword).rlike(r"(?:^|\s)[0-9]+$") | ((F.size(t) >= 2) & (F.size(F.filter(t, lambda x: x.isin(*dims.LIGHT_FILLERS))) >= 2))
 
 
-def naturalness(keyword: Column, support_page: Column, t: Column | None = None) -> Column:
-    """Hundredths from 0 to 100."""
+def naturalness(keyword: Column, support_page: Column, t: Column | None = None, filled: Column | None = None) -> Column:
+    """Hundredths from 0 to 100; ``filled``: what ``filler`` says, where that is a column already."""
     t = tokens(keyword, EVAL_TOKEN) if t is None else t
     n = F.size(t)
     cost = [
-        F.when(filler(keyword, t), 60),
+        F.when(filler(keyword, t) if filled is None else filled, 60),
         F.when(F.size(F.array_distinct(t)) != n, 20),
         F.when(F.length(F.replace(keyword, F.lit(" "), F.lit(""))) <= 2, 30),
         F.when(n >= 9, 10),
         F.when(n >= 11, 10),
         F.when(token_in(t, dims.EVAL_BOILERPLATE), 40),
         F.when(~support_page & (F.length(keyword) > 28), 10),
-        F.when(F.size(F.filter(t, lambda x: x.isin(*dims.MODIFIERS))) >= 4, 15),
+        F.when((n >= 4) & (F.size(F.filter(t, lambda x: x.isin(*dims.MODIFIERS))) >= 4), 15),
     ]
     total = F.lit(0)
     for c in cost:

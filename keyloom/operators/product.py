@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from keyloom import dims
 from keyloom.functions.arrays import let
-from keyloom.functions.keywords import MEASURE, has_any, tokens, words
+from keyloom.functions.keywords import MEASURE, has_any, holds, tokens, words
 from keyloom.functions.web import ordered_distinct, policy_host_brand
 
 
@@ -34,7 +34,7 @@ def competitor_terms(types: Column, brand: Column, url: Column) -> Column:
 
 
 def domain_mismatch(keyword: Column, types: Column) -> Column:
-    return F.array_contains(types, "skincare") & has_any(keyword, dims.SKINCARE_BLOCKED)
+    return F.array_contains(types, "skincare") & holds(keyword, dims.SKINCARE_BLOCKED)
 
 
 def valid_competitor(keyword: Column, competitors: Column, identity: Column, categories: Column, types: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from keyloom import dims
 from keyloom.functions import keywords as K
-from keyloom.functions.arrays import collapse, none
+from keyloom.functions.arrays import collapse, named, none
 from keyloom.functions.tables import dealt, spread
 from keyloom.operators import product
 from keyloom.operators.interpret import terms_for
@@ -42,9 +42,9 @@ def with_issues(rows: DataFrame) -> DataFrame:
 
     Context columns, all optional: page_class, types, competitors, category_terms, identity (names of the product itself).
     """
-    # keyword and tokens are columns of their own first: each is used by many rules and made once
-    out = rows.withColumn("kw_", collapse(F.col("keyword"))).withColumn("tokens_", K.tokens(F.col("kw_")))
-    kw, t = F.col("kw_"), F.col("tokens_")
+    # keyword, its lower case and tokens are columns of their own first: each is used by many rules and made once
+    out = rows.withColumn("kw_", collapse(F.col("keyword"))).withColumn("low_", F.lower("kw_")).withColumn("tokens_", F.regexp_extract_all("low_", F.lit(f"({K.POLICY_TOKEN})"), F.lit(1)))
+    kw, low, t = F.col("kw_"), F.col("low_"), F.col("tokens_")
     brand, name = F.coalesce("brand", F.lit("")), F.coalesce("product_name", F.lit("product"))
     positive = F.col("category") != dims.NEGATIVE
     types = _context(rows, "types", F.array(F.lit("general")))
@@ -53,17 +53,17 @@ def with_issues(rows: DataFrame) -> DataFrame:
     rules = [
         ("repeated_phrase", K.repeated_tokens(t)),
         ("placeholder_unit", K.placeholder_unit(kw, t)),
-        ("doc_boilerplate", K.boilerplate(kw) & (_context(rows, "page_class", F.lit("commerce_pdp")) == "commerce_pdp")),
-        ("invalid_exact", exact & K.invalid_exact(kw, F.col("category"), name, K.short_name(name, brand), brand, t)),
+        ("doc_boilerplate", K.boilerplate(kw, low) & (_context(rows, "page_class", F.lit("commerce_pdp")) == "commerce_pdp")),
+        ("invalid_exact", exact & K.invalid_exact(kw, F.col("category"), name, K.short_name(name, brand), brand, t, low)),
         ("invalid_negative", ~positive & ~allowed_negative(kw, name, types)),
         ("invalid_competitor", (F.col("category") == "competitor_comparison") & ~rivals),
         ("placeholder_product_term", positive & K.token_in(t, dims.PLACEHOLDER_PRODUCTS)),
         ("domain_mismatch_phrase", positive & product.domain_mismatch(kw, types)),
-        ("low_information", positive & K.low_information(kw, t)),
+        ("low_information", positive & K.low_information(kw, t, low)),
     ]
-    issues = F.when(kw == "", F.array(F.lit("empty_keyword"))).otherwise(F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in rules])))
-    out = out.withColumn("issues", issues).drop("kw_", "tokens_")
-    return out.withColumn("hard_issues", F.filter("issues", lambda x: x.isin(*dims.HARD_ISSUES)))
+    issues = F.when(kw == "", F.array(F.lit("empty_keyword"))).otherwise(named(rules))
+    out = out.withColumn("issues", issues).drop("kw_", "low_", "tokens_")
+    return out.withColumn("hard_issues", F.array_intersect("issues", F.array(*[F.lit(n) for n in dims.HARD_ISSUES])))
 
 
 def hard_rules(rows: DataFrame) -> DataFrame:
@@ -198,7 +198,7 @@ def url_metrics(rows: DataFrame) -> DataFrame:
     kw, t = F.col("keyword"), F.col("tokens_")
     rows = (rows if "issues" in rows.columns else with_issues(rows)).withColumn("tokens_", K.tokens(kw, K.EVAL_TOKEN))
     support = _context(rows, "page_class", F.lit("")).isin(*dims.SUPPORT_CLASSES)
-    rows = rows.withColumns({"filler_": K.filler(kw, t), "natural_": K.naturalness(kw, support, t), "signature_": K.semantic_signature(kw, t)})
+    rows = rows.withColumns({"filler_": K.filler(kw, t), "signature_": K.semantic_signature(kw, t)}).withColumn("natural_", K.naturalness(kw, support, t, F.col("filler_")))
     rows = by_platform(rows)
     positive = F.col("category") != dims.NEGATIVE
     negative = ~positive & F.col("label").isin("제외키워드", "negative")
@@ -227,7 +227,7 @@ def url_metrics(rows: DataFrame) -> DataFrame:
         ("invalid_negative_keywords", F.col("invalid_negatives") > 0),
     ]
     out = out.withColumn("auto_score", F.when(some, F.least(F.lit(100.0), F.greatest(F.lit(0.0), points - costs))).otherwise(0.0))
-    failures = F.when(some, F.array_join(F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in reasons])), ",")).otherwise("no_positive_rows")
+    failures = F.when(some, F.concat_ws(",", *[F.when(c, F.lit(n)) for n, c in reasons])).otherwise("no_positive_rows")
     return out.withColumn("failures", failures).drop(*["n_" + c for c in dims.IDEAL_SHARES])
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from keyloom import dims
 from keyloom.functions import keywords as K
 from keyloom.functions import web
+from keyloom.functions.arrays import rows_of
 from keyloom.functions.tables import dealt, spread
 from keyloom.operators import facts, images, pages, product, rows, slots
 from keyloom.plans import sql as S
@@ -141,10 +142,12 @@ def a10(spark, d):
 
 @query("A14_drop_report", f"{S.ISSUES}, d AS (SELECT url, ord, unnest(hard) AS reason, 'policy' AS stage FROM iss) SELECT stage, reason, count(*) AS n FROM d GROUP BY stage, reason UNION ALL SELECT 'low_information', 'soft', count(*) FROM iss WHERE list_contains(issues, 'low_information')")
 def a14(spark, d):
-    r = rows.with_issues(candidate_rows(spark, d))
-    hard = r.select(F.explode("hard_issues").alias("reason")).groupBy("reason").agg(F.count("*").alias("n")).select(F.lit("policy").alias("stage"), "reason", "n")
-    soft = r.where(F.array_contains("issues", "low_information")).agg(F.count("*").alias("n")).select(F.lit("low_information").alias("stage"), F.lit("soft").alias("reason"), "n")
-    return hard.unionByName(soft)
+    """Rows are judged once, and all issues counted together; the soft one is counted even where there is none."""
+    issues = rows_of(rows.with_issues(candidate_rows(spark, d)), F.col("issues"), item="reason").groupBy("reason").agg(F.count("*").alias("n"))
+    none = spark.range(1).select(F.lit("low_information").alias("reason"), F.lit(0).cast("long").alias("n"))
+    n = issues.where(F.col("reason").isin("low_information", *dims.HARD_ISSUES)).unionByName(none).groupBy("reason").agg(F.sum("n").alias("n"))
+    soft = F.col("reason") == "low_information"
+    return n.select(F.when(soft, "low_information").otherwise("policy").alias("stage"), F.when(soft, "soft").otherwise(F.col("reason")).alias("reason"), "n")
 
 
 @query("A17_run_overlap", f"{_CHOSEN}, b AS (SELECT url, keyword FROM r WHERE category <> 'negative' AND ord <= 10) SELECT coalesce(c.url, b.url) AS url, count(*) FILTER (c.keyword IS NOT NULL AND b.keyword IS NOT NULL) AS shared, count(*) FILTER (b.keyword IS NULL) AS only_a, count(*) FILTER (c.keyword IS NULL) AS only_b FROM (SELECT DISTINCT url, keyword FROM chosen) c FULL JOIN (SELECT DISTINCT url, keyword FROM b) b ON b.url = c.url AND b.keyword = c.keyword GROUP BY coalesce(c.url, b.url)")

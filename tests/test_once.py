@@ -75,3 +75,38 @@ def test_a_block_is_read_once(spark):
     assert df.where(~collapse(F.col("t")).eqNullSafe(old)).count() == 0
     assert df.where(~stripped(F.col("t")).eqNullSafe(F.regexp_replace("t", f"^{dims.SPACE}+|{dims.SPACE}+$", ""))).count() == 0
     assert _plan(df.select(evidence.dropped_block(F.col("t"), F.lit("Night Cream"), F.lit("Acme")).alias("d"))).count("regexp_replace(") == 1
+
+
+def test_rows_are_judged_once(spark):
+    """The drop report reads the products once, and its soft count stands even where there is none."""
+    import __spark_entry__ as entry
+
+    report = entry.queries()["A14_drop_report"](spark, SF)
+    assert _plan(report).count("Relation [") == 1
+    assert ("low_information", "soft") in {(r["stage"], r["reason"]) for r in report.collect()}
+
+
+def test_rules_are_compiled(spark):
+    """No rule stands below a lambda that only drops the names of those that do not hold."""
+    from keyloom.operators import rows
+    from keyloom.plans import catalog
+
+    plan = _plan(rows.with_issues(catalog.candidate_rows(spark, SF)).select("url", "hard_issues"))
+    assert "filter(CASE" not in plan and "array_except(array(CASE" in plan
+
+
+def test_short_forms_of_keyword_rules(spark):
+    """Against the same rules over arrays of words."""
+    from keyloom import dims
+
+    said = ["", "a a", " a  a b", "aa a", "a aa", "크림 크림 추천", "추천 후기", "정보 크림 추천 검색", "크림 검색 추천", "크림추천 추천", "추천", "a\nA", "x x\n", "검색 검색 정리", None, "7 7", "Spec sheet", "크림 가이드 정보 후기 리뷰"]
+    df = spark.createDataFrame([(s,) for s in said], "t string")
+    k = F.col("t")
+    parts = F.filter(F.split(F.lower(k), r"\s+"), lambda x: x != "")
+    twice = (F.size(parts) >= 2) & (F.try_element_at(parts, F.lit(1)) == F.try_element_at(parts, F.lit(2)))
+    low = K.has_any(F.lower(k), dims.LOW_INFORMATION) | K.boilerplate(k) | K.placeholder_unit(k) | F.coalesce(twice, F.lit(False))
+    t = K.tokens(k, K.EVAL_TOKEN)
+    s = K.strip_tail(K.strip_tail(t, dims.DUPLICATE_SUFFIXES), dims.LIGHT_FILLERS)
+    signature = F.array_join(F.when(F.size(s) == 0, t).otherwise(s), " ")
+    assert df.where(~low.eqNullSafe(K.low_information(k))).collect() == []
+    assert df.where(~signature.eqNullSafe(K.semantic_signature(k))).collect() == []
