@@ -7,11 +7,14 @@ from pyspark.sql import functions as F
 
 from keyloom import dims
 from keyloom.functions import keywords as K
-from keyloom.functions.arrays import collapse, named, none
+from keyloom.functions.arrays import collapse, named, none, rows_of
 from keyloom.functions.tables import dealt, spread
 from keyloom.operators import product
 from keyloom.operators.interpret import terms_for
 
+#: Platforms and the columns of their labels.
+PLATFORM_LABELS = {"naver_sa": "naver_match", "google_sa": "google_match"}
+
 
 def keyword_rows(products: DataFrame) -> DataFrame:
     """Rows of products (url, product_name, brand, type and any context columns): the templates explode from a literal array.
@@ -194,26 +197,41 @@ def deviation(prefix: str = "n_") -> Column:
 
 
 def url_metrics(rows: DataFrame) -> DataFrame:
-    """Quality metrics of each (url, platform) from one aggregation; ratios are unrounded."""
+    """Quality metrics of each (url, platform); ratios are unrounded.
+
+    Rows are neither doubled for the platforms nor tripled for the distinct counts: sums of both platforms stand side by side,
+    first for each keyword and signature, then for each signature, then for the product. All three lie in one partitioning by url.
+    """
     kw, t = F.col("keyword"), F.col("tokens_")
     rows = (rows if "issues" in rows.columns else with_issues(rows)).withColumn("tokens_", K.tokens(kw, K.EVAL_TOKEN))
     support = _context(rows, "page_class", F.lit("")).isin(*dims.SUPPORT_CLASSES)
     rows = rows.withColumns({"filler_": K.filler(kw, t), "signature_": K.semantic_signature(kw, t)}).withColumn("natural_", K.naturalness(kw, support, t, F.col("filler_")))
-    rows = by_platform(rows)
     positive = F.col("category") != dims.NEGATIVE
-    negative = ~positive & F.col("label").isin("제외키워드", "negative")
-    cols = [
-        F.count_if(positive).alias("total"),
-        F.count_if(positive & F.col("filler_")).alias("fillers"),
-        F.sum(F.when(positive, F.col("natural_")).otherwise(0)).alias("natural_sum"),
-        F.count_distinct(F.when(positive, F.trim("keyword"))).alias("exact_distinct"),
-        F.count_distinct(F.when(positive, F.col("signature_"))).alias("semantic_distinct"),
-        F.count_if(positive & (F.length(F.trim("reason")) > 5)).alias("reasoned"),
-        F.count_if(positive & (F.size("hard_issues") > 0)).alias("malformed"),
-        F.count_if(negative & (F.size("hard_issues") > 0)).alias("invalid_negatives"),
-        *[F.count_if(F.col("category") == c).alias("n_" + c) for c in dims.IDEAL_SHARES],
-    ]
-    out = rows.groupBy("url", "platform").agg(*cols).withColumn("deviation", F.when(F.col("total") > 0, deviation()).otherwise(1.0))
+    exact, signature = F.when(positive, F.trim("keyword")).alias("exact_"), F.when(positive, F.col("signature_")).alias("said_")
+    bad = F.size("hard_issues") > 0
+    rules = {
+        "rows": F.lit(True),
+        "total": positive,
+        "fillers": positive & F.col("filler_"),
+        "reasoned": positive & (F.length(F.trim("reason")) > 5),
+        "malformed": positive & bad,
+        **{"n_" + c: F.col("category") == c for c in dims.IDEAL_SHARES},
+    }
+    first, sums = [], []
+    for p, label in PLATFORM_LABELS.items():
+        here = F.coalesce(F.col(label), F.lit("")) != ""
+        negative = ~positive & F.col(label).isin("제외키워드", "negative")
+        first += [F.count_if(here & c).alias(f"{p}_{n}") for n, c in (rules | {"invalid_negatives": negative & bad}).items()]
+        first += [F.sum(F.when(here, F.when(positive, F.col("natural_")).otherwise(0))).alias(f"{p}_natural_sum")]
+        sums += [F.sum(f"{p}_{n}").alias(f"{p}_{n}") for n in (*rules, "invalid_negatives", "natural_sum")]
+    count = lambda of, name: [F.count_if(F.col(of).isNotNull() & (F.col(f"{p}_total") > 0)).alias(f"{p}_{name}") for p in PLATFORM_LABELS]
+    of = lambda name: [F.sum(f"{p}_{name}").alias(f"{p}_{name}") for p in PLATFORM_LABELS]
+    out = rows.groupBy("url", exact, signature).agg(*first)
+    out = out.groupBy("url", "said_").agg(*sums, *count("exact_", "exact_distinct"))
+    out = out.groupBy("url").agg(*sums, *of("exact_distinct"), *count("said_", "semantic_distinct"))
+    names = (*rules, "invalid_negatives", "natural_sum", "exact_distinct", "semantic_distinct")
+    sides = F.array(*[F.struct(F.lit(p).alias("platform"), *[F.col(f"{p}_{n}").alias(n) for n in names]) for p in PLATFORM_LABELS])
+    out = rows_of(out, sides, "url").select("url", "x.*").where("rows > 0").drop("rows").withColumn("deviation", F.when(F.col("total") > 0, deviation()).otherwise(1.0))
     t = F.greatest(F.col("total"), F.lit(1))
     points = F.col("natural_sum") / (t * 100) * 30 + F.greatest(F.lit(0.0), 10 - F.col("deviation") * 100) + F.col("semantic_distinct") / t * 10 + F.col("reasoned") / t * 10
     costs = F.col("fillers") / t * 60 + (F.col("malformed") * 3 + F.col("invalid_negatives")) / 2

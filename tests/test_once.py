@@ -110,3 +110,26 @@ def test_short_forms_of_keyword_rules(spark):
     signature = F.array_join(F.when(F.size(s) == 0, t).otherwise(s), " ")
     assert df.where(~low.eqNullSafe(K.low_information(k))).collect() == []
     assert df.where(~signature.eqNullSafe(K.semantic_signature(k))).collect() == []
+
+
+def test_metrics_neither_double_nor_triple_rows(spark):
+    """Against one aggregation over the rows of each platform; repeats, blanks, nulls and products with one platform included."""
+    from keyloom.operators import rows
+
+    said = ["크림 추천", "크림", " 크림 ", "Cream", "cream", "", None, "가 나 다 라 추천 후기 리뷰 비교", "중고"]
+    made = [(f"u{i % 5}", said[i % 9], ("brand", "negative", "long_tail")[i % 3], (None, "", "확장소재", "제외키워드")[i % 4], (None, "negative", "broad")[i % 3] if i % 5 else None, "reason" * (i % 2), ["invalid_exact"] * (i % 2)) for i in range(180)] + [("one", None, "brand", "확장소재", None, None, [])]
+    df = spark.createDataFrame(made, "url string, keyword string, category string, naver_match string, google_match string, reason string, hard_issues array<string>").withColumn("issues", F.col("hard_issues"))
+    out = rows.url_metrics(df)
+    assert "Expand" not in _plan(out)
+    kw, positive, bad = F.col("keyword"), F.col("category") != "negative", F.size("hard_issues") > 0
+    want = rows.by_platform(df).groupBy("url", "platform").agg(
+        F.count_if(positive).alias("total"),
+        F.count_if(positive & K.filler(kw)).alias("fillers"),
+        F.sum(F.when(positive, K.naturalness(kw, F.lit(False))).otherwise(0)).alias("natural_sum"),
+        F.count_distinct(F.when(positive, F.trim("keyword"))).alias("exact_distinct"),
+        F.count_distinct(F.when(positive, K.semantic_signature(kw))).alias("semantic_distinct"),
+        F.count_if(positive & (F.length("reason") > 5)).alias("reasoned"),
+        F.count_if(positive & bad).alias("malformed"),
+        F.count_if(~positive & F.col("label").isin("제외키워드", "negative") & bad).alias("invalid_negatives"),
+    )
+    assert sorted(out.select(*want.columns).collect(), key=str) == sorted(want.collect(), key=str) and want.count() > 8
