@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from keyloom import dims
-from keyloom.functions.arrays import SPACE, collapse, let, none, unique
+from keyloom.functions.arrays import collapse, let, none, stripped, unique
 
 _PARTS = r"^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^?#]*)(?:\?([^#]*))?"
 _REFERENCE = r"^(#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
@@ -148,13 +148,14 @@ def page_language(html: Column) -> Column:
 def visible_text(html: Column) -> Column:
     out = F.regexp_replace(html, "(?s)<!--.*?-->", " ")
     for tag in ("script", "style", "noscript"):
-        out = F.regexp_replace(out, f"(?is)<{tag}.*?>.*?</{tag}>", " ")
+        out = F.regexp_replace(out, f"(?s)<(?i:{tag}).*?>.*?</(?i:{tag})>", " ")
     return _tidied(unescape(F.regexp_replace(out, "<[^>]+>", "\n")))
 
 
 def _tidied(text: Column) -> Column:
-    text = F.regexp_replace(F.regexp_replace(F.replace(text, F.lit("\r"), F.lit("\n")), "[ \t]+", " "), "\n{2,}", "\n")
-    return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
+    # a lone space is no match, so most texts are left as they are
+    text = F.regexp_replace(F.regexp_replace(F.replace(text, F.lit("\r"), F.lit("\n")), "[ \t](?:[ \t]+|(?<!\x20))", " "), "\n{2,}", "\n")
+    return stripped(text)
 
 
 def blocks(text: Column, most: int = 20) -> Column:

@@ -45,8 +45,8 @@ _SHOP_URL = "concat(CASE p_size % 4 WHEN 0 THEN 'https://www.laneige.com/product
 _SHOP = f"SELECT p_partkey AS page_id, {_SHOP_URL} AS url, {_PAGE} AS html, CASE WHEN p_size % 3 = 0 THEN p_name END AS ld_name, NULL::VARCHAR AS ld_text, CASE WHEN p_size % 3 = 0 THEN p_brand || ' (KR)' END AS ld_brand, p_size % 3 = 0 AS ld_product, CASE WHEN p_size % 3 = 2 THEN 0 ELSE 1 END AS payloads FROM part"
 
 
-def shop_pages(spark, d) -> DataFrame:
-    return _part(spark, d).select(F.col("p_partkey").alias("page_id"), F.expr(_SHOP_URL).alias("url"), F.expr(_PAGE).alias("html"))
+def shop_pages(spark, d, *more: Column) -> DataFrame:
+    return _part(spark, d).select(F.col("p_partkey").alias("page_id"), F.expr(_SHOP_URL).alias("url"), F.expr(_PAGE).alias("html"), *more)
 
 
 @query("H05_json_ld", "SELECT p_partkey AS page_id, CASE WHEN p_size % 3 = 2 THEN 0 ELSE 1 END::BIGINT AS payloads FROM part")
@@ -87,8 +87,8 @@ _USED = "CASE WHEN length(cleaned) >= 60 THEN cleaned ELSE raw_text END"
 
 @query("H16_preprocessed", f"{S.classed(_SHOP.replace(' FROM part', ', ' + S.visible('coalesce(' + _CLEANED + ', ' + chr(39) * 2 + ')') + ' AS cleaned FROM part'), text=_USED, brand=False, schema='payloads > 0')} SELECT page_id, chars, CASE WHEN length(cleaned) >= 60 THEN 'cleaned_html' ELSE 'raw_html' END AS text_source, page_class FROM classed")
 def h16(spark, d):
-    own = shop_pages(spark, d).join(_part(spark, d).select(F.col("p_partkey").alias("page_id"), F.expr(_CLEANED).alias("cleaned_html")), "page_id")
-    return pages.preprocessed_snapshot(own).select("page_id", F.col("chars").cast("long").alias("chars"), "text_source", "page_class")
+    """A page and its cleaned form come from one row, so no page is sent for a join."""
+    return pages.preprocessed_snapshot(shop_pages(spark, d, F.expr(_CLEANED).alias("cleaned_html"))).select("page_id", F.col("chars").cast("long").alias("chars"), "text_source", "page_class")
 
 
 @query("P06_resolved", f"{S.classed(_SHOP)} SELECT coalesce(CASE WHEN NOT supported THEN page_class END, 'pack') AS outcome, count(*) AS pages FROM classed GROUP BY 1")

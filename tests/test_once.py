@@ -133,3 +133,25 @@ def test_metrics_neither_double_nor_triple_rows(spark):
         F.count_if(~positive & F.col("label").isin("제외키워드", "negative") & bad).alias("invalid_negatives"),
     )
     assert sorted(out.select(*want.columns).collect(), key=str) == sorted(want.collect(), key=str) and want.count() > 8
+
+
+def test_pages_are_not_sent_to_meet_themselves(spark):
+    """A page and its cleaned form come from one row."""
+    import __spark_entry__ as entry
+
+    assert "Join" not in _plan(entry.queries()["H16_preprocessed"](spark, SF))
+
+
+def test_visible_text_by_the_longer_patterns(spark):
+    from keyloom import dims
+
+    said = ["<p>a  b\t c</p>", "a <SCRIPT x>1</Script >2</sCript> b", "<style>\n</STYLE>\t x \t", "<NoScript>no</noscript>　y ", " a\r\n\r\n b\tc ", "<script>open", "", None]
+    df = spark.createDataFrame([(s,) for s in said], "t string")
+    out = F.regexp_replace("t", "(?s)<!--.*?-->", " ")
+    for tag in ("script", "style", "noscript"):
+        out = F.regexp_replace(out, f"(?is)<{tag}.*?>.*?</{tag}>", " ")
+    out = web.unescape(F.regexp_replace(out, "<[^>]+>", "\n"))
+    out = F.regexp_replace(F.regexp_replace(F.replace(out, F.lit("\r"), F.lit("\n")), "[ \t]+", " "), "\n{2,}", "\n")
+    out = F.regexp_replace(out, f"^{dims.SPACE}+|{dims.SPACE}+$", "")
+    assert df.where(~out.eqNullSafe(web.visible_text(F.col("t")))).collect() == []
+    assert "noscript" in _plan(df.select(web.visible_text(F.col("t")).alias("v"))) and "(?is)<" not in _plan(df.select(web.visible_text(F.col("t")).alias("v")))
