@@ -17,8 +17,8 @@ _CODELIKE = r"(?:^|[^\p{L}\p{N}_])((?:[a-z]{1,3}[0-9]+[a-z0-9]*|[0-9]+[a-z]{1,3}
 def _attribute(tag: Column, name: str) -> Column:
     """Value of an attribute in double or single quotes; null if there is none."""
     start = rf"(?is)(?:^|[\s\"'])" + name + r"\s*=\s*"
-    value = F.coalesce(F.nullif(F.regexp_extract(tag, start + r"\"([^\"]*)\"", 1), F.lit("")), F.regexp_extract(tag, start + "'([^']*)'", 1))
-    return F.nullif(F.trim(unescape(value)), F.lit(""))
+    value = let(F.regexp_extract(tag, start + r"\"([^\"]*)\"", 1), lambda v: F.when(v != "", v).otherwise(F.regexp_extract(tag, start + "'([^']*)'", 1)))
+    return let(F.trim(unescape(value)), lambda v: F.nullif(v, F.lit("")))
 
 
 def _without_dots(path: Column) -> Column:

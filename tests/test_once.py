@@ -155,3 +155,14 @@ def test_visible_text_by_the_longer_patterns(spark):
     out = F.regexp_replace(out, f"^{dims.SPACE}+|{dims.SPACE}+$", "")
     assert df.where(~out.eqNullSafe(web.visible_text(F.col("t")))).collect() == []
     assert "noscript" in _plan(df.select(web.visible_text(F.col("t")).alias("v"))) and "(?is)<" not in _plan(df.select(web.visible_text(F.col("t")).alias("v")))
+
+
+def test_an_attribute_is_read_once(spark):
+    """Once for each kind of quotes, not again for every test of what was found."""
+    from keyloom.operators import images
+
+    said = ['<img src="a">', "<img src='b &amp; c'>", "<img src=\"\" src='d'>", "<img alt='x'>", '<img src=" ">', None]
+    df = spark.createDataFrame([(s,) for s in said], "t string")
+    out = df.select(images._attribute(F.col("t"), "src").alias("a"))
+    assert [r["a"] for r in out.collect()] == ["a", "b & c", "d", None, None, None]
+    assert _plan(out).count("(?is)(?:^|") == 2
