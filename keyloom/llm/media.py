@@ -10,8 +10,9 @@ fullest offsets the one with fewest bit errors), and linked if the overlap there
 shorter one with few bit errors. So noisy copies, excerpts and copies with a lead-in link. A candidate
 is found from its shorter side: places spread over it ask for 20 bits of their integer, as they are and
 with each one turned, and any place of a recording no shorter answers if its 20 bits are the same, the
-offset leaves enough overlap and the frames 4 to 16 before and after agree in most bits. At the most
-bit errors that a link allows, a place finds its like with probability 0.17, and at least 16 ask. Bits
+offset leaves enough overlap and the frames 4 to 48 before and after agree in most bits. At the most
+bit errors that a link allows, a place finds its like with probability 0.17, and at least 16 ask. Only
+the shorter fingerprint of a candidate is sent to the longer one. Bits
 that many places share are dealt over several tasks by their count (at most 2^20 counts reach the
 driver); a task holds one such block of answers and lets those that ask run past. Equal fingerprints
 form a class that goes through as one row.
@@ -44,8 +45,8 @@ HOP_S, LOWEST_HZ, SPAN, STEP = 0.064, 130.8128, 8, 0.06
 MOST_HZ, RATES = 768_000, 16
 #: Share of the shorter recording that must overlap, frames that must at least, and bit errors allowed there.
 OVERLAP, LEAST_FRAMES, ERRORS = 0.6, 16, 0.15
-#: Frames around an integer that are compared (16 bits of each), share of their bits that may differ, turns in which the integers are dealt, and offsets of a histogram that are tried.
-AROUND, NEAR, TURNS, TRIED = (4, 8, 12, 16), 16 / 64, 4, 16
+#: Frames around an integer that are compared (16 bits of each, four frames a word), share of their bits that may differ, turns in which the integers are dealt, and offsets of a histogram that are tried.
+AROUND, NEAR, TURNS, TRIED = ((4, 8, 12, 16), (20, 28, 36, 48)), 16 / 64, 4, 16
 #: Bits of an integer that are looked up (the sign of every filter, both bits of four), places of a recording that ask, answers to the same bits that one task holds, and pairs that are compared at once.
 KEY, ASKED, BLOCK, AT_ONCE = 0xABABABAB, 32, 1 << 15, 1 << 19
 
@@ -193,36 +194,43 @@ def fingerprints(df: DataFrame, id_col: str, media_col: str) -> DataFrame:
 
 
 def _aligned(pairs: DataFrame, codes: DataFrame) -> DataFrame:
-    """Pairs (a, b, hints) with the offset of b in a, the overlap's frames and share of the shorter one, and bit errors."""
+    """Pairs (a, b, short, hints) with the offset of b in a, the overlap's frames and share of the shorter one, and bit errors.
+
+    ``short``, a or b, is the one whose fingerprint is sent with every pair to the other's, which is sent once.
+    """
     schema = StructType([*[StructField(c, LongType()) for c in ("a", "b", "offset", "frames")], StructField("overlap", DoubleType()), StructField("bit_errors", DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = []
-            for x, y, hints in zip(*(batch.column(c).to_pylist() for c in ("codes_a", "codes_b", "hints")), strict=True):
-                u, v = np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4")
+            for own, x, y, hints in zip(*(batch.column(c).to_pylist() for c in ("own", "codes_short", "codes_long", "hints")), strict=True):
+                u, v = (np.frombuffer(c, "<u4") for c in ((x, y) if own else (y, x)))
                 d, share, wrong = align(u, v, tuple(sorted(hints)))
                 made.append((d, round(share * min(len(u), len(v))), share, wrong))
             cols = list(zip(*made, strict=True)) if made else [()] * 4
             kinds = pa.int64(), pa.int64(), pa.float64(), pa.float64()
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], names=schema.names)
 
-    one = codes.select(F.col("id").alias("b"), F.col("codes").alias("codes_b"))
-    two = codes.select(F.col("id").alias("a"), F.col("codes").alias("codes_a"))
-    return pairs.join(one, "b").join(two, "a").select("a", "b", "hints", "codes_a", "codes_b").mapInArrow(lean(run), schema)
+    one = codes.select(F.col("id").alias("short"), F.col("codes").alias("codes_short"))
+    two = codes.select(F.col("id").alias("long"), F.col("codes").alias("codes_long"))
+    sent = pairs.join(one, "short").withColumn("own", F.col("short") == F.col("a")).withColumn("long", F.when(F.col("own"), F.col("b")).otherwise(F.col("a")))
+    return sent.join(two, "long").select("a", "b", "own", "hints", "codes_short", "codes_long").mapInArrow(lean(run), schema)
 
 
-def _around(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _around(code: np.ndarray) -> list[np.ndarray]:
     """The upper bits of the filters AROUND frames later and earlier, 16 bits of a 64-bit integer each; 0 where there is no such frame."""
     x = (code.astype(np.uint64) >> np.uint64(1)) & np.uint64(0x55555555)
     for shift, mask in ((1, 0x33333333), (2, 0x0F0F0F0F), (4, 0x00FF00FF), (8, 0x0000FFFF)):
         x = (x | (x >> np.uint64(shift))) & np.uint64(mask)
     x = np.maximum(x, np.uint64(1))
-    after, before = np.zeros(len(x), np.uint64), np.zeros(len(x), np.uint64)
-    for k, step in enumerate(AROUND):
-        after[:-step] |= x[step:] << np.uint64(16 * k)
-        before[step:] |= x[:-step] << np.uint64(16 * k)
-    return after, before
+    out = []
+    for steps in AROUND:
+        after, before = np.zeros(len(x), np.uint64), np.zeros(len(x), np.uint64)
+        for k, step in enumerate(steps):
+            after[:-step] |= x[step:] << np.uint64(16 * k)
+            before[step:] |= x[:-step] << np.uint64(16 * k)
+        out += [after, before]
+    return out
 
 
 def _rows(i: int, code: np.ndarray, turn: int, hot: np.ndarray, parts: np.ndarray) -> list[np.ndarray]:
@@ -235,11 +243,13 @@ def _rows(i: int, code: np.ndarray, turn: int, hot: np.ndarray, parts: np.ndarra
         at = np.minimum(np.searchsorted(hot, key), len(hot) - 1)
         return np.where(hot[at] == key, parts[at], 1) if len(hot) else np.ones(len(key), np.int64)
 
-    after, before = _around(code)
+    sides = _around(code)
     key = code.astype(np.uint64) & np.uint64(KEY)
     place = own(key)
     if len(place):  # equal integers in equal surroundings (silence) once
-        place = place[np.unique(np.column_stack([code[place].astype(np.uint64), after[place], before[place]]), axis=0, return_index=True)[1]]
+        values = np.stack([code[place].astype(np.uint64), *(v[place] for v in sides)])
+        order = np.lexsort(values)
+        place = place[order[np.concatenate([[True], (np.diff(values[:, order]) != 0).any(axis=0)])]]
     mixed = (place.astype(np.uint64) + np.uint64(i % (1 << 64)) * np.uint64(0xD6E8FEB86659FD93)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)
     answers = key[place], mixed.astype(np.int64) % blocks(key[place])
     turned = np.array([0, *(1 << k for k in range(32) if KEY >> k & 1)], np.uint64)
@@ -252,21 +262,21 @@ def _rows(i: int, code: np.ndarray, turn: int, hot: np.ndarray, parts: np.ndarra
     asked, asks = np.repeat(asked, many), np.repeat(asks, many)
     spot = np.concatenate([answers[0].astype(np.int64) << 31 | answers[1] << 1, asked.astype(np.int64) << 31 | block << 1 | 1])
     at = np.concatenate([place, asks])
-    return [spot, np.full(len(at), i, np.int64), at.astype(np.int32), np.full(len(at), len(code), np.int32), after[at].view(np.int64), before[at].view(np.int64)]
+    return [spot, np.full(len(at), i, np.int64), at.astype(np.int32), np.full(len(at), len(code), np.int32), *(v[at].view(np.int64) for v in sides)]
 
 
 def _meetings(spot: np.ndarray, ids: np.ndarray, place: np.ndarray, size: np.ndarray, sides: list[np.ndarray]) -> np.ndarray:
-    """Distinct (a, b, offset of b in a) of recordings where one asks and the other, no shorter, answers in like surroundings, with enough overlap (rows sorted by spot)."""
+    """Distinct (a, b, offset of b in a, whether a is no longer) of recordings where one asks and the other, no shorter, answers in like surroundings, with enough overlap (rows sorted by spot)."""
     ask, out = np.flatnonzero(spot & 1), []
     first, last = np.searchsorted(spot, spot[ask] - 1), np.searchsorted(spot, spot[ask])
     some = last > first
     ask, first, each = ask[some], first[some], (last - first)[some]
-    far = np.uint64(16 * (len(AROUND) - 1))
+    far = np.uint64(16 * (len(AROUND[0]) - 1))
     for part in np.split(np.arange(len(ask)), np.flatnonzero(np.diff(np.cumsum(each) // AT_ONCE)) + 1):
         n = each[part]
         a = np.repeat(ask[part], n)
         b = np.arange(len(a)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[part], n)
-        for v in sides:  # at first only where all frames are there
+        for v in sides[:2]:  # at first only the nearest, and where all frames are there
             x, y = v[a], v[b]
             near = (np.bitwise_count(x ^ y) <= 64 * NEAR) | (x >> far == 0) | (y >> far == 0)
             a, b = a[near], b[near]
@@ -275,15 +285,15 @@ def _meetings(spot: np.ndarray, ids: np.ndarray, place: np.ndarray, size: np.nda
         a, b = a[enough], b[enough]
         wrong, seen = np.zeros(len(a)), np.zeros(len(a))
         for v in sides:
-            for k in range(len(AROUND)):
+            for k in range(len(AROUND[0])):
                 x, y = ((v[w] >> np.uint64(16 * k)) & np.uint64(0xFFFF) for w in (a, b))
                 both = (x > 0) & (y > 0)
                 wrong += np.bitwise_count(x ^ y) * both
                 seen += 16 * both
         a, b = a[wrong <= NEAR * seen], b[wrong <= NEAR * seen]
         a, b = np.where(ids[a] < ids[b], a, b), np.where(ids[a] < ids[b], b, a)
-        out.append(np.unique(np.column_stack([ids[a], ids[b], place[a] - place[b]]), axis=0))
-    return np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 3), np.int64)
+        out.append(np.unique(np.column_stack([ids[a], ids[b], place[a] - place[b], size[a] <= size[b]]), axis=0))
+    return np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 4), np.int64)
 
 
 def _hot_keys(codes: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -299,8 +309,9 @@ def _hot_keys(codes: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _candidates(scratch: Scratch, codes: DataFrame) -> DataFrame:
-    """(a, b, hints): pairs of recordings that may link, a < b, with offsets of b in a."""
-    placed = StructType([StructField("spot", LongType()), StructField("id", LongType()), StructField("place", IntegerType()), StructField("size", IntegerType()), StructField("after", LongType()), StructField("before", LongType())])
+    """(a, b, short, hints): pairs of recordings that may link, a < b, with the one of them that is no longer and offsets of b in a."""
+    sides = [f"{side}_{k}" for k in range(len(AROUND)) for side in ("after", "before")]
+    placed = StructType([StructField("spot", LongType()), StructField("id", LongType()), StructField("place", IntegerType()), StructField("size", IntegerType()), *[StructField(c, LongType()) for c in sides]])
     names, width, found = placed.names, shuffle_width(codes.sparkSession), None
     codes = codes.where(F.length("codes") >= 4 * LEAST_FRAMES)  # no link has fewer frames
     hot, parts = _hot_keys(codes)
@@ -315,9 +326,9 @@ def _candidates(scratch: Scratch, codes: DataFrame) -> DataFrame:
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def made(t: pa.Table) -> pa.RecordBatch:
-            spot, ids, place, size, after, before = (t.column(c).to_numpy() for c in names)
-            out = _meetings(spot, ids, place.astype(np.int64), size.astype(np.int64), [after.view(np.uint64), before.view(np.uint64)])
-            return pa.RecordBatch.from_arrays([pa.array(out[:, k]) for k in range(3)], names=["a", "b", "offset"])
+            spot, ids, place, size, *around = (t.column(c).to_numpy() for c in names)
+            out = _meetings(spot, ids, place.astype(np.int64), size.astype(np.int64), [v.view(np.uint64) for v in around])
+            return pa.RecordBatch.from_arrays([*(pa.array(out[:, k]) for k in range(3)), pa.array(out[:, 3] > 0)], names=["a", "b", "offset", "no_longer"])
 
         held, rows = [], 0
         for b in batches:
@@ -335,10 +346,11 @@ def _candidates(scratch: Scratch, codes: DataFrame) -> DataFrame:
 
     for turn in range(TURNS):
         rows = codes.select("id", "codes").mapInArrow(lean(places(turn)), placed)
-        part = scratch.save(rows.repartition(width, F.shiftright("spot", 1)).sortWithinPartitions("spot").mapInArrow(lean(meet), "a long, b long, offset long"))
+        part = scratch.save(rows.repartition(width, F.shiftright("spot", 1)).sortWithinPartitions("spot").mapInArrow(lean(meet), "a long, b long, offset long, no_longer boolean"))
         scratch.release()
         found = part if found is None else found.unionByName(part)
-    return found.groupBy("a", "b").agg(F.collect_set("offset").alias("hints"))
+    short = F.when(F.col("no_longer"), F.col("a")).otherwise(F.col("b")).alias("short")
+    return found.groupBy("a", "b", short).agg(F.collect_set("offset").alias("hints"))
 
 
 def align_recordings(df: DataFrame, id_col: str = "id", media_col: str = "media") -> DataFrame:
@@ -353,7 +365,7 @@ def align_recordings(df: DataFrame, id_col: str = "id", media_col: str = "media"
     links = scratch.save(links.select("a", "b", "offset"))
     comps = scratch.save(components(scratch, links.select("a", "b")))
     own = comps.where("node != component").select(F.col("component").alias("a"), F.col("node").alias("b"))
-    own = own.join(links, ["a", "b"], "left").select("a", "b", F.when(F.col("offset").isNull(), F.array().cast("array<bigint>")).otherwise(F.array("offset")).alias("hints"))
+    own = own.join(links, ["a", "b"], "left").select("a", "b", F.col("b").alias("short"), F.when(F.col("offset").isNull(), F.array().cast("array<bigint>")).otherwise(F.array("offset")).alias("hints"))
     against = scratch.save(_aligned(own, codes).select("b", "offset", "bit_errors"))
     of_class = classes.join(comps.withColumnRenamed("node", "rep"), "rep", "left").join(against.withColumnRenamed("b", "rep"), "rep", "left")
     of_class = scratch.save(of_class.select("print", "crc", F.coalesce("component", "rep").alias("group_id"), F.when(F.coalesce("component", "rep") == F.col("rep"), 0).otherwise(F.col("offset")).alias("offset"), F.when(F.coalesce("component", "rep") == F.col("rep"), 0.0).otherwise(F.col("bit_errors")).alias("bit_errors")))
