@@ -47,8 +47,8 @@ MOST_HZ, RATES = 768_000, 16
 OVERLAP, LEAST_FRAMES, ERRORS = 0.6, 16, 0.15
 #: Frames around an integer that are compared (16 bits of each, four frames a word), share of their bits that may differ, turns in which the integers are dealt, and offsets of a histogram that are tried.
 AROUND, NEAR, TURNS, TRIED = ((4, 8, 12, 16), (20, 28, 36, 48)), 16 / 64, 4, 16
-#: Bits of an integer that are looked up (the sign of every filter, both bits of four), places of a recording that ask, answers to the same bits that one task holds, and pairs that are compared at once.
-KEY, ASKED, BLOCK, AT_ONCE = 0xABABABAB, 32, 1 << 15, 1 << 19
+#: Bits of an integer that are looked up (the sign of every filter, both bits of four), places of a recording that ask, answers to the same bits that one task holds, pairs that are compared at once, and pairs of the same bits that are worth a table of their own.
+KEY, ASKED, BLOCK, AT_ONCE, TABLE = 0xABABABAB, 32, 1 << 15, 1 << 19, 1 << 12
 
 
 def samples(data: bytes | None) -> tuple[np.ndarray, int]:
@@ -265,21 +265,52 @@ def _rows(i: int, code: np.ndarray, turn: int, hot: np.ndarray, parts: np.ndarra
     return [spot, np.full(len(at), i, np.int64), at.astype(np.int32), np.full(len(at), len(code), np.int32), *(v[at].view(np.int64) for v in sides)]
 
 
-def _meetings(spot: np.ndarray, ids: np.ndarray, place: np.ndarray, size: np.ndarray, sides: list[np.ndarray]) -> np.ndarray:
-    """Distinct (a, b, offset of b in a, whether a is no longer) of recordings where one asks and the other, no shorter, answers in like surroundings, with enough overlap (rows sorted by spot)."""
-    ask, out = np.flatnonzero(spot & 1), []
+def _alike(spot: np.ndarray, sides: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows that ask and rows that answer to the same bits, where the nearest frames agree or are not all there (rows sorted by spot)."""
+    ask, most = np.flatnonzero(spot & 1), int(64 * NEAR)
     first, last = np.searchsorted(spot, spot[ask] - 1), np.searchsorted(spot, spot[ask])
     some = last > first
     ask, first, each = ask[some], first[some], (last - first)[some]
-    far = np.uint64(16 * (len(AROUND[0]) - 1))
-    for part in np.split(np.arange(len(ask)), np.flatnonzero(np.diff(np.cumsum(each) // AT_ONCE)) + 1):
+    lacks = [v >> np.uint64(16 * (len(AROUND[0]) - 1)) == 0 for v in sides]
+
+    def rest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        near = (np.bitwise_count(sides[1][a] ^ sides[1][b]) <= most) | lacks[1][a] | lacks[1][b]
+        return a[near], b[near]
+
+    start = np.flatnonzero(np.diff(first, prepend=-1))  # of those that ask for the same bits
+    asks = np.diff(start, append=len(ask))
+    many = asks * each[start] >= TABLE
+    few = np.flatnonzero(np.repeat(~many, asks))
+    for part in np.split(few, np.flatnonzero(np.diff(np.cumsum(each[few]) // AT_ONCE)) + 1):
         n = each[part]
         a = np.repeat(ask[part], n)
         b = np.arange(len(a)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[part], n)
-        for v in sides[:2]:  # at first only the nearest, and where all frames are there
-            x, y = v[a], v[b]
-            near = (np.bitwise_count(x ^ y) <= 64 * NEAR) | (x >> far == 0) | (y >> far == 0)
-            a, b = a[near], b[near]
+        near = (np.bitwise_count(sides[0][a] ^ sides[0][b]) <= most) | lacks[0][a] | lacks[0][b]
+        yield rest(a[near], b[near])
+    held, size = [], 0
+    for s, k in zip(start[many].tolist(), asks[many].tolist(), strict=True):  # many by many: as a table, without an index for each pair
+        f, m = int(first[s]), int(each[s])
+        y, lack = sides[0][f : f + m], lacks[0][f : f + m]
+        step = max(1, (1 << 16) // m)
+        for i in range(s, s + k, step):
+            own = ask[i : min(i + step, s + k)]
+            near = np.bitwise_count(sides[0][own][:, None] ^ y) <= most
+            near |= lack
+            near |= lacks[0][own][:, None]
+            at = np.flatnonzero(near)
+            held.append((own[at // m], f + at % m))
+            size += len(at)
+            if size >= AT_ONCE:
+                yield rest(*(np.concatenate(x) for x in zip(*held, strict=True)))
+                held, size = [], 0
+    if held:
+        yield rest(*(np.concatenate(x) for x in zip(*held, strict=True)))
+
+
+def _meetings(spot: np.ndarray, ids: np.ndarray, place: np.ndarray, size: np.ndarray, sides: list[np.ndarray]) -> np.ndarray:
+    """Distinct (a, b, offset of b in a, whether a is no longer) of recordings where one asks and the other, no shorter, answers in like surroundings, with enough overlap (rows sorted by spot)."""
+    out = []
+    for a, b in _alike(spot, sides[:2]):
         low, high = np.maximum(0, place[a] - place[b]), np.minimum(size[a], size[b] + place[a] - place[b])
         enough = (ids[a] != ids[b]) & (size[a] <= size[b]) & (high - low >= np.maximum(LEAST_FRAMES, OVERLAP * size[a]))
         a, b = a[enough], b[enough]

@@ -452,6 +452,25 @@ def test_candidates_reach_the_bit_errors_that_links_allow(spark):
     assert len(found) < 1.01 * len(pairs)
 
 
+def _met(codes):
+    parts = [media._rows(i, c, t, np.zeros(0, np.uint64), np.zeros(0, np.int64)) for i, c in enumerate(codes) for t in range(media.TURNS)]
+    cols = [np.concatenate(x) for x in zip(*parts, strict=True)]
+    order = np.argsort(cols[0], kind="stable")
+    spot, ids, place, size, *sides = (x[order] for x in cols)
+    return media._meetings(spot, ids, place.astype(np.int64), size.astype(np.int64), [v.view(np.uint64) for v in sides])
+
+
+def test_unrelated_recordings_seldom_meet(monkeypatch):
+    """Tunes of the same 12 notes agree in many places by chance; their wider surroundings do not."""
+    codes = [media.fingerprint(tune(1000 + k, 300), 4000) for k in range(200)]
+    codes.append(_flipped(np.random.default_rng(13), codes[7], 0.1))
+    met = _met(codes)
+    assert (7, 200, 0) in {tuple(x[:3].tolist()) for x in met} and len(met) < 20
+    for most in (1, 1 << 40):  # all as tables, none
+        monkeypatch.setattr(media, "TABLE", most, raising=False)
+        assert np.array_equal(_met(codes), met)
+
+
 def test_bits_that_many_places_share_are_dealt_over_blocks(spark, monkeypatch):
     r = np.random.default_rng(12)
     common = r.integers(0, 1 << 32, 60, dtype=np.uint32)
