@@ -26,14 +26,19 @@ CANDIDATE = "struct<pos:int,category:string,keyword:string,reason:string,tier:st
 
 def signature(keyword: Column) -> Column:
     """Words without those that name a store, shallow last words cut, repeats in a row once."""
-    kept = F.filter(words_of(F.lower(F.replace(keyword, F.lit("|"), F.lit(" ")))), lambda w: ~w.isin(*dims.STORE_TOKENS))
+    return _signature(words_of(F.lower(F.replace(keyword, F.lit("|"), F.lit(" ")))))
+
+
+def _signature(words: Column) -> Column:
+    kept = F.filter(words, lambda w: ~w.isin(*dims.STORE_TOKENS))
     once = lambda t: F.transform(F.filter(F.transform(t, lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: (x["i"] == 0) | (F.get(t, x["i"] - 1) != x["w"])), lambda x: x["w"])
     return let(kept, lambda t: let(K.strip_tail(t, dims.SHALLOW_TOKENS), lambda s: F.array_join(once(s), " ")))
 
 
 def signed(keywords: Column) -> Column:
-    """Keywords ``k`` with their signatures ``s``."""
-    return F.transform(keywords, lambda k: F.struct(k.alias("k"), signature(k).alias("s")))
+    """Keywords ``k``, white space collapsed already, with their signatures ``s``."""
+    words = lambda k: F.filter(F.split(F.replace(F.lower(k), F.lit("|"), F.lit(" ")), " "), lambda w: w != "")
+    return F.transform(keywords, lambda k: F.struct(k.alias("k"), _signature(words(k)).alias("s")))
 
 
 #: Parts that many phrases share: columns of their own, so that a row computes them once.
@@ -133,7 +138,7 @@ def _bank(verbose: bool) -> dict[str, tuple[Column, Column, Column, str, Column]
 
 
 def with_bank(interpreted: DataFrame, verbose: bool = False) -> DataFrame:
-    """Interpreted packs with ``bank``: the candidates of all categories in order, padded, each signature once a category.
+    """Interpreted packs with ``bank``: the candidates of all categories in order, padded, each signature once a category; and their ``signatures``.
 
     Padding stops at max(target + 8, 24) candidates. With ``weak_backfill_used``, the first 20 problem phrases are weak.
     """
@@ -157,12 +162,12 @@ def with_bank(interpreted: DataFrame, verbose: bool = False) -> DataFrame:
             first = F.transform(own, lambda e: entry(e, reason, tier, F.lit(slot)))
             more = F.transform(F.slice(spare, F.lit(1), room), lambda e: entry(e, F.concat(F.col("name"), F.lit(f" {category} supplementation pool")), F.lit("inferred"), F.lit(None).cast("string")))
             every = F.concat(first, more)
-            return first_of_each(F.transform(every, weak) if category == "problem_solution" else every, lambda e: e["s"])["c"]
+            return first_of_each(F.transform(every, weak) if category == "problem_solution" else every, lambda e: e["s"])
 
         return let(F.col(f"own_{category}"), built)
 
     made = {f"bank_{c}": candidates(i, c) for i, c in enumerate(parts)}
-    out = out.withColumns(made).withColumn("bank", F.concat(*made)).drop(*made)
+    out = out.withColumns(made).withColumns({"bank": F.concat(*[F.col(m)["c"] for m in made]), "signatures": F.concat(*[F.col(m)["s"] for m in made])}).drop(*made)
     return out.drop(*[f"{side}_{c}" for side in ("raw", "own", "pad") for c in parts], *SHARED)
 
 
@@ -203,12 +208,18 @@ def picks(judged: list[dict], seats: dict[int, int], strength: list[float]) -> l
 
     The order of picks decides what later ones may take, so this is a loop over one product's few hundred candidates.
     """
-    by_pos: dict[int, list[tuple[int, str]]] = {}
     size = [0] * len(POSITIVES)
-    for i, e in enumerate(judged):
+    for e in judged:
         size[e["pos"]] += 1
-        if not e["rejected"]:
-            by_pos.setdefault(e["pos"], []).append((i, e["signature"]))
+    good = [(i, e["pos"], e["signature"]) for i, e in enumerate(judged) if not e["rejected"]]
+    return _picks(good, size, seats, strength)
+
+
+def _picks(good: list[tuple[int, int, str]], size: list[int], seats: dict[int, int], strength: list[float]) -> list[int]:
+    """The same of the candidates that break no rule (place, category, signature); ``size``: all candidates of each category."""
+    by_pos: dict[int, list[tuple[int, str]]] = {}
+    for i, pos, s in good:
+        by_pos.setdefault(pos, []).append((i, s))
     taken: set[str] = set()
     picked: list[list[int]] = []
     for pos in range(len(POSITIVES)):
@@ -236,14 +247,26 @@ def picks(judged: list[dict], seats: dict[int, int], strength: list[float]) -> l
 
 
 def _picked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = [n for n, _ in PICKED]
+    """The picked candidates of each product; candidates stay Arrow columns, only what the loop reads becomes Python values."""
     for b in batches:
-        rows = []
-        for url, bank, judged, plan, strength in zip(*(b.column(c).to_pylist() for c in ("url", "bank", "judged", "plan", "strength")), strict=True):
-            for place, at in enumerate(picks(judged, {p["pos"]: p["seats"] for p in plan}, strength)):
-                rows.append((url, place, *(bank[at][n] for n in names[2:])))
-        cols = list(zip(*rows, strict=True)) or [()] * len(PICKED)
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if kind == "int" else pa.string()) for c, (_, kind) in zip(cols, PICKED, strict=True)], names=names)
+        bank, rejected, signatures, plan = (b.column(c) for c in ("bank", "rejected", "signatures", "plan"))
+        # what a list column holds, and where each row's part of it begins
+        starts, refused, signs, ends = (c.offsets.to_pylist() for c in (bank, rejected, signatures, plan))
+        kinds, broken, signed_ = bank.values.field("pos").to_pylist(), rejected.values.to_pylist(), signatures.values.to_pylist()
+        seats = list(zip(plan.values.field("pos").to_pylist(), plan.values.field("seats").to_pylist(), strict=True))
+        strength = b.column("strength").to_pylist()
+        row, place, at = [], [], []
+        for n in range(b.num_rows):
+            own = kinds[starts[n] : starts[n + 1]]
+            size = [own.count(pos) for pos in range(len(POSITIVES))]
+            good = [(i, pos, signed_[signs[n] + i]) for i, pos in enumerate(own) if not broken[refused[n] + i]]
+            found = _picks(good, size, dict(seats[ends[n] : ends[n + 1]]), strength[n])
+            row += [n] * len(found)
+            place += range(len(found))
+            at += [starts[n] + i for i in found]
+        entries = bank.values.take(pa.array(at, pa.int64()))
+        cols = [b.column("url").take(pa.array(row, pa.int64())), pa.array(place, pa.int32()), *(entries.field(n) for n, _ in PICKED[2:])]
+        yield pa.RecordBatch.from_arrays(cols, names=[n for n, _ in PICKED])
 
 
 #: Columns of picked candidates.
@@ -259,10 +282,12 @@ def selected(banked: DataFrame, plan: DataFrame, verbose: bool = False) -> DataF
     seats = plan.groupBy("url").agg(F.sort_array(F.collect_list(F.struct(pos[F.col("category")].alias("pos"), F.col("seats").cast("int").alias("seats")))).alias("plan"))
     it = {n: F.col(n) for n in ("name", "product_category", "secondary", "audience", "concerns", "usage", "page_class", "events", "measures", "specs", "ingredients", "technology", "form_factors")}
     weights = strengths()
-    judge = lambda e, bare: F.struct(e["pos"].alias("pos"), signature(e["keyword"]).alias("signature"), surface.surface_code(e["keyword"], e["category"], it | {"bare": bare}, verbose).isNotNull().alias("rejected"))
-    out = banked.withColumn("judged", let(surface.bare_suffixes(it), lambda bare: F.transform("bank", lambda e: judge(e, bare))))
+    # lower case and what follows the name are read by many rules, so a candidate makes them once
+    broken = lambda e, bare: let(F.struct(F.lower(e["keyword"]).alias("low"), surface.suffix_of(e["keyword"], it["name"]).alias("suffix")), lambda x: surface.surface_code(e["keyword"], e["category"], it | {"bare": bare, "low": x["low"], "suffix": x["suffix"]}, verbose).isNotNull())
+    out = banked if "signatures" in banked.columns else banked.withColumn("signatures", F.transform("bank", lambda e: signature(e["keyword"])))
+    out = out.withColumn("rejected", let(surface.bare_suffixes(it), lambda bare: F.transform("bank", lambda e: broken(e, bare))))
+    out = out.select("url", "bank", "rejected", "signatures", F.array(*[weights[c].cast("double") for c in POSITIVES]).alias("strength"))
     out = ready(out).join(spread(seats), "url", "left").withColumn("plan", F.coalesce("plan", F.array().cast("array<struct<pos:int,seats:int>>")))
-    out = out.select("url", "bank", "judged", "plan", F.array(*[weights[c].cast("double") for c in POSITIVES]).alias("strength"))
     return out.mapInArrow(_picked, ", ".join(map(" ".join, PICKED)))
 
 

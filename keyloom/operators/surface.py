@@ -46,17 +46,23 @@ def bare_suffixes(it: dict[str, Column]) -> Column:
     return unique(F.concat(F.array(it["product_category"]), it["secondary"], it["audience"], it["concerns"], it["usage"], texts(dims.BARE_SUFFIXES)))
 
 
+def suffix_of(keyword: Column, name: Column) -> Column:
+    """What follows as many characters as the name has."""
+    return F.trim(F.substring(keyword, F.length(name) + 1, F.length(keyword)))
+
+
 def surface_code(keyword: Column, category: Column, it: dict[str, Column] | None = None, verbose: bool = False) -> Column:
     """Code of the first surface rule that a keyword breaks, or null.
 
     ``it``: columns of the interpretation by name (default: those of the row): name, category (as ``product_category``
     where the row has a category of its own), secondary, audience, concerns, usage, page_class, events, measures, specs,
-    ingredients, technology, form_factors; ``bare`` (``bare_suffixes``) where many keywords of a row share it.
+    ingredients, technology, form_factors; ``bare`` (``bare_suffixes``) where many keywords of a row share it; ``low`` and
+    ``suffix`` (lower case, ``suffix_of``) where they are made already.
     """
     it = it or {n: F.col(n) for n in ("name", "product_category", "secondary", "audience", "concerns", "usage", "page_class", "events", "measures", "specs", "ingredients", "technology", "form_factors")}
-    name, kind, low = it["name"], it["product_category"], F.lower(keyword)
+    name, kind, low = it["name"], it["product_category"], it["low"] if "low" in it else F.lower(keyword)
     prefixed = keyword.startswith(F.concat(name, F.lit(" ")))
-    suffix = F.trim(F.substring(keyword, F.length(name) + 1, F.length(keyword)))
+    suffix = it["suffix"] if "suffix" in it else suffix_of(keyword, name)
     bare = F.array_contains(it["bare"] if "bare" in it else bare_suffixes(it), suffix)
     features = F.concat(it["measures"], it["specs"], it["ingredients"], it["technology"], it["form_factors"])
     events = F.transform(it["events"], F.lower)

@@ -9,6 +9,7 @@ from keyloom.functions import web
 from keyloom.functions.arrays import any_in, texts
 from keyloom.operators import bank, interpret
 from keyloom.plans import deep
+from keyloom.scratch import written
 from tests.conftest import SF
 
 
@@ -166,3 +167,13 @@ def test_an_attribute_is_read_once(spark):
     out = df.select(images._attribute(F.col("t"), "src").alias("a"))
     assert [r["a"] for r in out.collect()] == ["a", "b & c", "d", None, None, None]
     assert _plan(out).count("(?is)(?:^|") == 2
+
+
+def test_picks_take_signatures_from_the_bank(spark):
+    """A candidate's signature is made with the bank, not again for the picks, and what is picked is what the loop over Python values picks."""
+    banked = written(bank.with_bank(interpret.interpreted(deep.product_packs(spark, SF))))
+    picked = bank.selected(banked, bank.category_plan(banked, F.lit(30)))
+    again = banked.drop("signatures")
+    assert "대한민국" not in _plan(picked) and "대한민국" in _plan(bank.selected(again, bank.category_plan(again, F.lit(30))))
+    columns = ("url", "ord", "category", "keyword", "reason", "tier", "slot_type")
+    assert sorted(map(str, picked.select(*columns).collect())) == sorted(map(str, bank.selected(again, bank.category_plan(again, F.lit(30))).select(*columns).collect()))
