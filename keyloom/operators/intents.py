@@ -93,7 +93,7 @@ def generate(packs: DataFrame, mode: str = "both", most: int = 100, verbose: boo
     """Keyword rows of evidence packs, and one report per product: interpret, build the bank, plan, pick, render, filter, supplement, score, select, validate.
 
     Thin pages (``sufficiency`` borderline) aim for four rows fewer. Products that fail still give their rows. The banks are
-    read several times, so they are a table (``scratch.written``).
+    read several times, so they are a table (``scratch.written``); so are the rows that pass the rules, which are scored, picked and counted.
 
     ``ask`` is a model that is asked in at most ``rounds`` rounds for what the rows lack (see ``supplement.supplemented``): it gives intents
     (url, category, slot_type, keyword, reason, evidence_tier). The report then has ``rounds``, ``missing``, ``added`` and ``reason`` too.
@@ -127,10 +127,11 @@ def generate(packs: DataFrame, mode: str = "both", most: int = 100, verbose: boo
 
         more, lacking = supplement.supplemented(banked, judged.select(*own), slot.withColumn("place", turn), asked, clean, most, mode, rounds)
         judged = clean(more)
-    positive = rows.select_rows(rows.selection_scores(judged), most, mode)
     names = ["url", "ord", "product_name", "category", "keyword", "slot_type", "naver_match", "google_match", "reason", "quality_warning", "evidence_tier", "quality_score", "issues", "hard_issues"]
-    if "quality_warning" not in positive.columns:
-        positive, judged = positive.withColumn("quality_warning", F.lit(False)), judged.withColumn("quality_warning", F.lit(False))
+    if "quality_warning" not in judged.columns:
+        judged = judged.withColumn("quality_warning", F.lit(False))
+    judged = written(judged.select(*names, "surface"))
+    positive = rows.select_rows(rows.selection_scores(judged), most, mode)
     chosen = positive.select(*names, "score", "penalties", "place").unionByName(judged.where(F.col("category") == dims.NEGATIVE).select(*names), allowMissingColumns=True)
     report = rows.validation_report(rows.validation(chosen))
     short_of = F.coalesce((F.col("status") == "COMPLETED") & (F.col("least_positives") < most), F.lit(False))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from keyloom.functions import keywords as K
 from keyloom.functions import web
 from keyloom.functions.arrays import any_in, texts
-from keyloom.operators import bank, interpret
+from keyloom.operators import bank, intents, interpret
 from keyloom.plans import deep
 from keyloom.scratch import written
 from tests.conftest import SF
@@ -177,3 +177,10 @@ def test_picks_take_signatures_from_the_bank(spark):
     assert "대한민국" not in _plan(picked) and "대한민국" in _plan(bank.selected(again, bank.category_plan(again, F.lit(30))))
     columns = ("url", "ord", "category", "keyword", "reason", "tier", "slot_type")
     assert sorted(map(str, picked.select(*columns).collect())) == sorted(map(str, bank.selected(again, bank.category_plan(again, F.lit(30))).select(*columns).collect()))
+
+
+def test_generated_rows_are_judged_once(spark):
+    """Scores, picks and negatives read one table of judged rows; none of them picks and judges again."""
+    chosen, _ = intents.generate(deep.product_packs(spark, SF).where("p_partkey < 5"))
+    assert "mapinarrow" not in _plan(chosen).lower()
+    assert chosen.where("category = 'negative'").count() > 0 and chosen.where("category <> 'negative'").count() > 0
